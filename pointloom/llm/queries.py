@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, near_dedup, quality, token_store, url_filter
+from . import hmm_lm, language, mixing, near_dedup, quality, token_store, url_filter
 from .common import crc_mod, table
 
 #: Parts of host names whose hosts the url query lists.
@@ -44,6 +44,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op8_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return hmm_lm.score(docs, crc_mod(F.col("doc_id"), 7) == 2)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     listed = url_filter.listed_by_terms(pages, LISTED_TERMS)
@@ -56,7 +61,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_mixing, op3_quality, op6_language, op9_url_filter, op10_token_store)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_mixing, op3_quality, op6_language, op8_hmm_lm, op9_url_filter, op10_token_store)}
 
 
 _OP9 = """
