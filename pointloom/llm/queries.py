@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm_lm, language, mixing, near_dedup, quality, token_store, url_filter
+from . import hmm_lm, language, mixing, near_dedup, quality, token_store, topk_search, url_filter
 from .common import crc_mod, table
 
 #: Parts of host names whose hosts the url query lists.
@@ -44,6 +44,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op8_hmm_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return hmm_lm.score(docs, crc_mod(F.col("doc_id"), 7) == 2)
@@ -61,8 +65,19 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_mixing, op3_quality, op6_language, op8_hmm_lm, op9_url_filter, op10_token_store)}
-
+    return {f.__name__: f for f in (op1_near_dedup, op2_mixing, op3_quality, op6_language, op7_topk_search, op8_hmm_lm, op9_url_filter, op10_token_store)}
+
+
+_OP7 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
 
 _OP9 = """
 WITH p AS (
@@ -109,4 +124,4 @@ FROM b
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": _op3_sql(), "op9_url_filter": _OP9}
+    return {"op3_quality": _op3_sql(), "op7_topk_search": _OP7, "op9_url_filter": _OP9}
