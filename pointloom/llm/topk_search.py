@@ -211,7 +211,7 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     candidates = ints.repartition(parts, F.xxhash64("id")).mapInArrow(_blocks(CANDIDATE_BLOCK), schema)
-    todo = candidates.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("qb"), F.col("block").alias("c"))
+    todo = candidates.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("qb"), F.col("block").alias("c"))
     paired = todo.join(numbered, "qb").select("q", "c")
     found = paired.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
