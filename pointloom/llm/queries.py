@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm_lm, html_text, language, mixing, near_dedup, quality, token_store, topk_search, url_filter
+from . import hmm_lm, html_text, language, mixing, near_dedup, piece_scan, quality, token_store, topk_search, url_filter
 from .common import crc_mod, table
 
 #: Parts of host names whose hosts the url query lists.
@@ -40,6 +40,12 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    coded = piece_scan.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return piece_scan.with_digest(coded, model).select("doc_id", "n_tokens", "ids_crc32", "n_chunks", "round_trip")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = crc_mod(F.col("doc_id"), 5) == 0
@@ -69,7 +75,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_mixing, op3_quality, op4_html_text, op6_language, op7_topk_search, op8_hmm_lm, op9_url_filter, op10_token_store)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_mixing, op3_quality, op4_html_text, op5_piece_scan, op6_language, op7_topk_search, op8_hmm_lm, op9_url_filter, op10_token_store)}
 
 
 _OP7 = """
