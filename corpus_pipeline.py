@@ -1,13 +1,67 @@
-"""From raw documents to token ids: language, quality, near duplicates, mix, encoding."""
+"""From raw documents to token ids: language, quality, near duplicates, mix, encoding.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows of docs. All but
+the last return the columns of docs; the last returns ids for each row.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pointloom.llm import language, mixing, near_dedup, piece_scan, quality
+from pointloom.llm.common import crc_mod, staged
+from pointloom.llm.queries import tokenizer_path
+
+#: Texts whose words fit their best language worse than this have no language.
+LEAST_SCORE = 0.3
+
+
+def _columns(df: DataFrame, like: DataFrame) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`") for c in like.columns])
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language learned from the labelled ones; null texts and texts without letters go."""
+    model = language.fit(docs.filter(crc_mod(F.col("doc_id"), 5) != 0), "text", "lang", "doc_id")
+    found = language.predict(docs, model)
+    return _columns(found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _columns(quality.quality(docs).filter("kept"), docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicated(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy that the mix takes; a document may repeat."""
+    return _columns(mixing.mixed_rows(mixing.mix(docs)), docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    coded = piece_scan.encode(docs, tokenizer_path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("mix_sources", mix_sources),
+    ("encode_pieces", encode_pieces),
+]
 
-STAGES: list = []
+#: Language models, signatures and token ids have no SQL form; the tests hold the stages against plain code.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = staged(docs, name)
     return docs
