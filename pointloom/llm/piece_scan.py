@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, drop_staged, map_columns, staged, without
+from .common import WordMemo, as_bytes, drop_staged, map_columns, staged, without
 
 SPACE = "▁"
 #: Texts of more characters are encoded in chunks of this many.
@@ -54,27 +54,24 @@ class Pieces:
         if "\n" in self.chars:
             raise ValueError("this model has pieces with line feeds")
         self.cut = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-        self.cache: dict[str, bytes] = {"\n": np.array(self.sp.encode("\n")[1:], "<i4").tobytes()}
+        self.feed = np.array(self.sp.encode("\n")[1:], "<i4").tobytes()
+        self.memo = WordMemo(self._learn)
         self.pairs: dict[tuple[str, str], bool] = {}
 
     # whole words by the library
     def many(self, prepared: list[str]) -> list[np.ndarray]:
         """Ids of stretches between cuts; spaces are already U+2581."""
-        words = [self.cut.findall(t) for t in prepared]
-        if len(self.cache) > MAX_CACHED:
-            self.cache = {"\n": self.cache["\n"]}
-        known = self.cache
-        new = list({w for ws in words for w in ws} - known.keys())
-        if new:
-            # the library adds one space in front; where there is none, a line feed keeps it apart
-            asked = [w[1:].replace(SPACE, " ") if w[0] == SPACE else "\n" + w for w in new]
-            skip = len(known["\n"]) // 4 + 1
-            for w, ids in zip(new, self.sp.encode(asked, num_threads=1), strict=True):
-                if w == SPACE:
-                    ids = [self.ids[SPACE]]
-                known[w] = np.array(ids if w[0] == SPACE else ids[skip:], "<i4").tobytes()
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)), "<i4") for ws in words]
+        return [np.frombuffer(b, "<i4") for b in self.memo.joined([self.cut.findall(t) for t in prepared])]
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        # the library adds one space in front; where there is none, a line feed keeps it apart
+        asked = [w[1:].replace(SPACE, " ") if w[0] == SPACE else "\n" + w for w in words]
+        skip, out = len(self.feed) // 4 + 1, []
+        for w, ids in zip(words, self.sp.encode(asked, num_threads=1), strict=True):
+            if w == SPACE:
+                ids = [self.ids[SPACE]]
+            out.append(self.feed if w == "\n" else np.array(ids if w[0] == SPACE else ids[skip:], "<i4").tobytes())
+        return out
 
     def words(self, prepared: str) -> np.ndarray:
         return self.many([prepared])[0]
@@ -122,7 +119,7 @@ class Pieces:
         """Ids of one part of a path: its piece, or the bytes of a character that is in none."""
         if part in self.ids:
             return [self.ids[part]]
-        return np.frombuffer(self.words(part).tobytes(), "<i4").tolist() if part == "\n" else self.sp.encode("\n" + part)[len(self.cache["\n"]) // 4 + 1 :]
+        return np.frombuffer(self.words(part).tobytes(), "<i4").tolist() if part == "\n" else self.sp.encode("\n" + part)[len(self.feed) // 4 + 1 :]
 
     def covers(self, s: str, at: int) -> list[tuple[str, int]]:
         """States at the place `at` of s: (part that holds the character before it, characters it reaches past it)."""
@@ -160,6 +157,16 @@ class Pieces:
         return seen
 
 
+_PIECES: dict[str, Pieces] = {}
+
+
+def pieces_of(path: str) -> Pieces:
+    """One model for each worker process, so that its memory serves the tasks that follow."""
+    if path not in _PIECES:
+        _PIECES[path] = Pieces(path)
+    return _PIECES[path]
+
+
 def prepare(text: str) -> str:
     return SPACE + text.replace(" ", SPACE)
 
@@ -284,7 +291,7 @@ def encode(df: DataFrame, model: str, text_col: str = "text", size: int = CHUNK)
         return [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32), pa.array(np.concatenate([*ids, np.zeros(0, "<i4")]))), [1] * len(ids)]
 
     def setup() -> Pieces:
-        return Pieces(model)
+        return pieces_of(model)
 
     added = "ids array<int>, n_chunks int"
     plain = map_columns(base.filter(~giant), [text_col], added, small, setup, rows=1024)
@@ -292,7 +299,7 @@ def encode(df: DataFrame, model: str, text_col: str = "text", size: int = CHUNK)
     distinct = keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), text.alias("text")).dropDuplicates(["k1", "k2"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(model)
+        pieces = pieces_of(model)
         names = ["k1", "k2", "n", "context", "low", "high", "first", "last"]
         for batch in batches:
             for k1, k2, t in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
@@ -347,7 +354,7 @@ def with_digest(df: DataFrame, model: str, text_col: str = "text") -> DataFrame:
             same.append(d == (t or b"").decode().replace(SPACE, " "))
         return [[len(x) for x in raw], crc, same]
 
-    return map_columns(df, [text_col, "ids"], "n_tokens long, ids_crc32 long, round_trip boolean", run, lambda: Pieces(model), rows=512).drop("ids")
+    return map_columns(df, [text_col, "ids"], "n_tokens long, ids_crc32 long, round_trip boolean", run, lambda: pieces_of(model), rows=512).drop("ids")
 
 
 def decode(p: Pieces, ids: list[np.ndarray]) -> list[str]:

@@ -11,6 +11,7 @@ vocabulary allows, else four, little-endian.
 from __future__ import annotations
 
 import io
+import json
 import os
 import struct
 import zlib
@@ -24,13 +25,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, new_path, staged
+from .common import WordMemo, new_path, staged
 
 # Fixed values of the seekable format.
 SKIPPABLE_SEEK, SKIPPABLE_INDEX, FOOTER_MAGIC, FOOTER_SIZE = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1, 9
 HAS_CHECKSUM = 0x80
 FRAME_IDS = 1 << 16
-MAX_CACHED = 250_000
 
 
 class Writer:
@@ -120,35 +120,73 @@ class Reader:
 
 
 class WordEncoder:
-    """Encodes with the tokenizers library, each distinct word once while it stays in the cache.
+    """Encodes with the tokenizers library, each distinct word once while it is remembered.
 
     The text is cut at spaces and line feeds, which the tokenizer's own
-    splitting never spans, so the ids are those of the whole text.
+    splitting never spans, so the ids are those of the whole text. A word that
+    ends in a Latin letter and marks such as a comma is two pieces for the
+    tokenizer, so both are remembered apart; it lower-cases, so ASCII words
+    are remembered in lower case.
     """
 
     def __init__(self, path: str, end_id: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.end = Tokenizer.from_file(path), end_id
+        self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = False
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.cache: dict[str, bytes] = {}
+        self.words, self.cores = WordMemo(self._whole), WordMemo(self._encode)
+        self.lowers = any("Lowercase" in str(n.get("type")) for n in _steps(self.tok, "normalizer")) and self._parts_marks()
         self.tail = b"" if end_id is None else np.array([end_id], self.kind).tobytes()
 
+    def _parts_marks(self) -> bool:
+        """Whether words and marks are encoded apart, tried on some."""
+        apart = lambda *w: b"".join(self._encode(list(w)))
+        return all(apart(a + b) == apart(a, b) for a in ("the", "für", "a") for b in MARKS) and apart("The") == apart("the")
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(words), 8192):
+            got = self.tok.encode_batch_fast(words[at : at + 8192], add_special_tokens=False)
+            out += [np.array(e.ids, self.kind).tobytes() for e in got]
+        return out
+
+    def _whole(self, words: list[str]) -> list[bytes]:
+        if not self.lowers:
+            return self._encode(words)
+        return self.cores.joined([self._split(w) for w in words])
+
+    @staticmethod
+    def _split(word: str) -> list[str]:
+        core = word.rstrip(MARKS)
+        if not core:
+            return [word]
+        last = core[-1]
+        parts = [core, word[len(core) :]] if len(core) < len(word) and last.isalpha() and last < "\u0250" else [word]
+        return [parts[0].lower() if parts[0].isascii() else parts[0], *parts[1:]]
+
     def many(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.cache) > MAX_CACHED:
-            self.cache.clear()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in split for w in ws} - self.cache.keys())
-        known = self.cache
-        for at in range(0, len(new), 8192):
-            part = new[at : at + 8192]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, self.kind).tobytes()
-        get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, ws)) + self.tail, self.kind) for ws in split]
+        coded = self.words.joined([t.replace("\n", " ").split(" ") for t in texts])
+        return [np.frombuffer(b + self.tail, self.kind) for b in coded]
+
+
+#: Marks that a word may end in.
+MARKS = ".,;:!?"
+_CODERS: dict[tuple, WordEncoder] = {}
+
+
+def coder(path: str, end_id: int | None) -> WordEncoder:
+    """One encoder for each worker process, so that its memory serves the tasks that follow."""
+    if (path, end_id) not in _CODERS:
+        _CODERS[(path, end_id)] = WordEncoder(path, end_id)
+    return _CODERS[(path, end_id)]
+
+
+def _steps(tok, part: str) -> list[dict]:
+    step = json.loads(tok.to_str()).get(part) or {}
+    return step.get("normalizers", [step])
 
 
 def _open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -175,22 +213,22 @@ def write(df: DataFrame, tokenizer: str, path: str, end_id: int | None, id_col:
 
         where, base = _open_fs(path)
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
-        coder, docs, ids = WordEncoder(tokenizer, end_id), 0, 0
+        code, docs, ids = coder(tokenizer, end_id), 0, 0
         name, temp = f"part-{part:06d}.zst", f"{base}/.part-{part:06d}-{attempt}"
         with where.open_output_stream(temp) as out:
-            writer = Writer(out, coder.width, level)
+            writer = Writer(out, code.width, level)
             for whole in batches:
                 for at in range(0, whole.num_rows, 512):
                     b = whole.slice(at, 512)
-                    for doc, x in zip(b.column(0).to_pylist(), coder.many(b.column(1).to_pylist()), strict=True):
+                    for doc, x in zip(b.column(0).to_pylist(), code.many(b.column(1).to_pylist()), strict=True):
                         writer.add(doc, x)
                         docs, ids = docs + 1, ids + len(x)
             writer.close()
         where.move(temp, f"{base}/{name}")
         yield pa.RecordBatch.from_pydict({"part": [name], "docs": [docs], "ids": [ids]})
 
-    done = dealt.mapInArrow(run, "part string, docs long, ids long").orderBy("part").collect()  # one row for each part
-    return [tuple(r) for r in done]
+    done = dealt.mapInArrow(run, "part string, docs long, ids long").collect()  # one row for each part
+    return sorted(tuple(r) for r in done)
 
 
 def read(spark: SparkSession, path: str, parts: list[tuple]) -> DataFrame:
