@@ -2,10 +2,722 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions import names, numeric
+from .operators import clusters, curves, geometry, nulls, pairing, raster, ripley, spatial
+from .sinks import tables as sinks
+from .tables import PTS_SQL, D, of_kind, points, spheres, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+Z = ["zone"]
+STEP, R_MAX = 2.0, 40.0
+H = 12.0
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query. SQL that starts with + goes on with the views of the points, SQL over them is put behind."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            more = sql.lstrip().startswith("+")
+            over = re.search(r"\b(pts|k0|k1|sph|vol)\b", sql)
+            _SQL[f.__name__] = f"WITH RECURSIVE {PTS_SQL}, {sql.lstrip()[1:]}" if more else f"WITH RECURSIVE {PTS_SQL} {sql}" if over else sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles at six decimals, counts as long, so that sums in any order compare."""
+    return df.select(*[F.round(F.col(c), 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# nearest neighbours
+@query(f"""SELECT zone, id, nid, round(d, 6) AS d FROM (
+ SELECT a.zone, a.id, b.id AS nid, {D} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {D}, b.id) AS k
+ FROM pts a JOIN pts b ON a.zone = b.zone AND a.id <> b.id) WHERE k = 1""")
+def nn_within_zone(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf).select("id", "zone", "x", "y", "z")
+    out = spatial.nearest(p, p, Z, exclude_self=True)
+    return rounded(out.select("zone", F.col("a_id").alias("id"), F.col("b_id").alias("nid"), "d"))
+
+
+@query(f"""SELECT zone, id, nid, round(d, 6) AS d FROM (
+ SELECT a.zone, a.id, b.id AS nid, {D} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {D}, b.id) AS k
+ FROM k0 a JOIN k1 b ON a.zone = b.zone) WHERE k = 1""")
+def nn_cross_kind(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    out = spatial.nearest(of_kind(p, 0), of_kind(p, 1), Z, cell=12.0)
+    return rounded(out.select("zone", F.col("a_id").alias("id"), F.col("b_id").alias("nid"), "d"))
+
+
+@query(f"""SELECT zone, id, round(nx, 6) AS nx, round(d, 6) AS d FROM (
+ SELECT a.zone, a.id, b.nx, {D} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {D}, b.id) AS k
+ FROM k0 a JOIN k1 b ON a.zone = b.zone) WHERE k = 1""")
+def nn_payload_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    out = spatial.nearest(of_kind(p, 0), of_kind(p, 1), Z, payload=["nx"])
+    return rounded(out.select("zone", F.col("a_id").alias("id"), F.col("b_nx").alias("nx"), "d"))
+
+
+@query(f"""SELECT zone, id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM (
+ SELECT a.zone, a.id, b.x, b.y, b.z, row_number() OVER (PARTITION BY a.id ORDER BY {D}, b.id) AS k
+ FROM k1 a JOIN k0 b ON a.zone = b.zone) WHERE k = 1""")
+def snap_to_surface(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    out = spatial.nearest(of_kind(p, 1), of_kind(p, 0), Z, payload=["x", "y", "z"])
+    return rounded(out.select("zone", F.col("a_id").alias("id"), *[F.col(f"b_{k}").alias(k) for k in "xyz"]))
+
+
+@query(f"""SELECT zone, any_value(cx) IS NOT NULL AS has_zone, CAST(count(*) AS BIGINT) AS n, round(avg(d), 6) AS mean_d, round(stddev_pop(d), 6) AS sd_d FROM (
+ SELECT a.zone, b.x AS cx, {D} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {D}, b.id) AS k FROM k0 a JOIN k1 b ON a.zone = b.zone) WHERE k = 1 GROUP BY zone""")
+def nn_zone_summary(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    near = spatial.nearest(of_kind(p, 0), of_kind(p, 1), Z)
+    return rounded(near.groupBy("zone").agg(F.lit(True).alias("has_zone"), F.count(F.lit(1)).alias("n"), F.avg("d").alias("mean_d"), numeric.pop_std("d").alias("sd_d")))
+
+
+# pairs
+@query(f"SELECT a.zone, a.id AS a, b.id AS b, round({D}, 6) AS d FROM pts a JOIN pts b ON a.zone = b.zone AND a.id < b.id WHERE {D} > 6 AND {D} < 12")
+def pair_band_join(spark: SparkSession, sf: str) -> DataFrame:
+    out = spatial.pair_band(points(spark, sf).select("id", "zone", "x", "y", "z"), 6.0, 12.0, Z)
+    return rounded(out.select("zone", F.col("a_id").alias("a"), F.col("b_id").alias("b"), "d"))
+
+
+@query(f"""+ nn AS (SELECT a.zone, a.id, min({D}) AS gap FROM k0 a JOIN k1 b ON a.zone = b.zone GROUP BY 1, 2), ok AS (SELECT * FROM nn WHERE gap > 5 AND gap < 20)
+SELECT a.zone, a.id AS a, b.id AS b, round({D}, 6) AS d, round(p.gap, 6) AS gap_a, round(q.gap, 6) AS gap_b
+FROM k0 a JOIN k0 b ON a.zone = b.zone AND a.id < b.id JOIN ok p ON p.id = a.id JOIN ok q ON q.id = b.id WHERE {D} > 6 AND {D} < 20""")
+def pair_band_both_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    mine = of_kind(p, 0).select("id", "zone", "x", "y", "z")
+    out = pairing.candidate_pairs(mine, Z, 6.0, 20.0, of_kind(p, 1), (5.0, 20.0))
+    return rounded(out.select("zone", "a", "b", "d", "gap_a", "gap_b"))
+
+
+@query(f"""SELECT a.zone, a.id, a.r FROM sph a WHERE NOT EXISTS (
+ SELECT 1 FROM sph b WHERE a.zone = b.zone AND (b.r > a.r OR (b.r = a.r AND b.id < a.id)) AND {D} < a.r + b.r)""")
+def overlap_anti_join(spark: SparkSession, sf: str) -> DataFrame:
+    return spatial.overlap_survivors(spheres(spark, sf), 7.0, Z).select("zone", "id", "r")
+
+
+@query(f"SELECT a.zone, CAST(count(*) AS BIGINT) AS clashes FROM pts a JOIN pts b ON a.zone = b.zone AND a.id < b.id WHERE {D} < 8 GROUP BY a.zone")
+def steric_clashes(spark: SparkSession, sf: str) -> DataFrame:
+    return spatial.clashes(points(spark, sf).select("id", "zone", "x", "y", "z"), 8.0, Z).groupBy("zone").agg(F.count(F.lit(1)).alias("clashes"))
+
+
+@query(f"""SELECT a.zone, a.id % 5 AS owner, round(avg(b.x), 6) AS x, round(avg(b.y), 6) AS y, round(avg(b.z), 6) AS z, CAST(count(*) AS BIGINT) AS n
+FROM k0 a JOIN k1 b ON a.zone = b.zone WHERE {D} <= 15 GROUP BY 1, 2""")
+def fusion_points(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    cloud = of_kind(p, 0).withColumn("owner", F.col("id") % 5)
+    return rounded(spatial.contact_sites(of_kind(p, 1), cloud, 15.0, Z, "owner").select("zone", "owner", "x", "y", "z", "n"))
+
+
+@query(f"SELECT a.zone, a.id AS site, b.id AS particle, round({D}, 6) AS d FROM pts a JOIN pts b ON a.zone = b.zone WHERE a.id % 20 = 0 AND b.kind = 1")
+def site_particle_distances(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    out = spatial.pairs_within_keys(p.filter("id % 20 = 0"), of_kind(p, 1), Z)
+    return rounded(out.select("zone", F.col("a_id").alias("site"), F.col("b_id").alias("particle"), "d"))
+
+
+@query(f"""SELECT zone, particle, round(max(CASE WHEN site = 0 THEN d END), 6) AS site_0, round(max(CASE WHEN site = 1 THEN d END), 6) AS site_1 FROM (
+ SELECT a.zone, a.id % 2 AS site, b.id AS particle, {D} AS d FROM pts a JOIN pts b ON a.zone = b.zone WHERE a.id % 20 < 2 AND b.kind = 1) GROUP BY 1, 2""")
+def site_distances_wide(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    d = spatial.pairs_within_keys(p.filter("id % 20 < 2").withColumn("site", F.col("id") % 2), of_kind(p, 1), Z)
+    wide = d.groupBy("zone", F.col("b_id").alias("particle")).pivot("a_site", [0, 1]).agg(F.max("d"))
+    return rounded(wide.select("zone", "particle", F.col("0").alias("site_0"), F.col("1").alias("site_1")))
+
+
+@query(f"""+ nn AS (SELECT * FROM (SELECT a.id, a.zone, {D} AS d, a.nx * b.nx + a.ny * b.ny + a.nz * b.nz AS dot, row_number() OVER (PARTITION BY a.id ORDER BY {D}, b.id) AS k
+  FROM k0 a JOIN k1 b ON a.zone = b.zone) WHERE k = 1 AND d >= 8 AND d <= 25),
+act AS (SELECT k0.* FROM k0 JOIN nn ON nn.id = k0.id),
+mm AS (SELECT * FROM (SELECT a.id, a.zone, {D} AS d, a.nx * b.nx + a.ny * b.ny + a.nz * b.nz AS dot, row_number() OVER (PARTITION BY a.id ORDER BY {D}, b.id) AS k
+  FROM k1 a JOIN act b ON a.zone = b.zone) WHERE k = 1 AND d >= 8 AND d <= 25)
+SELECT 'pre' AS side, zone, id, CASE WHEN dot < 0 THEN 'outer' ELSE 'inner' END AS facing, round(d, 6) AS gap FROM nn
+UNION ALL SELECT 'post', zone, id, CASE WHEN dot < 0 THEN 'outer' ELSE 'inner' END, round(d, 6) FROM mm""")
+def contact_gate(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    pre, post = spatial.contact_gate(of_kind(p, 0), of_kind(p, 1), 8.0, 25.0, Z)
+    tag = lambda df, s: df.select(F.lit(s).alias("side"), "zone", "id", "facing", "gap")
+    return rounded(tag(pre, "pre").unionByName(tag(post, "post")))
+
+
+def _faces(p: DataFrame) -> DataFrame:
+    w = Window.partitionBy("zone").orderBy("id")
+    return p.select("zone", F.col("id").alias("face"), F.col("id").alias("v0"), F.lead("id", 1).over(w).alias("v1"), F.lead("id", 2).over(w).alias("v2"))
+
+
+@query("""SELECT zone, id AS face FROM (SELECT zone, id, x, lead(x, 1) OVER w AS x1, lead(x, 2) OVER w AS x2 FROM pts WINDOW w AS (PARTITION BY zone ORDER BY id)) WHERE x > 0 AND x1 > 0 AND x2 > 0""")
+def faces_inside(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    return spatial.faces_inside(_faces(p), p.filter("x > 0"), Z).select("zone", "face")
+
+
+@query("""+ cp AS (SELECT zone AS idx, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM k0 GROUP BY zone), cz AS (SELECT zone, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM k1 GROUP BY zone)
+SELECT idx, zone FROM (SELECT a.idx, b.zone, row_number() OVER (PARTITION BY a.idx ORDER BY sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), b.zone) AS k FROM cp a, cz b) WHERE k = 1""")
+def index_to_zone(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    mean = lambda k, n: of_kind(p, k).groupBy(F.col("zone").alias(n)).agg(*[F.avg(c).alias(c) for c in "xyz"])
+    near = spatial.nearest(mean(0, "idx"), mean(1, "id"), (), left_id="idx")
+    return near.select(F.col("a_idx").alias("idx"), F.col("b_id").alias("zone"))
+
+
+@query(f"""+ line AS (SELECT id, zone, x + 5.0 * t * nx / s AS x, y + 5.0 * t * ny / s AS y, z + 5.0 * t * nz / s AS z FROM (SELECT *, sqrt(mx*mx+my*my+mz*mz) AS s, mx AS nx, my AS ny, mz AS nz FROM (
+  SELECT a.id, a.zone, a.x, a.y, a.z, avg(b.nx) AS mx, avg(b.ny) AS my, avg(b.nz) AS mz FROM k0 a JOIN k0 b ON a.zone = b.zone WHERE {D} <= 10 GROUP BY 1, 2, 3, 4, 5)), range(11) r(t) WHERE s > 0)
+SELECT p.zone, p.id, CAST(coalesce(n, 0) AS BIGINT) AS n FROM k0 p LEFT JOIN (SELECT a.id, count(DISTINCT b.id) AS n FROM line a JOIN k1 b ON a.zone = b.zone WHERE {D} <= 10 GROUP BY 1) h ON h.id = p.id""")
+def sliding_cylinder(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    return spatial.cylinder_counts(of_kind(p, 0), of_kind(p, 1), 10.0, Z, 50.0, 11).select("zone", "id", "n")
+
+
+# widths and classes
+_WIDTH = f"""+ w AS (SELECT a.zone, 'pre_to_post' AS direction, min({D}) AS d FROM k0 a JOIN k1 b ON a.zone = b.zone GROUP BY a.zone, a.id
+ UNION ALL SELECT a.zone, 'post_to_pre', min({D}) FROM k1 a JOIN k0 b ON a.zone = b.zone GROUP BY a.zone, a.id)"""
+
+
+def _widths(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    a, b = of_kind(p, 0), of_kind(p, 1)
+    ways = [spatial.nearest(x, y, Z).select("zone", F.lit(n).alias("direction"), "d") for x, y, n in ((a, b, "pre_to_post"), (b, a, "post_to_pre"))]
+    return ways[0].unionByName(ways[1])
+
+
+@query(_WIDTH + " SELECT zone, direction, round(d, 6) AS d FROM w")
+def width_measurements(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_widths(spark, sf))
+
+
+@query(_WIDTH + " SELECT zone, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS sd, round(min(d), 6) AS lo, round(max(d), 6) AS hi, CAST(count(*) AS BIGINT) AS n FROM w GROUP BY ROLLUP (zone)")
+def width_stats(spark: SparkSession, sf: str) -> DataFrame:
+    w = _widths(spark, sf)
+    return rounded(w.rollup("zone").agg(F.avg("d").alias("mean"), F.stddev_pop("d").alias("sd"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.count(F.lit(1)).alias("n")))
+
+
+@query("""SELECT CASE WHEN value IS NULL OR isnan(value) THEN 'unknown' WHEN value <= 1 THEN 'fusing' WHEN value <= 20 THEN 'close' ELSE 'far' END AS class,
+ CAST(count(*) AS BIGINT) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS sd, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM events GROUP BY 1""")
+def distance_class_counts(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").withColumn("class", numeric.distance_class("value"))
+    v = numeric.finite("value")
+    return rounded(e.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.min(v).alias("lo"), F.max(v).alias("hi")))
+
+
+@query("""SELECT event_type, CAST(count(*) FILTER (value <= 30) AS BIGINT) AS synaptic, CAST(count(*) FILTER (value IS NULL OR value > 30) AS BIGINT) AS extrasynaptic,
+ CAST(count(DISTINCT user_id) AS BIGINT) AS owners, round(avg(value), 6) AS mean_d FROM events GROUP BY 1""")
+def synaptic_split(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").withColumn("s", numeric.synaptic("value"))
+    return rounded(
+        e.groupBy("event_type").agg(
+            F.count_if(F.col("s") == "synaptic").alias("synaptic"), F.count_if(F.col("s") == "extrasynaptic").alias("extrasynaptic"), F.countDistinct("user_id").alias("owners"), F.avg("value").alias("mean_d")
+        )
+    )
+
+
+@query("SELECT l_returnflag, l_linestatus, CAST(count(*) AS BIGINT) AS n, round(sum(l_quantity), 2) AS total, round(avg(l_extendedprice), 4) AS mean, round(stddev_samp(l_extendedprice), 4) AS sd, min(l_discount) AS lo, max(l_discount) AS hi FROM lineitem GROUP BY 1, 2")
+def group_summary(spark: SparkSession, sf: str) -> DataFrame:
+    x = table(spark, sf, "lineitem")
+    return x.groupBy("l_returnflag", "l_linestatus").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("total"), F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.round(F.stddev_samp("l_extendedprice"), 4).alias("sd"), F.min("l_discount").alias("lo"), F.max("l_discount").alias("hi")
+    )
+
+
+# clusters
+_COMP = f"""+ e AS (SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON a.zone = b.zone WHERE {D} <= 14),
+reach(id, root) AS (SELECT id, id FROM pts UNION SELECT e.b, r.root FROM reach r JOIN e ON e.a = r.id),
+comp AS (SELECT p.zone, p.id, p.x, p.y, p.z, min(root) AS comp FROM reach JOIN pts p USING (id) GROUP BY 1, 2, 3, 4, 5),
+sizes AS (SELECT zone, comp, count(*) AS n FROM comp GROUP BY 1, 2 HAVING count(*) >= 4),
+num AS (SELECT zone, comp, CAST(row_number() OVER (PARTITION BY zone ORDER BY comp) AS INT) AS cluster FROM sizes),
+lab AS (SELECT c.*, coalesce(cluster, -1) AS cluster FROM comp c LEFT JOIN num USING (zone, comp))"""
+
+
+def _clustered(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.dbscan(points(spark, sf).select("id", "zone", "x", "y", "z"), 14.0, Z)
+
+
+@query(_COMP + " SELECT zone, id, cluster FROM lab")
+def cluster_components(spark: SparkSession, sf: str) -> DataFrame:
+    return _clustered(spark, sf).select("zone", "id", "cluster")
+
+
+@query(_COMP + f""" SELECT zone, cluster, CAST(count(*) AS BIGINT) AS n, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz, round(max(s), 6) AS span FROM (
+ SELECT l.*, (SELECT max(sqrt((l.x-b.x)*(l.x-b.x)+(l.y-b.y)*(l.y-b.y)+(l.z-b.z)*(l.z-b.z))) FROM lab b WHERE b.zone = l.zone AND b.cluster = l.cluster) AS s FROM lab l WHERE cluster <> -1) GROUP BY 1, 2""")
+def cluster_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(clusters.cluster_summary(_clustered(spark, sf), Z))
+
+
+# K, L, g
+_BINS = f"""+ grid AS (SELECT zone, bin, bin * 2.0 AS r FROM (SELECT DISTINCT zone FROM pts), range(1, 21) t(bin)),
+n1 AS (SELECT zone, count(*) AS n1 FROM k0 GROUP BY 1), n2 AS (SELECT zone, count(*) AS n2 FROM k1 GROUP BY 1),
+h AS (SELECT a.zone, CAST(floor({D} / 2.0) AS INT) + 1 AS bin, count(*) AS n FROM k0 a JOIN k1 b ON a.zone = b.zone WHERE {D} <= 40 GROUP BY 1, 2),
+k AS (SELECT g.zone, g.bin, g.r, n1, n2, volume, sum(coalesce(n, 0)) OVER (PARTITION BY g.zone ORDER BY g.bin) AS c FROM grid g JOIN n1 USING (zone) JOIN n2 USING (zone) JOIN vol USING (zone) LEFT JOIN h ON h.zone = g.zone AND h.bin = g.bin),
+kk AS (SELECT *, volume / (n1 * n2) * c AS k FROM k)"""
+_L = "(cbrt(3.0 * greatest({k}, 0.0) / (4.0 * pi())) - r)"
+
+
+def _k(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    return ripley.cross_k(of_kind(p, 0), of_kind(p, 1), ripley.volumes(p, Z), STEP, R_MAX, Z)
+
+
+@query(_BINS + " SELECT zone, CAST(bin AS INT) AS bin, CAST(r AS DOUBLE) AS r, CAST(c AS BIGINT) AS \"count\", round(k, 6) AS k FROM kk")
+def cross_k(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_k(spark, sf).select("zone", "bin", "r", "count", "k"))
+
+
+@query(_BINS + f" SELECT zone, CAST(r AS DOUBLE) AS r, round({_L.format(k='k')}, 6) AS l, round((4.0/3.0*pi()) * pow(greatest({_L.format(k='k')} + r, 0.0), 3), 4) AS back FROM kk")
+def l_function(spark: SparkSession, sf: str) -> DataFrame:
+    x = ripley.l_of_k(F.col("k"), F.col("r"))
+    return _k(spark, sf).select("zone", "r", F.round(x, 6).alias("l"), F.round(ripley.k_of_l(x, F.col("r")), 4).alias("back"))
+
+
+@query(_BINS + """ SELECT zone, CAST(r AS DOUBLE) AS r, round((k - coalesce(lag5, 0)) / ((4.0/3.0*pi()) * (r*r*r - (r-10)*(r-10)*(r-10))), 6) AS g FROM (
+ SELECT *, lag(k, 5) OVER (PARTITION BY zone ORDER BY bin) AS lag5 FROM kk) WHERE bin % 5 = 0""")
+def pair_correlation(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ripley.pair_correlation(_k(spark, sf), Z, 5, STEP).select("zone", "r", "g"))
+
+
+_H21 = _BINS.replace("kk AS", "h2 AS (SELECT a.zone, CAST(floor({d} / 2.0) AS INT) + 1 AS bin, count(*) AS n FROM k1 a JOIN k0 b ON a.zone = b.zone WHERE {d} <= 40 GROUP BY 1, 2), kk AS".replace("{d}", D))
+
+
+@query(_H21 + f""", s AS (SELECT g.zone, g.bin, g.r, n1, n2, k AS k12, volume / (n1 * n2) * c2 AS k21 FROM kk g JOIN (
+ SELECT g.zone, g.bin, sum(coalesce(n, 0)) OVER (PARTITION BY g.zone ORDER BY g.bin) AS c2 FROM grid g LEFT JOIN h2 ON h2.zone = g.zone AND h2.bin = g.bin) q ON q.zone = g.zone AND q.bin = g.bin)
+SELECT zone, CAST(r AS DOUBLE) AS r, round(k12, 6) AS k12, round(k21, 6) AS k21, round((n1 * k12 + n2 * k21) / (n1 + n2), 6) AS k_combined, round({_L.format(k='(n1 * k12 + n2 * k21) / (n1 + n2)')}, 6) AS l_combined FROM s""")
+def symmetric_k(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    out = ripley.symmetric(of_kind(p, 0), of_kind(p, 1), ripley.volumes(p, Z), STEP, R_MAX, Z)
+    return rounded(out.select("zone", "r", "k12", "k21", "k_combined", "l_combined"))
+
+
+_FOCUS = f"""+ grid AS (SELECT zone, id, bin, bin * 2.0 AS r FROM k0, range(1, 21) t(bin)), n2 AS (SELECT zone, count(*) AS n2 FROM k1 GROUP BY 1),
+h AS (SELECT a.zone, a.id, CAST(floor({D} / 2.0) AS INT) + 1 AS bin, count(*) AS n FROM k0 a JOIN k1 b ON a.zone = b.zone WHERE {D} <= 40 GROUP BY 1, 2, 3),
+f AS (SELECT g.zone, g.id, g.bin, g.r, n2, volume, sum(coalesce(n, 0)) OVER (PARTITION BY g.id ORDER BY g.bin) AS c FROM grid g JOIN n2 USING (zone) JOIN vol USING (zone) LEFT JOIN h ON h.id = g.id AND h.bin = g.bin)"""
+
+
+@query(_FOCUS + " SELECT zone, id, CAST(r AS DOUBLE) AS r, round(volume / n2 * c, 6) AS k FROM f")
+def per_focus_k(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    return rounded(ripley.focus_k(of_kind(p, 0), of_kind(p, 1), ripley.volumes(p, Z), STEP, R_MAX, Z).select("zone", "id", "r", "k"))
+
+
+_EDGE = f"""+ box AS (SELECT zone, min(x) AS lx, min(y) AS ly, min(z) AS lz, CAST(floor((max(x)-min(x))/12.0) AS INT) AS nx, CAST(floor((max(y)-min(y))/12.0) AS INT) AS ny, CAST(floor((max(z)-min(z))/12.0) AS INT) AS nz FROM pts GROUP BY zone),
+lat AS (SELECT zone, lx + i * 12.0 AS x, ly + j * 12.0 AS y, lz + k * 12.0 AS z FROM box, unnest(range(0, nx + 1)) a(i), unnest(range(0, ny + 1)) b(j), unnest(range(0, nz + 1)) c(k)),
+h AS (SELECT a.zone, a.id, CAST(floor({D} / 4.0) AS INT) + 1 AS bin, count(*) AS n FROM k0 a JOIN lat b ON a.zone = b.zone WHERE {D} <= 40 GROUP BY 1, 2, 3),
+g AS (SELECT zone, id, bin, bin * 4.0 AS r FROM k0, range(1, 11) t(bin)),
+e AS (SELECT g.zone, g.id, g.bin, g.r, sum(coalesce(n, 0)) OVER (PARTITION BY g.id ORDER BY g.bin) AS c FROM g LEFT JOIN h ON h.id = g.id AND h.bin = g.bin)"""
+
+
+def _factors(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    return ripley.edge_factors(of_kind(p, 0), ripley.lattice(p, H, Z), H, 4.0, R_MAX, Z)
+
+
+@query(_EDGE + " SELECT zone, id, CAST(r AS DOUBLE) AS r, CAST(c AS BIGINT) AS in_grid, round(CASE WHEN c = 0 THEN 1.0 ELSE least(1.0, c * 1728.0 / ((4.0/3.0*pi()) * r * r * r)) END, 6) AS p FROM e")
+def grid_edge_factor(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_factors(spark, sf).select("zone", "id", "r", "in_grid", "p"))
+
+
+@query(_EDGE + """ SELECT zone, CAST(bin AS INT) AS bin, CAST(c - coalesce(lag(c, 2) OVER (PARTITION BY zone ORDER BY bin), 0) AS BIGINT) AS in_shell,
+ c - coalesce(lag(c, 2) OVER (PARTITION BY zone ORDER BY bin), 0) >= 8 AS reliable FROM (SELECT zone, bin, sum(c) AS c FROM e GROUP BY 1, 2) QUALIFY bin % 2 = 0""")
+def shell_reliability(spark: SparkSession, sf: str) -> DataFrame:
+    return ripley.shell_reliability(_factors(spark, sf), Z, 2).select("zone", "bin", "in_shell", "reliable")
+
+
+@query(_EDGE + f""", hp AS (SELECT a.zone, a.id, CAST(floor({D} / 4.0) AS INT) + 1 AS bin, count(*) AS n FROM k0 a JOIN k1 b ON a.zone = b.zone WHERE {D} <= 40 GROUP BY 1, 2, 3),
+q AS (SELECT g.zone, g.id, g.bin, g.r, sum(coalesce(n, 0)) OVER (PARTITION BY g.id ORDER BY g.bin) AS m FROM g LEFT JOIN hp ON hp.id = g.id AND hp.bin = g.bin),
+w AS (SELECT q.zone, q.r, sum(m / CASE WHEN c = 0 THEN 1.0 ELSE least(1.0, c * 1728.0 / ((4.0/3.0*pi()) * q.r * q.r * q.r)) END) AS s FROM q JOIN e ON e.id = q.id AND e.bin = q.bin GROUP BY 1, 2)
+SELECT w.zone, CAST(r AS DOUBLE) AS r, round(volume / ((SELECT count(*) FROM k0 WHERE k0.zone = w.zone) * (SELECT count(*) FROM k1 WHERE k1.zone = w.zone)) * s, 4) AS k FROM w JOIN vol USING (zone)""")
+def cross_k_corrected(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    out = ripley.cross_k(of_kind(p, 0), of_kind(p, 1), ripley.volumes(p, Z), 4.0, R_MAX, Z, factors=_factors(spark, sf))
+    return out.select("zone", "r", F.round("k", 4).alias("k"))
+
+
+_D2 = "sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))"
+
+
+@query(f"""+ g AS (SELECT zone, bin, bin * 5.0 AS r FROM (SELECT DISTINCT zone FROM pts), range(1, 9) t(bin)),
+h AS (SELECT a.zone, CAST(floor({_D2} / 5.0) AS INT) + 1 AS bin, count(*) AS n FROM k0 a JOIN k1 b ON a.zone = b.zone WHERE {_D2} <= 40 GROUP BY 1, 2),
+a2 AS (SELECT zone, (max(x)-min(x))*(max(y)-min(y)) AS area, count(*) FILTER (kind = 0) AS n1, count(*) FILTER (kind = 1) AS n2 FROM pts GROUP BY 1)
+SELECT g.zone, CAST(g.r AS DOUBLE) AS r, round(sqrt(greatest(area / (n1 * n2) * sum(coalesce(n, 0)) OVER (PARTITION BY g.zone ORDER BY g.bin), 0.0) / pi()) - g.r, 6) AS h FROM g JOIN a2 USING (zone) LEFT JOIN h ON h.zone = g.zone AND h.bin = g.bin""")
+def cross_h_2d(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    k = ripley.cross_k(of_kind(p, 0), of_kind(p, 1), ripley.volumes(p, Z, "xy"), 5.0, R_MAX, Z, "xy")
+    return k.select("zone", "r", F.round(ripley.h_of_k(F.col("k"), F.col("r")), 6).alias("h"))
+
+
+# curves
+@query(_BINS + " SELECT CAST(r AS DOUBLE) AS r, round(avg(k), 6) AS mean, round(median(k), 6) AS median, round(quantile_cont(k, 0.025), 6) AS lo, round(quantile_cont(k, 0.975), 6) AS hi, CAST(count(*) AS BIGINT) AS n FROM kk GROUP BY r")
+def percentile_band(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(curves.percentile_band(_k(spark, sf), ["r"], "k"))
+
+
+@query(_BINS + " SELECT CAST(r AS DOUBLE) AS r, round(avg(k), 6) AS mean, round(coalesce(stddev_samp(k), 0), 6) AS sd, round(coalesce(stddev_samp(k), 0) / sqrt(count(*)), 6) AS sem, CAST(count(*) AS BIGINT) AS n FROM kk GROUP BY r")
+def mean_sem_band(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(curves.mean_bands(_k(spark, sf), ["r"], "k").select("r", "mean", "sd", "sem", "n"))
+
+
+@query(_BINS + f""", p AS (SELECT r, avg(k) AS m, coalesce(stddev_samp(k), 0) AS s FROM kk GROUP BY r)
+SELECT CAST(r AS DOUBLE) AS r, round({_L.format(k='m')}, 6) AS l_mean, round({_L.format(k='(m - s)')}, 6) AS l_lo, round({_L.format(k='(m + s)')}, 6) AS l_hi FROM p""")
+def k_space_pool(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(curves.k_space_pool(_k(spark, sf), []).select("r", "l_mean", "l_lo", "l_hi"))
+
+
+@query(_BINS + """ SELECT CAST(r AS DOUBLE) AS r, round(sum(n2 * k) / sum(n2), 6) AS mean, round(greatest(sum(n2 * k * k) / sum(n2) - (sum(n2 * k) / sum(n2)) * (sum(n2 * k) / sum(n2)), 0) / 1000000, 4) AS var_m FROM kk GROUP BY r""")
+def weighted_pool(spark: SparkSession, sf: str) -> DataFrame:
+    w = curves.weighted_mean(_k(spark, sf), ["r"], "k", "n2")
+    return w.select("r", F.round("mean", 6).alias("mean"), F.round(F.col("var") / 1000000, 4).alias("var_m"))
+
+
+@query(_BINS + """, part AS (SELECT * FROM kk WHERE NOT (zone % 3 = 0 AND bin = 7)) SELECT zone, CAST(r AS DOUBLE) AS r, round(k, 6) AS k FROM part
+ WHERE zone IN (SELECT zone FROM part GROUP BY zone HAVING count(DISTINCT r) = (SELECT count(DISTINCT r) FROM part))""")
+def complete_curves_only(spark: SparkSession, sf: str) -> DataFrame:
+    part = _k(spark, sf).filter(~((F.col("zone") % 3 == 0) & (F.col("bin") == 7)))
+    return rounded(curves.complete_only(part, Z).select("zone", "r", "k"))
+
+
+@query(_BINS + " SELECT CAST(r AS DOUBLE) AS r, " + ", ".join(f"round(max(CASE WHEN zone = {i} THEN k END), 6) AS rep_{i}" for i in range(10)) + " FROM kk GROUP BY r")
+def curves_wide(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(curves.to_wide(_k(spark, sf), ["r"], "zone", "k", list(range(10))))
+
+
+@query(_BINS + " SELECT CAST(r AS DOUBLE) AS r, CAST(zone AS VARCHAR) AS replicate, round(k, 6) AS value FROM kk")
+def curves_long(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(curves.to_long(curves_wide(spark, sf), ["r"]))
+
+
+# nulls and tests
+_PERM = f"""+ rep AS (SELECT CAST(r AS BIGINT) AS rep FROM range(20) t(r)),
+s AS (SELECT zone, id, rep, (id * 7919 + rep * 104729 + id * id * (rep + 1)) % 1000003 AS a FROM pts, rep),
+o AS (SELECT zone, id, rep, row_number() OVER (PARTITION BY zone, rep ORDER BY (a * a + a * 31 + rep * 17) % 1000003, id) AS k FROM s),
+lab AS (SELECT o.zone, o.id, o.rep, k <= n1 AS one FROM o JOIN (SELECT zone, count(*) AS n1 FROM k0 GROUP BY 1) USING (zone)),
+pr AS (SELECT a.zone, a.id AS a, b.id AS b, CAST(floor({D} / 5.0) AS INT) + 1 AS bin FROM pts a JOIN pts b ON a.zone = b.zone AND a.id <> b.id WHERE {D} <= 30),
+cnt AS (SELECT pr.zone, p.rep, bin, count(*) AS n12 FROM pr JOIN lab p ON p.id = pr.a AND p.one JOIN lab q ON q.id = pr.b AND q.rep = p.rep AND NOT q.one WHERE bin <= 6 GROUP BY 1, 2, 3)"""
+
+
+def _labels(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    p = points(spark, sf)
+    slim = p.select("id", "zone", "x", "y", "z")
+    first = of_kind(p, 0).groupBy("zone").agg(F.count(F.lit(1)).alias("n1"))
+    return slim, nulls.permuted_labels(slim, 20, Z, first)
+
+
+@query(_PERM + " SELECT zone, CAST(rep AS INT) AS rep, bin, CAST(n12 AS BIGINT) AS n12 FROM cnt")
+def label_perm_null(spark: SparkSession, sf: str) -> DataFrame:
+    slim, labels = _labels(spark, sf)
+    return nulls.permuted_counts(slim, labels, 5.0, 30.0, Z)
+
+
+_OBS = f""", ob AS (SELECT a.zone, CAST(floor({D} / 5.0) AS INT) + 1 AS bin, count(*) AS n12 FROM k0 a JOIN k1 b ON a.zone = b.zone WHERE {D} <= 30 GROUP BY 1, 2),
+full_ AS (SELECT z.zone, rep.rep, g.bin, CAST(coalesce(n12, 0) AS DOUBLE) AS v FROM (SELECT DISTINCT zone FROM pts) z, rep, range(1, 7) g(bin) LEFT JOIN cnt ON cnt.zone = z.zone AND cnt.rep = rep.rep AND cnt.bin = g.bin),
+obs AS (SELECT z.zone, g.bin, CAST(coalesce(n12, 0) AS DOUBLE) AS v FROM (SELECT DISTINCT zone FROM pts) z, range(1, 7) g(bin) LEFT JOIN ob ON ob.zone = z.zone AND ob.bin = g.bin)"""
+
+
+def _observed_and_null(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    p = points(spark, sf)
+    grid = p.select("zone").distinct().withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(6))))
+    ob = ripley.binned(of_kind(p, 0), of_kind(p, 1), 5.0, 30.0, Z)
+    obs = grid.join(ob, ["zone", "bin"], "left").select("zone", F.col("bin").alias("r"), F.coalesce("n", F.lit(0)).cast("double").alias("value"))
+    reps = grid.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    null = reps.join(label_perm_null(spark, sf), ["zone", "rep", "bin"], "left").select("zone", "rep", F.col("bin").alias("r"), F.coalesce("n12", F.lit(0)).cast("double").alias("value"))
+    return obs, null
+
+
+@query(_PERM + _OBS + """, mu AS (SELECT zone, bin, avg(v) AS mu FROM (SELECT zone, bin, v FROM full_ UNION ALL SELECT zone, bin, v FROM obs) GROUP BY 1, 2),
+tn AS (SELECT zone, rep, max(abs(v - mu)) AS t FROM full_ JOIN mu USING (zone, bin) GROUP BY 1, 2), tob AS (SELECT zone, max(abs(v - mu)) AS t_obs FROM obs JOIN mu USING (zone, bin) GROUP BY 1)
+SELECT zone, CAST(count(*) AS BIGINT) AS n_null, round(t_obs, 6) AS t_obs, round(quantile_cont(t, 0.99), 6) AS t_crit, round((count(*) FILTER (t >= t_obs) + 1) / (count(*) + 1), 6) AS p, t_obs > quantile_cont(t, 0.99) AS rejects
+FROM tn JOIN tob USING (zone) GROUP BY zone, t_obs""")
+def mad_test(spark: SparkSession, sf: str) -> DataFrame:
+    obs, null = _observed_and_null(spark, sf)
+    return rounded(nulls.mad_test(obs, null, Z, least=10).select("zone", "n_null", "t_obs", "t_crit", "p", "rejects"))
+
+
+@query(_PERM + _OBS + " SELECT zone, CAST(bin AS INT) AS r, round((count(*) FILTER (abs(f.v) >= abs(o.v)) + 1) / (count(*) + 1), 6) AS p FROM full_ f JOIN obs o USING (zone, bin) GROUP BY 1, 2")
+def mc_pvalue(spark: SparkSession, sf: str) -> DataFrame:
+    obs, null = _observed_and_null(spark, sf)
+    return rounded(nulls.monte_carlo_p(obs, null, ["zone", "r"]).select("zone", "r", "p"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(CASE WHEN hi = lo THEN 0 ELSE (l_quantity - lo) / (hi - lo) END, 6) AS scaled FROM (
+ SELECT *, max(l_quantity) OVER (PARTITION BY l_orderkey) AS hi, min(l_quantity) OVER (PARTITION BY l_orderkey) AS lo FROM lineitem)""")
+def minmax_by_group(spark: SparkSession, sf: str) -> DataFrame:
+    x = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return rounded(curves.min_max_scaled(x, ["l_orderkey"], "l_quantity").select("l_orderkey", "l_linenumber", "scaled"))
+
+
+@query("SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, round(corr(l_quantity, l_extendedprice), 6) AS r, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept FROM lineitem GROUP BY 1")
+def pearson_ols(spark: SparkSession, sf: str) -> DataFrame:
+    x = table(spark, sf, "lineitem")
+    return x.groupBy("l_returnflag").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("r"), F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"), F.round(F.regr_intercept("l_extendedprice", "l_quantity"), 2).alias("intercept")
+    )
+
+
+@query("""SELECT event_type, round(corr(rx, ry), 6) AS rho, CAST(count(*) AS BIGINT) AS n FROM (SELECT event_type,
+ rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0 AS rx,
+ rank() OVER (PARTITION BY event_type ORDER BY user_id) + (count(*) OVER (PARTITION BY event_type, user_id) - 1) / 2.0 AS ry FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL) GROUP BY 1""")
+def spearman(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(nulls.spearman(table(spark, sf, "events"), ["event_type"], "value", "user_id"))
+
+
+@query("""SELECT zone, round(sum(sign(a.x-b.x) * sign(a.y-b.y)) / sqrt(sum(abs(sign(a.x-b.x))) * sum(abs(sign(a.y-b.y)))), 6) AS tau FROM pts a JOIN pts b USING (zone) WHERE a.id < b.id GROUP BY zone""")
+def kendall(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(nulls.kendall(points(spark, sf), Z, "x", "y", "id"))
+
+
+@query("SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_pop(l_quantity), 6) AS sd, round((avg(pow(l_quantity, 3)) - 3 * avg(l_quantity) * var_pop(l_quantity) - pow(avg(l_quantity), 3)) / pow(stddev_pop(l_quantity), 3), 4) AS skew, round(kurtosis_pop(l_quantity), 4) AS kurt FROM lineitem GROUP BY 1")
+def moments(spark: SparkSession, sf: str) -> DataFrame:
+    m = nulls.moments(table(spark, sf, "lineitem"), ["l_returnflag"], "l_quantity")
+    return m.select("l_returnflag", "n", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"), F.round("skew", 4).alias("skew"), F.round("kurt", 4).alias("kurt"))
+
+
+@query("SELECT CAST(floor(l_quantity / 10) AS INT) AS band, CAST(count(*) AS BIGINT) AS n, round(avg(l_extendedprice), 4) AS mean, round(median(l_extendedprice), 4) AS median, round(quantile_cont(l_extendedprice, 0.98), 4) AS p98 FROM lineitem GROUP BY 1")
+def banded_stats(spark: SparkSession, sf: str) -> DataFrame:
+    x = table(spark, sf, "lineitem").withColumn("band", F.floor(F.col("l_quantity") / 10).cast("int"))
+    v = "l_extendedprice"
+    return x.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(v), 4).alias("mean"), F.round(numeric.percentile(v, 50.0), 4).alias("median"), F.round(numeric.percentile(v, 98.0), 4).alias("p98"))
+
+
+@query("""SELECT zone, CAST(n AS BIGINT) AS n, round(w, 4) AS w_plus, round((w - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tie / 48.0), 6) AS z FROM (
+ SELECT zone, count(*) AS n, sum(CASE WHEN x > 0 THEN r ELSE 0 END) AS w, sum(t * t - 1) AS tie FROM (SELECT zone, x, rank() OVER (PARTITION BY zone ORDER BY abs(x)) + (count(*) OVER (PARTITION BY zone, abs(x)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY zone, abs(x)) AS t FROM pts WHERE abs(x) > 1e-12) GROUP BY zone)""")
+def wilcoxon(spark: SparkSession, sf: str) -> DataFrame:
+    w = nulls.wilcoxon_signed(points(spark, sf), Z, "x")
+    return w.select("zone", "n", F.round("w_plus", 4).alias("w_plus"), F.round("z", 6).alias("z"))
+
+
+@query("""SELECT zone, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(s - n1 * (n1 + 1) / 2.0, 4) AS u, round((s - n1 * (n1 + 1) / 2.0 - n1 * n2 / 2.0) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - tie / ((n1 + n2) * (n1 + n2 - 1)))), 6) AS z FROM (
+ SELECT zone, count(*) FILTER (kind = 0) AS n1, count(*) FILTER (kind = 1) AS n2, sum(CASE WHEN kind = 0 THEN r ELSE 0 END) AS s, sum(t * t - 1) AS tie FROM (SELECT zone, kind, rank() OVER (PARTITION BY zone ORDER BY x) + (count(*) OVER (PARTITION BY zone, x) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY zone, x) AS t FROM pts) GROUP BY zone)""")
+def mann_whitney(spark: SparkSession, sf: str) -> DataFrame:
+    m = nulls.mann_whitney(points(spark, sf).withColumn("g", F.col("kind") == 0), Z, "g", "x")
+    return m.select("zone", "n1", "n2", F.round("u", 4).alias("u"), F.round("z", 6).alias("z"))
+
+
+@query("""SELECT CAST(off AS INT) AS off, round(avg(delta), 6) AS mean, round(stddev_samp(delta), 6) AS sd, round(stddev_samp(delta) / sqrt(count(*)), 6) AS sem, CAST(count(*) AS BIGINT) AS n FROM (
+ SELECT r.zone, c.off, r.v - c.v AS delta FROM (SELECT zone, avg(x) AS v FROM k0 GROUP BY 1) r JOIN (SELECT zone, id % 5 AS off, avg(x) AS v FROM k1 GROUP BY 1, 2) c USING (zone)) GROUP BY off""")
+def control_deltas(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    control = of_kind(p, 1).withColumn("off", (F.col("id") % 5).cast("int"))
+    return rounded(curves.mean_sem_by_offset(of_kind(p, 0), control, Z, "off", "x").select("off", "mean", "sd", "sem", "n"))
+
+
+# persistence
+@query("""SELECT o_custkey, o_orderstatus, o_orderkey, CAST(NULL AS VARCHAR) AS batch FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders n WHERE n.o_orderkey % 10 = 0 AND n.o_custkey = o.o_custkey AND n.o_orderstatus = o.o_orderstatus)
+UNION ALL SELECT o_custkey, o_orderstatus, o_orderkey, 'new' FROM orders WHERE o_orderkey % 10 = 0""")
+def keyed_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_orderkey")
+    new = o.filter("o_orderkey % 10 = 0").withColumn("batch", F.lit("new"))
+    return sinks.upsert(o, new, ["o_custkey", "o_orderstatus"])
+
+
+@query("""SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, a.n AS n, round(b.total, 2) AS total FROM (SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a
+ FULL OUTER JOIN (SELECT o_custkey, sum(o_totalprice) AS total FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b ON a.o_custkey = b.o_custkey""")
+def full_outer_zone_export(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    a = o.filter("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
+    b = o.filter("o_orderstatus = 'O'").groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return sinks.zone_export(a, b, ["o_custkey"])
+
+
+@query("""SELECT analysis, CAST(count(*) FILTER (s IS NOT NULL AND s <> 'error') AS BIGINT) AS completed, CAST(count(*) FILTER (s = 'error') AS BIGINT) AS failed, CAST(count(*) FILTER (s IS NULL) AS BIGINT) AS not_run FROM (
+ SELECT a.analysis, CASE WHEN o.o_orderkey IS NULL THEN NULL WHEN o.o_orderstatus = 'F' THEN 'error' ELSE 'done' END AS s FROM customer c, (VALUES ('1-URGENT'), ('2-HIGH'), ('5-LOW')) a(analysis)
+ LEFT JOIN (SELECT o_custkey, o_orderpriority, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY 1, 2) o ON o.o_custkey = c.c_custkey AND o.o_orderpriority = a.analysis) GROUP BY 1""")
+def status_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").groupBy("o_custkey", F.col("o_orderpriority").alias("analysis")).agg(F.max_by("o_orderstatus", "o_orderkey").alias("s"))
+    res = o.select(F.col("o_custkey").alias("c_custkey"), "analysis", F.when(F.col("s") == "F", "error").otherwise("done").alias("status"))
+    return sinks.status_table(table(spark, sf, "customer"), res, ["1-URGENT", "2-HIGH", "5-LOW"], ["c_custkey"])
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def missing_files_anti(spark: SparkSession, sf: str) -> DataFrame:
+    from .sources.text import missing_files
+
+    return missing_files(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0)")
+def delete_by_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").filter("c_custkey % 7 = 0").select(F.col("c_custkey").alias("o_custkey"))
+    return sinks.delete(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), c, ["o_custkey"])
+
+
+@query("SELECT event_id, try_cast(value AS DOUBLE) AS value_width_nm, 2 AS parts_count, CAST(user_id AS DOUBLE) AS parts_value_0, value AS parts_value_1, event_type AS info_kind FROM events")
+def flatten_nested(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select(
+        F.col("event_id").cast("string").alias("event_id"), F.struct(F.col("value").alias("width")).alias("value"), F.array(F.col("user_id").cast("double"), F.col("value")).alias("parts"), F.struct(F.col("event_type").alias("kind")).alias("info")
+    )
+    flat = sinks.flattened(e, listed=2)
+    return flat.withColumn("event_id", F.col("event_id").cast("long"))
+
+
+@query("""SELECT n_nationkey, [CAST(try_cast(x AS DOUBLE) AS INT) FOR x IN regexp_split_to_array(trim(ids), '[,\\s]+') IF try_cast(x AS DOUBLE) IS NOT NULL] AS ids FROM (
+ SELECT n_nationkey, n_nationkey || ', ' || n_regionkey || '.0 x ' || (n_nationkey + n_regionkey) AS ids FROM nation)""")
+def cleft_id_parse(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation")
+    text = F.concat(F.col("n_nationkey").cast("string"), F.lit(", "), F.col("n_regionkey").cast("string"), F.lit(".0 x "), (F.col("n_nationkey") + F.col("n_regionkey")).cast("string"))
+    return n.select("n_nationkey", names.id_list(text).alias("ids"))
+
+
+@query("SELECT n_name AS tomoname, r_name AS set_name, 'alignment_' || (n_nationkey % 3) AS alignment_dir FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE')")
+def manifest_scan(spark: SparkSession, sf: str) -> DataFrame:
+    j = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).filter(F.col("r_name").isin("ASIA", "EUROPE"))
+    return j.select(F.col("n_name").alias("tomoname"), F.col("r_name").alias("set_name"), names.required_key(F.concat(F.lit("alignment_"), (F.col("n_nationkey") % 3).cast("string"))).alias("alignment_dir"))
+
+
+@query("""SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, round(o_totalprice / 10000, 0) ORDER BY o_orderkey) AS k FROM orders) WHERE k = 1""")
+def rounding_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("o_custkey", F.round(F.col("o_totalprice") / 10000, 0)).orderBy("o_orderkey")
+    return table(spark, sf, "orders").withColumn("k", F.row_number().over(w)).filter("k = 1").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_custkey, o_orderkey, CAST(k AS INT) AS k FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k <= 3")
+def top3_per_group(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return table(spark, sf, "orders").withColumn("k", F.row_number().over(w)).filter("k <= 3").select("o_custkey", "o_orderkey", "k")
+
+
+# frames and slices
+_M = [[0.0, 1.0, 0.0, 2.0], [-1.0, 0.0, 0.0, 3.0], [0.0, 0.0, 1.0, -1.0]]
+
+
+@query("SELECT zone, id, round(y + 2.0, 6) AS u, round(-x + 3.0, 6) AS v, round(z - 1.0, 6) AS w FROM pts WHERE y + 2.0 + 20 >= 0 AND y + 2.0 + 20 < 40 AND -x + 3.0 + 20 >= 0 AND -x + 3.0 + 20 < 40 AND z - 1.0 + 15 >= 0 AND z - 1.0 + 15 < 30")
+def zone_frame(spark: SparkSession, sf: str) -> DataFrame:
+    c = numeric.affine(_M)
+    p = points(spark, sf).filter(numeric.inside_extent(c, (40, 40, 30)))
+    return rounded(p.select("zone", "id", c[0].alias("u"), c[1].alias("v"), c[2].alias("w")))
+
+
+@query("SELECT zone, id % 5 AS owner, CAST(count(*) AS BIGINT) AS n, max(CAST(abs(z) <= 3 AS INT)) = 1 AS any_inside, abs(avg(z)) <= 3 AS mean_inside FROM pts GROUP BY 1, 2")
+def slice_predicates(spark: SparkSession, sf: str) -> DataFrame:
+    return points(spark, sf).groupBy("zone", (F.col("id") % 5).alias("owner")).agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("z") <= 3).alias("any_inside"), (F.abs(F.avg("z")) <= 3).alias("mean_inside"))
+
+
+_VOX = "+ vox AS (SELECT zone, CAST(floor(z / 4) AS INT) AS z, CAST(floor(y / 10) AS INT) AS y, CAST(floor(x / 10) AS INT) AS x, nx AS value FROM pts)"
+
+
+@query(_VOX + " SELECT zone, y, x, round(avg(value), 6) AS mean, round(max(value), 6) AS hi FROM vox WHERE z BETWEEN -2 AND 2 GROUP BY 1, 2, 3")
+def slab_projection(spark: SparkSession, sf: str) -> DataFrame:
+    v = points(spark, sf).select("zone", F.floor(F.col("z") / 4).cast("int").alias("z"), F.floor(F.col("y") / 10).cast("int").alias("y"), F.floor(F.col("x") / 10).cast("int").alias("x"), F.col("nx").alias("value"))
+    mean, hi = raster.slab(v, 0, 2, "mean", Z), raster.slab(v, 0, 2, "max", Z)
+    return rounded(mean.withColumnRenamed("value", "mean").join(hi.withColumnRenamed("value", "hi"), ["zone", "y", "x"]))
+
+
+@query(f"""SELECT a.id, coalesce(arg_min(b.kind + 1, b.kind * 1000 + {D}), 0) AS label FROM pts a LEFT JOIN pts b ON b.id % 10 = 0 AND {D} <= 9 GROUP BY a.id""")
+def proximity_labels(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    refs = p.filter("id % 10 = 0").select("x", "y", "z", (F.col("kind") + 1).alias("label"), F.col("kind").alias("priority"))
+    return raster.labelled(p, refs, 9.0).select("id", "label")
+
+
+# poses
+@query(f"""+ pr AS (SELECT a.zone, a.id AS a, b.id AS b, (a.x+b.x)/2 AS x, (a.y+b.y)/2 AS y, (a.z+b.z)/2 AS z FROM k0 a JOIN k0 b ON a.zone = b.zone AND a.id < b.id WHERE {D} > 6 AND {D} < 12),
+q AS (SELECT * FROM (SELECT a.zone, a.a, a.b, a.x AS mx, a.y AS my, a.z AS mz, b.x, b.y, b.z, {D} AS d, row_number() OVER (PARTITION BY a.a, a.b ORDER BY {D}, b.id) AS k FROM pr a JOIN k1 b ON a.zone = b.zone) WHERE k = 1)
+SELECT zone, a, b, round(x + 6 * (mx - x) / d, 6) AS x, round(y + 6 * (my - y) / d, 6) AS y, round(z + 6 * (mz - z) / d, 6) AS z FROM q""")
+def pair_site_position(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_sites(spark, sf).select("zone", "a", "b", "x", "y", "z"))
+
+
+def _sites(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    pairs = pairing.candidate_pairs(of_kind(p, 0).select("id", "zone", "x", "y", "z"), Z)
+    return pairing.pair_sites(pairs, of_kind(p, 1), Z)
+
+
+@query(f"""+ s AS (SELECT a.zone, a.id AS a, b.id AS b, (a.x+b.x)/2 AS x, (a.y+b.y)/2 AS y, (a.z+b.z)/2 AS z, a.id * 100000 + b.id AS id FROM pts a JOIN pts b ON a.zone = b.zone AND a.id < b.id WHERE {D} > 3 AND {D} < 9)
+SELECT a.zone, a.id AS p, b.id AS q FROM s a JOIN s b ON a.zone = b.zone AND a.id < b.id WHERE a.a = b.a OR a.b = b.b OR a.a = b.b OR a.b = b.a OR {D} < 5""")
+def pair_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    d = spatial.pair_band(points(spark, sf).select("id", "zone", "x", "y", "z"), 3.0, 9.0, Z)
+    s = d.select("zone", F.col("a_id").alias("a"), F.col("b_id").alias("b"), *[((F.col(f"a_{k}") + F.col(f"b_{k}")) / 2).alias(k) for k in "xyz"]).withColumn("id", F.col("a") * 100000 + F.col("b"))
+    return pairing.conflicts(s, Z, 5.0)
+
+
+@query(f"""+ s AS (SELECT a.zone, a.id AS a, b.id AS b, unnest(CASE WHEN {D} < 8 THEN [1, 2, 3] ELSE [1, 2] END) AS solution FROM pts a JOIN pts b ON a.zone = b.zone AND a.id < b.id WHERE {D} > 6 AND {D} < 12)
+SELECT zone, a, b, CAST(count(*) AS BIGINT) AS n FROM s GROUP BY 1, 2, 3 HAVING count(*) >= 3""")
+def consensus_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    d = spatial.pair_band(points(spark, sf).select("id", "zone", "x", "y", "z"), 6.0, 12.0, Z)
+    s = d.select("zone", F.col("b_id").alias("a"), F.col("a_id").alias("b"), F.explode(F.when(F.col("d") < 8, F.array(F.lit(1), F.lit(2), F.lit(3))).otherwise(F.array(F.lit(1), F.lit(2)))).alias("solution"))
+    return pairing.consensus(s, Z)
+
+
+def _numbered(spark: SparkSession, sf: str) -> DataFrame:
+    d = spatial.pair_band(points(spark, sf).select("id", "zone", "x", "y", "z"), 6.0, 12.0, Z)
+    return d.select("zone", F.col("a_id").alias("a"), F.col("b_id").alias("b"), *[((F.col(f"a_{k}") + F.col(f"b_{k}")) / 2).alias(k) for k in "xyz"])
+
+
+@query()
+def greedy_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return pairing.greedy_matching(_numbered(spark, sf), Z, 5.0)
+
+
+@query()
+def exact_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return pairing.exact_matching(_numbered(spark, sf), Z, 5.0)
+
+
+@query()
+def pose_orientations(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(pairing.orientations(_sites(spark, sf)).select("zone", "a", "b", "rot", "tilt", "psi"))
+
+
+# geometry
+@query()
+def hull_area(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(geometry.hull_stats(points(spark, sf).select("zone", "x", "y", "z"), Z))
+
+
+@query(f"SELECT a.zone, round(max({D}), 6) AS span FROM pts a JOIN pts b ON a.zone = b.zone GROUP BY a.zone")
+def hull_span(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(geometry.spans(points(spark, sf).select("zone", "x", "y", "z"), Z))
+
+
+@query()
+def sphere_fit(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(geometry.sphere_fits(points(spark, sf).select("zone", "x", "y", "z"), Z))
+
+
+@query()
+def farthest_points(spark: SparkSession, sf: str) -> DataFrame:
+    return geometry.farthest_points(points(spark, sf).select("zone", "id", "x", "y", "z"), Z, 5)
+
+
+@query()
+def alpha_shape_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return geometry.alpha_edges(points(spark, sf).select("zone", "id", "x", "y", "z"), Z)
+
+
+@query()
+def dilated_area(spark: SparkSession, sf: str) -> DataFrame:
+    return geometry.dilated_areas(points(spark, sf).select("zone", "x", "y", "z"), Z)
+
+
+@query()
+def principal_frame(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(geometry.principal_frames(points(spark, sf).select("zone", "x", "y", "z"), Z))
+
+
+@query()
+def inside_hull(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    return spatial.inside_hull(of_kind(p, 1), geometry.hull_planes(of_kind(p, 0).select("zone", "x", "y", "z"), Z), Z).select("zone", "id")
+
+
+@query("""+ m AS (SELECT zone, x AS x0, y AS y0, z AS z0, lead(x, 1) OVER w AS x1, lead(y, 1) OVER w AS y1, lead(z, 1) OVER w AS z1, lead(x, 2) OVER w AS x2, lead(y, 2) OVER w AS y2, lead(z, 2) OVER w AS z2 FROM pts WINDOW w AS (PARTITION BY zone ORDER BY id)),
+e AS (SELECT zone, x1-x0 AS ux, y1-y0 AS uy, z1-z0 AS uz, x2-x0 AS vx, y2-y0 AS vy, z2-z0 AS vz FROM m WHERE x2 IS NOT NULL)
+SELECT zone, round(sum(0.5 * sqrt((uy*vz-uz*vy)*(uy*vz-uz*vy) + (uz*vx-ux*vz)*(uz*vx-ux*vz) + (ux*vy-uy*vx)*(ux*vy-uy*vx))), 6) AS area FROM e GROUP BY zone""")
+def mesh_area(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    return rounded(geometry.mesh_area(p, _faces(p), Z))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
