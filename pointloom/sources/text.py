@@ -36,7 +36,7 @@ def rows_from(manifest_df: DataFrame, first: int) -> DataFrame:
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Whole files as (file, line number, line); a file is one row, as these files are small."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
     return whole.select("file", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
 
 
