@@ -91,7 +91,7 @@ def dart_sketch(elements: list[np.ndarray], weights: list[np.ndarray], k: int) -
             slots = np.ceil(bound[doc[at]] * 2.0**nu).astype(np.int64)
             cell_of = np.repeat(at, slots)
             slot = np.arange(len(cell_of)) - np.repeat(np.cumsum(slots) - slots, slots)
-            cell = mixed(mixed(e[cell_of] + np.uint64(nu + 1) * _M3) + slot.astype(np.uint64) * _M2)
+            cell = mixed(mixed(e[cell_of] + np.uint64(((nu + 1) * int(_M3)) % (1 << 64))) + slot.astype(np.uint64) * _M2)
             count = np.searchsorted(_POISSON, _unit(cell), "right")
             hit = np.repeat(np.arange(len(cell)), count)
             j = np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count)
@@ -184,12 +184,44 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """pairs (a, b) whose sets are at least as similar as asked, compared exactly."""
+def scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b) with the exact similarity j of their sets."""
     a, b = sets.select(F.col("node").alias("a"), F.col("sh").alias("sa")), sets.select(F.col("node").alias("b"), F.col("sh").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.join(a, "a").join(b, "b")
-    return joined.filter(common >= F.lit(similarity) * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("j"))
+
+
+def open_pairs(inside: DataFrame, labels: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: pairs of a bucket in different components that may still be similar enough.
+
+    Of two members of a bucket in different components, one is outside the
+    bucket's largest component; so these meet all members. 1 - similarity is a
+    metric, so members whose similarities to a hub differ by more than 1 -
+    similarity are no pair: that is exact. Steps of the similarity to the
+    first hub are part of the join's key.
+    """
+    slack = 1.0 - similarity + 1e-9
+    placed = inside.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    counts = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
+    split = counts.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("band", "main")
+    hubs = placed.join(split, "band").select("band", "main", "node", "size", "comp", F.posexplode("hubs").alias("i", "hub"))
+    key = hubs.withColumn("a", F.least("node", "hub.node")).withColumn("b", F.greatest("node", "hub.node"))
+    met = key.join(known, ["a", "b"], "left").withColumn("j", F.when(F.col("node") == F.col("hub.node"), 1.0).otherwise(F.col("j")))
+    sims = [F.max(F.when(F.col("i") == i, F.col("j"))).alias(f"j{i}") for i in range(HUBS)]
+    open_ = met.groupBy("band", "main", "node", "size", "comp").agg(*sims).withColumn("step", F.floor(F.col("j0") / slack).cast("int"))
+    # a similarity to the first hub that was not asked (sizes too far apart) is in every step
+    every = F.sequence(F.lit(0), F.lit(int(1.0 / slack) + 1))
+    steps = F.when(F.col("step").isNull(), every).otherwise(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1))
+    open_ = staged(open_, "open")
+    one = lambda s: [F.col(c).alias(c + s) for c in ("node", "size", "comp", *[f"j{i}" for i in range(HUBS)])]
+    left = open_.filter("comp <> main").select("band", F.explode(F.when(F.col("step").isNull(), every).otherwise(F.array("step"))).alias("step"), *one("_l"))
+    right = open_.select("band", F.explode(steps).alias("step"), *one("_r"))
+    ok = (F.col("comp_l") != F.col("comp_r")) & _alike("size_l", "size_r", similarity)
+    for i in range(HUBS):
+        ok = ok & F.coalesce(F.abs(F.col(f"j{i}_l") - F.col(f"j{i}_r")) <= slack, F.lit(True))
+    joined = left.alias("l").join(right.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.step") == F.col("r.step")) & ok)
+    pairs = joined.select(F.least("node_l", "node_r").alias("a"), F.greatest("node_l", "node_r").alias("b")).distinct()
+    return pairs.join(known, ["a", "b"], "left_anti")
 
 
 def _alike(x: str, y: str, similarity: float):
@@ -210,9 +242,10 @@ def near_duplicates(
     and gives a null class_id. An empty table stays empty.
 
     Texts with equal shingle sets are one node from the start, so copies never
-    meet in pairs. Each bucket of a band links its members to HUBS hubs. Pairs
-    in buckets that still hold more than one component afterwards are all
-    compared, so a bucket loses no link, whatever its size.
+    meet in pairs. Each bucket of a band links its members to HUBS hubs. In
+    buckets that still hold more than one component afterwards, the pairs
+    across components are compared unless their similarities to the hubs rule
+    them out, so a bucket loses no link, whatever its size.
     """
     text, doc = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     slim = df.select(doc.alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
@@ -231,17 +264,12 @@ def near_duplicates(
     texts = slim.join(wanted, slim["id"].eqNullSafe(F.col("rid")) & (slim["th"] == F.col("rth"))).select("node", "text")
     sets = map_columns(texts, ["text"], "sh array<long>", _shingle_sets(counted), WordHashes, rows=2048).select("node", "sh")
     sets = staged(sets.dropDuplicates(["node"]), "sets")
-    links = staged(verified(pairs, sets, similarity), "links")
+    known = staged(scored(pairs, sets), "scored")
+    links = known.filter(F.col("j") >= similarity).select("a", "b")
     labels = components(links)
-    # what hubs did not join: all pairs across components inside a bucket
-    placed = inside.select("band", "node", "size").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    split = placed.groupBy("band").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("band")
-    open_ = staged(placed.join(split, "band"), "open")
-    left = open_.select("band", F.col("node").alias("a"), F.col("size").alias("na"), F.col("comp").alias("ca"))
-    right = open_.select("band", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("comp").alias("cb"))
-    rest = left.join(right, "band").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike("na", "nb", similarity)).select("a", "b").distinct()
-    rest = staged(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    more = staged(verified(rest, sets, similarity), "links")
+    # what hubs did not join
+    rest = staged(open_pairs(inside, labels, known, similarity), "rest")
+    more = staged(scored(rest, sets).filter(F.col("j") >= similarity).select("a", "b"), "links")
     if more.limit(1).count():
         drop_staged(labels)
         labels = components(links.union(more))
@@ -255,7 +283,7 @@ def near_duplicates(
         (F.col("first").isNull() | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")))).alias("is_first"),
     )
     out = staged(found, "near")
-    for x in (rows, nodes, buckets, inside, pairs, sets, links, open_, rest, more, by_node):
+    for x in (rows, nodes, buckets, inside, pairs, sets, known, rest, more, by_node):
         drop_staged(x)
     return out
 
