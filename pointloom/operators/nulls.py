@@ -128,3 +128,77 @@ def mann_whitney(df: DataFrame, by: Sequence[str], group: str, value: str) -> Da
     var = F.col("n1") * F.col("n2") / 12.0 * (n + 1 - F.col("_tie") / (n * (n - 1)))
     z = (u - F.col("n1") * F.col("n2") / 2.0) / F.sqrt(var)
     return s.select(*by, "n1", "n2", u.alias("u"), z.alias("z"), two_sided_p(z).alias("p"))
+
+
+# sequential null models: one group is one zone and replicate, seeded by its numbers
+def _seeded(*parts: int):
+    import numpy as np
+
+    return np.random.default_rng([int(p) & 0xFFFFFFFF for p in parts])
+
+
+def segregated_labels(points: DataFrame, replicates: int, first: DataFrame, key: str = "zone", seed: int = 0, id_col: str = "id") -> DataFrame:
+    """key, rep, id, is_first: one kind, chosen by a coin, is a cluster grown from a random point by its nearest neighbours.
+
+    The next point is the one nearest to any in the cluster, ties to the least
+    id; the cluster has as many points as its kind. first: key, n1. Points of
+    a zone are its particles, a few thousand at most.
+    """
+    import numpy as np
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(id_col).reset_index(drop=True)
+        x, n, rep = pdf[["x", "y", "z"]].to_numpy(float), len(pdf), int(pdf["rep"].iloc[0])
+        n1 = min(n, int(pdf["n1"].iloc[0]))
+        rng = _seeded(seed, rep, int(pdf[id_col].iloc[0]), n)
+        first_compact, at = bool(rng.integers(2)), int(rng.integers(n))
+        inside, d = np.zeros(n, bool), np.full(n, np.inf)
+        for _ in range(n1 if first_compact else n - n1):
+            inside[at] = True
+            d = np.minimum(d, ((x - x[at]) ** 2).sum(1))
+            at = int(np.argmin(np.where(inside, np.inf, d)))
+        return pd.DataFrame({key: pdf[key], "rep": rep, "id": pdf[id_col], "is_first": inside if first_compact else ~inside})
+
+    pool = points.select(key, id_col, "x", "y", "z").join(first, key).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    kind = dict(points.dtypes)[key]
+    return pool.groupBy(key, "rep").applyInPandas(run, f"{key} {kind}, rep int, id long, is_first boolean")
+
+
+def shifted_sites(sites: DataFrame, surface: DataFrame, replicates: int, step: float, key: str = "zone", seed: int = 0, reach: float = 30.0, snap_limit: float = 5.0, least: float = 5.0, tries: int = 40, id_col: str = "id") -> DataFrame:
+    """key, id, rep, x, y, z: sites moved by `step` along the surface's tangent plane and snapped to it.
+
+    The plane comes from surface points within reach (twice that with fewer
+    than five). A move is taken if it snaps by no more than snap_limit and
+    ends at least `least` away; a site without such a move in `tries` is
+    absent. Only the neighbourhood of a site reaches its task.
+    """
+    import numpy as np
+    import pandas as pd
+
+    near = within(sites, surface, max(2 * reach, step + snap_limit), [key])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(f"b_{id_col}")
+        p = pdf[["a_x", "a_y", "a_z"]].iloc[0].to_numpy(float)
+        s = pdf[["b_x", "b_y", "b_z"]].to_numpy(float)
+        gap = np.linalg.norm(s - p, axis=1)
+        local = s[gap <= reach] if (gap <= reach).sum() >= 5 else s[gap <= 2 * reach]
+        rows = []
+        if len(local) >= 3:
+            axes = np.linalg.svd(local - local.mean(0), full_matrices=False)[2]
+            for rep in range(replicates):
+                rng = _seeded(seed, rep, int(pdf[f"a_{id_col}"].iloc[0]))
+                for _ in range(tries):
+                    t = rng.uniform(0, 2 * np.pi)
+                    to = p + step * (np.cos(t) * axes[0] + np.sin(t) * axes[1])
+                    d = np.linalg.norm(s - to, axis=1)
+                    i = int(np.argmin(d))
+                    if d[i] <= snap_limit and np.linalg.norm(s[i] - p) >= least:
+                        rows.append((pdf[key].iloc[0], int(pdf[f"a_{id_col}"].iloc[0]), rep, *map(float, s[i])))
+                        break
+        return pd.DataFrame(rows, columns=[key, "id", "rep", "x", "y", "z"])
+
+    kind = dict(sites.dtypes)[key]
+    slim = near.select(key, f"a_{id_col}", "a_x", "a_y", "a_z", f"b_{id_col}", "b_x", "b_y", "b_z")
+    return slim.groupBy(key, f"a_{id_col}").applyInPandas(run, f"{key} {kind}, id long, rep int, x double, y double, z double")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import names, numeric
 from .operators import clusters, curves, geometry, nulls, pairing, raster, ripley, spatial
+from .plans import analyses
 from .sinks import tables as sinks
 from .tables import PTS_SQL, D, of_kind, points, spheres, table
 
@@ -715,6 +716,62 @@ def mesh_area(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(geometry.mesh_area(p, _faces(p), Z))
 
 
+# whole analyses
+@query()
+def vesicle_table(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    cloud = of_kind(p, 0).select("zone", (F.col("id") % 5).alias("segment"), "x", "y", "z")
+    v = analyses.vesicles(cloud, of_kind(p, 1).select("zone", "id", "x", "y", "z"), Z, "segment", 200.0)
+    return rounded(analyses.vesicle_summary(v, Z))
+
+
+@query()
+def two_kinds_test(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    return rounded(analyses.two_kinds(p, ripley.volumes(p, Z), 5.0, 30.0, 20, least=10)[1])
+
+
+@query()
+def segregated_labels(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    return nulls.segregated_labels(p, 5, of_kind(p, 0).groupBy("zone").agg(F.count(F.lit(1)).alias("n1")))
+
+
+@query()
+def shifted_sites(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    return rounded(nulls.shifted_sites(p.filter("id % 20 = 0"), p, 5, 10.0, snap_limit=10.0))
+
+
+@query(f"""+ c AS (SELECT zone, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM pts GROUP BY zone),
+h AS (SELECT a.zone, CAST(floor({D} / 2.0) AS INT) + 1 AS bin, count(*) AS n FROM c a JOIN k1 b ON a.zone = b.zone WHERE {D} <= 40 GROUP BY 1, 2),
+g AS (SELECT zone, bin, bin * 2.0 AS r FROM c, range(1, 21) t(bin)), n2 AS (SELECT zone, count(*) AS n2 FROM k1 GROUP BY 1 HAVING count(*) >= 3),
+k AS (SELECT g.zone, g.bin, g.r, volume / n2 * sum(coalesce(n, 0)) OVER (PARTITION BY g.zone ORDER BY g.bin) AS k FROM g JOIN n2 USING (zone) JOIN vol USING (zone) LEFT JOIN h ON h.zone = g.zone AND h.bin = g.bin),
+q AS (SELECT *, lag(k, 5) OVER (PARTITION BY zone ORDER BY bin) AS k5 FROM k)
+SELECT zone, CAST(r AS DOUBLE) AS r, round(k, 4) AS k, round(CASE WHEN bin % 5 = 0 THEN (k - coalesce(k5, 0)) / ((4.0/3.0*pi()) * (r*r*r - (r-10)*(r-10)*(r-10))) END, 6) AS g FROM q""")
+def around_centre(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    c = p.groupBy("zone").agg(*[F.avg(k).alias(k) for k in "xyz"])
+    out = analyses.around_centre(of_kind(p, 1), c, ripley.volumes(p, Z), STEP, R_MAX, 5, Z)
+    return out.select("zone", "r", F.round("k", 4).alias("k"), F.round("g", 6).alias("g"))
+
+
+@query("""SELECT o_orderstatus, CAST(count(*) AS BIGINT) AS n, round(avg(abs(x - y)), 4) AS mae, round(avg(x - y), 4) AS bias, round(corr(x, y), 6) AS r, round(stddev_pop(y), 4) AS sd_y
+ FROM (SELECT o_orderstatus, o_totalprice AS x, o_totalprice * (1 - o_custkey % 7 / 100.0::DOUBLE) AS y FROM orders) GROUP BY 1""")
+def method_comparison(spark: SparkSession, sf: str) -> DataFrame:
+    x = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").alias("v"), "o_custkey")
+    y = x.withColumn("v", F.col("v") * (1 - F.col("o_custkey") % 7 / 100.0))
+    out = analyses.compared(x, y, ["o_orderkey"], "v", ["o_orderstatus"])
+    return out.select("o_orderstatus", "n", F.round("mae", 4).alias("mae"), F.round("bias", 4).alias("bias"), F.round("r", 6).alias("r"), F.round("sd_y", 4).alias("sd_y"))
+
+
+@query(_BINS + " SELECT DISTINCT zone, 'g12' AS family, CAST(4 AS BIGINT) AS shells FROM kk")
+def curve_families(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    f = analyses.families(of_kind(p, 0), of_kind(p, 1), ripley.volumes(p, Z), STEP, R_MAX, Z, 5)
+    return f.filter("family = 'g12'").groupBy("zone", "family").agg(F.count(F.lit(1)).alias("shells"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
