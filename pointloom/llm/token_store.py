@@ -224,7 +224,10 @@ def write(df: DataFrame, tokenizer: str, path: str, end_id: int | None, id_col:
                         writer.add(doc, x)
                         docs, ids = docs + 1, ids + len(x)
             writer.close()
-        where.move(temp, f"{base}/{name}")
+        if where.get_file_info(f"{base}/{name}").type == pafs.FileType.NotFound:
+            where.move(temp, f"{base}/{name}")
+        else:  # another attempt of this task has left the same part
+            where.delete_file(temp)
         yield pa.RecordBatch.from_pydict({"part": [name], "docs": [docs], "ids": [ids]})
 
     done = dealt.mapInArrow(run, "part string, docs long, ids long").collect()  # one row for each part
