@@ -173,6 +173,12 @@ def test_article():
     assert [t for _, t in html_text.blocks(PAGE)] == ["Head & line", "One two", "Three é x < y"]
 
 
+def test_parts_by_name():
+    text = lambda p: [t for _, t in html_text.blocks(p)]
+    assert text('<article class="post has-sidebar"><div class="entry-header"><h1>H</h1></div>a<br>b<hr>c<article class="comment">no</article></article>') == ["H", "a b", "c"]
+    assert text('<div class="siteFooter">x</div><div class="side-by-side">y</div><div id="page_comments">z</div>') == ["y"]
+
+
 def test_pages(spark):
     boiler = "this site belongs to the league of examples and keeps all rights for itself"
     rows = [(i, "http://a.org/x", f"<div>{boiler}</div><div>unique words of page number {i} which nobody else has {i} {i}</div>") for i in range(6)]
