@@ -147,45 +147,38 @@ def ranked(df: DataFrame, order: list[Column], name: str, sums: dict[str, str] |
 
 
 class _Known(dict):
-    """A dict that notes the keys it lacks."""
+    """A dict that learns the keys it lacks, from an older one if that has them."""
 
-    def __init__(self):
+    def __init__(self, learn: Callable[[str], bytes], older: dict[str, bytes]):
         super().__init__()
-        self.lacking: list[str] = []
+        self.learn, self.older = learn, older
 
-    def __missing__(self, key: str) -> None:
-        self.lacking.append(key)
+    def __missing__(self, key: str) -> bytes:
+        b = self.older.get(key)
+        if b is None:
+            b = self.learn(key)
+        self[key] = b
+        return b
 
 
 class WordMemo:
     """Encoded words by text, in two generations: when the newer is full, the older is dropped.
 
-    learn(words) gives the bytes of each. Words in use move to the newer
-    generation, so frequent words stay, and memory has a bound.
+    Words in use move to the newer generation, so frequent words stay, and
+    memory has a bound.
     """
 
-    def __init__(self, learn: Callable[[list[str]], list[bytes]], most: int = 400_000):
+    def __init__(self, learn: Callable[[str], bytes], most: int = 400_000):
         self.learn, self.most = learn, most
-        self.new, self.old = _Known(), _Known()
+        self.new = _Known(learn, {})
+
+    def turn(self) -> None:
+        if len(self.new) > self.most:
+            self.new.older = {}
+            self.new = _Known(self.learn, self.new)
 
     def joined(self, texts: list[list[str]]) -> list[bytes]:
         """The joined bytes of each text's words."""
-        if len(self.new) > self.most:
-            self.old, self.new = self.new, _Known()
-        get, lacking = self.new.__getitem__, self.new.lacking
-        found, short = [], []
-        for i, ws in enumerate(texts):
-            before = len(lacking)
-            found.append(list(map(get, ws)))
-            if len(lacking) > before:
-                short.append(i)
-        if short:
-            missing = set(lacking)
-            lacking.clear()
-            old = self.old
-            unknown = [w for w in missing if w not in old]
-            self.new.update((w, old[w]) for w in missing if w in old)
-            self.new.update(zip(unknown, self.learn(unknown), strict=True))
-            for i in short:
-                found[i] = list(map(get, texts[i]))
-        return [b"".join(ps) for ps in found]
+        self.turn()
+        get = self.new.__getitem__
+        return [b"".join(map(get, ws)) for ws in texts]

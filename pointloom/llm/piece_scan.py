@@ -63,15 +63,15 @@ class Pieces:
         """Ids of stretches between cuts; spaces are already U+2581."""
         return [np.frombuffer(b, "<i4") for b in self.memo.joined([self.cut.findall(t) for t in prepared])]
 
-    def _learn(self, words: list[str]) -> list[bytes]:
+    def _learn(self, word: str) -> bytes:
         # the library adds one space in front; where there is none, a line feed keeps it apart
-        asked = [w[1:].replace(SPACE, " ") if w[0] == SPACE else "\n" + w for w in words]
-        skip, out = len(self.feed) // 4 + 1, []
-        for w, ids in zip(words, self.sp.encode(asked, num_threads=1), strict=True):
-            if w == SPACE:
-                ids = [self.ids[SPACE]]
-            out.append(self.feed if w == "\n" else np.array(ids if w[0] == SPACE else ids[skip:], "<i4").tobytes())
-        return out
+        if word == "\n":
+            return self.feed
+        if word == SPACE:
+            return np.array([self.ids[SPACE]], "<i4").tobytes()
+        if word[0] == SPACE:
+            return np.array(self.sp.encode(word[1:].replace(SPACE, " ")), "<i4").tobytes()
+        return np.array(self.sp.encode("\n" + word)[len(self.feed) // 4 + 1 :], "<i4").tobytes()
 
     def words(self, prepared: str) -> np.ndarray:
         return self.many([prepared])[0]

@@ -11,7 +11,6 @@ vocabulary allows, else four, little-endian.
 from __future__ import annotations
 
 import io
-import json
 import os
 import struct
 import zlib
@@ -123,10 +122,10 @@ class WordEncoder:
     """Encodes with the tokenizers library, each distinct word once while it is remembered.
 
     The text is cut at spaces and line feeds, which the tokenizer's own
-    splitting never spans, so the ids are those of the whole text. A word that
-    ends in a Latin letter and marks such as a comma is two pieces for the
-    tokenizer, so both are remembered apart; it lower-cases, so ASCII words
-    are remembered in lower case.
+    splitting never spans, so the ids are those of the whole text. Where the
+    tokenizer lower-cases and takes letters and marks apart (tried on some
+    words at the start), words of Latin letters go to the library's model
+    alone, and marks at their end are remembered apart.
     """
 
     def __init__(self, path: str, end_id: int | None):
@@ -135,39 +134,43 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = False
+        self.model = self.tok.model
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype(f"<u{self.width}")
-        self.words, self.cores = WordMemo(self._whole), WordMemo(self._encode)
-        self.lowers = any("Lowercase" in str(n.get("type")) for n in _steps(self.tok, "normalizer")) and self._parts_marks()
+        self.bytes_as_chars = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+        rest = [b for b in range(256) if b not in self.bytes_as_chars]
+        self.bytes_as_chars |= {b: chr(256 + i) for i, b in enumerate(rest)}
+        tries = ("the", "Zzqxk", "für", "École", "niño")
+        plain = all(self._letters(w) == self._encode(w) and self._letters(w) + self._encode(m) == self._encode(w + m) for w in tries for m in MARKS)
+        self.cores = WordMemo(self._core if plain else self._encode)
+        self.words = WordMemo(self._word if plain else self._encode)
         self.tail = b"" if end_id is None else np.array([end_id], self.kind).tobytes()
 
-    def _parts_marks(self) -> bool:
-        """Whether words and marks are encoded apart, tried on some."""
-        apart = lambda *w: b"".join(self._encode(list(w)))
-        return all(apart(a + b) == apart(a, b) for a in ("the", "für", "a") for b in MARKS) and apart("The") == apart("the")
+    def _encode(self, word: str) -> bytes:
+        return np.array(self.tok.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _encode(self, words: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(words), 8192):
-            got = self.tok.encode_batch_fast(words[at : at + 8192], add_special_tokens=False)
-            out += [np.array(e.ids, self.kind).tobytes() for e in got]
-        return out
-
-    def _whole(self, words: list[str]) -> list[bytes]:
-        if not self.lowers:
-            return self._encode(words)
-        return self.cores.joined([self._split(w) for w in words])
-
-    @staticmethod
-    def _split(word: str) -> list[str]:
+    def _letters(self, word: str) -> bytes:
+        """A word of letters below U+0180 by the model alone."""
+        w = word.lower()
+        if not w.isascii():
+            w = w.encode().decode("latin-1").translate(self.bytes_as_chars)
+        return np.array([t.id for t in self.model.tokenize(w)], self.kind).tobytes()
+
+    def _core(self, word: str) -> bytes:
+        # the capital dotted I is the one letter there whose lower case is two characters
+        return self._letters(word) if word.isalpha() and max(word) < "\u0180" and "\u0130" not in word else self._encode(word)
+
+    def _word(self, word: str) -> bytes:
         core = word.rstrip(MARKS)
         if not core:
-            return [word]
-        last = core[-1]
-        parts = [core, word[len(core) :]] if len(core) < len(word) and last.isalpha() and last < "\u0250" else [word]
-        return [parts[0].lower() if parts[0].isascii() else parts[0], *parts[1:]]
+            return self._encode(word)
+        get = self.cores.new.__getitem__
+        if len(core) < len(word) and core[-1].isalpha() and core[-1] < "\u0180" and core[-1] != "\u0130":
+            return get(core.lower() if core.isascii() else core) + get(word[len(core) :])
+        return get(word.lower() if word.isascii() else word)
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
+        self.cores.turn()
         coded = self.words.joined([t.replace("\n", " ").split(" ") for t in texts])
         return [np.frombuffer(b + self.tail, self.kind) for b in coded]
 
@@ -184,11 +187,6 @@ def coder(path: str, end_id: int | None) -> WordEncoder:
     return _CODERS[(path, end_id)]
 
 
-def _steps(tok, part: str) -> list[dict]:
-    step = json.loads(tok.to_str()).get(part) or {}
-    return step.get("normalizers", [step])
-
-
 def _open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
