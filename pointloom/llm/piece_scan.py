@@ -272,6 +272,11 @@ def scan(pieces: Pieces, text: str, size: int) -> np.ndarray:
     return np.concatenate([c.trace(states[i], states[i + 1]) for i, c in enumerate(chunks)])
 
 
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*ids, np.zeros(0, "<i4")])))
+
+
 _CHUNK = "k1 long, k2 long, n int, context string, low int, high int, first boolean, last boolean"
 
 
@@ -288,7 +293,7 @@ def encode(df: DataFrame, model: str, text_col: str = "text", size: int = CHUNK)
 
     def small(p: Pieces, column: pa.Array) -> list:
         ids = p.many([prepare(t) if t else "" for t in column.to_pylist()])
-        return [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32), pa.array(np.concatenate([*ids, np.zeros(0, "<i4")]))), [1] * len(ids)]
+        return [_lists(ids), [1] * len(ids)]
 
     def setup() -> Pieces:
         return pieces_of(model)
@@ -316,7 +321,7 @@ def encode(df: DataFrame, model: str, text_col: str = "text", size: int = CHUNK)
         got = [Chunk(p, *r).matrix() for r in zip(*[c.to_pylist() for c in columns], strict=True)]
         return [[[i for i, _ in m] for m in got], [[j for _, j in m] for m in got]]
 
-    small_rows = map_columns(chunks, inputs, "a array<int>, b array<int>", matrices, setup).select("k1", "k2", "n", "a", "b")
+    small_rows = map_columns(chunks, inputs, "a array<int>, b array<int>", matrices, setup, rows=64).select("k1", "k2", "n", "a", "b")
 
     def combine(pdf):
         import pandas as pd
@@ -329,9 +334,9 @@ def encode(df: DataFrame, model: str, text_col: str = "text", size: int = CHUNK)
 
     def trace(p: Pieces, *columns: pa.Array) -> list:
         *rest, i, j = [c.to_pylist() for c in columns]
-        return [[Chunk(p, *r).trace(a, b).tolist() for *r, a, b in zip(*rest, i, j, strict=True)]]
+        return [_lists([Chunk(p, *r).trace(a, b) for *r, a, b in zip(*rest, i, j, strict=True)])]
 
-    traced = map_columns(chunks.join(states, ["k1", "k2", "n"]), [*inputs, "i", "j"], "part array<int>", trace, setup).select("k1", "k2", "n", "part")
+    traced = map_columns(chunks.join(states, ["k1", "k2", "n"]), [*inputs, "i", "j"], "part array<int>", trace, setup, rows=64).select("k1", "k2", "n", "part")
     whole = traced.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("n", "part"))).alias("parts"))  # one text
     whole = whole.select("k1", "k2", F.flatten(F.transform("parts", lambda x: x["part"])).alias("ids"), F.size("parts").alias("n_chunks"))
     large = keyed.join(whole, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2"))).select(*[F.col(f"`{c}`") for c in base.columns], "ids", "n_chunks")
@@ -354,7 +359,7 @@ def with_digest(df: DataFrame, model: str, text_col: str = "text") -> DataFrame:
             same.append(d == (t or b"").decode().replace(SPACE, " "))
         return [[len(x) for x in raw], crc, same]
 
-    return map_columns(df, [text_col, "ids"], "n_tokens long, ids_crc32 long, round_trip boolean", run, lambda: pieces_of(model), rows=512).drop("ids")
+    return map_columns(df, [text_col, "ids"], "n_tokens long, ids_crc32 long, round_trip boolean", run, lambda: pieces_of(model), rows=128).drop("ids")
 
 
 def decode(p: Pieces, ids: list[np.ndarray]) -> list[str]:
