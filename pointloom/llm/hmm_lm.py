@@ -8,7 +8,7 @@ tokens), so state tables stay bounded while the counts cover the vocabulary:
 
     log p(text) = log p_HMM(classes) + sum of log((c + 1) / D(class))
 
-Baum-Welch counts are summed over partitions by class. The scaled forward
+Every Baum-Welch step sums its counts over the partitions of all training texts. The scaled forward
 recursion gives log p_HMM over the whole text.
 """
 
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import as_bytes, drop_staged, map_columns, staged
 
 HEAD, TAILS, STATES = 4096, 256, 4
-#: Steps over a bounded draw of texts, then over all of them.
-WARM_TEXTS, WARM_STEPS, FULL_STEPS, SEGMENT = 2000, 12, 2, 256
+#: Baum-Welch steps, each over all training texts in segments; about as many tokens are held at a time.
+STEPS, SEGMENT, HELD = 14, 256, 500_000
 END = b"\n"  # no word has it
 
 
@@ -140,31 +140,28 @@ def expected(p: Params, seqs: list[np.ndarray], first: np.ndarray):
     """Baum-Welch counts over segments: starts, later starts, moves, emissions and the log likelihood."""
     order, flat, starts, active = _packed(seqs)
     first = first[order]
-    alphas, scaled, log = [], [], 0.0
-    a = np.where(first[:, None], p.start, p.later)
+    at = np.concatenate([[0], np.cumsum(active)])
+    step = [slice(i, j) for i, j in zip(at, at[1:])]
+    obs = np.concatenate([flat[starts[:n] + t] for t, n in enumerate(active)])
+    scaled, alphas, c = np.ascontiguousarray(p.emit.T)[:, obs], np.empty((STATES, len(obs))), np.empty(len(obs))
+    a = np.where(first, p.start[:, None], p.later[:, None])
     for t, n in enumerate(active):
-        e = p.emit[flat[starts[:n] + t]]
-        a = (a[:n] @ p.move if t else a) * e
-        c = a.sum(1, keepdims=True)
-        a = a / c
-        log += float(np.log(c).sum())
-        alphas.append(a)
-        scaled.append(e / c)
-    moves, gammas = np.zeros((STATES, STATES)), [None] * len(active)
-    beta = np.ones((active[-1], STATES))
-    gammas[-1] = alphas[-1]
+        a = np.multiply(p.move.T @ a[:, :n] if t else a, scaled[:, step[t]], out=alphas[:, step[t]])
+        c[step[t]] = a.sum(0)
+        a /= c[step[t]]
+    scaled /= c
+    moves, beta = np.zeros((STATES, STATES)), np.ones((STATES, active[-1]))
     for t in range(len(active) - 2, -1, -1):
         n = active[t + 1]
-        be = scaled[t + 1] * beta
-        moves += alphas[t][:n].T @ be
-        beta = np.ones((active[t], STATES))
-        beta[:n] = be @ p.move.T
-        gammas[t] = alphas[t] * beta
-    obs = np.concatenate([flat[starts[:n] + t] for t, n in enumerate(active)])
-    g = np.concatenate(gammas)
-    emit = np.stack([np.bincount(obs, g[:, k], CLASSES) for k in range(STATES)], 1)
-    g0 = gammas[0]
-    return g0[first].sum(0), g0[~first].sum(0), moves * p.move, emit, log
+        be = scaled[:, step[t + 1]] * beta
+        moves += alphas[:, step[t]][:, :n] @ be.T
+        alphas[:, step[t + 1]] *= beta
+        beta = np.ones((STATES, active[t]))
+        beta[:, :n] = p.move @ be
+    alphas[:, step[0]] *= beta
+    emit = np.stack([np.bincount(obs, g, CLASSES) for g in alphas], 1)
+    g0 = alphas[:, step[0]]
+    return g0[:, first].sum(1), g0[:, ~first].sum(1), moves * p.move, emit, float(np.log(c).sum())
 
 
 def updated(starts: np.ndarray, later: np.ndarray, moves: np.ndarray, emit: np.ndarray, freq: np.ndarray) -> Params:
@@ -193,10 +190,13 @@ def _full_step(p: Params):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = None
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                segs, first = segments(_as_codes(whole.column(0).slice(at, 1024)))
-                got = expected(p, segs, first)[:4]
-                sums = got if sums is None else tuple(x + y for x, y in zip(sums, got, strict=True))
+            segs, first = segments(_as_codes(whole.column(0)))
+            part = np.cumsum([len(s) for s in segs]) // HELD
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(segs)]
+            for i, j in zip(cuts, cuts[1:]):
+                if i < j:
+                    got = expected(p, segs[i:j], first[i:j])[:4]
+                    sums = got if sums is None else tuple(x + y for x, y in zip(sums, got, strict=True))
         if sums is not None:
             v = np.concatenate([sums[3], sums[0][None], sums[1][None], sums[2]])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(v)), pa.int32()), *[pa.array(v[:, k]) for k in range(STATES)]], names=["row", *[f"v{k}" for k in range(STATES)]])
@@ -249,14 +249,7 @@ def fit(docs: DataFrame, text_col: str, counts: DataFrame) -> Model:
     seqs = staged(map_columns(docs.select(F.col(text_col).alias("text")), ["text"], "seq binary", encode, lambda: Codes(shared.value)).select("seq"), "classes")
     p = first_params(freq)
     if end_count:
-        draw = min(1.0, WARM_TEXTS / end_count)
-        warm = seqs.filter(F.shiftrightunsigned(F.xxhash64("seq"), 11) <= F.lit(int(draw * ((1 << 53) - 1)))).limit(2 * WARM_TEXTS).toPandas()["seq"]
-        drawn = [np.frombuffer(s, "<u2") for s in sorted(warm)]
-        if drawn:
-            segs, first = segments(drawn)
-            for _ in range(WARM_STEPS):
-                p = updated(*expected(p, segs, first)[:4], freq)
-        for _ in range(FULL_STEPS):
+        for _ in range(STEPS):
             sums = seqs.mapInArrow(_full_step(p), "row int, " + ", ".join(f"v{k} double" for k in range(STATES)))
             got = sums.groupBy("row").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(STATES)]).orderBy("row").toPandas()  # CLASSES + STATES + 2 rows
             v = got[[f"v{k}" for k in range(STATES)]].to_numpy()

@@ -341,6 +341,20 @@ def test_scores(spark, odd, none):
     assert hmm_lm.score(none, F.lit(False)).count() == 0
 
 
+def test_every_step_sees_all_texts(spark):
+    rng = np.random.default_rng(7)
+    texts = ["one text that a third of the rows copy"] * 2000 + [" ".join(f"w{k}" for k in rng.integers(0, 40, 6) + 40 * (i % 3)) for i in range(4000)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = hmm_lm.fit(docs, "text", hmm_lm.token_counts(docs, "text"))
+    freq = 10**model.log_d / (10**model.log_d).sum()
+    codes = [np.array([model.head[hmm_lm.hash_of(w)] for w in t.encode().split()] + [hmm_lm.END_CLASS]) for t in texts]
+    p = hmm_lm.first_params(freq)
+    for _ in range(14):
+        p = hmm_lm.updated(*hmm_lm.expected(p, *hmm_lm.segments(codes))[:4], freq)
+    for name in ("start", "later", "move", "emit"):
+        assert getattr(model.params, name) == pytest.approx(getattr(p, name), rel=1e-6, abs=1e-12)
+
+
 # 9
 def test_cascade_is_exact(spark):
     keys = spark.range(20000).select(F.concat(F.lit("h"), "id").alias("key"), (F.col("id") % 7 == 0).alias("listed"))
