@@ -7,6 +7,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF, same_rows
 from hypothesis import given, settings
@@ -193,6 +194,27 @@ def test_pages(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_open_pages_keep_sentences_and_mirrors(spark):
+    boiler = "all rights of this site are held by the league of examples until further notice is given"
+    own = [" ".join(f"word{k}" for k in np.random.default_rng(i).integers(0, 10**6, 30)) for i in range(5)]
+    sentence = [f"{w} at the end of the long day {w[::-1]}" for w in own]  # seven tokens that recur inside sentences
+    text = [f"{s}\n\n{boiler} {w}" for s, w in zip(sentence, own, strict=True)]  # a repeat that covers a part of a block
+    page = [f"<div>{s}</div><p>{boiler} {w}</p><p>{boiler}</p>" for s, w in zip(sentence, own, strict=True)]
+    rows = [(i, f"http://h.org/{i}", p) for i, p in enumerate(page)]
+    rows += [(10 + k, f"http://h.org/mirror/{k}", page[0]) for k in range(4)] + [(20 + k, f"http://m.org/{k}", page[1]) for k in range(4)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert [got[i] for i in range(5)] == text and all(got[10 + k] == text[0] for k in range(4))
+    assert all(got[20 + k] == f"{text[1]}\n\n{boiler}" for k in range(4))  # one text on its host, though four pages
+
+
+def test_intervals_count_distinct_pages():
+    words = " ".join(f"w{k}" for k in range(html_text.RUN))
+    batch = pa.RecordBatch.from_pydict({"key": pa.array([5, 5, 7, 8, 9, 1], pa.int64()), "host": ["a"] * 5 + ["b"], "open": [[words, words]] * 6})
+    (out,) = html_text._intervals(iter([batch]))
+    rows = [(r["host"], r["page"]) for r in out.to_pylist()]
+    assert sorted(rows) == [("a", 5), ("a", 7), ("a", 8), ("b", 1)] and len({r["h"] for r in out.to_pylist()}) == 1
+
+
 def test_suffix_intervals_as_brute_force():
     rng = np.random.default_rng(2)
     for _ in range(20):
