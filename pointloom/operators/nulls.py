@@ -26,18 +26,81 @@ def permuted_labels(points: DataFrame, replicates: int, keys: Sequence[str], fir
     return reps.withColumn("_o", F.row_number().over(w)).join(first, list(keys)).select(*keys, "rep", id_col, (F.col("_o") <= F.col("n1")).alias("is_first"))
 
 
+#: First points and replicates that one product of permuted_counts holds.
+CHUNK, BLOCK = 512, 256
+
+
+def _packed_labels(batches):
+    """The replicates (from -1) in which a point is first, and those in which it is second, as bits."""
+    import numpy as np
+    import pyarrow as pa
+
+    def bits(reps: list) -> bytes:
+        at = np.asarray(reps, int) + 1
+        out = np.zeros(at.max(initial=-1) + 1, bool)
+        out[at] = True
+        return np.packbits(out).tobytes()
+
+    for b in batches:
+        cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+        for n in ("ones", "twos"):
+            cols[n] = pa.array([bits(x) for x in cols[n].to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_pydict(cols)
+
+
 def permuted_counts(points: DataFrame, labels: DataFrame, step: float, r_max: float, keys: Sequence[str]) -> DataFrame:
     """keys, rep, bin, n12: ordered pairs from the first kind to the second in each replicate, by distance bin.
 
-    Distances are found once and binned to small integers before they meet
-    the labels.
+    Distances are found once and binned to small integers. The pairs of CHUNK
+    first points meet the bits of their keys' labels in one task, where the
+    counts of all replicates are products of matrices; no row is made for a
+    pair in a replicate. Replicates are numbered from -1 or more.
     """
+    import numpy as np
+    import pandas as pd
+
+    keys = list(keys)
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = within(points, points, r_max, keys).filter(F.col("a_id") != F.col("b_id"))
     pairs = d.select(*keys, F.col("a_id").alias("a"), F.col("b_id").alias("b"), (F.floor(F.col("d") / float(step)) + 1).cast("smallint").alias("bin")).filter(F.col("bin") <= int(r_max / step + 0.5))
-    ones = labels.filter("is_first").select(*keys, "rep", F.col("id").alias("a"))
-    twos = labels.filter("not is_first").select(*keys, "rep", F.col("id").alias("b"))
-    met = pairs.join(ones, [*keys, "a"]).join(twos, [*keys, "rep", "b"])
-    return met.groupBy(*keys, "rep", "bin").agg(F.count(F.lit(1)).alias("n12"))
+    chunk = F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy("id")) - 1) / CHUNK).cast("int").alias("_chunk")
+    dealt = points.select(*keys, F.col("id").alias("a"), chunk)
+    pairs = pairs.join(dealt, [*keys, "a"]).repartition(parts, *keys, "_chunk")
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in points.select(*keys).schema]
+    listed = labels.groupBy(*keys, "id").agg(F.collect_list(F.when(F.col("is_first"), F.col("rep"))).alias("ones"), F.collect_list(F.when(~F.col("is_first"), F.col("rep"))).alias("twos"))
+    bits = listed.mapInArrow(_packed_labels, ", ".join([*kinds, "id long", "ones binary", "twos binary"]))
+    bits = bits.join(dealt.select(*keys, "_chunk").distinct(), keys)
+    # names of its own for each side, so that the sides do not share columns
+    bits = bits.select(*[F.col(c).alias(c) for c in [*keys, "_chunk", "id", "ones", "twos"]]).repartition(parts, *keys, "_chunk")
+
+    def unpacked(rows: pd.Series, width: int) -> np.ndarray:
+        flat = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in rows), np.uint8).reshape(len(rows), width)
+        return np.unpackbits(flat, axis=1)
+
+    def run(key: tuple, p: pd.DataFrame, labs: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(p) and len(labs):
+            labs = labs.set_index("id")
+            p = p[p["a"].isin(labs.index) & p["b"].isin(labs.index)]
+            a, at = np.unique(p["a"].to_numpy(), return_inverse=True)
+            b, bt = np.unique(p["b"].to_numpy(), return_inverse=True)
+            width = max(labs["ones"].map(len).max(), labs["twos"].map(len).max())
+            ones, twos = unpacked(labs.loc[a, "ones"], width), unpacked(labs.loc[b, "twos"], width)
+            bins = p["bin"].to_numpy()
+            for k in np.unique(bins):
+                has = np.zeros((len(a), len(b)), np.float32)
+                has[at[bins == k], bt[bins == k]] = 1
+                for r in range(0, ones.shape[1], BLOCK):
+                    n = (has @ twos[:, r : r + BLOCK].astype(np.float32) * ones[:, r : r + BLOCK]).sum(0, dtype=np.float64).astype(np.int64)
+                    live = np.flatnonzero(n)
+                    out.append(pd.DataFrame({"rep": live + r - 1, "bin": int(k), "n": n[live]}))
+        got = pd.concat(out) if out else pd.DataFrame({"rep": [], "bin": [], "n": []})
+        for name, value in zip(reversed(keys), reversed(key[: len(keys)]), strict=True):
+            got.insert(0, name, value)
+        return got
+
+    met = pairs.groupBy(*keys, "_chunk").cogroup(bits.groupBy(*keys, "_chunk")).applyInPandas(run, ", ".join([*kinds, "rep int", "bin smallint", "n long"]))
+    return met.groupBy(*keys, "rep", "bin").agg(F.sum("n").alias("n12"))
 
 
 def mad_test(observed: DataFrame, nulls: DataFrame, keys: Sequence[str], confidence: float = 0.99, least: int = 1000) -> DataFrame:
@@ -162,6 +225,7 @@ def segregated_labels(points: DataFrame, replicates: int, first: DataFrame, key:
 
     pool = points.select(key, id_col, "x", "y", "z").join(first, key).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     kind = dict(points.dtypes)[key]
+    pool = pool.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "rep")  # small rows, long work
     return pool.groupBy(key, "rep").applyInPandas(run, f"{key} {kind}, rep int, id long, is_first boolean")
 
 

@@ -403,11 +403,15 @@ pr AS (SELECT a.zone, a.id AS a, b.id AS b, CAST(floor({D} / 5.0) AS INT) + 1 AS
 cnt AS (SELECT pr.zone, p.rep, bin, count(*) AS n12 FROM pr JOIN lab p ON p.id = pr.a AND p.one JOIN lab q ON q.id = pr.b AND q.rep = p.rep AND NOT q.one WHERE bin <= 6 GROUP BY 1, 2, 3)"""
 
 
-def _labels(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+#: Replicates of the reference: labels and segregation for each zone, shifts for each site.
+REPLICATES, SHIFTS = 1000, 100
+
+
+def _labels(spark: SparkSession, sf: str, replicates: int = 20) -> tuple[DataFrame, DataFrame]:
     p = points(spark, sf)
     slim = p.select("id", "zone", "x", "y", "z")
     first = of_kind(p, 0).groupBy("zone").agg(F.count(F.lit(1)).alias("n1"))
-    return slim, nulls.permuted_labels(slim, 20, Z, first)
+    return slim, nulls.permuted_labels(slim, replicates, Z, first)
 
 
 @query(_PERM + " SELECT zone, CAST(rep AS INT) AS rep, bin, CAST(n12 AS BIGINT) AS n12 FROM cnt")
@@ -421,13 +425,13 @@ full_ AS (SELECT z.zone, rep.rep, g.bin, CAST(coalesce(n12, 0) AS DOUBLE) AS v F
 obs AS (SELECT z.zone, g.bin, CAST(coalesce(n12, 0) AS DOUBLE) AS v FROM (SELECT DISTINCT zone FROM pts) z, range(1, 7) g(bin) LEFT JOIN ob ON ob.zone = z.zone AND ob.bin = g.bin)"""
 
 
-def _observed_and_null(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def _observed_and_null(spark: SparkSession, sf: str, replicates: int = 20) -> tuple[DataFrame, DataFrame]:
     p = points(spark, sf)
     grid = p.select("zone").distinct().withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(6))))
     ob = ripley.binned(of_kind(p, 0), of_kind(p, 1), 5.0, 30.0, Z)
     obs = grid.join(ob, ["zone", "bin"], "left").select("zone", F.col("bin").alias("r"), F.coalesce("n", F.lit(0)).cast("double").alias("value"))
-    reps = grid.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    null = reps.join(label_perm_null(spark, sf), ["zone", "rep", "bin"], "left").select("zone", "rep", F.col("bin").alias("r"), F.coalesce("n12", F.lit(0)).cast("double").alias("value"))
+    reps = grid.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    null = reps.join(nulls.permuted_counts(*_labels(spark, sf, replicates), 5.0, 30.0, Z), ["zone", "rep", "bin"], "left").select("zone", "rep", F.col("bin").alias("r"), F.coalesce("n12", F.lit(0)).cast("double").alias("value"))
     return obs, null
 
 
@@ -446,6 +450,24 @@ def mc_pvalue(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(nulls.monte_carlo_p(obs, null, ["zone", "r"]).select("zone", "r", "p"))
 
 
+# the three above compare with SQL over 20 replicates; these run the reference's number
+@query()
+def label_perm_null_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return nulls.permuted_counts(*_labels(spark, sf, REPLICATES), 5.0, 30.0, Z)
+
+
+@query()
+def mad_test_whole(spark: SparkSession, sf: str) -> DataFrame:
+    obs, null = _observed_and_null(spark, sf, REPLICATES)
+    return rounded(nulls.mad_test(obs, null, Z).select("zone", "n_null", "t_obs", "t_crit", "p", "rejects"))
+
+
+@query()
+def mc_pvalue_whole(spark: SparkSession, sf: str) -> DataFrame:
+    obs, null = _observed_and_null(spark, sf, REPLICATES)
+    return rounded(nulls.monte_carlo_p(obs, null, ["zone", "r"]).select("zone", "r", "p"))
+
+
 @query("""SELECT l_orderkey, l_linenumber, round(CASE WHEN hi = lo THEN 0 ELSE (l_quantity - lo) / (hi - lo) END, 6) AS scaled FROM (
  SELECT *, max(l_quantity) OVER (PARTITION BY l_orderkey) AS hi, min(l_quantity) OVER (PARTITION BY l_orderkey) AS lo FROM lineitem)""")
 def minmax_by_group(spark: SparkSession, sf: str) -> DataFrame:
@@ -728,19 +750,19 @@ def vesicle_table(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def two_kinds_test(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)
-    return rounded(analyses.two_kinds(p, ripley.volumes(p, Z), 5.0, 30.0, 20, least=10)[1])
+    return rounded(analyses.two_kinds(p, ripley.volumes(p, Z), 5.0, 30.0, REPLICATES)[1])
 
 
 @query()
 def segregated_labels(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)
-    return nulls.segregated_labels(p, 5, of_kind(p, 0).groupBy("zone").agg(F.count(F.lit(1)).alias("n1")))
+    return nulls.segregated_labels(p, REPLICATES, of_kind(p, 0).groupBy("zone").agg(F.count(F.lit(1)).alias("n1")))
 
 
 @query()
 def shifted_sites(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)
-    return rounded(nulls.shifted_sites(p.filter("id % 20 = 0"), p, 5, 10.0, snap_limit=10.0))
+    return rounded(nulls.shifted_sites(p.filter("id % 20 = 0"), p, SHIFTS, 10.0, snap_limit=10.0))
 
 
 @query(f"""+ c AS (SELECT zone, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM pts GROUP BY zone),
