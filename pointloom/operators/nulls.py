@@ -253,12 +253,11 @@ def shifted_sites(sites: DataFrame, surface: DataFrame, replicates: int, step: f
             axes = np.linalg.svd(local - local.mean(0), full_matrices=False)[2]
             for rep in range(replicates):
                 rng = _seeded(seed, rep, int(pdf[f"a_{id_col}"].iloc[0]))
-                for _ in range(tries):
-                    t = rng.uniform(0, 2 * np.pi)
+                for t in rng.uniform(0, 2 * np.pi, tries):
                     to = p + step * (np.cos(t) * axes[0] + np.sin(t) * axes[1])
-                    d = np.linalg.norm(s - to, axis=1)
+                    d = ((s - to) ** 2).sum(1)
                     i = int(np.argmin(d))
-                    if d[i] <= snap_limit and np.linalg.norm(s[i] - p) >= least:
+                    if d[i] <= snap_limit**2 and gap[i] >= least:
                         rows.append((pdf[key].iloc[0], int(pdf[f"a_{id_col}"].iloc[0]), rep, *map(float, s[i])))
                         break
         return pd.DataFrame(rows, columns=[key, "id", "rep", "x", "y", "z"])

@@ -138,6 +138,23 @@ def site_distances_wide(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(wide.select("zone", "particle", F.col("0").alias("site_0"), F.col("1").alias("site_1")))
 
 
+# the two above compare with SQL over few sites; these take whole tables
+@query(f"SELECT a.zone, a.id AS site, b.id AS particle, round({D}, 6) AS d FROM k0 a JOIN k1 b ON a.zone = b.zone")
+def site_particle_distances_whole(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    out = spatial.pairs_within_keys(of_kind(p, 0), of_kind(p, 1), Z)
+    return rounded(out.select("zone", F.col("a_id").alias("site"), F.col("b_id").alias("particle"), "d"))
+
+
+@query(f"""SELECT zone, particle, round(max(CASE WHEN site = 0 THEN d END), 6) AS site_0, round(max(CASE WHEN site = 1 THEN d END), 6) AS site_1 FROM (
+ SELECT a.zone, a.id % 2 AS site, b.id AS particle, {D} AS d FROM pts a JOIN k1 b ON a.zone = b.zone) GROUP BY 1, 2""")
+def site_distances_wide_whole(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    d = spatial.pairs_within_keys(p.withColumn("site", F.col("id") % 2), of_kind(p, 1), Z)
+    wide = d.groupBy("zone", F.col("b_id").alias("particle")).pivot("a_site", [0, 1]).agg(F.max("d"))
+    return rounded(wide.select("zone", "particle", F.col("0").alias("site_0"), F.col("1").alias("site_1")))
+
+
 @query(f"""+ nn AS (SELECT * FROM (SELECT a.id, a.zone, {D} AS d, a.nx * b.nx + a.ny * b.ny + a.nz * b.nz AS dot, row_number() OVER (PARTITION BY a.id ORDER BY {D}, b.id) AS k
   FROM k0 a JOIN k1 b ON a.zone = b.zone) WHERE k = 1 AND d >= 8 AND d <= 25),
 act AS (SELECT k0.* FROM k0 JOIN nn ON nn.id = k0.id),
@@ -638,6 +655,13 @@ def proximity_labels(spark: SparkSession, sf: str) -> DataFrame:
     return raster.labelled(p, refs, 9.0).select("id", "label")
 
 
+@query(f"""SELECT a.id, coalesce(arg_min(b.kind + 1, b.kind * 1000 + {D}), 0) AS label FROM pts a LEFT JOIN pts b ON {D} <= 9 GROUP BY a.id""")
+def proximity_labels_whole(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    refs = p.select("x", "y", "z", (F.col("kind") + 1).alias("label"), F.col("kind").alias("priority"))
+    return raster.labelled(p, refs, 9.0).select("id", "label")
+
+
 # poses
 @query(f"""+ pr AS (SELECT a.zone, a.id AS a, b.id AS b, (a.x+b.x)/2 AS x, (a.y+b.y)/2 AS y, (a.z+b.z)/2 AS z FROM k0 a JOIN k0 b ON a.zone = b.zone AND a.id < b.id WHERE {D} > 6 AND {D} < 12),
 q AS (SELECT * FROM (SELECT a.zone, a.a, a.b, a.x AS mx, a.y AS my, a.z AS mz, b.x, b.y, b.z, {D} AS d, row_number() OVER (PARTITION BY a.a, a.b ORDER BY {D}, b.id) AS k FROM pr a JOIN k1 b ON a.zone = b.zone) WHERE k = 1)
@@ -762,7 +786,7 @@ def segregated_labels(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def shifted_sites(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)
-    return rounded(nulls.shifted_sites(p.filter("id % 20 = 0"), p, SHIFTS, 10.0, snap_limit=10.0))
+    return rounded(nulls.shifted_sites(p, p, SHIFTS, 10.0, snap_limit=10.0))
 
 
 @query(f"""+ c AS (SELECT zone, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM pts GROUP BY zone),
