@@ -818,6 +818,23 @@ def curve_families(spark: SparkSession, sf: str) -> DataFrame:
     return f.filter("family = 'g12'").groupBy("zone", "family").agg(F.count(F.lit(1)).alias("shells"))
 
 
+_K_OF = {"12": "k12", "21": "k21", "_combined": "(n1 * k12 + n2 * k21) / (n1 + n2)"}
+
+
+# the one above compares with SQL over one family's shells; this returns every curve
+@query(_H21 + """, q AS (SELECT g.zone, g.bin, sum(coalesce(n, 0)) OVER (PARTITION BY g.zone ORDER BY g.bin) AS c2 FROM grid g LEFT JOIN h2 ON h2.zone = g.zone AND h2.bin = g.bin),
+s AS (SELECT g.zone, g.bin, g.r, n1, n2, k AS k12, volume / (n1 * n2) * c2 AS k21 FROM kk g JOIN q ON q.zone = g.zone AND q.bin = g.bin),
+""" + "u AS (" + " UNION ALL ".join(f"SELECT zone, bin, CAST(r AS DOUBLE) AS r, '{n}' AS s, {k} AS k FROM s" for n, k in _K_OF.items()) + """),
+w AS (SELECT *, lag(k, 5) OVER (PARTITION BY zone, s ORDER BY bin) AS k5 FROM u)
+SELECT zone, 'k' || s AS family, r, round(k, 6) AS value FROM u
+UNION ALL SELECT zone, 'l' || s, r, round(""" + _L.format(k="k") + """, 6) FROM u
+UNION ALL SELECT zone, 'g' || s, r, round((k - coalesce(k5, 0)) / ((4.0/3.0*pi()) * (r*r*r - (r-10)*(r-10)*(r-10))), 6) FROM w WHERE bin % 5 = 0""")
+def curve_families_whole(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    f = analyses.families(of_kind(p, 0), of_kind(p, 1), ripley.volumes(p, Z), STEP, R_MAX, Z, 5)
+    return rounded(f.select("zone", "family", "r", "value"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
