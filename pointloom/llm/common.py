@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,6 +50,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def wrapped(df: DataFrame, keep: list[str], name: str = "_own") -> DataFrame:
+    """df with all columns but `keep` held in one struct, so that an operator's columns cannot clash with them."""
+    rest = [c for c in df.columns if c not in keep]
+    held = F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(None).cast("string")
+    return df.select(*[F.col(f"`{c}`") for c in keep if c in df.columns], held.alias(name))
+
+
+def unwrapped(df: DataFrame, like: DataFrame, keep: list[str], name: str = "_own") -> DataFrame:
+    """The columns of `like` from a wrapped table, in their order and with their own values."""
+    return df.select(*[F.col(f"`{c}`") if c in keep else F.col(name).getField(c).alias(c) for c in like.columns])
+
+
 def drop_staged(df: DataFrame) -> None:
     """Delete the files behind a staged table that nothing reads any more."""
     jvm = df.sparkSession.sparkContext._jvm
@@ -68,6 +82,23 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
+def slices(columns: list[pa.Array], rows: int, size: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of at most `rows` rows whose columns hold about `size` bytes; a run has one row at least."""
+    n = len(columns[0]) if columns else 0
+    weight = np.zeros(n, np.int64)
+    for c in columns:
+        if pa.types.is_list(c.type):
+            weight += 8 * pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        elif pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            weight += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto, at = np.cumsum(weight), 0
+    while at < n:
+        before = int(upto[at - 1]) if at else 0
+        end = min(n, at + rows, max(at + 1, int(np.searchsorted(upto, before + size, "right"))))
+        yield at, end - at
+        at = end
+
+
 def map_columns(
     df: DataFrame,
     inputs: list[str],
@@ -75,12 +106,14 @@ def map_columns(
     fn: Callable[..., list],
     setup: Callable[[], object] | None = None,
     rows: int = 4096,
+    size: int = 4 << 20,
 ) -> DataFrame:
-    """Append columns that fn makes from the input columns, one Arrow batch at a time.
+    """Append columns that fn makes from the input columns, at most `rows` rows and about `size` bytes at a time.
 
     fn gets the object that setup() made in the worker (if any) and one Arrow
     array per input column, and returns one array or list per added column.
-    Input columns named like an added one are replaced.
+    Input columns named like an added one are replaced. Spark bounds the bytes
+    of the Arrow batches themselves.
     """
     new = fields(added)
     low = {f.name.lower() for f in new}
@@ -94,8 +127,9 @@ def map_columns(
         kinds = [to_arrow_type(f.dataType) for f in new]
         state = [setup()] if setup else []
         for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                batch = whole.slice(at, rows)
+            read = [whole.column(whole.schema.get_field_index(c)) for c in inputs]
+            for at, n in slices(read, rows, size):
+                batch = whole.slice(at, n)
                 out = fn(*state, *[batch.column(batch.schema.get_field_index(c)) for c in inputs])
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(out, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in keep] + arrays, names=keep + [f.name for f in new])

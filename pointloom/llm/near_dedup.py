@@ -20,12 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, drop_staged, map_columns, staged
+from .common import as_bytes, drop_staged, map_columns, staged, unwrapped, wrapped
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 meets in no band with probability (1 - 0.8^5)^24 = 7e-5.
 BANDS, ROWS = 24, 5
 HUBS = 3
+#: Bits of a set's parity marks, in words of 64.
+MARKS = 16
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -146,17 +148,29 @@ def _signed(counted: bool):
     return run
 
 
+def parity(elements: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the elements falls on each of 64 * MARKS places, as bits of MARKS words.
+
+    Elements that two sets share cancel, so two marks differ in no more places
+    than the sets differ in elements.
+    """
+    odd = np.bincount((mixed(elements) % np.uint64(64 * MARKS)).astype(np.int64), minlength=64 * MARKS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _shingle_sets(counted: bool):
     def run(known: WordHashes, text: pa.Array) -> list:
-        sets = []
+        sets, marks = [], []
         for t in as_bytes(text):
             h = shingles(t, known)
             if counted:  # the n-th occurrence of a shingle is an element of its own: Jaccard of these sets is the weighted one
                 h = np.sort(h)
                 first = np.searchsorted(h, h)
                 h = mixed(h + (np.arange(len(h)) - first).astype(np.uint64) * _M3)
-            sets.append(np.unique(h).view(np.int64))
-        return [sets]
+            h = np.unique(h)
+            sets.append(h.view(np.int64))
+            marks.append(parity(h))
+        return [sets, marks]
 
     return run
 
@@ -191,14 +205,18 @@ def scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", (common / (F.size("sa") + F.size("sb") - common)).alias("j"))
 
 
-def open_pairs(inside: DataFrame, labels: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+def open_pairs(inside: DataFrame, labels: DataFrame, known: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b: pairs of a bucket in different components that may still be similar enough.
 
     Of two members of a bucket in different components, one is outside the
-    bucket's largest component; so these meet all members. 1 - similarity is a
-    metric, so members whose similarities to a hub differ by more than 1 -
-    similarity are no pair: that is exact. Steps of the similarity to the
-    first hub are part of the join's key.
+    bucket's largest component; so these meet all members. The join itself
+    rules out what cannot be a link, so it puts out little more than links.
+    Both rules are exact. 1 - similarity is a metric, so members whose
+    similarities to a hub differ by more than 1 - similarity are no pair;
+    steps of the similarity to the first hub are part of the join's key. And
+    sets of sizes n and m with that similarity differ in at most
+    (n + m) (1 - s) / (1 + s) elements, so their parity marks do too. For texts
+    of thousands of words the marks fill up and rule out less.
     """
     slack = 1.0 - similarity + 1e-9
     placed = inside.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -212,16 +230,20 @@ def open_pairs(inside: DataFrame, labels: DataFrame, known: DataFrame, similarit
     # a similarity to the first hub that was not asked (sizes too far apart) is in every step
     every = F.sequence(F.lit(0), F.lit(int(1.0 / slack) + 1))
     steps = F.when(F.col("step").isNull(), every).otherwise(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1))
-    open_ = staged(open_, "open")
-    one = lambda s: [F.col(c).alias(c + s) for c in ("node", "size", "comp", *[f"j{i}" for i in range(HUBS)])]
+    open_ = staged(open_.join(marks, "node"), "open")
+    one = lambda s: [F.col(c).alias(c + s) for c in ("node", "size", "comp", *[f"j{i}" for i in range(HUBS)])] + [F.col("marks")[i].alias(f"m{i}{s}") for i in range(MARKS)]
     left = open_.filter("comp <> main").select("band", F.explode(F.when(F.col("step").isNull(), every).otherwise(F.array("step"))).alias("step"), *one("_l"))
     right = open_.select("band", F.explode(steps).alias("step"), *one("_r"))
     ok = (F.col("comp_l") != F.col("comp_r")) & _alike("size_l", "size_r", similarity)
     for i in range(HUBS):
         ok = ok & F.coalesce(F.abs(F.col(f"j{i}_l") - F.col(f"j{i}_r")) <= slack, F.lit(True))
+    differ = sum((F.bit_count(F.col(f"m{i}_l").bitwiseXOR(F.col(f"m{i}_r"))) for i in range(1, MARKS)), F.bit_count(F.col("m0_l").bitwiseXOR(F.col("m0_r"))))
+    ok = ok & (differ <= (F.col("size_l") + F.col("size_r")) * F.lit((1.0 - similarity) / (1.0 + similarity)) + F.lit(1e-6))
     joined = left.alias("l").join(right.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.step") == F.col("r.step")) & ok)
     pairs = joined.select(F.least("node_l", "node_r").alias("a"), F.greatest("node_l", "node_r").alias("b")).distinct()
-    return pairs.join(known, ["a", "b"], "left_anti")
+    out = staged(pairs.join(known, ["a", "b"], "left_anti"), "rest")
+    drop_staged(open_)
+    return out
 
 
 def _alike(x: str, y: str, similarity: float):
@@ -244,8 +266,9 @@ def near_duplicates(
     Texts with equal shingle sets are one node from the start, so copies never
     meet in pairs. Each bucket of a band links its members to HUBS hubs. In
     buckets that still hold more than one component afterwards, the pairs
-    across components are compared unless their similarities to the hubs rule
-    them out, so a bucket loses no link, whatever its size.
+    across components are compared unless their similarities to the hubs or
+    their parity marks rule them out, so a bucket loses no link, whatever its
+    size. Other columns of df play no part, whatever their names.
     """
     text, doc = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
     slim = df.select(doc.alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
@@ -262,39 +285,44 @@ def near_duplicates(
     # texts of the nodes that share a bucket
     wanted = inside.select("node").distinct().join(nodes.select("node", "rep"), "node").select("node", F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth"))
     texts = slim.join(wanted, slim["id"].eqNullSafe(F.col("rid")) & (slim["th"] == F.col("rth"))).select("node", "text")
-    sets = map_columns(texts, ["text"], "sh array<long>", _shingle_sets(counted), WordHashes, rows=2048).select("node", "sh")
+    sets = map_columns(texts, ["text"], "sh array<long>, marks array<long>", _shingle_sets(counted), WordHashes, rows=2048).select("node", "sh", "marks")
     sets = staged(sets.dropDuplicates(["node"]), "sets")
     known = staged(scored(pairs, sets), "scored")
     links = known.filter(F.col("j") >= similarity).select("a", "b")
     labels = components(links)
     # what hubs did not join
-    rest = staged(open_pairs(inside, labels, known, similarity), "rest")
+    rest = open_pairs(inside, labels, known, sets.select("node", "marks"), similarity)
     more = staged(scored(rest, sets).filter(F.col("j") >= similarity).select("a", "b"), "links")
     if more.limit(1).count():
         drop_staged(labels)
         labels = components(links.union(more))
-    comps = nodes.select("node", "rep").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     sized = rows.filter("node is not null").groupBy("node").agg(F.count(F.lit(1)).alias("rows_"))
-    per = comps.join(sized, "node")
-    classes = per.groupBy("comp").agg(F.min("rep").alias("first"), F.sum("rows_").alias("class_size"))
-    by_node = staged(per.select("node", "comp").join(classes, "comp").select("node", "first", "class_size"), "classes")
+    per = nodes.select("node", "rep").join(sized, "node").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    per = staged(per.select("node", "rep", "rows_", "comp"), "members")
+    # both sides are plain tables, so that Spark can split the rows of a large component
+    classes = staged(per.groupBy("comp").agg(F.min("rep").alias("first"), F.sum("rows_").alias("class_size")), "classes")
+    by_node = staged(per.join(classes, "comp").select("node", "first", "class_size"), "by_node")
     found = rows.join(by_node, "node", "left").select(
         "id", "th", F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("first.id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
         (F.col("first").isNull() | (F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")))).alias("is_first"),
     )
     out = staged(found, "near")
-    for x in (rows, nodes, buckets, inside, pairs, sets, known, rest, more, by_node):
+    for x in (rows, nodes, buckets, inside, pairs, sets, known, rest, more, labels, per, classes, by_node):
         drop_staged(x)
     return out
 
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of df that stay, with the columns of df: one document of each class.
+    """The rows of df that stay, with the columns and values of df: one document of each class.
 
-    Rows that repeat a kept document whole (id and text) stay once.
+    Rows that repeat a kept document whole (id and text) stay once. Null texts
+    and texts without words are each alone and stay. Columns of df may have any
+    names; an empty table stays empty.
     """
     found = near_duplicates(df, id_col, text_col, similarity)
-    first = found.filter("is_first").groupBy("id", "th").agg(F.count(F.lit(1)).alias("_n")).withColumnRenamed("id", "_id").withColumnRenamed("th", "_th")
-    kept = df.join(first, df[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(df[text_col]) == F.col("_th")))
-    repeated = kept.filter("_n > 1").dropDuplicates(["_id", "_th"])
-    return kept.filter("_n = 1").union(repeated).select(*[df[c] for c in df.columns])
+    first = found.filter("is_first").groupBy("id", "th").agg(F.count(F.lit(1)).alias("n")).withColumnsRenamed({"id": "_first_id", "th": "_first_th", "n": "_first_n"})
+    keep = [id_col, text_col]
+    rows = wrapped(df, keep)
+    kept = rows.join(first, F.col(f"`{id_col}`").eqNullSafe(F.col("_first_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_first_th")))
+    repeated = kept.filter("_first_n > 1").dropDuplicates(["_first_id", "_first_th"])
+    return unwrapped(kept.filter("_first_n = 1").union(repeated), df, keep)
