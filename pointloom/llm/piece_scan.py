@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemo, as_bytes, drop_staged, map_columns, staged, without
+from .common import WordMemo, as_bytes, map_columns, staged, without
 
 SPACE = "▁"
 #: Texts of more characters are encoded in chunks of this many.
@@ -55,13 +55,13 @@ class Pieces:
             raise ValueError("this model has pieces with line feeds")
         self.cut = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         self.feed = np.array(self.sp.encode("\n")[1:], "<i4").tobytes()
-        self.memo = WordMemo(self._learn)
+        self.memo = WordMemo(self._learn, 150_000)
         self.pairs: dict[tuple[str, str], bool] = {}
 
     # whole words by the library
     def many(self, prepared: list[str]) -> list[np.ndarray]:
         """Ids of stretches between cuts; spaces are already U+2581."""
-        return [np.frombuffer(b, "<i4") for b in self.memo.joined([self.cut.findall(t) for t in prepared])]
+        return [np.frombuffer(self.memo.joined([self.cut.findall(t)])[0], "<i4") for t in prepared]
 
     def _learn(self, word: str) -> bytes:
         # the library adds one space in front; where there is none, a line feed keeps it apart
@@ -240,21 +240,29 @@ def product(a: set[tuple[int, int]], b: set[tuple[int, int]]) -> set[tuple[int,
 
 
 def boundary_states(matrices: list[list[tuple[int, int]]]) -> list[int]:
-    """The state at each inner boundary, from prefix and suffix products; one is left at each."""
-    m = [set(x) for x in matrices]
-    prefix, suffix = [m[0]], [m[-1]]
-    for x in m[1:]:
-        prefix.append(product({(0, j) for _, j in prefix[-1]}, x))
-    for x in m[-2::-1]:
-        suffix.append(product(x, {(i, 0) for i, _ in suffix[-1]}))
-    suffix.reverse()
-    out = []
-    for i in range(len(m) - 1):
-        both = {j for _, j in prefix[i]} & {j for j, _ in suffix[i + 1]}
-        if len(both) != 1:
-            raise ValueError(f"{len(both)} states at a boundary")
-        out.append(both.pop())
-    return out
+    """The state at each inner boundary; products of neighbours, pair by pair, leave one at each.
+
+    Products are formed up a binary tree; then each node, whose outer states
+    are known, picks the state between its two halves.
+    """
+    levels = [[set(x) for x in matrices]]
+    while len(levels[-1]) > 1:
+        m = levels[-1]
+        levels.append([product(m[i], m[i + 1]) if i + 1 < len(m) else m[i] for i in range(0, len(m), 2)])
+    outer = [(0, 0)]  # the states around each node, from the root down
+    for m in levels[-2::-1]:
+        inner: list[tuple[int, int]] = []
+        for k, (enter, leave) in enumerate(outer):
+            if 2 * k + 1 == len(m):
+                inner.append((enter, leave))
+                continue
+            both = {j for i, j in m[2 * k] if i == enter} & {i for i, j in m[2 * k + 1] if j == leave}
+            if len(both) != 1:
+                raise ValueError(f"{len(both)} states at a boundary")
+            state = both.pop()
+            inner += [(enter, state), (state, leave)]
+        outer = inner
+    return [leave for _, leave in outer[:-1]]
 
 
 def chunk_of(pieces: Pieces, prepared: str, n: int, size: int) -> tuple[str, int, int, bool, bool]:
@@ -280,39 +288,25 @@ def _lists(ids: list[np.ndarray]) -> pa.ListArray:
 _CHUNK = "k1 long, k2 long, n int, context string, low int, high int, first boolean, last boolean"
 
 
-def encode(df: DataFrame, model: str, text_col: str = "text", size: int = CHUNK) -> DataFrame:
-    """df with ids (array<int>) and n_chunks; columns of these names are replaced.
-
-    Null and empty texts have no ids. Equal giant texts are scanned once. Rows
-    are judged alone, so repeats and extra columns change nothing; an empty
-    table stays empty.
-    """
-    base = without(df, [n for n in ("ids", "n_chunks", "_k1", "_k2") if n != text_col])
+def _giants(base: DataFrame, model: str, text_col: str, size: int) -> DataFrame:
+    """The rows of base, all with giant texts, with ids and n_chunks, by the scan."""
     text = F.col(f"`{text_col}`")
-    giant = F.coalesce(F.length(text), F.lit(0)) > size
-
-    def small(p: Pieces, column: pa.Array) -> list:
-        ids = p.many([prepare(t) if t else "" for t in column.to_pylist()])
-        return [_lists(ids), [1] * len(ids)]
-
-    def setup() -> Pieces:
-        return pieces_of(model)
-
-    added = "ids array<int>, n_chunks int"
-    plain = map_columns(base.filter(~giant), [text_col], added, small, setup, rows=1024)
-    keyed = base.filter(giant).withColumn("_k1", F.xxhash64(F.lit(1), text)).withColumn("_k2", F.xxhash64(F.lit(2), text))
+    setup = lambda: pieces_of(model)
+    keyed = base.withColumn("_k1", F.xxhash64(F.lit(1), text)).withColumn("_k2", F.xxhash64(F.lit(2), text))
     distinct = keyed.select(F.col("_k1").alias("k1"), F.col("_k2").alias("k2"), text.alias("text")).dropDuplicates(["k1", "k2"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
         names = ["k1", "k2", "n", "context", "low", "high", "first", "last"]
+        kinds = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("context", pa.string()), ("low", pa.int32()), ("high", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_())])
         for batch in batches:
-            for k1, k2, t in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+            for row in range(batch.num_rows):
+                k1, k2, t = (batch.column(i)[row].as_py() for i in range(3))
                 prepared = prepare(t)
                 total = -(-len(prepared) // size)
                 for at in range(0, total, 64):
                     rows = [(k1, k2, n, *chunk_of(pieces, prepared, n, size)) for n in range(at, min(total, at + 64))]
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int32()), ("context", pa.string()), ("low", pa.int32()), ("high", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_())]))
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], kinds)
 
     chunks = staged(distinct.mapInArrow(cut, _CHUNK).repartition(F.xxhash64("k1", "n")), "chunks")
     inputs = ["context", "low", "high", "first", "last"]
@@ -339,8 +333,40 @@ def encode(df: DataFrame, model: str, text_col: str = "text", size: int = CHUNK)
     traced = map_columns(chunks.join(states, ["k1", "k2", "n"]), [*inputs, "i", "j"], "part array<int>", trace, setup, rows=64).select("k1", "k2", "n", "part")
     whole = traced.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("n", "part"))).alias("parts"))  # one text
     whole = whole.select("k1", "k2", F.flatten(F.transform("parts", lambda x: x["part"])).alias("ids"), F.size("parts").alias("n_chunks"))
-    large = keyed.join(whole, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2"))).select(*[F.col(f"`{c}`") for c in base.columns], "ids", "n_chunks")
-    return plain.union(large)
+    return keyed.join(whole, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2"))).select(*[F.col(f"`{c}`") for c in base.columns], "ids", "n_chunks")
+
+
+def _parts(df: DataFrame, text_col: str, size: int, added: list[str]) -> tuple[DataFrame, DataFrame]:
+    """df without the columns to add, as rows of texts up to size and rows of giant ones."""
+    base = without(df, [n for n in (*added, "_k1", "_k2") if n != text_col])
+    giant = F.coalesce(F.length(F.col(f"`{text_col}`")), F.lit(0)) > size
+    return base.filter(~giant), base.filter(giant)
+
+
+def encode(df: DataFrame, model: str, text_col: str = "text", size: int = CHUNK) -> DataFrame:
+    """df with ids (array<int>) and n_chunks; columns of these names are replaced.
+
+    Null and empty texts have no ids. Equal giant texts are scanned once. Rows
+    are judged alone, so repeats and extra columns change nothing; an empty
+    table stays empty.
+    """
+    small, giant = _parts(df, text_col, size, ["ids", "n_chunks"])
+
+    def run(p: Pieces, column: pa.Array) -> list:
+        ids = p.many([prepare(t) if t else "" for t in column.to_pylist()])
+        return [_lists(ids), [1] * len(ids)]
+
+    plain = map_columns(small, [text_col], "ids array<int>, n_chunks int", run, lambda: pieces_of(model), rows=1024, size=1 << 20)
+    return plain.union(_giants(giant, model, text_col, size))
+
+
+DIGEST = "n_tokens long, ids_crc32 long, round_trip boolean"
+
+
+def _digest(p: Pieces, text: pa.Array, ids: list[np.ndarray]) -> list:
+    crc = [zlib.crc32(x.tobytes()) for x in ids]
+    same = [d == (t or b"").decode().replace(SPACE, " ") for t, d in zip(as_bytes(text), decode(p, ids), strict=True)]
+    return [[len(x) for x in ids], crc, same]
 
 
 def with_digest(df: DataFrame, model: str, text_col: str = "text") -> DataFrame:
@@ -351,15 +377,22 @@ def with_digest(df: DataFrame, model: str, text_col: str = "text") -> DataFrame:
     """
 
     def run(p: Pieces, text: pa.Array, ids: pa.Array) -> list:
-        crc, same, flat, offsets = [], [], ids.values.to_numpy(zero_copy_only=False).astype("<i4"), ids.offsets.to_numpy()
-        raw = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        back = decode(p, raw)
-        for t, x, d in zip(as_bytes(text), raw, back, strict=True):
-            crc.append(zlib.crc32(x.tobytes()))
-            same.append(d == (t or b"").decode().replace(SPACE, " "))
-        return [[len(x) for x in raw], crc, same]
-
-    return map_columns(df, [text_col, "ids"], "n_tokens long, ids_crc32 long, round_trip boolean", run, lambda: pieces_of(model), rows=128).drop("ids")
+        flat, offsets = ids.values.to_numpy(zero_copy_only=False).astype("<i4"), ids.offsets.to_numpy()
+        return _digest(p, text, [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+
+    return map_columns(df, [text_col, "ids"], DIGEST, run, lambda: pieces_of(model), rows=128).drop("ids")
+
+
+def encode_to_digest(df: DataFrame, model: str, text_col: str = "text", size: int = CHUNK) -> DataFrame:
+    """with_digest(encode(df)), with the ids of texts up to size digested in the worker that made them."""
+    small, giant = _parts(df, text_col, size, ["ids", "n_chunks", "n_tokens", "ids_crc32", "round_trip"])
+
+    def run(p: Pieces, column: pa.Array) -> list:
+        ids = p.many([prepare(t) if t else "" for t in column.to_pylist()])
+        return [[1] * len(ids), *_digest(p, column, ids)]
+
+    plain = map_columns(small, [text_col], f"n_chunks int, {DIGEST}", run, lambda: pieces_of(model), rows=1024, size=1 << 20)
+    return plain.unionByName(with_digest(_giants(giant, model, text_col, size), model, text_col))
 
 
 def decode(p: Pieces, ids: list[np.ndarray]) -> list[str]:

@@ -42,8 +42,8 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_piece_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
-    coded = piece_scan.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    return piece_scan.with_digest(coded, model).select("doc_id", "n_tokens", "ids_crc32", "n_chunks", "round_trip")
+    coded = piece_scan.encode_to_digest(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return coded.select("doc_id", "n_tokens", "ids_crc32", "n_chunks", "round_trip")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
