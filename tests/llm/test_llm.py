@@ -82,6 +82,39 @@ def test_near_duplicates_as_brute_force(spark):
     assert got == classes(texts)
 
 
+def test_large_group_of_near_copies_as_brute_force(spark):
+    """One base with 0 to 30 % of its words replaced: some copies link, some only through others, some to none."""
+    rng = np.random.default_rng(9)
+    vocab = [f"w{i}" for i in range(3000)]
+    base, texts = rng.choice(vocab, 150).tolist(), {}
+    for k in range(240):
+        t = list(base)
+        for i in rng.choice(150, int(rng.integers(0, 14)), replace=False):
+            t[i] = str(rng.choice(vocab))
+        texts[k] = " ".join(t)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()}
+    want = classes(texts)
+    assert got == want and 20 < len(set(want.values())) < 220
+
+
+def test_marks_bound_the_difference():
+    rng = np.random.default_rng(10)
+    for n in (5, 150, 3000):
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate([a[n // 10 :], rng.integers(0, 2**63, n // 7).astype(np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        odd = int(np.bitwise_count((near_dedup.parity(a) ^ near_dedup.parity(b)).view(np.uint64)).sum())
+        assert odd <= len(np.setxor1d(a, b)) and (n > 150 or odd >= 0.7 * len(np.setxor1d(a, b)))
+
+
+def test_near_duplicates_keep_clashing_columns(spark):
+    df = spark.createDataFrame([(1, PROSE, "a", 1, 2, 3, 4, 5), (2, PROSE, "b", 1, 2, 3, 4, 6), (3, "", None, None, None, None, None, None)], "doc_id long, text string, _id string, _th int, _n int, id int, node int, _own int")
+    kept = near_dedup.deduplicated(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == sorted(map(tuple, df.filter("doc_id <> 2").collect()))
+    assert near_dedup.near_duplicates(df).count() == 3
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     rows = near_dedup.near_duplicates(odd).collect()
     assert len(rows) == odd.count()
@@ -264,6 +297,19 @@ def test_encode_odd_rows(spark, odd, none, pieces):
     assert all(r["ids"] == pieces.sp.encode(r["text"] or "") for r in got)
     assert all(r["round_trip"] for r in piece_scan.with_digest(piece_scan.encode(odd, model, size=500), model).collect())
     assert piece_scan.encode(none, model).count() == 0
+    plain = lambda df: sorted(map(str, df.select("doc_id", "n_chunks", "n_tokens", "ids_crc32", "round_trip").collect()))
+    assert plain(piece_scan.encode_to_digest(odd, model, size=500)) == plain(piece_scan.with_digest(piece_scan.encode(odd, model, size=500), model))
+
+
+def test_piece_digest_as_whole_texts(spark, pieces):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = Q.op5_piece_scan(spark, SF).collect()
+    assert len(rows) == len(texts) and any(r["n_chunks"] > 1 for r in rows)
+    for r in rows:
+        ids = pieces.sp.encode(texts[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<i4").tobytes()))
+        assert r["n_chunks"] == max(1, -(-(len(texts[r["doc_id"]]) + 1) // piece_scan.CHUNK)) or r["n_chunks"] == 1
+        assert r["round_trip"] == (pieces.sp.decode(ids) == texts[r["doc_id"]].replace("▁", " "))
 
 
 # 6
