@@ -62,21 +62,28 @@ def safe_name(c: str | Column) -> Column:
     return F.regexp_replace(col(c), r"[^A-Za-z0-9._-]+", "_")
 
 
-# Words of a column name, the unit they take, and words that exclude it.
+# Words of a column name, words that exclude it, its unit, and the marks of a name that has a unit.
 UNITS = (
-    (("distance", "width", "diameter", "radius", "dimension"), "_nm", ()),
-    (("area", "surface"), "_um2", ()),
-    (("volume",), "_um3", ("sphericity",)),
-    (("coordinates",), "_nm", ()),
+    (("distance", "cleft_width", "diameter", "radius", "dimension"), (), "_nm", ("_nm", "_um")),
+    (("area", "surface"), (), "_um2", ("_nm2", "_um2", "_nm\u00b2", "_um\u00b2")),
+    (("volume",), ("sphericity",), "_um3", ("_nm3", "_um3", "_nm\u00b3", "_um\u00b3")),
+    (("aunp",), (), "_per_um2", ("_per_um2", "_per_um\u00b2")),
+    (("coordinatex", "coordinatey", "coordinatez", "center_x", "center_y", "center_z", "point_x", "point_y", "point_z"), (), "_nm", ("_nm", "_um")),
 )
 
 
 def with_unit(name: str) -> str:
-    """Column name with the unit suffix of the first rule that fits and whose unit it lacks."""
+    """Column name with the unit of the first rule that fits it and none of whose marks it has.
+
+    The rule of particles asks for a density, and the last one also takes the bare names of axes.
+    """
     low = name.lower()
-    density = "density" in low and "aunp" in low
-    for words, unit, not_with in UNITS[:3] + ((("",), "_per_um2", ()),) + UNITS[3:]:
-        fits = density if unit == "_per_um2" else any(w in low for w in words) and not any(w in low for w in not_with)
-        if fits and unit.strip("_") not in low:
+    for words, without, unit, marks in UNITS:
+        fits = any(w in low for w in words) and not any(w in low for w in without)
+        if unit == "_per_um2":
+            fits = fits and "density" in low
+        if words is UNITS[-1][0]:
+            fits = fits or low in ("x", "y", "z")
+        if fits and not any(m in name for m in marks):
             return name + unit
     return name

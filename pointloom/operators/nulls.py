@@ -11,9 +11,8 @@ from .spatial import within
 
 
 def scramble(id_: Column, rep: Column) -> Column:
-    """A number that orders ids anew for each replicate, by integer arithmetic that any engine repeats."""
-    a = (id_ * 7919 + rep * 104729 + id_ * id_ * (rep + 1)) % 1000003
-    return (a * a + a * 31 + rep * 17) % 1000003
+    """A text that orders ids anew for each replicate: the hash of both, which any engine repeats."""
+    return F.md5(F.concat_ws(":", rep.cast("string"), id_.cast("string")))
 
 
 def permuted_labels(points: DataFrame, replicates: int, keys: Sequence[str], first: DataFrame, id_col: str = "id") -> DataFrame:
@@ -103,28 +102,59 @@ def permuted_counts(points: DataFrame, labels: DataFrame, step: float, r_max: fl
     return met.groupBy(*keys, "rep", "bin").agg(F.sum("n").alias("n12"))
 
 
-def mad_test(observed: DataFrame, nulls: DataFrame, keys: Sequence[str], confidence: float = 0.99, least: int = 1000) -> DataFrame:
-    """keys, n_null, t_obs, t_crit, ratio, p, rejects, status: greatest absolute deviation from the mean of all curves.
+#: Radius windows of the global test: name, least and greatest radius.
+R_RANGES = (("full", None, None), ("30-50nm", 30.0, 50.0))
 
-    observed: keys, r, value; nulls: keys, rep, r, value. With fewer than
-    `least` null curves or a missing observed value the status says skipped
-    and the figures are null.
+
+def mad_test(observed: DataFrame, nulls: DataFrame, keys: Sequence[str], confidence: float = 0.99, least: int = 1000, low: float | None = None, high: float | None = None) -> DataFrame:
+    """keys, n_null, t_obs, t_crit, ratio, p, rejects, r_at_max, signed_diff, status: greatest absolute deviation from the mean of all curves.
+
+    observed: keys, r, value; nulls: keys, rep, r, value. low and high bound
+    the radii, both inclusive. With fewer than `least` null curves or a missing
+    observed value the status says skipped and the figures are null.
+    signed_diff is the deviation at the first radius where it is greatest.
     """
     k = list(keys)
+    inside = F.lit(True) if low is None else F.col("r") >= F.lit(float(low))
+    inside = inside if high is None else inside & (F.col("r") <= F.lit(float(high)))
+    observed, nulls = observed.filter(inside), nulls.filter(inside)
     every = nulls.select(*k, "r", "value").union(observed.select(*k, "r", "value"))
     centre = every.groupBy(*k, "r").agg(F.avg("value").alias("mu"))
     t_null = nulls.join(centre, [*k, "r"]).groupBy(*k, "rep").agg(F.max(F.abs(F.col("value") - F.col("mu"))).alias("t"))
-    obs = observed.join(centre, [*k, "r"]).groupBy(*k).agg(F.max(F.abs(F.col("value") - F.col("mu"))).alias("t_obs"), F.count_if(F.col("value").isNull() | F.isnan("value")).alias("_bad"))
+    off = F.col("value") - F.col("mu")
+    obs = observed.join(centre, [*k, "r"]).groupBy(*k).agg(
+        F.max(F.abs(off)).alias("t_obs"), F.max_by(F.struct("r", off.alias("d")), F.struct(F.abs(off), -F.col("r"))).alias("_at"), F.count_if(F.col("value").isNull() | F.isnan("value")).alias("_bad")
+    )
     joined = t_null.join(obs, k) if k else t_null.crossJoin(obs)  # one observed row
-    out = joined.groupBy(*k, "t_obs", "_bad").agg(F.count(F.lit(1)).alias("n_null"), F.percentile("t", F.lit(confidence)).alias("t_crit"), F.count_if(F.col("t") >= F.col("t_obs")).alias("_ge"))
+    out = joined.groupBy(*k, "t_obs", "_at", "_bad").agg(F.count(F.lit(1)).alias("n_null"), F.percentile("t", F.lit(confidence)).alias("t_crit"), F.count_if(F.col("t") >= F.col("t_obs")).alias("_ge"))
     ok = (F.col("n_null") >= least) & (F.col("_bad") == 0)
     only = lambda c: F.when(ok, c)
     return out.select(
         *k, "n_null", only(F.col("t_obs")).alias("t_obs"), only(F.col("t_crit")).alias("t_crit"), only(F.when(F.col("t_crit") > 0, F.col("t_obs") / F.col("t_crit"))).alias("ratio"),
-        only((F.col("_ge") + 1) / (F.col("n_null") + 1)).alias("p"), only(F.col("t_obs") > F.col("t_crit")).alias("rejects"), F.when(ok, "ok").otherwise("skipped").alias("status"),
+        only((F.col("_ge") + 1) / (F.col("n_null") + 1)).alias("p"), only(F.col("t_obs") > F.col("t_crit")).alias("rejects"),
+        only(F.col("_at.r").cast("double")).alias("r_at_max"), only(F.col("_at.d")).alias("signed_diff"), F.when(ok, "ok").otherwise("skipped").alias("status"),
     )
 
 
+def mad_over_ranges(observed: DataFrame, nulls: DataFrame, keys: Sequence[str], ranges: Sequence[tuple[str, float | None, float | None]] = R_RANGES, confidence: float = 0.99, least: int = 1000) -> DataFrame:
+    """The global test for each radius window, with its name as r_range."""
+    out = None
+    for name, low, high in ranges:
+        part = mad_test(observed, nulls, keys, confidence, least, low, high).withColumn("r_range", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def mad_curves(observed: DataFrame, nulls: DataFrame, keys: Sequence[str], confidence: float = 0.99) -> DataFrame:
+    """keys, r, observed, mean of all curves, the nulls' envelope lo and hi, and the deviation in units of the envelope's wider half."""
+    k, tail = [*keys, "r"], (1.0 - confidence) / 2
+    band = nulls.groupBy(*k).agg(F.percentile("value", F.lit(tail)).alias("lo"), F.percentile("value", F.lit(1.0 - tail)).alias("hi"), F.sum("value").alias("_s"), F.count("value").alias("_n"))
+    both = observed.select(*k, F.col("value").alias("observed")).join(band, k)
+    both = both.withColumn("mean", (F.col("_s") + F.col("observed")) / (F.col("_n") + 1))
+    half = F.greatest(F.col("mean") - F.col("lo"), F.col("hi") - F.col("mean"), F.lit(1e-12))
+    return both.select(*k, "observed", "mean", "lo", "hi", ((F.col("observed") - F.col("mean")) / half).alias("normalized"))
+
+
 def monte_carlo_p(observed: DataFrame, nulls: DataFrame, by: Sequence[str], two_sided: bool = True) -> DataFrame:
     """by, p: (number of nulls at least as extreme + 1) / (n + 1). Columns: value in both."""
     size = F.abs if two_sided else (lambda c: c)

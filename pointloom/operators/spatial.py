@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import distance
-from ..staging import staged
+from ..staging import drop_staged, staged
 
 #: Pairs within keys up to which a nearest-neighbour search joins on the keys alone.
 DIRECT_PAIRS = 20_000_000
@@ -44,7 +44,7 @@ def within(left: DataFrame, right: DataFrame, r: float, keys: Sequence[str] = ()
 def pairs_within_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], axes: str = "xyz") -> DataFrame:
     """All pairs that agree in the keys."""
     a, b = sided(left, "a_", keys), sided(right, "b_", keys)
-    return (a.join(b, list(keys)) if keys else a.crossJoin(b)).withColumn("d", distance("a_", "b_", axes))
+    return (a.join(b, list(keys)) if keys else a.crossJoin(b)).withColumn("d", distance("a_", "b_", axes)).filter(F.col("d").isNotNull())
 
 
 def _best(pairs: DataFrame, keys: Sequence[str], left_id: str, right_id: str, payload: Sequence[str]) -> DataFrame:
@@ -80,10 +80,15 @@ def nearest(
     if not spans["n"]:
         return _best(keep(pairs_within_keys(left, right, keys, axes)), keys, left_id, right_id, payload)
     edges = left.agg(*[F.min(k).alias(f"l{k}") for k in axes], *[F.max(k).alias(f"h{k}") for k in axes]).first()
-    reach = sum((max(spans[f"h{k}"], edges[f"h{k}"] or spans[f"h{k}"]) - min(spans[f"l{k}"], edges[f"l{k}"] if edges[f"l{k}"] is not None else spans[f"l{k}"])) ** 2 for k in axes) ** 0.5
+    either = lambda a, b: a if b is None else b if a is None else None
+    high = {k: either(spans[f"h{k}"], edges[f"h{k}"]) if None in (spans[f"h{k}"], edges[f"h{k}"]) else max(spans[f"h{k}"], edges[f"h{k}"]) for k in axes}
+    low = {k: either(spans[f"l{k}"], edges[f"l{k}"]) if None in (spans[f"l{k}"], edges[f"l{k}"]) else min(spans[f"l{k}"], edges[f"l{k}"]) for k in axes}
+    if any(v is None for v in high.values()):  # an axis without any value: nothing meets
+        return _best(within(left.limit(0), right, 1.0, keys, axes), keys, left_id, right_id, payload)
+    reach = sum((high[k] - low[k]) ** 2 for k in axes) ** 0.5
     volume = 1.0
     for k in axes:
-        volume *= max(spans[k], 1e-9)
+        volume *= max(spans[k] or 0.0, reach / 1000, 1e-9)  # a flat cloud does not start with tiny cells
     r = cell or max(1e-9, (volume / spans["n"]) ** (1 / len(axes)))
     todo, done = left, None
     while True:
@@ -92,7 +97,10 @@ def nearest(
         if r >= reach:
             return done
         on = [*keys, left_id]
+        before = todo
         todo = staged(todo.join(found.withColumnRenamed(f"a_{left_id}", left_id).select(*on), on, "left_anti"), "searching")
+        if before is not left:
+            drop_staged(before)
         if not todo.limit(1).count():
             return done
         r *= 2

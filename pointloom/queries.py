@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import names, numeric
 from .operators import clusters, curves, geometry, nulls, pairing, raster, ripley, spatial
-from .plans import analyses
+from .plans import analyses, zones
 from .sinks import tables as sinks
 from .tables import PTS_SQL, D, of_kind, points, spheres, table
 
@@ -122,25 +122,8 @@ def fusion_points(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(spatial.contact_sites(of_kind(p, 1), cloud, 15.0, Z, "owner").select("zone", "owner", "x", "y", "z", "n"))
 
 
-@query(f"SELECT a.zone, a.id AS site, b.id AS particle, round({D}, 6) AS d FROM pts a JOIN pts b ON a.zone = b.zone WHERE a.id % 20 = 0 AND b.kind = 1")
-def site_particle_distances(spark: SparkSession, sf: str) -> DataFrame:
-    p = points(spark, sf)
-    out = spatial.pairs_within_keys(p.filter("id % 20 = 0"), of_kind(p, 1), Z)
-    return rounded(out.select("zone", F.col("a_id").alias("site"), F.col("b_id").alias("particle"), "d"))
-
-
-@query(f"""SELECT zone, particle, round(max(CASE WHEN site = 0 THEN d END), 6) AS site_0, round(max(CASE WHEN site = 1 THEN d END), 6) AS site_1 FROM (
- SELECT a.zone, a.id % 2 AS site, b.id AS particle, {D} AS d FROM pts a JOIN pts b ON a.zone = b.zone WHERE a.id % 20 < 2 AND b.kind = 1) GROUP BY 1, 2""")
-def site_distances_wide(spark: SparkSession, sf: str) -> DataFrame:
-    p = points(spark, sf)
-    d = spatial.pairs_within_keys(p.filter("id % 20 < 2").withColumn("site", F.col("id") % 2), of_kind(p, 1), Z)
-    wide = d.groupBy("zone", F.col("b_id").alias("particle")).pivot("a_site", [0, 1]).agg(F.max("d"))
-    return rounded(wide.select("zone", "particle", F.col("0").alias("site_0"), F.col("1").alias("site_1")))
-
-
-# the two above compare with SQL over few sites; these take whole tables
 @query(f"SELECT a.zone, a.id AS site, b.id AS particle, round({D}, 6) AS d FROM k0 a JOIN k1 b ON a.zone = b.zone")
-def site_particle_distances_whole(spark: SparkSession, sf: str) -> DataFrame:
+def site_particle_distances(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)
     out = spatial.pairs_within_keys(of_kind(p, 0), of_kind(p, 1), Z)
     return rounded(out.select("zone", F.col("a_id").alias("site"), F.col("b_id").alias("particle"), "d"))
@@ -148,7 +131,7 @@ def site_particle_distances_whole(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""SELECT zone, particle, round(max(CASE WHEN site = 0 THEN d END), 6) AS site_0, round(max(CASE WHEN site = 1 THEN d END), 6) AS site_1 FROM (
  SELECT a.zone, a.id % 2 AS site, b.id AS particle, {D} AS d FROM pts a JOIN k1 b ON a.zone = b.zone) GROUP BY 1, 2""")
-def site_distances_wide_whole(spark: SparkSession, sf: str) -> DataFrame:
+def site_distances_wide(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)
     d = spatial.pairs_within_keys(p.withColumn("site", F.col("id") % 2), of_kind(p, 1), Z)
     wide = d.groupBy("zone", F.col("b_id").alias("particle")).pivot("a_site", [0, 1]).agg(F.max("d"))
@@ -412,9 +395,8 @@ def curves_long(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # nulls and tests
-_PERM = f"""+ rep AS (SELECT CAST(r AS BIGINT) AS rep FROM range(20) t(r)),
-s AS (SELECT zone, id, rep, (id * 7919 + rep * 104729 + id * id * (rep + 1)) % 1000003 AS a FROM pts, rep),
-o AS (SELECT zone, id, rep, row_number() OVER (PARTITION BY zone, rep ORDER BY (a * a + a * 31 + rep * 17) % 1000003, id) AS k FROM s),
+_PERM = f"""+ rep AS (SELECT CAST(r AS BIGINT) AS rep FROM range(1000) t(r)),
+o AS (SELECT zone, id, rep, row_number() OVER (PARTITION BY zone, rep ORDER BY md5(rep || ':' || id), id) AS k FROM pts, rep),
 lab AS (SELECT o.zone, o.id, o.rep, k <= n1 AS one FROM o JOIN (SELECT zone, count(*) AS n1 FROM k0 GROUP BY 1) USING (zone)),
 pr AS (SELECT a.zone, a.id AS a, b.id AS b, CAST(floor({D} / 5.0) AS INT) + 1 AS bin FROM pts a JOIN pts b ON a.zone = b.zone AND a.id <> b.id WHERE {D} <= 30),
 cnt AS (SELECT pr.zone, p.rep, bin, count(*) AS n12 FROM pr JOIN lab p ON p.id = pr.a AND p.one JOIN lab q ON q.id = pr.b AND q.rep = p.rep AND NOT q.one WHERE bin <= 6 GROUP BY 1, 2, 3)"""
@@ -424,25 +406,19 @@ cnt AS (SELECT pr.zone, p.rep, bin, count(*) AS n12 FROM pr JOIN lab p ON p.id =
 REPLICATES, SHIFTS = 1000, 100
 
 
-def _labels(spark: SparkSession, sf: str, replicates: int = 20) -> tuple[DataFrame, DataFrame]:
+def _labels(spark: SparkSession, sf: str, replicates: int) -> tuple[DataFrame, DataFrame]:
     p = points(spark, sf)
     slim = p.select("id", "zone", "x", "y", "z")
     first = of_kind(p, 0).groupBy("zone").agg(F.count(F.lit(1)).alias("n1"))
     return slim, nulls.permuted_labels(slim, replicates, Z, first)
 
 
-@query(_PERM + " SELECT zone, CAST(rep AS INT) AS rep, bin, CAST(n12 AS BIGINT) AS n12 FROM cnt")
-def label_perm_null(spark: SparkSession, sf: str) -> DataFrame:
-    slim, labels = _labels(spark, sf)
-    return nulls.permuted_counts(slim, labels, 5.0, 30.0, Z)
-
-
 _OBS = f""", ob AS (SELECT a.zone, CAST(floor({D} / 5.0) AS INT) + 1 AS bin, count(*) AS n12 FROM k0 a JOIN k1 b ON a.zone = b.zone WHERE {D} <= 30 GROUP BY 1, 2),
 full_ AS (SELECT z.zone, rep.rep, g.bin, CAST(coalesce(n12, 0) AS DOUBLE) AS v FROM (SELECT DISTINCT zone FROM pts) z, rep, range(1, 7) g(bin) LEFT JOIN cnt ON cnt.zone = z.zone AND cnt.rep = rep.rep AND cnt.bin = g.bin),
 obs AS (SELECT z.zone, g.bin, CAST(coalesce(n12, 0) AS DOUBLE) AS v FROM (SELECT DISTINCT zone FROM pts) z, range(1, 7) g(bin) LEFT JOIN ob ON ob.zone = z.zone AND ob.bin = g.bin)"""
 
 
-def _observed_and_null(spark: SparkSession, sf: str, replicates: int = 20) -> tuple[DataFrame, DataFrame]:
+def _observed_and_null(spark: SparkSession, sf: str, replicates: int) -> tuple[DataFrame, DataFrame]:
     p = points(spark, sf)
     grid = p.select("zone").distinct().withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(6))))
     ob = ripley.binned(of_kind(p, 0), of_kind(p, 1), 5.0, 30.0, Z)
@@ -452,35 +428,42 @@ def _observed_and_null(spark: SparkSession, sf: str, replicates: int = 20) -> tu
     return obs, null
 
 
-@query(_PERM + _OBS + """, mu AS (SELECT zone, bin, avg(v) AS mu FROM (SELECT zone, bin, v FROM full_ UNION ALL SELECT zone, bin, v FROM obs) GROUP BY 1, 2),
-tn AS (SELECT zone, rep, max(abs(v - mu)) AS t FROM full_ JOIN mu USING (zone, bin) GROUP BY 1, 2), tob AS (SELECT zone, max(abs(v - mu)) AS t_obs FROM obs JOIN mu USING (zone, bin) GROUP BY 1)
-SELECT zone, CAST(count(*) AS BIGINT) AS n_null, round(t_obs, 6) AS t_obs, round(quantile_cont(t, 0.99), 6) AS t_crit, round((count(*) FILTER (t >= t_obs) + 1) / (count(*) + 1), 6) AS p, t_obs > quantile_cont(t, 0.99) AS rejects
-FROM tn JOIN tob USING (zone) GROUP BY zone, t_obs""")
-def mad_test(spark: SparkSession, sf: str) -> DataFrame:
-    obs, null = _observed_and_null(spark, sf)
-    return rounded(nulls.mad_test(obs, null, Z, least=10).select("zone", "n_null", "t_obs", "t_crit", "p", "rejects"))
+@query(_PERM + " SELECT zone, CAST(rep AS INT) AS rep, bin, CAST(n12 AS BIGINT) AS n12 FROM cnt")
+def label_perm_null(spark: SparkSession, sf: str) -> DataFrame:
+    return nulls.permuted_counts(*_labels(spark, sf, REPLICATES), 5.0, 30.0, Z)
 
 
-@query(_PERM + _OBS + " SELECT zone, CAST(bin AS INT) AS r, round((count(*) FILTER (abs(f.v) >= abs(o.v)) + 1) / (count(*) + 1), 6) AS p FROM full_ f JOIN obs o USING (zone, bin) GROUP BY 1, 2")
-def mc_pvalue(spark: SparkSession, sf: str) -> DataFrame:
-    obs, null = _observed_and_null(spark, sf)
-    return rounded(nulls.monte_carlo_p(obs, null, ["zone", "r"]).select("zone", "r", "p"))
+_MAD = _PERM + _OBS + """, mu AS (SELECT zone, bin, avg(v) AS mu FROM (SELECT zone, bin, v FROM full_ UNION ALL SELECT zone, bin, v FROM obs) GROUP BY 1, 2)"""
 
 
-# the three above compare with SQL over 20 replicates; these run the reference's number
-@query()
-def label_perm_null_whole(spark: SparkSession, sf: str) -> DataFrame:
-    return nulls.permuted_counts(*_labels(spark, sf, REPLICATES), 5.0, 30.0, Z)
+@query(_MAD + """, tn AS (SELECT zone, rep, max(abs(v - mu)) AS t FROM full_ JOIN mu USING (zone, bin) GROUP BY 1, 2),
+tob AS (SELECT zone, max(abs(v - mu)) AS t_obs, CAST(arg_max(bin, abs(v - mu) - bin * 1e-9) AS DOUBLE) AS r_at_max, arg_max(v - mu, abs(v - mu) - bin * 1e-9) AS d FROM obs JOIN mu USING (zone, bin) GROUP BY 1)
+SELECT zone, CAST(count(*) AS BIGINT) AS n_null, round(t_obs, 6) AS t_obs, round(quantile_cont(t, 0.99), 6) AS t_crit, round((count(*) FILTER (t >= t_obs) + 1) / (count(*) + 1), 6) AS p, t_obs > quantile_cont(t, 0.99) AS rejects, r_at_max, round(d, 6) AS signed_diff
+FROM tn JOIN tob USING (zone) GROUP BY zone, t_obs, r_at_max, d""")
+def mad_test(spark: SparkSession, sf: str) -> DataFrame:
+    obs, null = _observed_and_null(spark, sf, REPLICATES)
+    return rounded(nulls.mad_test(obs, null, Z).select("zone", "n_null", "t_obs", "t_crit", "p", "rejects", "r_at_max", "signed_diff"))
 
 
-@query()
-def mad_test_whole(spark: SparkSession, sf: str) -> DataFrame:
+@query(_MAD + """, ce AS (SELECT zone, bin, quantile_cont(v, 0.005) AS lo, quantile_cont(v, 0.995) AS hi FROM full_ GROUP BY 1, 2)
+SELECT zone, CAST(bin AS INT) AS r, round(v, 6) AS observed, round(mu, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, round((v - mu) / greatest(mu - lo, hi - mu, 1e-12), 6) AS normalized FROM obs JOIN mu USING (zone, bin) JOIN ce USING (zone, bin)""")
+def mad_envelope(spark: SparkSession, sf: str) -> DataFrame:
     obs, null = _observed_and_null(spark, sf, REPLICATES)
-    return rounded(nulls.mad_test(obs, null, Z).select("zone", "n_null", "t_obs", "t_crit", "p", "rejects"))
+    return rounded(nulls.mad_curves(obs, null, Z).select("zone", "r", "observed", "mean", "lo", "hi", "normalized"))
 
 
-@query()
-def mc_pvalue_whole(spark: SparkSession, sf: str) -> DataFrame:
+@query(_MAD + """, w(r_range, lo, hi) AS (VALUES ('full', 1, 6), ('inner', 2, 4)),
+tn AS (SELECT r_range, zone, rep, max(abs(v - mu)) AS t FROM full_ JOIN mu USING (zone, bin) JOIN w ON bin BETWEEN lo AND hi GROUP BY 1, 2, 3),
+tob AS (SELECT r_range, zone, max(abs(v - mu)) AS t_obs FROM obs JOIN mu USING (zone, bin) JOIN w ON bin BETWEEN lo AND hi GROUP BY 1, 2)
+SELECT r_range, zone, round(t_obs, 6) AS t_obs, round(quantile_cont(t, 0.99), 6) AS t_crit, round((count(*) FILTER (t >= t_obs) + 1) / (count(*) + 1), 6) AS p FROM tn JOIN tob USING (r_range, zone) GROUP BY r_range, zone, t_obs""")
+def mad_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    obs, null = _observed_and_null(spark, sf, REPLICATES)
+    out = nulls.mad_over_ranges(obs, null, Z, (("full", None, None), ("inner", 2.0, 4.0)))
+    return rounded(out.select("r_range", "zone", "t_obs", "t_crit", "p"))
+
+
+@query(_PERM + _OBS + " SELECT zone, CAST(bin AS INT) AS r, round((count(*) FILTER (abs(f.v) >= abs(o.v)) + 1) / (count(*) + 1), 6) AS p FROM full_ f JOIN obs o USING (zone, bin) GROUP BY 1, 2")
+def mc_pvalue(spark: SparkSession, sf: str) -> DataFrame:
     obs, null = _observed_and_null(spark, sf, REPLICATES)
     return rounded(nulls.monte_carlo_p(obs, null, ["zone", "r"]).select("zone", "r", "p"))
 
@@ -548,12 +531,13 @@ def control_deltas(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # persistence
-@query("""SELECT o_custkey, o_orderstatus, o_orderkey, CAST(NULL AS VARCHAR) AS batch FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders n WHERE n.o_orderkey % 10 = 0 AND n.o_custkey = o.o_custkey AND n.o_orderstatus = o.o_orderstatus)
-UNION ALL SELECT o_custkey, o_orderstatus, o_orderkey, 'new' FROM orders WHERE o_orderkey % 10 = 0""")
+@query("""SELECT o_custkey, o_orderstatus, o_orderkey, CAST(NULL AS VARCHAR) AS batch FROM orders o WHERE NOT EXISTS (SELECT 1 FROM orders n WHERE n.o_orderpriority = '1-URGENT' AND n.o_custkey = o.o_custkey AND n.o_orderstatus = o.o_orderstatus)
+UNION ALL SELECT o_custkey, o_orderstatus, o_orderkey, 'new' FROM orders WHERE o_orderpriority = '1-URGENT'""")
 def keyed_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    o = table(spark, sf, "orders").select("o_custkey", "o_orderstatus", "o_orderkey")
-    new = o.filter("o_orderkey % 10 = 0").withColumn("batch", F.lit("new"))
-    return sinks.upsert(o, new, ["o_custkey", "o_orderstatus"])
+    o = table(spark, sf, "orders")
+    old = o.select("o_custkey", "o_orderstatus", "o_orderkey")
+    new = o.filter("o_orderpriority = '1-URGENT'").select(*old.columns, F.lit("new").alias("batch"))
+    return sinks.upsert(old, new, ["o_custkey", "o_orderstatus"])
 
 
 @query("""SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, a.n AS n, round(b.total, 2) AS total FROM (SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) a
@@ -574,20 +558,21 @@ def status_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.status_table(table(spark, sf, "customer"), res, ["1-URGENT", "2-HIGH", "5-LOW"], ["c_custkey"])
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
 def missing_files_anti(spark: SparkSession, sf: str) -> DataFrame:
     from .sources.text import missing_files
 
-    return missing_files(table(spark, sf, "customer").select("c_custkey"), table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    have = table(spark, sf, "orders").filter("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return missing_files(table(spark, sf, "customer").select("c_custkey"), have, ["c_custkey"])
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0)")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def delete_by_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "customer").filter("c_custkey % 7 = 0").select(F.col("c_custkey").alias("o_custkey"))
+    c = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
     return sinks.delete(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), c, ["o_custkey"])
 
 
-@query("SELECT event_id, try_cast(value AS DOUBLE) AS value_width_nm, 2 AS parts_count, CAST(user_id AS DOUBLE) AS parts_value_0, value AS parts_value_1, event_type AS info_kind FROM events")
+@query("SELECT event_id, try_cast(value AS DOUBLE) AS value_width, 2 AS parts_count, CAST(user_id AS DOUBLE) AS parts_value_0, value AS parts_value_1, event_type AS info_kind FROM events")
 def flatten_nested(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select(
         F.col("event_id").cast("string").alias("event_id"), F.struct(F.col("value").alias("width")).alias("value"), F.array(F.col("user_id").cast("double"), F.col("value")).alias("parts"), F.struct(F.col("event_type").alias("kind")).alias("info")
@@ -635,7 +620,7 @@ def zone_frame(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT zone, id % 5 AS owner, CAST(count(*) AS BIGINT) AS n, max(CAST(abs(z) <= 3 AS INT)) = 1 AS any_inside, abs(avg(z)) <= 3 AS mean_inside FROM pts GROUP BY 1, 2")
 def slice_predicates(spark: SparkSession, sf: str) -> DataFrame:
-    return points(spark, sf).groupBy("zone", (F.col("id") % 5).alias("owner")).agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("z") <= 3).alias("any_inside"), (F.abs(F.avg("z")) <= 3).alias("mean_inside"))
+    return zones.in_slice(points(spark, sf).withColumn("owner", F.col("id") % 5), ["zone", "owner"], 0.0, 3.0)
 
 
 _VOX = "+ vox AS (SELECT zone, CAST(floor(z / 4) AS INT) AS z, CAST(floor(y / 10) AS INT) AS y, CAST(floor(x / 10) AS INT) AS x, nx AS value FROM pts)"
@@ -648,15 +633,8 @@ def slab_projection(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(mean.withColumnRenamed("value", "mean").join(hi.withColumnRenamed("value", "hi"), ["zone", "y", "x"]))
 
 
-@query(f"""SELECT a.id, coalesce(arg_min(b.kind + 1, b.kind * 1000 + {D}), 0) AS label FROM pts a LEFT JOIN pts b ON b.id % 10 = 0 AND {D} <= 9 GROUP BY a.id""")
-def proximity_labels(spark: SparkSession, sf: str) -> DataFrame:
-    p = points(spark, sf)
-    refs = p.filter("id % 10 = 0").select("x", "y", "z", (F.col("kind") + 1).alias("label"), F.col("kind").alias("priority"))
-    return raster.labelled(p, refs, 9.0).select("id", "label")
-
-
 @query(f"""SELECT a.id, coalesce(arg_min(b.kind + 1, b.kind * 1000 + {D}), 0) AS label FROM pts a LEFT JOIN pts b ON {D} <= 9 GROUP BY a.id""")
-def proximity_labels_whole(spark: SparkSession, sf: str) -> DataFrame:
+def proximity_labels(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)
     refs = p.select("x", "y", "z", (F.col("kind") + 1).alias("label"), F.col("kind").alias("priority"))
     return raster.labelled(p, refs, 9.0).select("id", "label")
@@ -811,17 +789,9 @@ def method_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("o_orderstatus", "n", F.round("mae", 4).alias("mae"), F.round("bias", 4).alias("bias"), F.round("r", 6).alias("r"), F.round("sd_y", 4).alias("sd_y"))
 
 
-@query(_BINS + " SELECT DISTINCT zone, 'g12' AS family, CAST(4 AS BIGINT) AS shells FROM kk")
-def curve_families(spark: SparkSession, sf: str) -> DataFrame:
-    p = points(spark, sf)
-    f = analyses.families(of_kind(p, 0), of_kind(p, 1), ripley.volumes(p, Z), STEP, R_MAX, Z, 5)
-    return f.filter("family = 'g12'").groupBy("zone", "family").agg(F.count(F.lit(1)).alias("shells"))
-
-
 _K_OF = {"12": "k12", "21": "k21", "_combined": "(n1 * k12 + n2 * k21) / (n1 + n2)"}
 
 
-# the one above compares with SQL over one family's shells; this returns every curve
 @query(_H21 + """, q AS (SELECT g.zone, g.bin, sum(coalesce(n, 0)) OVER (PARTITION BY g.zone ORDER BY g.bin) AS c2 FROM grid g LEFT JOIN h2 ON h2.zone = g.zone AND h2.bin = g.bin),
 s AS (SELECT g.zone, g.bin, g.r, n1, n2, k AS k12, volume / (n1 * n2) * c2 AS k21 FROM kk g JOIN q ON q.zone = g.zone AND q.bin = g.bin),
 """ + "u AS (" + " UNION ALL ".join(f"SELECT zone, bin, CAST(r AS DOUBLE) AS r, '{n}' AS s, {k} AS k FROM s" for n, k in _K_OF.items()) + """),
@@ -829,12 +799,108 @@ w AS (SELECT *, lag(k, 5) OVER (PARTITION BY zone, s ORDER BY bin) AS k5 FROM u)
 SELECT zone, 'k' || s AS family, r, round(k, 6) AS value FROM u
 UNION ALL SELECT zone, 'l' || s, r, round(""" + _L.format(k="k") + """, 6) FROM u
 UNION ALL SELECT zone, 'g' || s, r, round((k - coalesce(k5, 0)) / ((4.0/3.0*pi()) * (r*r*r - (r-10)*(r-10)*(r-10))), 6) FROM w WHERE bin % 5 = 0""")
-def curve_families_whole(spark: SparkSession, sf: str) -> DataFrame:
+def curve_families(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)
     f = analyses.families(of_kind(p, 0), of_kind(p, 1), ripley.volumes(p, Z), STEP, R_MAX, Z, 5)
     return rounded(f.select("zone", "family", "r", "value"))
 
 
+# zones, vesicles, poses
+_ZONE_ROWS = f"""+ nn AS (SELECT a.zone, a.id, min({D}) AS d FROM k1 a JOIN k0 b ON a.zone = b.zone GROUP BY 1, 2),
+zs AS (SELECT zone, sum(CASE WHEN kind = 0 THEN 1 ELSE 0 END) * 0.01::DOUBLE AS post_area, sum(CASE WHEN kind = 0 THEN 1 ELSE 0 END) * 0.02::DOUBLE AS pre_area, max(x) - min(x) AS span FROM pts GROUP BY 1),
+zr AS (SELECT zs.zone, post_area, count(nn.id) AS n, count(*) FILTER (d <= 30) AS syn, avg(d) AS m FROM zs LEFT JOIN nn USING (zone) GROUP BY 1, 2)"""
+
+
+def _zones(p: DataFrame) -> DataFrame:
+    n = F.count_if(F.col("kind") == 0)
+    return p.groupBy("zone").agg((n * 0.01).alias("post_area"), (n * 0.02).alias("pre_area"), (F.max("x") - F.min("x")).alias("span"))
+
+
+@query(_ZONE_ROWS + """ SELECT zone, CAST(n AS BIGINT) AS aunp_count, CAST(syn AS BIGINT) AS synaptic_aunp_count, CAST(n - syn AS BIGINT) AS extrasynaptic_aunp_count, round(n / post_area, 6) AS aunp_density_per_um2, round(syn / post_area, 6) AS synaptic_aunp_density_per_um2,
+ round(m, 6) AS distance_to_postsynaptic_mean_nm, CAST(2 AS BIGINT) AS aunp_cluster_count, round(post_area, 6) AS post_area_um2 FROM zr""")
+def zone_rows(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    near = spatial.nearest(of_kind(p, 1), of_kind(p, 0), Z).select("zone", F.col("a_id").alias("id"), F.col("d").alias("distance_to_postsynaptic"))
+    marked = near.withColumn("synaptic_designation", numeric.synaptic("distance_to_postsynaptic")).withColumn("cluster", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 3))
+    rows = zones.zone_rows(_zones(p).select("zone", "post_area"), marked, Z, ["distance_to_postsynaptic"])
+    out = zones.zone_export(rows, Z)
+    return rounded(out.select("zone", "aunp_count", "synaptic_aunp_count", "extrasynaptic_aunp_count", "aunp_density_per_um2", "synaptic_aunp_density_per_um2", "distance_to_postsynaptic_mean_nm", "aunp_cluster_count", "post_area_um2"))
+
+
+@query(_ZONE_ROWS + """ SELECT zone % 2 AS side, CAST(count(*) AS BIGINT) AS zones, round(avg(pre_area), 6) AS pre_area_mean, round(sum(pre_area), 6) AS pre_area_total, round(avg(post_area), 6) AS post_area_mean, round(sum(post_area), 6) AS post_area_total, round(max(span), 6) AS max_span FROM zs GROUP BY 1""")
+def zone_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(zones.zone_totals(_zones(points(spark, sf)).withColumn("side", F.col("zone") % 2), ["side"]))
+
+
+@query("""SELECT zone, coalesce(avg(abs(x)) FILTER (kind = 0), 0) AS avg_presynaptic_volume_um3, CAST(count(*) FILTER (kind = 0) AS BIGINT) AS presynaptic_count, coalesce(avg(abs(x)) FILTER (kind = 1 AND id % 3 > 0), 0) AS avg_postsynaptic_volume_um3, CAST(count(*) FILTER (kind = 1 AND id % 3 > 0) AS BIGINT) AS postsynaptic_count FROM pts GROUP BY zone""")
+def membrane_volumes(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.when(F.col("kind") == 0, "presynaptic_membrane_1").when(F.col("id") % 3 > 0, "postsynaptic_membrane_2").otherwise("vesicle_3")
+    return zones.membrane_volumes(points(spark, sf).select("zone", name.alias("membrane"), F.abs("x").alias("volume_um3")), Z)
+
+
+@query(f"""+ c AS (SELECT id % 5 AS seg, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM k0 GROUP BY 1),
+near AS (SELECT * FROM (SELECT a.seg, b.zone, row_number() OVER (PARTITION BY a.seg ORDER BY {D}, b.zone, b.id) AS k FROM c a, k1 b) WHERE k = 1)
+SELECT n.seg AS id, CAST(n.zone AS VARCHAR) AS zone, round(min({D}), 6) AS distance FROM near n JOIN k0 a ON a.id % 5 = n.seg JOIN k1 b ON b.zone = n.zone GROUP BY 1, 2""")
+def vesicle_zone(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    cloud = of_kind(p, 0).select((F.col("id") % 5).alias("id"), "x", "y", "z")
+    centres = cloud.groupBy("id").agg(*[F.avg(k).alias(k) for k in "xyz"])
+    return rounded(zones.closest_zone(centres, cloud, of_kind(p, 1).select("zone", "id", "x", "y", "z"), ()))
+
+
+@query("""SELECT event_id, CASE WHEN lower(trim(event_type)) = 'click' THEN 'fusing' WHEN lower(trim(event_type)) = 'view' THEN NULL WHEN user_id % 4 = 0 THEN 'fusing' WHEN user_id % 4 = 1 THEN 'close' WHEN value <= 20 THEN 'close' END AS role FROM events""")
+def proximity_role(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    kind = F.when(F.lower(F.trim("event_type")) == "click", " Fusion").when(F.lower(F.trim("event_type")) == "view", "far").otherwise("")
+    marked = e.select("event_id", kind.alias("c"), F.when(F.col("user_id") % 4 == 0, "Yes").alias("f"), (F.col("user_id") % 4 == 1).alias("n"), "value")
+    return marked.select("event_id", zones.proximity_role("c", "f", "n", "value", 20.0).alias("role"))
+
+
+@query("""SELECT event_type, list_sort(list(value))[CAST(floor(count(value) / 2) AS INT) + 1] AS middle, 'set_a' AS set_name FROM events WHERE value IS NOT NULL GROUP BY 1""")
+def middle_value(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").groupBy("event_type").agg(F.collect_list("value").alias("v"))
+    return zones.stamped(e.select("event_type", zones.middle_element("v").alias("middle")), set_name="set_a", event_type="unused")
+
+
+@query("""+ m AS (SELECT zone AS cleft, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM pts GROUP BY 1),
+c AS (SELECT zone, (avg(x) FILTER (kind = 0) + avg(x) FILTER (kind = 1)) / 2 AS x, (avg(y) FILTER (kind = 0) + avg(y) FILTER (kind = 1)) / 2 AS y, (avg(z) FILTER (kind = 0) + avg(z) FILTER (kind = 1)) / 2 AS z FROM pts GROUP BY 1)
+SELECT cleft, zone FROM (SELECT a.cleft, b.zone, row_number() OVER (PARTITION BY a.cleft ORDER BY sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)), b.zone) AS k FROM m a, c b) WHERE k = 1""")
+def zone_of_index(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    c = p.groupBy("zone").agg(*[F.avg(F.when(F.col("kind") == i, F.col(k))).alias(f"{s}{k}") for i, s in enumerate("pq") for k in "xyz"])
+    return zones.zone_of_index(p.withColumnRenamed("zone", "cleft"), c, ())
+
+
+@query(f"""+ v AS (SELECT a.zone, a.id AS a, b.id AS b, {D} AS d FROM pts a JOIN pts b ON a.zone = b.zone AND a.id < b.id WHERE {D} > 6 AND {D} < 12),
+s AS (SELECT *, 1 AS solution FROM v WHERE d < 8 UNION ALL SELECT *, 2 FROM v WHERE d >= 9),
+r AS (SELECT p.zone, p.id, n.solution, EXISTS (SELECT 1 FROM s WHERE s.zone = p.zone AND s.solution = n.solution AND (s.a = p.id OR s.b = p.id)) AS t, EXISTS (SELECT 1 FROM v WHERE v.zone = p.zone AND (v.a = p.id OR v.b = p.id)) AS ok FROM pts p JOIN (SELECT DISTINCT zone, solution FROM s) n USING (zone))
+SELECT zone, solution, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (t) AS BIGINT) AS paired, CAST(count(*) FILTER (NOT t AND ok) AS BIGINT) AS unpaired, CAST(count(*) FILTER (NOT t AND NOT ok) AS BIGINT) AS filtered_out, round(count(*) FILTER (t) / count(*), 6) AS efficiency FROM r GROUP BY 1, 2""")
+def pose_result_tables(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    v = spatial.pair_band(p.select("id", "zone", "x", "y", "z"), 6.0, 12.0, Z).select("zone", F.col("a_id").alias("a"), F.col("b_id").alias("b"), "d")
+    s = v.filter("d < 8").withColumn("solution", F.lit(1)).unionByName(v.filter("d >= 9").withColumn("solution", F.lit(2)))
+    return rounded(zones.pose_stats(zones.pose_tables(p, v, s, Z), Z))
+
+
+@query(_BINS + f""", u AS (SELECT zone, r, 'k' AS name, k AS value FROM kk WHERE NOT (zone % 3 = 0 AND bin = 7) UNION ALL SELECT zone, r, 'l', {_L.format(k='k')} FROM kk WHERE NOT (zone % 3 = 0 AND bin = 7)),
+w AS (SELECT * FROM u WHERE zone % 3 <> 0)
+SELECT name, CAST(r AS DOUBLE) AS r, CAST(count(*) AS BIGINT) AS n, round(avg(value), 4) AS mean, round(coalesce(stddev_samp(value), 0) / sqrt(count(*)), 4) AS sem, round(median(value), 4) AS median FROM w GROUP BY 1, 2""")
+def pooled_zone_curves(spark: SparkSession, sf: str) -> DataFrame:
+    k = _k(spark, sf).withColumn("l", ripley.l_of_k(F.col("k"), F.col("r"))).filter(~((F.col("zone") % 3 == 0) & (F.col("bin") == 7)))
+    out = zones.pooled_curves(zones.zone_curves(k, Z, ["k", "l"]), (), Z)
+    return out.select("name", "r", "n", *[F.round(c, 4).alias(c) for c in ("mean", "sem", "median")])
+
+
+@query(f"""SELECT a.zone, count(*) FILTER (TRUE) AS n, round(avg(d), 6) AS distance_mean, round(stddev_pop(d), 6) AS distance_sd, CAST(sum(len_) AS BIGINT) AS n_points FROM (
+ SELECT a.zone, a.id % 5 AS seg, min({D}) AS d, count(DISTINCT a.id) AS len_ FROM k0 a JOIN k1 b ON a.zone = b.zone GROUP BY 1, 2) a GROUP BY 1""")
+def vesicle_document(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    near = spatial.nearest(of_kind(p, 0), of_kind(p, 1), Z).select("zone", (F.col("a_id") % 5).alias("id"), "d").groupBy("zone", "id").agg(F.min("d").alias("distance"), F.max("d").alias("diameter"))
+    doc = zones.vesicle_document(near, of_kind(p, 0).select("zone", (F.col("id") % 5).alias("id"), "x", "y", "z"), Z)
+    sizes = F.aggregate("vesicles", F.lit(0).cast("long"), lambda acc, v: acc + F.size(v["points"]))
+    return rounded(doc.select("zone", "n", "distance_mean", "distance_sd", sizes.alias("n_points")))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -13,22 +13,29 @@ from ..functions.names import with_unit
 KEY = ("tomogram_name", "alignment_dir")
 
 
+def without_keys(df: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of df whose keys do not occur in gone; nulls in keys are equal to each other."""
+    names = {k: f"_gone_{i}" for i, k in enumerate(keys)}
+    other = gone.select(*[F.col(k).alias(n) for k, n in names.items()]).distinct()
+    same = F.lit(True)
+    for k, n in names.items():
+        same = same & df[k].eqNullSafe(F.col(n))
+    return df.join(other, same, "left_anti")
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    """old without the keys that new has, and new; columns that one lacks are NULL. Doing it twice changes nothing."""
+    """old without the keys that new has, and new; columns that one lacks are NULL. Doing it twice changes nothing, also with null keys."""
     for k in keys:
         if k not in old.columns:
             old = old.withColumn(k, F.lit(""))
-    return old.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
+    return without_keys(old, new, keys).unionByName(new, allowMissingColumns=True)
 
 
 def store(results: DataFrame, new: DataFrame, overwrite: bool = False, keys: Sequence[str] = (*KEY, "analysis")) -> DataFrame:
     """Result documents with new ones: an existing completed one stays unless overwrite; one that failed is replaced."""
-    keep = results if not overwrite else results.join(new.select(*keys), list(keys), "left_anti")
     if overwrite:
-        return keep.unionByName(new, allowMissingColumns=True)
-    done = results.filter(F.col("status") == "completed")
-    fresh = new.join(done.select(*keys), list(keys), "left_anti")
-    return upsert(results, fresh, keys)
+        return upsert(results, new, keys)
+    return upsert(results, without_keys(new, results.filter(F.col("status") == "completed"), keys), keys)
 
 
 def completed(results: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
@@ -50,7 +57,7 @@ def status_table(manifest: DataFrame, results: DataFrame, analyses: Sequence[str
 
 def delete(results: DataFrame, manifest: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     """results without the manifest's keys; sibling alignments stay."""
-    return results.join(manifest.select(*keys).distinct(), list(keys), "left_anti")
+    return without_keys(results, manifest, keys)
 
 
 def zone_export(areas: DataFrame, widths: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -14,7 +14,7 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     root = os.path.join(tempfile.gettempdir(), f"pointloom-{os.getuid()}")
     os.makedirs(root, exist_ok=True)
@@ -26,3 +26,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Delete the files behind a staged table that nothing reads any more."""
+    session = df.sparkSession.sparkContext
+    root = shared_dir(df.sparkSession).rpartition(":")[2].lstrip("/")
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if root in folder:
+            path = session._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)

@@ -21,6 +21,19 @@ def test_nearest_doubles_its_cells(spark):
     assert {k: v[0] for k, v in got.items()} == dict(enumerate(d.argmin(1).tolist()))
 
 
+def test_both_ways_of_nearest_agree(spark):
+    rng = np.random.default_rng(3)
+    clouds = [
+        (np.zeros((1, 3)), np.array([[-100.0, 0, 0], [-99.0, 0, 0]])), (rng.normal(-500, 3, (30, 3)), rng.normal(400, 5, (20, 3))), (rng.uniform(-9, 0, (30, 3)), rng.uniform(-9, 0, (30, 3))),
+        (np.c_[rng.uniform(0, 50, (25, 2)), np.zeros(25)], np.c_[rng.uniform(0, 50, (25, 2)), np.zeros(25)]),
+    ]
+    for a, b in clouds:
+        left = frame(spark, a).union(spark.createDataFrame([(999, None, 0.0, 0.0)], "id long, x double, y double, z double"))
+        rows = lambda **how: sorted((r["a_id"], r["b_id"], round(r["d"], 9)) for r in spatial.nearest(left, frame(spark, b), **how).collect())  # noqa: B023, E731
+        assert rows(cell=5.0) == rows() and len(rows()) == len(a)
+    assert spatial.nearest(frame(spark, clouds[2][0]), left.filter("x is null"), cell=2.0).count() == 0
+
+
 def test_within_needs_no_nested_loop(spark):
     p = frame(spark, np.zeros((3, 3)))
     plan = spatial.within(p, p, 2.0)._jdf.queryExecution().executedPlan().toString()
@@ -90,7 +103,7 @@ def test_euler_angles_turn_back():
     for _ in range(20):
         q = np.linalg.qr(rng.normal(size=(3, 3)))[0]
         q *= np.sign(np.linalg.det(q))
-        a, b, c = np.radians(pairing.zyz_angles(q))
+        a, b, c = np.radians(pairing.zyz_angles(q[None])[0])
         z = lambda t: np.array([[np.cos(t), -np.sin(t), 0], [np.sin(t), np.cos(t), 0], [0, 0, 1]])
         y = np.array([[np.cos(b), 0, np.sin(b)], [0, 1, 0], [-np.sin(b), 0, np.cos(b)]])
         assert np.allclose(z(a) @ y @ z(c), q, atol=1e-9)
@@ -100,12 +113,44 @@ def test_independent_set_is_greatest():
     import itertools
 
     rng = np.random.default_rng(4)
-    for _ in range(30):
-        n = int(rng.integers(1, 10))
+    for _ in range(60):
+        n = int(rng.integers(1, 12))
         edges = [(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.4]
         best = max(sum(1 for _ in s) for k in range(n + 1) for s in itertools.combinations(range(n), k) if not any(i in s and j in s for i, j in edges))
-        got, proved = pairing.independent_set(n, edges)
-        assert proved and len(got) == best and not any(i in got and j in got for i, j in edges)
+        got = pairing.independent_set(n, edges)
+        assert len(got) == best and not any(i in got and j in got for i, j in edges)
+
+
+def test_independent_set_of_a_dense_ring_is_found():
+    n = 120  # each node meets the next three: one of four can stay
+    edges = [(i, (i + k) % n) if i < (i + k) % n else ((i + k) % n, i) for i in range(n) for k in (1, 2, 3)]
+    assert len(pairing.independent_set(n, edges)) == 30
+
+
+def sites_of(spark, n, size, seed):
+    x = np.random.default_rng(seed).uniform(0, size, (n, 3))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    rows = [(0, i, j, *map(float, (x[i] + x[j]) / 2)) for i in range(n) for j in range(i + 1, n) if d[i, j] < 6]
+    return rows, spark.createDataFrame(rows, "zone int, a long, b long, x double, y double, z double")
+
+
+def test_matchings_have_no_clash(spark):
+    import itertools
+
+    rows, sites = sites_of(spark, 14, 10, 8)
+    at = {(r[1], r[2]): np.array(r[3:]) for r in rows}
+    fits = lambda s: all(not set(p) & set(q) and np.linalg.norm(at[p] - at[q]) >= 3 for p, q in itertools.combinations(s, 2))
+    most = max(k for k in range(len(rows) + 1) if k <= 7 and any(fits(s) for s in itertools.combinations(sorted(at), k)))
+    exact = pairing.exact_matching(sites, ["zone"], 3.0).collect()
+    assert len(exact) == most and fits([(r["a"], r["b"]) for r in exact]) and all(r["proved"] for r in exact)
+    greedy = pairing.greedy_matching(sites, ["zone"], 3.0).collect()
+    for k in {r["solution"] for r in greedy}:
+        s = [(r["a"], r["b"]) for r in greedy if r["solution"] == k]
+        assert fits(s) and not any(fits([*s, p]) for p in at if p not in s) and len(s) <= most
+    free = pairing.exact_matching(sites.drop("x", "y", "z"), ["zone"]).collect()
+    assert len({v for r in free for v in (r["a"], r["b"])}) == 2 * len(free) >= 2 * most
+    one = pairing.greedy_matching(spark.createDataFrame([(0, 1, 2, 0.0, 0.0, 0.0), (0, 3, 4, 1.0, 0.0, 0.0)], sites.schema), ["zone"], 5.0).filter("solution = 1")
+    assert one.count() == 1  # sites 1 apart
 
 
 def test_upsert_twice_is_once(spark):
@@ -115,6 +160,14 @@ def test_upsert_twice_is_once(spark):
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, sinks.upsert(once, new).collect())) == [("a", "1", 5), ("a", "2", 6), ("b", "1", 2)]
 
 
+def test_null_keys_are_equal(spark):
+    old = spark.createDataFrame([(None, "1", 1), ("b", None, 2)], "tomogram_name string, alignment_dir string, v int")
+    new = spark.createDataFrame([(None, "1", 5)], old.schema)
+    once = sinks.upsert(old, new)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(once) == rows(sinks.upsert(once, new)) and once.count() == 2 and sinks.delete(once, new).count() == 1
+
+
 def test_failed_results_are_replaced(spark):
     schema = "tomogram_name string, alignment_dir string, analysis string, status string"
     old = spark.createDataFrame([("a", "1", "x", "error"), ("b", "1", "x", "completed")], schema)
@@ -123,6 +176,9 @@ def test_failed_results_are_replaced(spark):
 
 
 def test_names(spark):
+    want = {"x": "x_nm", "center_x": "center_x_nm", "area_nm2": "area_nm2", "psd_width": "psd_width", "cleft_width": "cleft_width_nm", "area": "area_um2", "sphericity_volume": "sphericity_volume", "volume": "volume_um3",
+            "aunp_density": "aunp_density_per_um2", "density": "density", "surface_distance_nm": "surface_distance_nm_um2", "box": "box", "my_point_z": "my_point_z_nm", "centre_x": "centre_x"}
+    assert {k: names.with_unit(k) for k in want} == want
     assert names.with_unit("az_distance") == "az_distance_nm" and names.with_unit("x_nm_distance") == "x_nm_distance"
     df = spark.createDataFrame([("0, 2.0 x",), ("",), (None,)], "s string")
     assert [r[0] for r in df.select(names.id_list("s")).collect()] == [[0, 2], None, None]
@@ -134,3 +190,44 @@ def test_nan_is_null(spark):
     df = spark.createDataFrame([(float("nan"),), (1.0,), (3.0,)], "v double")
     r = df.agg(F.avg(numeric.finite("v")).alias("m"), numeric.sample_std_or_zero("v").alias("s")).first()
     assert r["m"] == 2.0 and r["s"] == pytest.approx(2**0.5)
+
+
+def test_scramble_takes_large_ids(spark):
+    from pointloom.operators import nulls
+
+    ids = [5_000_000_000 + i * 1_000_003 for i in range(6)]
+    p = spark.createDataFrame([(0, i) for i in ids], "zone int, id long")
+    first = spark.createDataFrame([(0, 3)], "zone int, n1 int")
+    got = nulls.permuted_labels(p, 200, ["zone"], first).filter("is_first").groupBy("id").count().collect()
+    assert {r["id"] for r in got} == set(ids) and all(70 <= r["count"] <= 130 for r in got)
+
+
+def test_zone_tables(spark):
+    from pointloom.plans import zones
+
+    none = spark.createDataFrame([], "zone int, synaptic_designation string, cluster int, d double")
+    z = spark.createDataFrame([(1, 0.0), (2, None), (3, 2.0)], "zone int, post_area double")
+    rows = {r["zone"]: r for r in zones.zone_rows(z, none, ["zone"], ["d"]).collect()}
+    assert rows[1]["aunp_density"] is None and rows[2]["aunp_density"] is None and rows[3]["aunp_density"] == 0.0 and rows[3]["d_mean"] is None
+    with pytest.raises(Exception, match="no pre_area"):
+        zones.zone_totals(z.withColumn("pre_area", F.lit(None).cast("double")).withColumn("span", F.lit(1.0)), []).collect()
+    v = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "id int, x double, y double, z double")
+    far = zones.closest_zone(v, v.limit(0), spark.createDataFrame([], "zone string, id long, x double, y double, z double"), ()).first()
+    assert far["zone"] == "unknown" and far["distance"] is None
+    pos = zones.zone_by_position(spark.createDataFrame([(7,), (3,), (9,)], "cleft int"), spark.createDataFrame([("b",), ("a",)], "zone string"), ())
+    assert sorted(map(tuple, pos.collect())) == [(3, "a"), (7, "b")]
+
+
+def test_files_are_read_again_as_written(spark, tmp_path):
+    from pointloom.sources import text
+
+    p = spark.createDataFrame([(2, 4.0, 5.5, -6.25), (1, 1.0, 2.0, 3.0)], "id long, x double, y double, z double")
+    sinks.write_xyz(p, str(tmp_path / "xyz"))
+    lines = [x for f in sorted((tmp_path / "xyz").glob("part-*")) for x in f.read_text().splitlines()]
+    assert lines == ["1.000000e+00 2.000000e+00 3.000000e+00", "4.000000e+00 5.500000e+00 -6.250000e+00"]
+    star = [r["value"] for r in sinks.star_lines(p, ["x", "y"]).collect()]
+    assert star == ["", "data_", "", "loop_", "_x #1", "_y #2", "1.0 2.0", "4.0 5.5"] and text is not None
+    atoms = [r["value"] for r in sinks.pdb_lines(p.withColumnRenamed("id", "n"), 10.0).orderBy("n").collect()]
+    assert float(atoms[0][30:38]) == 10.0 and float(atoms[1][46:54]) == -62.5
+    corners = sinks.sphere_atoms(p, 3.0).filter("id = 1").collect()
+    assert len(corners) == 8 and all(np.linalg.norm([r["x"] - 1, r["y"] - 2, r["z"] - 3]) == pytest.approx(3.0) for r in corners)
