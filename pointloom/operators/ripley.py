@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spatial import within
+from .spatial import betweenness, inside_hull, within
 
 SPHERE = 4.0 / 3.0 * math.pi
 
@@ -66,6 +66,57 @@ def edge_factors(foci: DataFrame, grid: DataFrame, h: float, step: float, r_max:
     return out.withColumn("p", F.when(F.col("count") == 0, 1.0).otherwise(F.least(F.lit(1.0), share))).withColumnRenamed("count", "in_grid")
 
 
+def box_edge_factors(foci: DataFrame, points: DataFrame, h: float, step: float, r_max: float, keys: Sequence[str], id_col: str = "id") -> DataFrame:
+    """edge_factors over lattice(points, h, keys), without a row for each grid point.
+
+    The grid of a box is the product of three axes, so each focus counts it in
+    arrays where the focus is read; a key's box is one row.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    keys, last = list(keys), int(math.floor(r_max / step + 0.5))
+    box = points.groupBy(*keys).agg(*[F.min(k).alias(f"_l{k}") for k in "xyz"], *[F.floor((F.max(k) - F.min(k)) / F.lit(float(h))).cast("int").alias(f"_n{k}") for k in "xyz"])
+    joined = foci.select(*keys, id_col, "x", "y", "z").join(box, keys)
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in joined.select(*keys, id_col).schema]
+
+    def run(batches):
+        for b in batches:
+            col = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()  # noqa: B023, E731
+            at, low, n = [list(zip(*[col(f"{p}{k}") for k in "xyz"], strict=True)) for p in ("", "_l", "_n")]
+            counts = []
+            for p, lo, m in zip(at, low, n, strict=True):
+                if None in p:
+                    counts.append([0] * last)
+                    continue
+                near = []  # squared distances along each axis, of what is in reach
+                for k in range(3):
+                    d = p[k] - (lo[k] + np.arange(m[k] + 1) * float(h))
+                    near.append((d * d)[np.abs(d) <= r_max])
+                d = np.sqrt((near[0][:, None, None] + near[1][None, :, None]) + near[2][None, None, :]).ravel()
+                bins = np.floor(d[d <= r_max] / float(step)).astype(np.int64)
+                counts.append(np.cumsum(np.bincount(bins, minlength=last)[:last]).tolist())
+            kept = [b.column(b.schema.get_field_index(c)) for c in [*keys, id_col]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.list_(pa.int64()))], names=[*keys, id_col, "_c"])
+
+    out = joined.mapInArrow(run, ", ".join([*kinds, "_c array<long>"])).select(*keys, id_col, F.posexplode("_c").alias("_b", "in_grid"))
+    out = out.withColumn("bin", F.col("_b") + 1).withColumn("r", F.col("bin") * F.lit(float(step))).drop("_b")
+    share = F.col("in_grid") * F.lit(float(h) ** 3) / (F.lit(SPHERE) * F.col("r") * F.col("r") * F.col("r"))
+    return out.withColumn("p", F.when(F.col("in_grid") == 0, 1.0).otherwise(F.least(F.lit(1.0), share)))
+
+
+def window_grid(points: DataFrame, planes: DataFrame, h: float, keys: Sequence[str], pre: DataFrame | None = None, post: DataFrame | None = None, limit: float = 50.0) -> DataFrame:
+    """Lattice points (keys, id, x, y, z) of each key's window: inside the hull of its planes and, with surfaces, between them."""
+    grid = lattice(points, h, keys).withColumn("id", F.struct("x", "y", "z"))
+    out = inside_hull(grid, planes, keys)
+    return out if pre is None else betweenness(out, pre, post, keys, limit)
+
+
+def window_volumes(grid: DataFrame, h: float, keys: Sequence[str]) -> DataFrame:
+    """keys, volume of the window that a grid of spacing h fills."""
+    return grid.groupBy(*keys).agg((F.count(F.lit(1)) * F.lit(float(h) ** 3)).alias("volume"))
+
+
 def cross_k(foci: DataFrame, partners: DataFrame, volume: DataFrame, step: float, r_max: float, keys: Sequence[str], axes: str = "xyz", factors: DataFrame | None = None, exclude_self: bool = False) -> DataFrame:
     """keys, bin, r, n1, n2, count, k: K(r) = V / (n1 n2) * sum over foci of count / p.
 

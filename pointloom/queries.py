@@ -19,7 +19,7 @@ _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 Z = ["zone"]
 STEP, R_MAX = 2.0, 40.0
-H = 12.0
+H = 2.0
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -308,8 +308,8 @@ def per_focus_k(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(ripley.focus_k(of_kind(p, 0), of_kind(p, 1), ripley.volumes(p, Z), STEP, R_MAX, Z).select("zone", "id", "r", "k"))
 
 
-_EDGE = f"""+ box AS (SELECT zone, min(x) AS lx, min(y) AS ly, min(z) AS lz, CAST(floor((max(x)-min(x))/12.0) AS INT) AS nx, CAST(floor((max(y)-min(y))/12.0) AS INT) AS ny, CAST(floor((max(z)-min(z))/12.0) AS INT) AS nz FROM pts GROUP BY zone),
-lat AS (SELECT zone, lx + i * 12.0 AS x, ly + j * 12.0 AS y, lz + k * 12.0 AS z FROM box, unnest(range(0, nx + 1)) a(i), unnest(range(0, ny + 1)) b(j), unnest(range(0, nz + 1)) c(k)),
+_EDGE = f"""+ box AS (SELECT zone, min(x) AS lx, min(y) AS ly, min(z) AS lz, CAST(floor((max(x)-min(x))/2.0) AS INT) AS nx, CAST(floor((max(y)-min(y))/2.0) AS INT) AS ny, CAST(floor((max(z)-min(z))/2.0) AS INT) AS nz FROM pts GROUP BY zone),
+lat AS (SELECT zone, lx + i * 2.0 AS x, ly + j * 2.0 AS y, lz + k * 2.0 AS z FROM box, unnest(range(0, nx + 1)) a(i), unnest(range(0, ny + 1)) b(j), unnest(range(0, nz + 1)) c(k)),
 h AS (SELECT a.zone, a.id, CAST(floor({D} / 4.0) AS INT) + 1 AS bin, count(*) AS n FROM k0 a JOIN lat b ON a.zone = b.zone WHERE {D} <= 40 GROUP BY 1, 2, 3),
 g AS (SELECT zone, id, bin, bin * 4.0 AS r FROM k0, range(1, 11) t(bin)),
 e AS (SELECT g.zone, g.id, g.bin, g.r, sum(coalesce(n, 0)) OVER (PARTITION BY g.id ORDER BY g.bin) AS c FROM g LEFT JOIN h ON h.id = g.id AND h.bin = g.bin)"""
@@ -317,14 +317,22 @@ e AS (SELECT g.zone, g.id, g.bin, g.r, sum(coalesce(n, 0)) OVER (PARTITION BY g.
 
 def _factors(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)
-    return ripley.edge_factors(of_kind(p, 0), ripley.lattice(p, H, Z), H, 4.0, R_MAX, Z)
+    return ripley.box_edge_factors(of_kind(p, 0), p, H, 4.0, R_MAX, Z)
 
 
-@query(_EDGE + " SELECT zone, id, CAST(r AS DOUBLE) AS r, CAST(c AS BIGINT) AS in_grid, round(CASE WHEN c = 0 THEN 1.0 ELSE least(1.0, c * 1728.0 / ((4.0/3.0*pi()) * r * r * r)) END, 6) AS p FROM e")
+@query(_EDGE + " SELECT zone, id, CAST(r AS DOUBLE) AS r, CAST(c AS BIGINT) AS in_grid, round(CASE WHEN c = 0 THEN 1.0 ELSE least(1.0, c * 8.0 / ((4.0/3.0*pi()) * r * r * r)) END, 6) AS p FROM e")
 def grid_edge_factor(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_factors(spark, sf).select("zone", "id", "r", "in_grid", "p"))
 
 
+@query()
+def window_volume(spark: SparkSession, sf: str) -> DataFrame:
+    """Volume of the hull of the first kind, by the grid."""
+    p = points(spark, sf)
+    grid = ripley.window_grid(p, geometry.hull_planes(of_kind(p, 0).select("zone", "x", "y", "z"), Z), 4.0, Z)
+    return ripley.window_volumes(grid, 4.0, Z)
+
+
 @query(_EDGE + """ SELECT zone, CAST(bin AS INT) AS bin, CAST(c - coalesce(lag(c, 2) OVER (PARTITION BY zone ORDER BY bin), 0) AS BIGINT) AS in_shell,
  c - coalesce(lag(c, 2) OVER (PARTITION BY zone ORDER BY bin), 0) >= 8 AS reliable FROM (SELECT zone, bin, sum(c) AS c FROM e GROUP BY 1, 2) QUALIFY bin % 2 = 0""")
 def shell_reliability(spark: SparkSession, sf: str) -> DataFrame:
@@ -333,7 +341,7 @@ def shell_reliability(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_EDGE + f""", hp AS (SELECT a.zone, a.id, CAST(floor({D} / 4.0) AS INT) + 1 AS bin, count(*) AS n FROM k0 a JOIN k1 b ON a.zone = b.zone WHERE {D} <= 40 GROUP BY 1, 2, 3),
 q AS (SELECT g.zone, g.id, g.bin, g.r, sum(coalesce(n, 0)) OVER (PARTITION BY g.id ORDER BY g.bin) AS m FROM g LEFT JOIN hp ON hp.id = g.id AND hp.bin = g.bin),
-w AS (SELECT q.zone, q.r, sum(m / CASE WHEN c = 0 THEN 1.0 ELSE least(1.0, c * 1728.0 / ((4.0/3.0*pi()) * q.r * q.r * q.r)) END) AS s FROM q JOIN e ON e.id = q.id AND e.bin = q.bin GROUP BY 1, 2)
+w AS (SELECT q.zone, q.r, sum(m / CASE WHEN c = 0 THEN 1.0 ELSE least(1.0, c * 8.0 / ((4.0/3.0*pi()) * q.r * q.r * q.r)) END) AS s FROM q JOIN e ON e.id = q.id AND e.bin = q.bin GROUP BY 1, 2)
 SELECT w.zone, CAST(r AS DOUBLE) AS r, round(volume / ((SELECT count(*) FROM k0 WHERE k0.zone = w.zone) * (SELECT count(*) FROM k1 WHERE k1.zone = w.zone)) * s, 4) AS k FROM w JOIN vol USING (zone)""")
 def cross_k_corrected(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)

@@ -231,3 +231,20 @@ def test_files_are_read_again_as_written(spark, tmp_path):
     assert float(atoms[0][30:38]) == 10.0 and float(atoms[1][46:54]) == -62.5
     corners = sinks.sphere_atoms(p, 3.0).filter("id = 1").collect()
     assert len(corners) == 8 and all(np.linalg.norm([r["x"] - 1, r["y"] - 2, r["z"] - 3]) == pytest.approx(3.0) for r in corners)
+
+
+def test_edge_factors_of_a_box_are_those_of_its_grid(spark):
+    p = frame(spark, np.random.default_rng(6).uniform(-10, 14, (40, 3)), zone=[i % 2 for i in range(40)])
+    plain = lambda df: sorted(map(tuple, df.select("zone", "id", "bin", "r", "in_grid", F.round("p", 9)).collect()))
+    assert plain(ripley.box_edge_factors(p, p, 2.0, 3.0, 12.0, ["zone"])) == plain(ripley.edge_factors(p, ripley.lattice(p, 2.0, ["zone"]), 2.0, 3.0, 12.0, ["zone"]))
+
+
+def test_window_of_a_hull(spark):
+    x = np.random.default_rng(7).uniform(0, 30, (60, 3))
+    p = frame(spark, x, zone=[0] * 60)
+    grid = ripley.window_grid(p, geometry.hull_planes(p.select("zone", "x", "y", "z"), ["zone"]), 1.5, ["zone"])
+    volume = ripley.window_volumes(grid, 1.5, ["zone"]).first()["volume"]
+    assert volume == pytest.approx(geometry.hull_measures(x)[1], rel=0.05)
+    top, bottom = (frame(spark, np.c_[np.random.default_rng(8).uniform(0, 30, (80, 2)), np.full(80, z)], zone=[0] * 80) for z in (10.0, 20.0))
+    between = ripley.window_grid(p, geometry.hull_planes(p.select("zone", "x", "y", "z"), ["zone"]), 3.0, ["zone"], bottom, top).collect()
+    assert between and all(8 <= r["z"] <= 22 for r in between)
