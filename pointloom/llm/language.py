@@ -10,18 +10,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_columns, without
+from .common import map_columns, without
 
-#: Bounds of the model: labelled documents that it is fitted on (in expectation), words and n-grams that it keeps.
-SAMPLE, MAX_WORDS, MAX_GRAMS, LONGEST = 20_000, 120_000, 60_000, 4
+#: Labelled documents of each language that the model is fitted on (in expectation), how often a word has to occur in them, and the longest n-gram.
+SAMPLE, LEAST_COUNT, LONGEST = 5_000, 2, 4
 EDGE = "\x01"
-_TRIM = b".,;:!?\"'()[]{}<>*_-0123456789"
+_TRIM = ".,;:!?\"'()[]{}<>*_-0123456789"
 
 
 @dataclass
 class Model:
     langs: list[str]
-    words: dict[bytes, int] = field(default_factory=dict)
+    words: dict[str, int] = field(default_factory=dict)
     word_scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
     grams: dict[str, int] = field(default_factory=dict)
     gram_scores: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
@@ -32,22 +32,28 @@ def grams_of(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+def words_of(text: str) -> Counter:
+    """Lower-case words without marks around them, and how often they occur."""
+    out: Counter = Counter()
+    for w, c in Counter(text.lower().split()).items():
+        out[w.strip(_TRIM)] += c
+    out.pop("", None)
+    return out
+
+
 def _count(batches):
     """Word and n-gram counts of each language, joined within a batch."""
     for batch in batches:
         by: dict[str, Counter] = {}
-        for text, lang in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            if text is not None and lang is not None:
-                by.setdefault(lang, Counter()).update(w.strip(_TRIM) for w in text.lower().split())
+        for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            by.setdefault(lang, Counter()).update(words_of(text))
         rows: list[tuple] = []
         for lang, words in by.items():
-            words.pop(b"", None)
             grams: Counter = Counter()
             for w, c in words.items():
-                rows.append((lang, 0, w.decode("utf-8", "replace"), c))
-                s = w.decode("utf-8", "replace")
+                rows.append((lang, 0, w, c))
                 for n in range(1, LONGEST + 1):
-                    for g in grams_of(s, n):
+                    for g in grams_of(w, n):
                         grams[g] += c
             rows += [(lang, 1, g, c) for g, c in grams.items()]
         cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
@@ -55,33 +61,43 @@ def _count(batches):
 
 
 def fit(df: DataFrame, text_col: str, lang_col: str, id_col: str, sample: int = SAMPLE) -> Model:
-    """Model from the rows given, of which a hash of id and text takes about `sample` at most, from all of the table alike."""
-    rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    n = rows.count()
-    if not n:
+    """Model from the rows given, of which a hash of id and text draws about `sample` of each language at most, from all of the table alike.
+
+    Rows with a null text or language take no part; empty texts add nothing.
+    Rows that repeat an id and a text are drawn together. The model holds all
+    n-grams of the draw and the words that occur LEAST_COUNT times in it,
+    whatever the size of the table. A table without labelled rows gives a model
+    without languages. Other columns, whatever their names, play no part.
+    """
+    slim = df.select(F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").alias("l"), F.col(f"`{id_col}`").alias("i")).filter("t is not null and l is not null")
+    sizes = slim.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy("l").collect()  # one row for each language
+    langs = [r["l"] for r in sizes]
+    if not langs:
         return Model([])
-    share = min(1.0, sample / n)
-    drawn = rows.filter(F.shiftrightunsigned(F.xxhash64(F.lit(6), F.col(id_col), F.col(text_col)), 11) < F.lit(int(share * (1 << 53)))) if share < 1 else rows
-    counts = drawn.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).mapInArrow(_count, "lang string, kind int, gram string, n long")
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["l"], sample / r["n"])])
+    spread = F.shiftrightunsigned(F.xxhash64(F.lit(6), "i", "t"), 11) / F.lit(float(1 << 53))
+    drawn = slim.filter(spread < F.element_at(share, F.col("l")))
+    counts = drawn.select("t", "l").mapInArrow(_count, "lang string, kind int, gram string, n long")
     counts = counts.groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n"))
-    per = counts.groupBy("kind", "gram").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    per = per.persist()
-    kept = []
-    for kind, most in ((0, MAX_WORDS), (1, MAX_GRAMS)):
-        kept.append(per.filter((F.col("kind") == kind) & ((F.col("total") > 1) | F.lit(share == 1.0))).orderBy(F.desc("total"), "gram").limit(most).select("gram", "by").collect())
-    langs = sorted({x for k in kept for r in k for x in r["by"]})
+    per = counts.groupBy("kind", "gram").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
+    kept = per.filter((F.col("kind") == 1) | (F.col("total") >= LEAST_COUNT)).select("kind", "gram", "by")
     at = {x: i for i, x in enumerate(langs)}
-    per.unpersist()
-
-    def scores(rows: list) -> np.ndarray:
-        c = np.full((len(rows), len(langs)), 0.5)
-        for i, r in enumerate(rows):
-            for lang, k in r["by"].items():
-                c[i, at[lang]] += k
-        return np.log(c / c.sum(0)).astype(np.float32)
-
-    words, grams = kept
-    return Model(langs, {r["gram"].encode(): i for i, r in enumerate(words)}, scores(words), {r["gram"]: i for i, r in enumerate(grams)}, scores(grams))
+    grams: tuple[dict[str, int], dict[str, int]] = ({}, {})
+    table = kept.toArrow()  # of the draw's texts alone
+    kinds, by = table.column("kind").to_numpy(), table.column("by").combine_chunks()
+    names = table.column("gram").to_pylist()
+    row = np.repeat(np.arange(len(kinds)), np.diff(by.offsets.to_numpy()))
+    lang = np.array([at[x] for x in by.values.field("lang").to_pylist()], np.int64)
+    c = np.full((len(kinds), len(langs)), 0.5)
+    c[row, lang] += by.values.field("n").to_numpy()
+    scores = []
+    for kind in (0, 1):
+        mine = np.flatnonzero(kinds == kind)
+        mine = mine[np.argsort([names[i] for i in mine], kind="stable")] if len(mine) else mine
+        grams[kind].update((names[i], j) for j, i in enumerate(mine))
+        part = c[mine]
+        scores.append(np.log(part / np.maximum(part.sum(0), 1e-300)).astype(np.float32))
+    return Model(langs, grams[0], scores[0], grams[1], scores[1])
 
 
 class Scorer:
@@ -89,23 +105,21 @@ class Scorer:
 
     def __init__(self, model: Model, cache: int = 200_000):
         self.m, self.cache = model, cache
-        self.seen: dict[bytes, np.ndarray] = {}
+        self.seen: dict[str, np.ndarray] = {}
         self.posteriors = self._softmax(model.word_scores) if model.langs else None
-        self.kept: dict[bytes, int] = {}
 
     @staticmethod
     def _softmax(x: np.ndarray) -> np.ndarray:
         e = np.exp(x - x.max(-1, keepdims=True)) if len(x) else x
         return e / e.sum(-1, keepdims=True) if len(x) else x
 
-    def backoff(self, word: bytes) -> np.ndarray:
+    def backoff(self, word: str) -> np.ndarray:
         """Mean log frequency of the known n-grams of the longest order that has any."""
         v = self.seen.get(word)
         if v is None:
-            s = word.decode("utf-8", "replace")
             v = np.zeros(len(self.m.langs), np.float32)
             for n in range(LONGEST, 0, -1):
-                found = [i for g in grams_of(s, n) if (i := self.m.grams.get(g)) is not None]
+                found = [i for g in grams_of(word, n) if (i := self.m.grams.get(g)) is not None]
                 if found:
                     v = self.m.gram_scores[found].mean(0)
                     break
@@ -114,16 +128,12 @@ class Scorer:
             self.seen[word] = v
         return v
 
-    def score(self, text: bytes | None) -> tuple[str, float]:
-        if not text or not self.m.langs or not any(map(str.isalpha, text.decode("utf-8", "replace"))):
+    def score(self, text: str | None) -> tuple[str, float]:
+        if not text or not self.m.langs or not any(map(str.isalpha, text)):
             return "und", 0.0
         ids, n, rest, rest_n = [], [], [], []
         known = self.m.words
-        tally: Counter = Counter()
-        for w, c in Counter(text.lower().split()).items():
-            tally[w.strip(_TRIM)] += c
-        tally.pop(b"", None)
-        for w, c in tally.items():
+        for w, c in words_of(text).items():
             i = known.get(w)
             if i is None:
                 rest.append(self.backoff(w))
@@ -152,12 +162,13 @@ def predict(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     score is the mean over words of the posterior of the predicted language.
     Null texts and texts without a letter (or a model without languages) get
     und and 0. Ties go to the language that comes first by code point. Rows
-    are judged alone; an empty table stays empty.
+    are judged alone, a very long text by all its words; an empty table stays
+    empty.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)  # its size is bounded by MAX_WORDS and MAX_GRAMS
+    shared = df.sparkSession.sparkContext.broadcast(model)  # its size is bounded by that of the draw it was fitted on
 
     def run(scorer: Scorer, text: pa.Array) -> list:
-        out = [scorer.score(t) for t in as_bytes(text)]
+        out = [scorer.score(t) for t in text.to_pylist()]
         return [[x[0] for x in out], [x[1] for x in out]]
 
     base = without(df, ["lang_pred", "score"])
