@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from .common import drop_staged, map_columns, staged, without
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Most bits that a level may have; the listed keys' filter is broadcast, so its size is checked against this.
-MAX_BITS = 1 << 30
+#: Most bits that a level may have, as it is broadcast: 16 MB. More listed keys are split by a hash into several cascades.
+MAX_BITS = 1 << 27
+RATE = 2**-8  # of false positives of the first level
 
 
 @dataclass(frozen=True)
@@ -102,12 +103,15 @@ class Cascade:
         return out
 
 
+def bits_of(count: int, rate: float) -> int:
+    return max(64, math.ceil(count * max(1, round(-math.log2(rate))) / math.log(2) / 64) * 64)
+
+
 def _build_level(keys: DataFrame, count: int, level: int, rate: float) -> Level:
     """One filter; bits are set in the executors and joined by 64-bit word, so the driver gets m / 64 words."""
-    k = max(1, round(-math.log2(rate)))
-    m = max(64, math.ceil(count * k / math.log(2) / 64) * 64)
+    k, m = max(1, round(-math.log2(rate))), bits_of(count, rate)
     if m > MAX_BITS:
-        raise ValueError(f"a level of {m} bits is over MAX_BITS={MAX_BITS}: split the listed keys by a hash of the host")
+        raise ValueError(f"a level of {m} bits is over MAX_BITS={MAX_BITS}")
     h1, h2 = _keys(F.col("key"), level)
 
     def places(a: pa.Array, b: pa.Array) -> list:
@@ -137,7 +141,7 @@ def build_cascade(universe: DataFrame, max_levels: int = 40) -> Cascade:
     count = left.count()
     owned: list[DataFrame] = []
     while count and len(levels) < max_levels:
-        levels.append(_build_level(left, count, len(levels), 2**-8 if not levels else 0.5))
+        levels.append(_build_level(left, count, len(levels), RATE if not levels else 0.5))
         wrong = staged(_accepted(other, levels[-1], len(levels) - 1), "bloom")
         owned.append(wrong)
         left, other, count = wrong, left, wrong.count()
@@ -166,28 +170,37 @@ def with_member(df: DataFrame, key_col: str, cascade: Cascade, name: str = "list
     return map_columns(hashed, inputs, f"{name} boolean", has).drop(*inputs)
 
 
-def filter_urls(df: DataFrame, listed: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
+def filter_urls(df: DataFrame, listed: DataFrame, url_col: str = "url", rules=RULES, most_bits: int = MAX_BITS) -> DataFrame:
     """df with host, path, rule, listed and verdict (allow or block); columns of these names are replaced.
 
-    listed: a table whose column host has the listed hosts. Where no rule fits, a url is blocked if its host is listed.
+    listed: a table whose column host has the listed hosts. Where no rule fits,
+    a url is blocked if its host is listed. Of the rules that fit, the longest
+    decides; two of equal length that fit one url would be the same rule but
+    for the place of the first slash, and then the later in the table decides.
     Null urls and those without :// have an empty host and path; an empty host
-    is a key like any other. Rows are judged alone; an empty table stays empty.
+    is a key like any other. Rows are judged alone, so very long urls and
+    repeats change nothing; an empty table stays empty.
+
+    The cascade is built over all hosts of df, so membership is exact. Listed
+    hosts beyond what most_bits hold are split by a hash of the host, with a
+    cascade for each part.
     """
     base = without(df, [n for n in ("host", "path", "rule", "listed", "verdict", "_rv") if n != url_col.lower()])
     url = F.col(f"`{url_col}`")
     parts = base.withColumn("host", host_of(url)).withColumn("path", path_of(url))
-    hosts = parts.select(F.col("host").alias("key")).distinct()
-    marks = listed.select(F.coalesce(F.col("host"), F.lit("")).alias("key")).distinct().withColumn("listed", F.lit(True))
-    universe = hosts.join(marks, "key", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
-    universe = staged(universe, "hosts")
-    cascade = build_cascade(universe)
-    drop_staged(universe)
+    # every host once, with whether it is listed; a listed host that no url has plays no part
+    seen = parts.select(F.col("host").alias("key"), F.lit(True).alias("here"), F.lit(False).alias("listed"))
+    marks = listed.select(F.coalesce(F.col("host"), F.lit("")).alias("key"), F.lit(False).alias("here"), F.lit(True).alias("listed"))
+    universe = seen.union(marks).groupBy("key").agg(F.max("here").alias("here"), F.max("listed").alias("listed"))
+    universe = staged(universe.filter("here").select("key", "listed"), "hosts")
+    count = universe.filter("listed").count()
+    shards = max(1, math.ceil(bits_of(count, RATE) * 1.1 / most_bits)) if count > 64 else 1
     text, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    judged = with_member(parts.withColumn("rule", text).withColumn("_rv", verdict), "host", cascade)
-    return judged.withColumn("verdict", F.coalesce("_rv", F.when(F.col("listed"), "block").otherwise("allow"))).drop("_rv")
-
-
-def listed_by_terms(df: DataFrame, terms: tuple[str, ...], url_col: str = "url") -> DataFrame:
-    """The hosts of df that have one of the terms as a whole part between dots and hyphens."""
-    pattern = r"(^|[.-])(" + "|".join(terms) + r")($|[.-])"
-    return df.select(host_of(F.col(f"`{url_col}`")).alias("host")).filter(F.col("host").rlike(pattern)).distinct()
+    ruled = parts.withColumn("rule", text).withColumn("_rv", verdict)
+    out = None
+    for s in range(shards):
+        mine = lambda df, c: df if shards == 1 else df.filter(F.pmod(F.xxhash64(F.lit(-1), c), F.lit(shards)) == s)  # noqa: B023, E731
+        judged = with_member(mine(ruled, "host"), "host", build_cascade(mine(universe, "key")))
+        out = judged if out is None else out.union(judged)
+    drop_staged(universe)
+    return out.withColumn("verdict", F.coalesce("_rv", F.when(F.col("listed"), "block").otherwise("allow"))).drop("_rv")
