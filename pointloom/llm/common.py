@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     root = os.path.join(tempfile.gettempdir(), f"pointloom-{os.getuid()}")
     os.makedirs(root, exist_ok=True)
@@ -43,13 +43,56 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex[:12]}"
 
 
+_MADE: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage ends there, whatever executor is lost."""
+    """df written to the shared folder and read back: lineage ends there, whatever executor is lost.
+
+    drop_staged deletes it; what is left goes when the driver ends.
+    """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    _MADE.append(path)
+    where, fs = _hadoop(df.sparkSession, path)
+    fs.deleteOnExit(where)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where, fs = _hadoop(spark, path)
+    fs.delete(where, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
+def drop_staged(df: DataFrame) -> None:
+    """Delete the files behind a staged table that nothing reads any more."""
+    for path in _paths(df):
+        _delete(df.sparkSession, path)
+
+
+def _paths(df: DataFrame) -> list[str]:
+    read = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
+    return [p for p in _MADE if p.rpartition("/")[2] in read]
+
+
+def made() -> set[str]:
+    """The staged tables that are there."""
+    return set(_MADE)
+
+
+def drop_made(spark: SparkSession, before: set[str], kept: DataFrame) -> None:
+    """Delete all that was staged since `before` but what `kept` reads."""
+    for path in set(_MADE) - before - set(_paths(kept)):
+        _delete(spark, path)
+
+
 def wrapped(df: DataFrame, keep: list[str], name: str = "_own") -> DataFrame:
     """df with all columns but `keep` held in one struct, so that an operator's columns cannot clash with them."""
     rest = [c for c in df.columns if c not in keep]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, without
+from .common import map_columns, slices, without
 
 #: Labelled documents of each language that the model is fitted on (in expectation), how often a word has to occur in them, and the longest n-gram.
 SAMPLE, LEAST_COUNT, LONGEST = 5_000, 2, 4
@@ -42,8 +42,8 @@ def words_of(text: str) -> Counter:
 
 
 def _count(batches):
-    """Word and n-gram counts of each language, joined within a batch."""
-    for batch in batches:
+    """Word and n-gram counts of each language, joined within a few megabytes of text."""
+    for batch in (b.slice(at, n) for b in batches for at, n in slices([b.column(0)], 4096, 4 << 20)):
         by: dict[str, Counter] = {}
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             by.setdefault(lang, Counter()).update(words_of(text))
@@ -103,7 +103,7 @@ def fit(df: DataFrame, text_col: str, lang_col: str, id_col: str, sample: int =
 class Scorer:
     """Scores whole texts; keeps the vectors of unseen words, up to a bound."""
 
-    def __init__(self, model: Model, cache: int = 200_000):
+    def __init__(self, model: Model, cache: int = 100_000):
         self.m, self.cache = model, cache
         self.seen: dict[str, np.ndarray] = {}
         self.posteriors = self._softmax(model.word_scores) if model.langs else None

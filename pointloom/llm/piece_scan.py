@@ -32,7 +32,7 @@ SPACE = "▁"
 #: Texts of more characters are encoded in chunks of this many.
 CHUNK = 32_768
 CUT = -1  # the state at a boundary that is a cut
-MAX_CACHED = 200_000
+MAX_CACHED = 50_000
 
 
 class Pieces:
@@ -55,7 +55,7 @@ class Pieces:
             raise ValueError("this model has pieces with line feeds")
         self.cut = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
         self.feed = np.array(self.sp.encode("\n")[1:], "<i4").tobytes()
-        self.memo = WordMemo(self._learn, 150_000)
+        self.memo = WordMemo(self._learn, 100_000)
         self.pairs: dict[tuple[str, str], bool] = {}
 
     # whole words by the library

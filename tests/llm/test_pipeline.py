@@ -4,6 +4,7 @@ import re
 import corpus_pipeline as P
 import sentencepiece
 from conftest import SF
+from pyspark.sql import functions as F
 from test_llm import classes
 
 from pointloom.llm.queries import tokenizer_path
@@ -41,3 +42,19 @@ def test_odd_documents(spark):
     for _, stage in P.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_own_columns_keep_their_values(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    clash = ["kept", "score", "lang_pred", "copies", "copy", "size", "target", "rate", "n_words", "_id", "_th", "_n", "_own", "_s", "cut", "unit", "id", "th", "node", "ids", "n_chunks", "source_size", "Taken"]
+    own = docs.select(*docs.columns, *[F.concat(F.lit(f"{c}-"), "doc_id").alias(c) for c in clash])
+    plain = docs
+    for name, stage in P.STAGES:
+        own, plain = stage(spark, own, SF), stage(spark, plain, SF)
+        if name != "encode_pieces":
+            assert own.columns == [*docs.columns, *clash]
+            rows = own.collect()
+            assert rows and all(r[c] == f"{c}-{r['doc_id']}" for r in rows for c in clash), name
+        else:
+            rows = own.collect()
+        assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in plain.collect()), name
