@@ -364,6 +364,44 @@ def alpha_edges(df: DataFrame, keys: Sequence[str], factor: float = 2.5, local:
     return _per_group(df, keys, "a long, b long", fn)
 
 
+def loops_of(edges: list[tuple[int, int]]) -> list[list[int]]:
+    """Boundary edges as closed loops: each begins at its least node and goes on to its lesser neighbour; an edge is used once."""
+    near: dict[int, list[int]] = {}
+    for i, j in edges:
+        near.setdefault(i, []).append(j)
+        near.setdefault(j, []).append(i)
+    left = {frozenset(e) for e in edges}
+    out = []
+    for start in sorted(near):
+        while any(frozenset((start, j)) in left for j in near[start]):
+            loop, at = [start], start
+            while True:
+                step = next((j for j in sorted(near[at]) if frozenset((at, j)) in left), None)
+                if step is None:
+                    break
+                left.discard(frozenset((at, step)))
+                if step == start:
+                    break
+                loop.append(step)
+                at = step
+            out.append(loop)
+    return out
+
+
+def alpha_polygons(df: DataFrame, keys: Sequence[str], factor: float = 2.5, local: bool = False, id_col: str = "id") -> DataFrame:
+    """keys, loop, order, id: the concave outline of each group as ordered loops of points, in its best plane."""
+
+    def fn(pdf: pd.DataFrame) -> list[tuple]:
+        pdf = pdf.sort_values(id_col)
+        ids = pdf[id_col].to_numpy()
+        if len(pdf) < 3:
+            return []
+        t = alpha_triangles(to_plane(pdf[["x", "y", "z"]].to_numpy(float)), factor, local)
+        return [(i, k, int(ids[v])) for i, loop in enumerate(loops_of(boundary(t))) for k, v in enumerate(loop)]
+
+    return _per_group(df, keys, "loop int, order int, id long", fn)
+
+
 def dilated_areas(df: DataFrame, keys: Sequence[str], margin: float = 5.0, pixel: float = 1.0, factor: float = 2.5) -> DataFrame:
     """keys, area: raster area of the concave outline grown by margin; fewer than three points give a union of discs."""
 
@@ -395,21 +433,22 @@ def dilated_areas(df: DataFrame, keys: Sequence[str], margin: float = 5.0, pixel
     return _per_group(df, keys, "area double", fn)
 
 
-def point_triangle_distance(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> float:
-    """Distance from a point to a triangle."""
+def point_triangle_distances(p: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Distances (n) from points (n x 3) to triangles (corners n x 3), row by row."""
+    dot = lambda u, v: np.einsum("ij,ij->i", u, v)
 
-    def segment(u: np.ndarray, v: np.ndarray) -> float:
+    def segment(u: np.ndarray, v: np.ndarray) -> np.ndarray:
         d = v - u
-        s = np.clip((p - u) @ d / max(float(d @ d), 1e-300), 0, 1)
-        return float(np.linalg.norm(p - u - s * d))
+        s = np.clip(dot(p - u, d) / np.maximum(dot(d, d), 1e-300), 0, 1)
+        return np.linalg.norm(p - u - s[:, None] * d, axis=1)
 
     n = np.cross(b - a, c - a)
-    nn = float(n @ n)
-    if nn > 0:
-        w = [float(np.cross(v - u, p - u) @ n) for u, v in ((a, b), (b, c), (c, a))]
-        if min(w) >= 0:
-            return abs(float((p - a) @ n)) / nn**0.5
-    return min(segment(a, b), segment(b, c), segment(c, a))
+    nn = dot(n, n)
+    inside = nn > 0
+    for u, v in ((a, b), (b, c), (c, a)):
+        inside &= dot(np.cross(v - u, p - u), n) >= 0
+    edge = np.minimum(np.minimum(segment(a, b), segment(b, c)), segment(c, a))
+    return np.where(inside, np.abs(dot(p - a, n)) / np.sqrt(np.maximum(nn, 1e-300)), edge)
 
 
 def nearest_on_mesh(points: DataFrame, vertices: DataFrame, faces: DataFrame, keys: Sequence[str], reach: float, id_col: str = "id") -> DataFrame:
@@ -428,7 +467,7 @@ def nearest_on_mesh(points: DataFrame, vertices: DataFrame, faces: DataFrame, ke
     @F.pandas_udf("double")
     def gap(*columns: pd.Series) -> pd.Series:
         m = np.column_stack([c.to_numpy(float) for c in columns])
-        return pd.Series([point_triangle_distance(r[:3], r[3:6], r[6:9], r[9:12]) for r in m])
+        return pd.Series(point_triangle_distances(m[:, :3], m[:, 3:6], m[:, 6:9], m[:, 9:12]))
 
     d = met.select(*keys, id_col, gap(*inputs).alias("d")).filter(F.col("d") <= reach)
     return d.groupBy(*keys, id_col).agg(F.min("d").alias("d"))

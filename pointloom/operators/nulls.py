@@ -47,34 +47,46 @@ def _packed_labels(batches):
         yield pa.RecordBatch.from_pydict(cols)
 
 
-def permuted_counts(points: DataFrame, labels: DataFrame, step: float, r_max: float, keys: Sequence[str]) -> DataFrame:
-    """keys, rep, bin, n12: ordered pairs from the first kind to the second in each replicate, by distance bin.
-
-    Distances are found once and binned to small integers. The pairs of CHUNK
-    first points meet the bits of their keys' labels in one task, where the
-    counts of all replicates are products of matrices; no row is made for a
-    pair in a replicate. Replicates are numbered from -1 or more.
-    """
+def _unpacked(rows, width: int):
     import numpy as np
-    import pandas as pd
 
-    keys = list(keys)
+    flat = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in rows), np.uint8).reshape(len(rows), width)
+    return np.unpackbits(flat, axis=1)
+
+
+def _met(points: DataFrame, labels: DataFrame, step: float, r_max: float, keys: list[str], run, schema: str, factors: DataFrame | None = None) -> DataFrame:
+    """run over the binned pairs of CHUNK first points at a time, with the bits of their keys' labels; pairs carry the factors of a."""
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = within(points, points, r_max, keys).filter(F.col("a_id") != F.col("b_id"))
     pairs = d.select(*keys, F.col("a_id").alias("a"), F.col("b_id").alias("b"), (F.floor(F.col("d") / float(step)) + 1).cast("smallint").alias("bin")).filter(F.col("bin") <= int(r_max / step + 0.5))
     chunk = F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy("id")) - 1) / CHUNK).cast("int").alias("_chunk")
     dealt = points.select(*keys, F.col("id").alias("a"), chunk)
-    pairs = pairs.join(dealt, [*keys, "a"]).repartition(parts, *keys, "_chunk")
+    pairs = pairs.join(dealt, [*keys, "a"])
+    if factors is not None:
+        p = factors.groupBy(*keys, F.col("id").alias("a")).agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "p"))), lambda x: x["p"]).alias("p"))  # one focus's radii
+        pairs = pairs.join(p, [*keys, "a"])
+    pairs = pairs.repartition(parts, *keys, "_chunk")
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in points.select(*keys).schema]
     listed = labels.groupBy(*keys, "id").agg(F.collect_list(F.when(F.col("is_first"), F.col("rep"))).alias("ones"), F.collect_list(F.when(~F.col("is_first"), F.col("rep"))).alias("twos"))
     bits = listed.mapInArrow(_packed_labels, ", ".join([*kinds, "id long", "ones binary", "twos binary"]))
     bits = bits.join(dealt.select(*keys, "_chunk").distinct(), keys)
     # names of its own for each side, so that the sides do not share columns
     bits = bits.select(*[F.col(c).alias(c) for c in [*keys, "_chunk", "id", "ones", "twos"]]).repartition(parts, *keys, "_chunk")
+    return pairs.groupBy(*keys, "_chunk").cogroup(bits.groupBy(*keys, "_chunk")).applyInPandas(run, ", ".join([*kinds, schema]))
 
-    def unpacked(rows: pd.Series, width: int) -> np.ndarray:
-        flat = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in rows), np.uint8).reshape(len(rows), width)
-        return np.unpackbits(flat, axis=1)
+
+def permuted_counts(points: DataFrame, labels: DataFrame, step: float, r_max: float, keys: Sequence[str]) -> DataFrame:
+    """keys, rep, bin, n12: ordered pairs from the first kind to the second in each replicate, by distance bin.
+
+    Distances are found once and binned to small integers. The pairs of CHUNK
+    first points meet the bits of their keys' labels in one task, where the
+    counts of all replicates are products of matrices; no row is made for a
+    pair in a replicate. Replicates are numbered from -1 or more.
+    """
+    import numpy as np
+    import pandas as pd
+
+    keys = list(keys)
 
     def run(key: tuple, p: pd.DataFrame, labs: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -84,7 +96,7 @@ def permuted_counts(points: DataFrame, labels: DataFrame, step: float, r_max: fl
             a, at = np.unique(p["a"].to_numpy(), return_inverse=True)
             b, bt = np.unique(p["b"].to_numpy(), return_inverse=True)
             width = max(labs["ones"].map(len).max(), labs["twos"].map(len).max())
-            ones, twos = unpacked(labs.loc[a, "ones"], width), unpacked(labs.loc[b, "twos"], width)
+            ones, twos = _unpacked(labs.loc[a, "ones"], width), _unpacked(labs.loc[b, "twos"], width)
             bins = p["bin"].to_numpy()
             for k in np.unique(bins):
                 has = np.zeros((len(a), len(b)), np.float32)
@@ -98,10 +110,53 @@ def permuted_counts(points: DataFrame, labels: DataFrame, step: float, r_max: fl
             got.insert(0, name, value)
         return got
 
-    met = pairs.groupBy(*keys, "_chunk").cogroup(bits.groupBy(*keys, "_chunk")).applyInPandas(run, ", ".join([*kinds, "rep int", "bin smallint", "n long"]))
+    met = _met(points, labels, step, r_max, keys, run, "rep int, bin smallint, n long")
     return met.groupBy(*keys, "rep", "bin").agg(F.sum("n").alias("n12"))
 
 
+def permuted_sums(points: DataFrame, labels: DataFrame, factors: DataFrame, step: float, r_max: float, keys: Sequence[str]) -> DataFrame:
+    """keys, rep, bin, s12, s21: for each direction, the sum over foci of their partners within the radius, over the focus's edge factor.
+
+    factors: keys, id, bin, p for every point. As permuted_counts, pairs are
+    found once, and all replicates are products of matrices.
+    """
+    import numpy as np
+    import pandas as pd
+
+    keys, last = list(keys), int(r_max / step + 0.5)
+
+    def run(key: tuple, p: pd.DataFrame, labs: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(p) and len(labs):
+            labs = labs.set_index("id")
+            p = p[p["a"].isin(labs.index) & p["b"].isin(labs.index)]
+            a, first, at = np.unique(p["a"].to_numpy(), return_index=True, return_inverse=True)
+            b, bt = np.unique(p["b"].to_numpy(), return_inverse=True)
+            weight = 1.0 / np.array(p["p"].iloc[first].tolist(), float).reshape(len(a), last)
+            width = max(labs["ones"].map(len).max(), labs["twos"].map(len).max())
+            of_a, of_b = ([_unpacked(labs.loc[x, c], width) for c in ("ones", "twos")] for x in (a, b))
+            bins = p["bin"].to_numpy()
+            near = [np.zeros((len(a), len(b)), np.float32) for _ in range(last)]
+            for k in range(last):
+                near[k][at[bins == k + 1], bt[bins == k + 1]] = 1
+            for r in range(0, 8 * width, BLOCK):
+                ones_a, twos_a, ones_b, twos_b = (x[:, r : r + BLOCK].astype(np.float32) for x in (*of_a, *of_b))
+                to_twos, to_ones = np.zeros_like(ones_a), np.zeros_like(ones_a)
+                for k in range(last):
+                    to_twos, to_ones = to_twos + near[k] @ twos_b, to_ones + near[k] @ ones_b
+                    w = weight[:, k : k + 1]
+                    s12, s21 = (w * to_twos * ones_a).sum(0), (w * to_ones * twos_a).sum(0)
+                    live = np.flatnonzero((s12 > 0) | (s21 > 0))
+                    out.append(pd.DataFrame({"rep": live + r - 1, "bin": k + 1, "s12": s12[live], "s21": s21[live]}))
+        got = pd.concat(out) if out else pd.DataFrame({"rep": [], "bin": [], "s12": [], "s21": []})
+        for name, value in zip(reversed(keys), reversed(key[: len(keys)]), strict=True):
+            got.insert(0, name, value)
+        return got
+
+    met = _met(points, labels, step, r_max, keys, run, "rep int, bin int, s12 double, s21 double", factors)
+    return met.groupBy(*keys, "rep", "bin").agg(F.sum("s12").alias("s12"), F.sum("s21").alias("s21"))
+
+
 #: Radius windows of the global test: name, least and greatest radius.
 R_RANGES = (("full", None, None), ("30-50nm", 30.0, 50.0))
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import affine
 from .spatial import within
 
 
@@ -41,3 +42,22 @@ def labelled(voxels: DataFrame, references: DataFrame, reach: float) -> DataFram
     near = within(voxels.select("id", "x", "y", "z"), references, reach)
     best = near.groupBy("a_id").agg(F.min_by("b_label", F.struct("b_priority", "d", "b_label")).alias("label")).withColumnRenamed("a_id", "id")
     return voxels.join(best, "id", "left").withColumn("label", F.coalesce("label", F.lit(0)))
+
+
+def resampled(voxels: DataFrame, matrix: list[list[float]], shape: tuple[int, int, int], fill: float = 0.0) -> DataFrame:
+    """z, y, x, value on a grid of `shape` (z, y, x): the trilinear value of the volume where the 4 x 4 matrix takes each grid point (x, y, z).
+
+    Corners outside the volume count as fill. A grid point meets its eight
+    corners in one equi-join.
+    """
+    spark, (nz, ny, nx) = voxels.sparkSession, shape
+    grid = spark.range(nz * ny * nx).select(
+        F.floor(F.col("id") / (ny * nx)).cast("int").alias("z"), F.floor(F.col("id") % (ny * nx) / nx).cast("int").alias("y"), (F.col("id") % nx).cast("int").alias("x")
+    )
+    to = affine(matrix)
+    at = grid.select("z", "y", "x", *[c.alias(f"t{k}") for k, c in zip("xyz", to, strict=True)])
+    ends = {k: [(F.floor(f"t{k}").cast("int"), 1 - (F.col(f"t{k}") - F.floor(f"t{k}"))), ((F.floor(f"t{k}") + 1).cast("int"), F.col(f"t{k}") - F.floor(f"t{k}"))] for k in "xyz"}
+    corners = F.array(*[F.struct(a.alias("cx"), b.alias("cy"), c.alias("cz"), (u * v * w).alias("w")) for a, u in ends["x"] for b, v in ends["y"] for c, w in ends["z"]])
+    each = at.select("z", "y", "x", F.explode(corners).alias("c")).select("z", "y", "x", "c.cx", "c.cy", "c.cz", "c.w").filter("w > 0")
+    source = voxels.select(F.col("x").cast("int").alias("cx"), F.col("y").cast("int").alias("cy"), F.col("z").cast("int").alias("cz"), "value")
+    return each.join(source, ["cx", "cy", "cz"], "left").groupBy("z", "y", "x").agg(F.sum(F.col("w") * F.coalesce("value", F.lit(float(fill)))).alias("value"))

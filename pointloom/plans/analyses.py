@@ -51,25 +51,32 @@ def families(a: DataFrame, b: DataFrame, volume: DataFrame, step: float, r_max:
     return out
 
 
-def two_kinds(points: DataFrame, volume: DataFrame, step: float, r_max: float, replicates: int, key: str = "zone", least: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """Observed and null curves of K12 (zone, null, rep, r, value; rep -1 is observed) and the global tests.
+def two_kinds(points: DataFrame, volume: DataFrame, factors: DataFrame, step: float, r_max: float, replicates: int, key: str = "zone", least: int = 1000, ranges=nulls.R_RANGES) -> tuple[DataFrame, DataFrame]:
+    """Observed and null curves of K12, K21 and their combination (zone, null, curve, rep, r, k, value = L; rep -1 is observed), and the global tests of L over radius windows.
 
-    points: zone, id, kind (0 or 1), x, y, z. Nulls are random labels and
-    segregated labels. Distances are joined once for each null model.
+    points: zone, id, kind (0 or 1), x, y, z, all inside their zone's window,
+    whose volume and edge factors (zone, id, bin, p) are given. Zones need two
+    points of each kind. Nulls are random labels and segregated labels;
+    distances are joined once for each null model.
     """
     slim = points.select(key, "id", "x", "y", "z")
     first = points.filter("kind = 0").groupBy(key).agg(F.count(F.lit(1)).alias("n1"))
     n = points.groupBy(key).agg(F.count_if(F.col("kind") == 0).alias("c1"), F.count_if(F.col("kind") == 1).alias("c2")).filter("c1 >= 2 and c2 >= 2").join(volume, key)
     models = {"labels": nulls.permuted_labels(slim, replicates, [key], first), "segregated": nulls.segregated_labels(slim, replicates, first, key)}
     own = points.select(key, F.lit(-1).alias("rep"), "id", (F.col("kind") == 0).alias("is_first"))
+    grid = n.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1)))).withColumn("bin", F.explode(ripley.radius_grid(step, r_max)))
     tables = []
     for name, labels in models.items():
-        counts = nulls.permuted_counts(slim, staged(labels.unionByName(own), "labels"), step, r_max, [key])
-        reps = n.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1))))
-        full = ripley.cumulated(reps, counts.withColumnRenamed("n12", "n"), step, r_max, [key, "rep"])
-        tables.append(full.select(key, F.lit(name).alias("null"), "rep", "r", (F.col("volume") / (F.col("c1") * F.col("c2")) * F.col("count")).alias("value")))
-    both = staged(tables[0].unionByName(tables[1]), "curves")
-    tests = nulls.mad_test(both.filter("rep = -1").drop("rep"), both.filter("rep >= 0"), [key, "null"], least=least)
+        sums = nulls.permuted_sums(slim, staged(labels.unionByName(own), "labels"), factors, step, r_max, [key])
+        full = grid.join(sums, [key, "rep", "bin"], "left").withColumn("r", F.col("bin") * F.lit(float(step)))
+        scale = F.col("volume") / (F.col("c1") * F.col("c2"))
+        full = full.withColumn("k12", scale * F.coalesce("s12", F.lit(0.0))).withColumn("k21", scale * F.coalesce("s21", F.lit(0.0)))
+        full = full.withColumn("k_combined", ripley.combined(F.col("c1"), F.col("k12"), F.col("c2"), F.col("k21")))
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("curve"), F.col(f"k{s}").alias("k")) for c, s in (("12", "12"), ("21", "21"), ("combined", "_combined"))])).alias("_c")
+        tables.append(full.select(key, F.lit(name).alias("null"), "rep", "r", each).select(key, "null", "_c.curve", "rep", "r", "_c.k"))
+    both = tables[0].unionByName(tables[1])
+    both = staged(both.withColumn("value", ripley.l_of_k(F.col("k"), F.col("r"))), "curves")
+    tests = nulls.mad_over_ranges(both.filter("rep = -1").drop("rep", "k"), both.filter("rep >= 0").drop("k"), [key, "null", "curve"], ranges, least=least)
     return both, tests
 
 
@@ -98,3 +105,85 @@ def compared(a: DataFrame, b: DataFrame, on: Sequence[str], value: str, by: Sequ
     out = [F.count(F.lit(1)).alias("n"), F.avg(F.abs(d)).alias("mae"), F.avg(d).alias("bias"), F.corr("x", "y").alias("r")]
     out += [f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("mean", F.avg), ("sd", F.stddev_pop))]
     return j.groupBy(*by).agg(*out)
+
+
+def permuted_sites(sites: DataFrame, particles: DataFrame, surface: DataFrame, replicates: int, key: str = "zone") -> DataFrame:
+    """zone, rep, id, own, x, y, z: in each replicate as many points of sites and particles together are sites as there are sites.
+
+    A particle that becomes a site moves to its nearest surface point, if
+    there is a surface; a site that stays one keeps its place. Zones need a
+    site and a particle. Ids of sites and particles are numbered apart.
+    """
+    n1 = sites.groupBy(key).agg(F.count(F.lit(1)).alias("n1"))
+    tag = lambda df, own: df.select(key, (F.col("id") * 2 + (0 if own else 1)).alias("id"), "x", "y", "z").withColumn("own", F.lit(own))
+    pool = tag(sites, True).unionByName(tag(particles.join(n1.select(key), key, "left_semi"), False))
+    pool = pool.join(particles.select(key).distinct(), key, "left_semi")
+    snap = spatial.nearest(pool.filter("not own"), surface, [key], payload=["x", "y", "z"]).select(key, F.col("a_id").alias("id"), *[F.col(f"b_{k}").alias(f"s{k}") for k in "xyz"])
+    placed = pool.join(snap, [key, "id"], "left").select(key, "id", "own", *[F.coalesce(f"s{k}", k).alias(k) for k in "xyz"])
+    chosen = nulls.permuted_labels(pool, replicates, [key], n1).filter("is_first").select(key, "rep", "id")
+    return chosen.join(placed, [key, "id"]).select(key, "rep", "id", "own", "x", "y", "z")
+
+
+def site_curves(sets: DataFrame, particles: DataFrame, volume: DataFrame, window: DataFrame, h: float, step: float, r_max: float, key: str = "zone") -> DataFrame:
+    """zone, comparison, rep, n_sites, r, k, l: K of the particles around each set of sites, with edge factors over the grid of the window's box.
+
+    sets: zone, comparison, rep, id, x, y, z. A set's curve is V / (n1 n2)
+    times the sum over its sites of counts over edge factors. window: points
+    whose box is the window.
+    """
+    foci = sets.select(key, F.struct("comparison", "rep", "id").alias("id"), "x", "y", "z")
+    counts = ripley.focus_counts(foci, particles, step, r_max, [key])
+    factors = ripley.box_edge_factors(foci, window, h, step, r_max, [key])
+    both = counts.join(factors.select(key, "id", "bin", "p"), [key, "id", "bin"])
+    sums = both.groupBy(key, F.col("id.comparison").alias("comparison"), F.col("id.rep").alias("rep"), "bin", "r").agg(F.sum(F.col("count") / F.col("p")).alias("w"), F.count(F.lit(1)).alias("n_sites"))
+    n2 = particles.groupBy(key).agg(F.count(F.lit(1)).alias("n2"))
+    out = sums.join(n2, key).join(volume, key).withColumn("k", F.col("volume") / (F.col("n_sites") * F.col("n2")) * F.col("w"))
+    return out.select(key, "comparison", "rep", "n_sites", "bin", "r", "k", ripley.l_of_k(F.col("k"), F.col("r")).alias("l"))
+
+
+def fusion_sites(fusing: DataFrame, close: DataFrame, particles: DataFrame, surface: DataFrame, volume: DataFrame, window: DataFrame, h: float, step: float, r_max: float, replicates: int = 100, shift: float = 40.0, key: str = "zone", **how) -> DataFrame:
+    """site_curves of the fusing sites (observed), of close ones, of tangential shifts and of permuted labels, each replicate a curve; rep is -1 for the first two."""
+    one = lambda df, name: df.select(key, F.lit(name).alias("comparison"), F.lit(-1).alias("rep"), "id", "x", "y", "z")
+    moved = nulls.shifted_sites(fusing, surface, replicates, shift, key, **how)
+    swapped = permuted_sites(fusing, particles, surface, replicates, key)
+    reps = lambda df, name: df.select(key, F.lit(name).alias("comparison"), "rep", "id", "x", "y", "z")
+    sets = one(fusing, "observed").unionByName(one(close, "close")).unionByName(reps(moved, "shift")).unionByName(reps(swapped, "labels"))
+    return site_curves(staged(sets, "sets"), particles, volume, window, h, step, r_max, key)
+
+
+def fusion_table(curve: DataFrame, key: str = "zone", value: str = "l") -> DataFrame:
+    """zone, r, comparison, observed and the comparison's mean, deviation, percentile band and number of curves."""
+    obs = curve.filter("comparison = 'observed'").select(key, "r", F.col(value).alias("observed"))
+    rest = curve.filter("comparison <> 'observed'")
+    band = curves.percentile_band(rest, [key, "comparison", "r"], value)
+    sd = rest.groupBy(key, "comparison", "r").agg(F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"))
+    return band.join(sd, [key, "comparison", "r"]).join(obs, [key, "r"], "left")
+
+
+def density_controls(sites: DataFrame, particles: DataFrame, surface: DataFrame, radii: Sequence[float], offsets: Sequence[float], directions: int = 100, key: str = "zone", length: float = 50.0, samples: int = 100, **how) -> DataFrame:
+    """zone, id, radius, offset, real, control, n_controls: the particle density at each site, and its mean over controls moved by each offset.
+
+    The density of a place is that of the line through its nearest surface
+    point, by sliding cylinders of each radius; surface has normals. A site
+    without a control at an offset has no row there.
+    """
+    out = None
+    moved = None
+    for o in offsets:
+        part = nulls.shifted_sites(sites, surface, directions, float(o), key, **how).withColumn("offset", F.lit(float(o)))
+        moved = part if moved is None else moved.unionByName(part)
+    moved = staged(moved, "controls").withColumn("cid", F.struct("id", "rep", "offset"))
+    for r in radii:
+        scan = spatial.cylinder_counts(surface, particles, float(r), [key], length, samples).select(key, "id", "density")
+        at = staged(surface.select(key, "id", "x", "y", "z").join(scan, [key, "id"]), "scan")
+        real = spatial.nearest(sites, at, [key], payload=["density"]).select(key, F.col("a_id").alias("id"), F.col("b_density").alias("real"))
+        near = spatial.nearest(moved.select(key, "cid", "x", "y", "z"), at, [key], "cid", "id", ["density"])
+        control = near.groupBy(key, F.col("a_cid.id").alias("id"), F.col("a_cid.offset").alias("offset")).agg(F.avg("b_density").alias("control"), F.count(F.lit(1)).alias("n_controls"))
+        part = real.join(control, [key, "id"]).withColumn("radius", F.lit(float(r)))
+        out = part if out is None else out.unionByName(part)
+    return out.select(key, "id", "radius", "offset", "real", "control", "n_controls")
+
+
+def density_control_table(controls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """by, radius, offset and the bands of real minus control over the sites."""
+    return curves.mean_bands(controls.withColumn("delta", F.col("real") - F.col("control")), [*by, "radius", "offset"], "delta")

@@ -597,10 +597,48 @@ def cleft_id_parse(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("n_nationkey", names.id_list(text).alias("ids"))
 
 
-@query("SELECT n_name AS tomoname, r_name AS set_name, 'alignment_' || (n_nationkey % 3) AS alignment_dir FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE')")
+@query("""SELECT n_name AS tomogram_name, r_name AS set_name, 'alignment_' || (n_nationkey % 3) AS alignment_dir, CASE WHEN n_nationkey % 4 > 0 THEN [CAST(n_nationkey AS INT), CAST(n_regionkey AS INT)] END AS cleft_ids FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def manifest_scan(spark: SparkSession, sf: str) -> DataFrame:
-    j = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).filter(F.col("r_name").isin("ASIA", "EUROPE"))
-    return j.select(F.col("n_name").alias("tomoname"), F.col("r_name").alias("set_name"), names.required_key(F.concat(F.lit("alignment_"), (F.col("n_nationkey") % 3).cast("string"))).alias("alignment_dir"))
+    """A manifest of the nations, written as CSV and read by the source."""
+    from .sources.text import manifest
+    from .staging import new_path
+
+    j = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    ids = F.when(F.col("n_nationkey") % 4 > 0, F.concat_ws(", ", "n_nationkey", "n_regionkey"))
+    path = new_path(spark, "manifest")
+    j.select(F.concat(F.lit(" "), "n_name").alias("TomoName"), F.col("r_name").alias("set"), F.concat(F.lit("alignment_"), F.col("n_nationkey") % 3).alias("Alignment_Dir"), ids.alias("cleft_IDs")).write.option("header", True).csv(path)
+    return manifest(spark, path)
+
+
+@query("""SELECT CAST(zone AS INT) AS cleft, CAST(id AS BIGINT) AS id, kind = 1 AS second, round(x, 3) AS x, round(y, 3) AS y, round(z, 3) AS z FROM pts""")
+def star_picks(spark: SparkSession, sf: str) -> DataFrame:
+    """The points of each zone written as a STAR file and read again as picks."""
+    from .sources.text import picks
+
+    p = points(spark, sf).select("zone", "id", "kind", *[F.round(k, 3).alias(k) for k in "xyz"])
+    path = _star_files(spark, p)
+    got = picks(spark, f"{path}/*/*.star", "pick_*_x.star")
+    return got.select("cleft", F.col("extras")["id"].cast("long").alias("id"), (F.col("extras")["second"] == "1").alias("second"), "x", "y", "z")
+
+
+def _star_files(spark: SparkSession, p: DataFrame) -> str:
+    """One folder zone=<n> for each zone with a file pick_<n>_x.star; the file is one group's text."""
+    from .staging import new_path
+
+    path = new_path(spark, "star")
+    line = F.concat_ws(" ", "x", "y", "z", "id", "kind")
+    head = "\n".join(["", "data_", "", "loop_", "_faCoordinateX #1", "_faCoordinateY #2", "_faCoordinateZ #3", "_id #4", "_second #5"])
+    text = p.groupBy("zone").agg(F.concat(F.lit(head + "\n"), F.array_join(F.sort_array(F.collect_list(line)), "\n")).alias("value"))  # one file
+    text.repartition("zone").write.partitionBy("zone").text(path)
+    Path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in files.listStatus(Path(path)):
+        if folder.isDirectory():
+            zone = folder.getPath().getName().partition("=")[2]
+            for f in files.listStatus(folder.getPath()):
+                if f.getPath().getName().startswith("part-"):
+                    files.rename(f.getPath(), Path(folder.getPath(), f"pick_{zone}_x.star"))
+    return path
 
 
 @query("""SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, round(o_totalprice / 10000, 0) ORDER BY o_orderkey) AS k FROM orders) WHERE k = 1""")
@@ -760,7 +798,16 @@ def vesicle_table(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def two_kinds_test(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)
-    return rounded(analyses.two_kinds(p, ripley.volumes(p, Z), 5.0, 30.0, REPLICATES)[1])
+    return rounded(analyses.two_kinds(p, ripley.volumes(p, Z), ripley.box_edge_factors(p, p, H, 5.0, 50.0, Z), 5.0, 50.0, REPLICATES)[1])
+
+
+@query()
+def fusion_site_curves(spark: SparkSession, sf: str) -> DataFrame:
+    """Sites are the first kind, its points with z above 0 fusing and the others close; particles are the second kind."""
+    p = points(spark, sf)
+    sites, particles = of_kind(p, 0), of_kind(p, 1)
+    curve = analyses.fusion_sites(sites.filter("z > 0"), sites.filter("z <= 0"), particles, p, ripley.volumes(p, Z), p, H, 5.0, R_MAX, SHIFTS, 10.0, snap_limit=10.0)
+    return rounded(analyses.fusion_table(curve))
 
 
 @query()
@@ -909,6 +956,42 @@ def vesicle_document(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(doc.select("zone", "n", "distance_mean", "distance_sd", sizes.alias("n_points")))
 
 
+@query()
+def density_controls(spark: SparkSession, sf: str) -> DataFrame:
+    p = points(spark, sf)
+    sites = of_kind(p, 0).filter("z > 0")
+    out = analyses.density_controls(sites, of_kind(p, 1), of_kind(p, 0), [10.0, 20.0], [10.0, 20.0], 20, samples=11, snap_limit=10.0)
+    return rounded(analyses.density_control_table(out).select("radius", "offset", "n", "mean", "sd", "sem"))
+
+
+_T = [[0.8, 0.2, 0.0, 0.5], [-0.2, 0.8, 0.0, 2.25], [0.0, 0.0, 1.0, 0.5], [0.0, 0.0, 0.0, 1.0]]
+
+
+@query("""WITH v AS (SELECT CAST(o_custkey % 11 AS INT) AS x, CAST(o_orderkey % 7 AS INT) AS y, CAST(o_orderkey % 3 AS INT) AS z, round(avg(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2, 3),
+g AS (SELECT CAST(a AS INT) AS z, CAST(b AS INT) AS y, CAST(c AS INT) AS x FROM range(4) r(a), range(6) s(b), range(8) t(c)),
+p AS (SELECT *, 0.8::DOUBLE * x + 0.2::DOUBLE * y + 0.5::DOUBLE AS tx, -0.2::DOUBLE * x + 0.8::DOUBLE * y + 2.25::DOUBLE AS ty, z + 0.5::DOUBLE AS tz FROM g),
+e AS (SELECT p.z, p.y, p.x, v.value * (CASE WHEN i = 0 THEN 1 - (tx - floor(tx)) ELSE tx - floor(tx) END) * (CASE WHEN j = 0 THEN 1 - (ty - floor(ty)) ELSE ty - floor(ty) END) * (CASE WHEN k = 0 THEN 1 - (tz - floor(tz)) ELSE tz - floor(tz) END) AS part
+ FROM p, range(2) a(i), range(2) b(j), range(2) c(k) LEFT JOIN v ON v.x = floor(tx) + i AND v.y = floor(ty) + j AND v.z = floor(tz) + k)
+SELECT z, y, x, round(coalesce(sum(part), 0), 2) AS value FROM e GROUP BY 1, 2, 3""")
+def resampled_volume(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    v = o.groupBy((F.col("o_custkey") % 11).cast("int").alias("x"), (F.col("o_orderkey") % 7).cast("int").alias("y"), (F.col("o_orderkey") % 3).cast("int").alias("z")).agg(F.round(F.avg("o_totalprice"), 2).alias("value"))
+    return raster.resampled(v, _T, (4, 6, 8)).select("z", "y", "x", F.round("value", 2).alias("value"))
+
+
+@query()
+def concave_outlines(spark: SparkSession, sf: str) -> DataFrame:
+    return geometry.alpha_polygons(points(spark, sf).select("zone", "id", "x", "y", "z"), Z)
+
+
+@query(f"""SELECT a.zone, a.id, round(min({D}), 6) AS lo FROM k0 a JOIN k1 b ON a.zone = b.zone GROUP BY 1, 2""")
+def gap_by_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest distance by growing cells, away from the axes' origin."""
+    p = points(spark, sf).withColumns({"x": F.col("x") - 500, "y": F.col("y") + 250, "z": F.col("z") - 40})
+    near = spatial.nearest(of_kind(p, 0), of_kind(p, 1), Z, cell=3.0)
+    return near.select("zone", F.col("a_id").alias("id"), F.round("d", 6).alias("lo"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

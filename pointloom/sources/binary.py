@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -70,29 +71,54 @@ def ply_arrays(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         elif w[:1] == ["property"]:
             elements[-1][2].append(w[1:])
     order = "<" if "little" in form else ">"
-    words, pos = (iter(data[end:].split()), 0) if form == "ascii" else (None, end)
+    words, pos = (data[end:].split() if form == "ascii" else None), 0 if form == "ascii" else end
+    vertices, faces = np.zeros((0, 3)), [np.zeros((0, 3), int)]
+    for name, n, props in elements:
+        lists = any(p[0] == "list" for p in props)
+        if not lists and n:
+            names = [p[-1] for p in props]
+            if words is not None:
+                rows = np.array(words[pos : pos + n * len(props)], float).reshape(n, len(props))
+                pos += n * len(props)
+            else:
+                kind = np.dtype([(f"f{i}", order + _PLY[p[0]]) for i, p in enumerate(props)])
+                got = np.frombuffer(data, kind, n, pos)
+                rows = np.column_stack([got[f].astype(float) for f in kind.names])
+                pos += n * kind.itemsize
+            if name == "vertex":
+                vertices = rows[:, [names.index(k) for k in "xyz"]]
+        elif n:
+            read, pos = _ply_lists(data, words, pos, n, props, order)
+            if name == "face":
+                faces += [np.array([[v[0], v[i], v[i + 1]] for v in read for i in range(1, len(v) - 1)], int).reshape(-1, 3)]
+    return vertices, np.concatenate(faces)
+
+
+def _ply_lists(data: bytes, words: list[bytes] | None, pos: int, n: int, props: list[list[str]], order: str) -> tuple[list[list[int]], int]:
+    """The first list of each of n rows. Rows of one list of equal length, as in most meshes, are read at once."""
+    if words is None and len(props) == 1:
+        count, kind = (np.dtype(order + _PLY[k]) for k in props[0][1:3])
+        k = int(np.frombuffer(data, count, 1, pos)[0])
+        row = np.dtype([("n", count), ("v", kind, (k,))])
+        if pos + n * row.itemsize <= len(data):
+            got = np.frombuffer(data, row, n, pos)
+            if (got["n"] == k).all():
+                return got["v"].astype(int).tolist(), pos + n * row.itemsize
 
     def value(kind: str) -> float:
         nonlocal pos
         if words is not None:
-            return float(next(words))
+            pos += 1
+            return float(words[pos - 1])
         t = np.dtype(order + _PLY[kind])
-        x = np.frombuffer(data, t, 1, pos)[0]
         pos += t.itemsize
-        return float(x)
+        return float(np.frombuffer(data, t, 1, pos - t.itemsize)[0])
 
-    vertices, faces = [], []
-    for name, n, props in elements:
-        for _ in range(n):
-            row: dict[str, float | list[float]] = {}
-            for p in props:
-                row[p[-1]] = [value(p[2]) for _ in range(int(value(p[1])))] if p[0] == "list" else value(p[0])
-            if name == "vertex":
-                vertices.append([row["x"], row["y"], row["z"]])
-            elif name == "face":
-                v = [int(i) for i in next(x for x in row.values() if isinstance(x, list))]
-                faces += [[v[0], v[i], v[i + 1]] for i in range(1, len(v) - 1)]
-    return np.array(vertices, float).reshape(-1, 3), np.array(faces, int).reshape(-1, 3)
+    out = []
+    for _ in range(n):
+        row = [[value(p[2]) for _ in range(int(value(p[1])))] if p[0] == "list" else value(p[0]) for p in props]
+        out.append([int(i) for i in next(x for x in row if isinstance(x, list))])
+    return out, pos
 
 
 def mrc_array(data: bytes) -> tuple[np.ndarray, tuple[float, float, float]]:
@@ -171,3 +197,50 @@ def mrc_voxels(spark: SparkSession, path: str) -> DataFrame:
                     yield pd.DataFrame({"file": file, "z": z, "y": y.ravel(), "x": x.ravel(), "value": v[z].ravel().astype(float), "voxel_nm": size[0] / 10.0})
 
     return _files(spark, path).mapInPandas(run, "file string, z int, y int, x int, value double, voxel_nm double")
+
+
+def curve_artifacts(spark: SparkSession, path: str) -> DataFrame:
+    """file, zone_name, tomogram_name, name, curve, r, value of saved curve matrices (NPZ with r_vals and one matrix for each name)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for file, content in zip(b["file"], b["content"], strict=True):
+                with np.load(io.BytesIO(bytes(content)), allow_pickle=False) as z:
+                    r = z["r_vals"].astype(float)
+                    tags = {n: str(z[n]) if n in z.files else None for n in ("zone_name", "tomogram_name")}
+                    for name in z.files:
+                        m = z[name]
+                        if name in ("r_vals", *tags) or m.dtype.kind not in "fiu":
+                            continue
+                        m = np.atleast_2d(m.astype(float))
+                        if not m.size or m.shape[1] != len(r):
+                            continue
+                        yield pd.DataFrame({"file": file, **tags, "name": name, "curve": np.repeat(np.arange(len(m)), len(r)), "r": np.tile(r, len(m)), "value": m.ravel()})
+
+    return _files(spark, path).mapInPandas(run, "file string, zone_name string, tomogram_name string, name string, curve int, r double, value double")
+
+
+def mrc_bytes(v: np.ndarray, voxel: float) -> bytes:
+    """A volume [z, y, x] of 32-bit floats or 8-bit labels as an MRC file; voxel is its size in angstrom."""
+    mode, kind = (0, "i1") if v.dtype.kind in "iub" else (2, "<f4")
+    nz, ny, nx = v.shape
+    head = bytearray(1024)
+    struct.pack_into("<4i", head, 0, nx, ny, nz, mode)
+    struct.pack_into("<3i", head, 28, nx, ny, nz)
+    struct.pack_into("<6f", head, 40, nx * voxel, ny * voxel, nz * voxel, 90.0, 90.0, 90.0)
+    struct.pack_into("<3i", head, 64, 1, 2, 3)
+    head[208:212], head[212:216] = b"MAP ", b"\x44\x44\0\0"
+    return bytes(head) + v.astype(kind).tobytes()
+
+
+def mrc_files(voxels: DataFrame, voxel: float, keys: Sequence[str] = ("file",)) -> DataFrame:
+    """keys, content: the MRC file of each key's voxels (z, y, x, value); missing voxels are 0. A volume is one group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf[["z", "y", "x"]].to_numpy(int)
+        v = np.zeros(at.max(0) + 1, np.float32)
+        v[tuple(at.T)] = pdf["value"]
+        return pdf.iloc[:1][list(keys)].assign(content=[mrc_bytes(v, voxel)])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in voxels.select(*keys).schema)
+    return voxels.groupBy(*keys).applyInPandas(run, f"{kinds}, content binary")

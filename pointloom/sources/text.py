@@ -45,12 +45,14 @@ def with_layout(df: DataFrame, file_col: str = "file") -> DataFrame:
     return df.select("*", *[F.regexp_extract(file_col, LAYOUT, i).alias(n) for i, n in ((1, "set_name"), (2, "tomogram_name"), (3, "alignment_dir"))])
 
 
-def star_loop(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file, row, values map<string, string> of the first loop of each STAR file, by label without the underscore."""
-    lines = _lines(spark, path).withColumn("line", F.trim("line"))
-    whole = lines.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("l")).select("file", F.transform("l", lambda x: x["line"]).alias("l"))
-    after = F.expr("slice(l, array_position(l, 'loop_') + 1, size(l))")
-    loop = whole.filter(F.array_contains("l", "loop_")).withColumn("l", after)
+def _whole(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("file_name"))
+
+
+def _loops(whole: DataFrame) -> DataFrame:
+    """file, row, values of the first loop of each file; a file is split once and stays one row until its body is."""
+    lines = whole.select("file", F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)).alias("l"))
+    loop = lines.filter(F.array_contains("l", "loop_")).withColumn("l", F.expr("slice(l, array_position(l, 'loop_') + 1, size(l))"))
     labels = F.transform(F.filter("l", lambda x: x.startswith("_")), lambda x: F.substring_index(F.regexp_replace(x, r"^_", ""), " ", 1))
     ends = F.coalesce(F.expr("array_position(transform(l, x -> x = 'loop_' or startswith(x, 'data_')), true)"), F.lit(0))
     body = F.when(ends > 0, F.slice("l", 1, (ends - 1).cast("int"))).otherwise(F.col("l"))
@@ -59,17 +61,24 @@ def star_loop(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return rows.select("file", "row", F.map_from_arrays("labels", F.slice(F.split("line", r"\s+"), F.lit(1), F.size("labels"))).alias("values"))
 
 
+def star_loop(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, row, values map<string, string> of the first loop of each STAR file, by label without the underscore."""
+    return _loops(_whole(spark, path))
+
+
 def picks(spark: SparkSession, path: str | list[str], pattern: str, indices: list[int] | None = None) -> DataFrame:
     """Particles of STAR files: layout columns, cleft (the file's index), particle_idx, x, y, z in nm, extras.
 
-    With indices only files with these numbers are read: the filter is on the
-    file name, before lines are split.
+    Only files whose name fits the pattern, and with indices only those with
+    these numbers, are read: the filter is on the file's name, which Spark
+    applies to the list of files.
     """
-    loop = star_loop(spark, path)
-    name = F.element_at(F.split("file", "/"), -1)
-    loop = loop.withColumn("cleft", file_index(name, pattern)).filter(F.col("cleft").isNotNull())
+    index = file_index(F.col("_metadata.file_name"), pattern)
+    files = spark.read.text(path, wholetext=True).filter(index.isNotNull())
     if indices is not None:
-        loop = loop.filter(F.col("cleft").isin(indices))
+        files = files.filter(index.isin(indices))
+    whole = files.select("value", F.col("_metadata.file_path").alias("file"))
+    loop = _loops(whole).withColumn("cleft", file_index(F.element_at(F.split("file", "/"), -1), pattern))
     xyz = [finite(F.try_element_at("values", F.lit(f"faCoordinate{k.upper()}")).try_cast("double")).alias(k) for k in "xyz"]
     extras = F.map_filter("values", lambda k, v: ~k.isin("faCoordinateX", "faCoordinateY", "faCoordinateZ")).alias("extras")
     return with_layout(loop.select("file", "cleft", F.col("row").alias("particle_idx"), *xyz, extras))
@@ -95,6 +104,39 @@ def xyz(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parts.select("file", F.when(n != "", n.cast("int")).alias("segment"), F.col("line_no").alias("point_idx"), *v).filter("x is not null and y is not null and z is not null")
 
 
+def cleft_surfaces(spark: SparkSession, path: str | list[str], facings: tuple[str, ...] = ("outer", "inner")) -> DataFrame:
+    """zone, side (pre or post), facing (outer or inner), id, x, y, z of the clouds <zone>_<side>_<facing>.txt, with layout columns.
+
+    A zone needs both outer clouds; inner ones are optional. facings picks the
+    clouds that come back: both give the whole patch.
+    """
+    name = F.regexp_extract(F.element_at(F.split("file", "/"), -1), r"^(.*)_(pre|post)_(outer|inner)\.txt$", 1)
+    part = lambda i: F.regexp_extract(F.element_at(F.split("file", "/"), -1), r"^(.*)_(pre|post)_(outer|inner)\.txt$", i)
+    rows = xyz(spark, path).withColumn("zone", name).withColumn("side", part(2)).withColumn("facing", part(3)).filter("side <> ''")
+    rows = with_layout(rows).drop("segment").withColumnRenamed("point_idx", "id")
+    on = ["set_name", "tomogram_name", "alignment_dir", "zone"]
+    whole = rows.filter("facing = 'outer'").groupBy(*on).agg(F.count_distinct("side").alias("_n")).filter("_n = 2").select(*on)
+    return rows.filter(F.col("facing").isin(list(facings))).join(whole, on, "left_semi").select(*on, "side", "facing", "id", "x", "y", "z")
+
+
+def optional_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV table with a header, or an empty one if nothing is there."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(conf).exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def cached_table(spark: SparkSession, path: str, tag: int, compute) -> DataFrame:
+    """The table at path/tag=<tag>, made by compute() if it is not there whole; tags are whole numbers, so that none is nearly another."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/tag={tag}/_SUCCESS")
+    if not done.getFileSystem(conf).exists(done):
+        compute().write.mode("overwrite").parquet(f"{path}/tag={tag}")
+    return spark.read.parquet(f"{path}/tag={tag}")
+
+
 def pdb_atoms(spark: SparkSession, path: str) -> DataFrame:
     """file, atom, x, y, z of ATOM and HETATM lines, by fixed columns."""
     lines = _lines(spark, path).filter(F.col("line").rlike("^(ATOM|HETATM)"))

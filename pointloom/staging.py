@@ -21,9 +21,17 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{root}"
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back; its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

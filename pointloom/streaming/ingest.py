@@ -15,11 +15,15 @@ def upsert_stream(spark: SparkSession, source: str, schema: str, target: str, ch
 
     A batch writes target/v=<batch>; the newest version is the table. A batch
     that runs again overwrites its own version, so a restart changes nothing.
+    The version before stays for that; older ones are deleted.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         old = latest(spark, target, batch, number)
         upsert(old, batch, keys).write.mode("overwrite").parquet(f"{target}/v={number:09d}")
+        if number > 1:
+            gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/v={number - 2:09d}")
+            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -30,7 +30,8 @@ def test_both_ways_of_nearest_agree(spark):
     for a, b in clouds:
         left = frame(spark, a).union(spark.createDataFrame([(999, None, 0.0, 0.0)], "id long, x double, y double, z double"))
         rows = lambda **how: sorted((r["a_id"], r["b_id"], round(r["d"], 9)) for r in spatial.nearest(left, frame(spark, b), **how).collect())  # noqa: B023, E731
-        assert rows(cell=5.0) == rows() and len(rows()) == len(a)
+        direct = rows()
+        assert rows(cell=5.0) == direct and len(direct) == len(a)
     assert spatial.nearest(frame(spark, clouds[2][0]), left.filter("x is null"), cell=2.0).count() == 0
 
 
@@ -137,7 +138,7 @@ def sites_of(spark, n, size, seed):
 def test_matchings_have_no_clash(spark):
     import itertools
 
-    rows, sites = sites_of(spark, 14, 10, 8)
+    rows, sites = sites_of(spark, 10, 8, 8)
     at = {(r[1], r[2]): np.array(r[3:]) for r in rows}
     fits = lambda s: all(not set(p) & set(q) and np.linalg.norm(at[p] - at[q]) >= 3 for p, q in itertools.combinations(s, 2))
     most = max(k for k in range(len(rows) + 1) if k <= 7 and any(fits(s) for s in itertools.combinations(sorted(at), k)))
@@ -248,3 +249,210 @@ def test_window_of_a_hull(spark):
     top, bottom = (frame(spark, np.c_[np.random.default_rng(8).uniform(0, 30, (80, 2)), np.full(80, z)], zone=[0] * 80) for z in (10.0, 20.0))
     between = ripley.window_grid(p, geometry.hull_planes(p.select("zone", "x", "y", "z"), ["zone"]), 3.0, ["zone"], bottom, top).collect()
     assert between and all(8 <= r["z"] <= 22 for r in between)
+
+
+def brute_k(x, one, two, volume, p, radii):
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    near = [(d < r) & ~np.eye(len(x), dtype=bool) for r in radii]
+    return np.array([volume / (one.sum() * two.sum()) * ((m & two[None]).sum(1)[one] / p[one, k]).sum() for k, m in enumerate(near)])
+
+
+def test_two_kinds_as_brute_force(spark):
+    """Observed curves and null curves of both directions, with edge factors, and their global test."""
+    import hashlib
+
+    from pointloom.operators import nulls
+    from pointloom.plans import analyses
+
+    rng = np.random.default_rng(17)
+    n, step, last = 24, 4.0, 5
+    x = rng.uniform(0, 20, (n, 3))
+    kind = np.array([i % 3 == 0 for i in range(n)])
+    p = frame(spark, x, kind=[0 if k else 1 for k in kind], zone=[3] * n).withColumn("id", F.col("id").cast("long"))
+    volume = ripley.volumes(p, ["zone"])
+    factors = ripley.box_edge_factors(p, p, 2.0, step, step * last, ["zone"])
+    share = {(r["id"], r["bin"]): r["p"] for r in factors.collect()}
+    w = np.array([[share[i, b + 1] for b in range(last)] for i in range(n)])
+    v, radii = volume.first()["volume"], [step * (b + 1) for b in range(last)]
+    curve, tests = analyses.two_kinds(p, volume, factors, step, step * last, 30, least=30)
+    got = {(r["null"], r["curve"], r["rep"], r["r"]): r["k"] for r in curve.collect()}
+    for rep in (-1, 0, 7, 29):
+        order = sorted(range(n), key=lambda i: hashlib.md5(f"{rep}:{i}".encode()).hexdigest())
+        one = kind if rep < 0 else np.isin(np.arange(n), order[: kind.sum()])
+        k12, k21 = brute_k(x, one, ~one, v, w, radii), brute_k(x, ~one, one, v, w, radii)
+        both = (one.sum() * k12 + (~one).sum() * k21) / n
+        for c, want in (("12", k12), ("21", k21), ("combined", both)):
+            assert [got["labels", c, rep, r] for r in radii] == pytest.approx(want.tolist(), rel=1e-5)
+    t = {(r["null"], r["curve"], r["r_range"]): r for r in tests.collect()}
+    null = {k: np.array([[got["labels", "21", rep, r] for r in radii] for rep in range(30)]) for k in ("k",)}["k"]
+    lift = lambda k: np.cbrt(3 * np.maximum(k, 0) / (4 * np.pi)) - np.array(radii)
+    obs, null = lift(np.array([got["labels", "21", -1, r] for r in radii])), lift(null)
+    mu = np.vstack([null, obs]).mean(0)
+    t_obs, t_null = abs(obs - mu).max(), abs(null - mu).max(1)
+    r = t["labels", "21", "full"]
+    at = int(np.argmax(abs(obs - mu)))
+    assert (r["t_obs"], r["t_crit"], r["p"], r["r_at_max"], r["signed_diff"]) == pytest.approx((t_obs, np.quantile(t_null, 0.99), ((t_null >= t_obs).sum() + 1) / 31, radii[at], (obs - mu)[at]), rel=1e-5)
+    assert len(t) == 6 and nulls.mad_test(curve.filter("rep = -1 and curve = '12' and `null` = 'labels'"), curve.filter("rep >= 0 and curve = '12' and `null` = 'labels'"), ["zone"], least=31).first()["status"] == "skipped"
+
+
+def test_fusion_sites(spark):
+    from pointloom.plans import analyses
+
+    rng = np.random.default_rng(18)
+    sites, parts = rng.uniform(0, 30, (6, 3)), rng.uniform(0, 30, (20, 3))
+    surface = np.array([(a, b, 15.0) for a in range(0, 31, 3) for b in range(0, 31, 3)], float)
+    f = lambda x: frame(spark, x, zone=[0] * len(x)).withColumn("id", F.col("id").cast("long"))
+    moved = analyses.permuted_sites(f(sites), f(parts), f(surface), 40).collect()
+    for rep in range(40):
+        mine = [r for r in moved if r["rep"] == rep]
+        assert len(mine) == 6
+        for r in mine:
+            at = np.array([r["x"], r["y"], r["z"]])
+            if r["own"]:
+                assert at == pytest.approx(sites[r["id"] // 2])
+            else:
+                want = surface[np.argmin(((surface - parts[r["id"] // 2]) ** 2).sum(1))]
+                assert at == pytest.approx(want)
+    assert {r["own"] for r in moved} == {True, False} and analyses.permuted_sites(f(sites), f(parts).limit(0), f(surface), 3).count() == 0
+    every = f(np.vstack([sites, parts, surface]))
+    c = analyses.fusion_sites(f(sites[:3]), f(sites[3:]), f(parts), f(surface), ripley.volumes(every, ["zone"]), every, 3.0, 5.0, 20.0, 5, 6.0, snap_limit=6.0, least=1.0)
+    table = analyses.fusion_table(c).collect()
+    assert {r["comparison"] for r in table} == {"close", "shift", "labels"} and len(table) == 12
+    n = c.groupBy("comparison").agg(F.count_distinct("rep").alias("n")).collect()
+    assert {r["comparison"]: r["n"] for r in n} == {"observed": 1, "close": 1, "shift": 5, "labels": 5}
+    k = {r["r"]: r["k"] for r in c.filter("comparison = 'close'").collect()}
+    share = {(r["id"], r["r"]): r["p"] for r in ripley.box_edge_factors(f(sites[3:]), every, 3.0, 5.0, 20.0, ["zone"]).collect()}
+    v = ripley.volumes(every, ["zone"]).first()["volume"]
+    for r in k:
+        d = np.sqrt(((sites[3:, None] - parts[None]) ** 2).sum(-1)) < r
+        assert k[r] == pytest.approx(v / 60 * sum(d[i].sum() / share[i, r] for i in range(3)))
+
+
+def test_mesh_distance_as_brute_force(spark):
+    rng = np.random.default_rng(19)
+    v, p = rng.uniform(0, 10, (12, 3)), rng.uniform(0, 10, (15, 3))
+    f = [tuple(map(int, rng.choice(12, 3, replace=False))) for _ in range(10)]
+    faces = spark.createDataFrame(f, "v0 long, v1 long, v2 long")
+    got = {r["id"]: r["d"] for r in geometry.nearest_on_mesh(frame(spark, p), frame(spark, v), faces, [], 20.0).collect()}
+    s = rng.dirichlet((0.6, 0.6, 0.6), 60_000)
+    for i, q in enumerate(p):
+        best = min(np.linalg.norm(s @ v[list(t)] - q, axis=1).min() for t in f)
+        assert got[i] <= best + 1e-9 and got[i] == pytest.approx(best, abs=0.15)
+    flat = geometry.point_triangle_distances(np.array([[0.2, 0.2, 3.0], [2.0, 0.0, 0.0]]), *[np.array([c, c], float) for c in ((0, 0, 0), (1, 0, 0), (0, 1, 0))])
+    assert flat == pytest.approx([3.0, 1.0])
+
+
+def test_loops_are_closed(spark):
+    square = [(0, 1), (1, 2), (2, 3), (0, 3), (5, 6), (6, 7), (5, 7)]
+    assert geometry.loops_of(square) == [[0, 1, 2, 3], [5, 6, 7]]
+    ring = [(np.cos(t), np.sin(t), 0.0) for t in np.linspace(0, 2 * np.pi, 24, endpoint=False)]
+    rows = geometry.alpha_polygons(frame(spark, ring, zone=[0] * 24), ["zone"]).orderBy("loop", "order").collect()
+    ids = [r["id"] for r in rows]
+    assert len(ids) == 24 and all((b - a) % 24 in (1, 23) for a, b in zip(ids, ids[1:], strict=False))
+
+
+def test_frames_samples_and_hulls_as_brute_force(spark):
+    rng = np.random.default_rng(20)
+    x = rng.normal(size=(60, 3)) * [5, 2, 1] + [3, -4, 10]
+    p = frame(spark, x, zone=[0] * 60)
+    r = geometry.principal_frames(p, ["zone"]).first()
+    axes = np.array([[r[f"{a}{k}"] for k in "xyz"] for a in "uvw"])
+    cov = np.cov(x.T, bias=True)
+    assert np.allclose(axes @ axes.T, np.eye(3)) and np.linalg.det(axes) == pytest.approx(1) and [r[f"c{k}"] for k in "xyz"] == pytest.approx(x.mean(0))
+    turned = axes @ cov @ axes.T
+    assert np.allclose(turned, np.diag(np.diag(turned)), atol=1e-9) and (np.diff(np.diag(turned)) <= 0).all()
+    order = [q["id"] for q in geometry.farthest_points(p, ["zone"], 6).orderBy("order").collect()]
+    want, d = [0], ((x - x[0]) ** 2).sum(1)
+    while len(want) < 10:
+        want.append(int(np.argmax(d)))
+        d = np.minimum(d, ((x - x[want[-1]]) ** 2).sum(1))
+    assert order == want
+    y = rng.normal(size=(80, 3)) * 4 + [3, -4, 10]
+    inside = {q["id"] for q in spatial.inside_hull(frame(spark, y, zone=[0] * 80), geometry.hull_planes(p, ["zone"]), ["zone"]).collect()}
+    import itertools
+
+    planes = []  # every plane through three points with all points on one side
+    for i, j, k in itertools.combinations(range(60), 3):
+        m = np.cross(x[j] - x[i], x[k] - x[i])
+        s = (x - x[i]) @ m
+        if (s <= 1e-9).all() or (s >= -1e-9).all():
+            planes.append((m if (s <= 1e-9).all() else -m, x[i]))
+    assert inside == {i for i, q in enumerate(y) if all((q - o) @ m <= 1e-6 for m, o in planes)}
+    a = geometry.centre_between(frame(spark, [(0, 0, 0), (1, 0, 0), (0.5, 0, 4), (9, 9, 9)], zone=[0] * 4, side=["pre", "pre", "post", "post"]), ["zone"]).first()
+    assert (a["x"], a["y"], a["z"]) in ((0.75, 0.0, 2.0), (0.25, 0.0, 2.0))
+
+
+def test_shifts_snap_to_the_surface(spark):
+    from pointloom.operators import nulls
+
+    grid = [(a, b, 0.0) for a in range(0, 41, 2) for b in range(0, 41, 2)]
+    surface = frame(spark, grid, zone=[0] * len(grid)).withColumn("id", F.col("id").cast("long"))
+    sites = frame(spark, [(20.0, 20.0, 1.0), (10.0, 30.0, -1.0)], zone=[0, 0]).withColumn("id", F.col("id").cast("long"))
+    rows = nulls.shifted_sites(sites, surface, 30, 8.0, snap_limit=3.0).collect()
+    assert len(rows) == 60 and all((r["x"], r["y"], r["z"]) in set(grid) for r in rows)
+    at = {0: (20.0, 20.0, 1.0), 1: (10.0, 30.0, -1.0)}
+    gaps = [np.linalg.norm(np.array(at[r["id"]]) - (r["x"], r["y"], r["z"])) for r in rows]
+    assert all(5.0 <= g <= 11.0 for g in gaps) and len({(r["id"], r["x"], r["y"]) for r in rows}) > 8
+
+
+def test_segregation_grows_by_nearest(spark):
+    from pointloom.operators import nulls
+
+    x = np.random.default_rng(21).uniform(0, 10, (12, 3))
+    p = frame(spark, x, zone=[0] * 12).withColumn("id", F.col("id").cast("long"))
+    rows = nulls.segregated_labels(p, 20, spark.createDataFrame([(0, 5)], "zone int, n1 int")).collect()
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+
+    def grown(s):
+        for start in s:
+            got = [start]
+            while len(got) < len(s):
+                rest = [i for i in range(12) if i not in got]
+                got.append(min(rest, key=lambda i: (min(d[i, j] for j in got), i)))
+            if set(got) == s:
+                return True
+        return False
+
+    for rep in range(20):
+        one = {r["id"] for r in rows if r["rep"] == rep and r["is_first"]}
+        assert len(one) == 5 and (grown(one) or grown(set(range(12)) - one))
+
+
+def test_orientation_carries_the_ideal_vectors():
+    rng = np.random.default_rng(22)
+    for _ in range(10):
+        q = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+        q *= np.sign(np.linalg.det(q))
+        ideal = np.array([[-0.5, 0.0, 1.0], [0.5, 0.0, 1.0]])
+        r = pairing.align((ideal @ q.T)[None], ideal)[0]
+        assert np.allclose(r, q, atol=1e-9)
+
+
+def test_rasters(spark):
+    from pointloom.operators import raster
+
+    v = np.random.default_rng(23).normal(size=(5, 4, 3))
+    vox = spark.createDataFrame([(z, y, x, float(v[z, y, x])) for z in range(5) for y in range(4) for x in range(3)], "z int, y int, x int, value double")
+    mid = {(r["y"], r["x"]): r["value"] for r in raster.central_slice(vox).collect()}
+    assert mid == {(y, x): v[2, y, x] for y in range(4) for x in range(3)}
+    image = raster.slab(vox, 2, 1, "max").select("y", "x", "value")
+    got = {(r["y"], r["x"]): r["value"] for r in raster.crop(image, 0, 0, 4, -1.0).collect()}
+    assert len(got) == 16 and got[-1, 0] == -1.0 and got[1, 1] == v[1:4, 1, 1].max()
+    c = sorted(r["value"] for r in raster.contrast(image).collect())
+    assert c[0] == 0.0 and c[-1] == 1.0
+    same = raster.resampled(vox, [[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]], (5, 4, 3)).collect()
+    assert all(r["value"] == pytest.approx(v[r["z"], r["y"], r["x"]]) for r in same) and len(same) == 60
+    half = raster.resampled(vox, [[1, 0, 0, 0.5], [0, 1, 0, 0], [0, 0, 1, 0], [0, 0, 0, 1]], (1, 1, 3), 7.0).orderBy("x").collect()
+    assert [r["value"] for r in half] == pytest.approx([v[0, 0, :2].mean(), v[0, 0, 1:].mean(), (v[0, 0, 2] + 7) / 2])
+
+
+def test_templates_and_status(spark):
+    poses = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1.0, 2.0, 3.0)], "pose int, rot double, tilt double, psi double, x double, y double, z double")
+    atoms = spark.createDataFrame([("C", 1.0, 0.0, 0.0), ("N", -1.0, 0.0, 0.0)], "atom string, x double, y double, z double")
+    placed = {r["atom"]: (r["x"], r["y"], r["z"]) for r in pairing.placed_template(poses, atoms).collect()}
+    assert placed == {"C": pytest.approx((11.0, 20.0, 30.0)), "N": pytest.approx((9.0, 20.0, 30.0))}
+    done = sinks.completed(spark.createDataFrame([("t", "a", "x", "completed"), ("t", "a", "b", "completed"), ("t", "a", "c", "error")], "tomogram_name string, alignment_dir string, analysis string, status string")).first()
+    assert done["analyses"] == ["b", "x"]
+    old = spark.createDataFrame([("k", 1, 10), ("l", 2, 5)], "name string, v int, updated_at int")
+    new = spark.createDataFrame([("k", 7, 11), ("l", 8, 4)], old.schema)
+    assert [(r["name"], r["v"]) for r in sinks.last_write_wins(old, new, ["name"]).collect()] == [("k", 7), ("l", 2)]

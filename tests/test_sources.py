@@ -23,6 +23,9 @@ def test_star_picks(spark, tmp_path):
     rows = sorted((r["cleft"], r["particle_idx"], r["x"], r["z"], r["extras"]["postsynapse"], r["set_name"], r["tomogram_name"], r["alignment_dir"]) for r in p.collect() if r["z"] is not None)
     assert rows == [(0, 0, 1.5, 3.0, "False", "s1", "t1", "al"), (7, 0, 7.0, 9.0, "True", "s1", "t1", "al")]
     assert text.picks(spark, str(base / "*.star"), "pick_*_x.star", [7]).count() == 1
+    (base / "other.star").write_bytes(b"\xff\xfe not a loop")
+    one = text.picks(spark, str(base / "*.star"), "pick_*_x.star", [7])
+    assert one.count() == 1 and one.rdd.getNumPartitions() <= 1  # one file of three is listed
     both = text.two_kinds(p.filter("cleft = 0"), p.filter("cleft = 7"))
     assert {r["aunp_kind"] for r in both.collect()} == {"monomer", "dimer"}
 
@@ -76,3 +79,55 @@ def test_volume(spark, tmp_path):
     (tmp_path / "v.mrc").write_bytes(bytes(head) + np.arange(24, dtype="<f4").tobytes())
     rows = binary.mrc_voxels(spark, str(tmp_path / "v.mrc")).collect()
     assert len(rows) == 24 and all(r["value"] == r["z"] * 6 + r["y"] * 2 + r["x"] for r in rows) and rows[0]["voxel_nm"] == 1.0
+
+
+def test_cleft_surfaces(spark, tmp_path):
+    base = tmp_path / "s" / "TOP_TOMOS" / "t" / "al" / "cleft"
+    base.mkdir(parents=True)
+    for name, n in (("a_pre_outer", 2), ("a_post_outer", 3), ("a_post_inner", 1), ("b_pre_outer", 2), ("b_pre_inner", 2)):
+        (base / f"{name}.txt").write_text("".join(f"{i} 1 2\n" for i in range(n)))
+    rows = text.cleft_surfaces(spark, str(base / "*.txt")).groupBy("zone", "side", "facing").count().collect()
+    assert sorted(map(tuple, rows)) == [("a", "post", "inner", 1), ("a", "post", "outer", 3), ("a", "pre", "outer", 2)]
+    assert text.cleft_surfaces(spark, str(base / "*.txt"), ("outer",)).filter("set_name = 's' and tomogram_name = 't'").count() == 5
+
+
+def test_optional_and_cached_tables(spark, tmp_path):
+    assert text.optional_csv(spark, str(tmp_path / "none.csv"), "a int").count() == 0
+    (tmp_path / "t.csv").write_text("a\n1\n")
+    assert text.optional_csv(spark, str(tmp_path / "t.csv"), "a int").first()["a"] == 1
+    calls = []
+    made = lambda: calls.append(1) or spark.range(3)
+    assert [text.cached_table(spark, str(tmp_path / "c"), t, made).count() for t in (10, 10, 20)] == [3, 3, 3] and len(calls) == 2
+
+
+def test_results_and_missing_files(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.json").write_text('{"name": "a", "n": NaN, "s": 2.5}')
+    (tmp_path / "r" / "b.json").write_text("{broken")
+    rows = sorted(((r["name"], r["n"], r["s"]) for r in text.results(spark, str(tmp_path / "r"), "name string, n double, s double").collect()), key=str)
+    assert ("a", None, 2.5) in rows
+    b = text.longest_base(spark.createDataFrame([("abc_1",), ("ab_2",), ("x",)], "name string"), spark.createDataFrame([("ab",), ("abc",)], "base string"))
+    assert sorted(map(tuple, b.collect())) == [("ab_2", "ab"), ("abc_1", "abc")]
+
+
+def test_binary_meshes_and_volumes(spark, tmp_path):
+    v = np.arange(15, dtype="<f4").reshape(5, 3)
+    f = np.array([[0, 1, 2], [2, 3, 4]], "<i4")
+    head = "ply\nformat binary_little_endian 1.0\nelement vertex 5\nproperty float x\nproperty float y\nproperty float z\nelement face {}\nproperty list uchar int vertex_indices\nend_header\n"
+    same = head.format(2).encode() + v.tobytes() + b"".join(b"\x03" + r.tobytes() for r in f)
+    p, t = binary.ply_arrays(same)
+    assert p.tolist() == v.tolist() and t.tolist() == f.tolist()
+    mixed = head.format(2).encode() + v.tobytes() + b"\x03" + f[0].tobytes() + b"\x04" + np.array([0, 1, 2, 3], "<i4").tobytes()
+    assert binary.ply_arrays(mixed)[1].tolist() == [[0, 1, 2], [0, 1, 2], [0, 2, 3]]
+    a = np.arange(24, dtype=float).reshape(4, 3, 2)
+    back, size = binary.mrc_array(binary.mrc_bytes(a, 13.5))
+    assert back.tolist() == a.tolist() and size == pytest.approx((13.5, 13.5, 13.5))
+    rows = [("v", z, y, x, float(a[z, y, x])) for z in range(4) for y in range(3) for x in range(2)]
+    made = binary.mrc_files(spark.createDataFrame(rows, "file string, z int, y int, x int, value double"), 10.0).first()
+    assert binary.mrc_array(bytes(made["content"]))[0].tolist() == a.tolist()
+
+
+def test_curve_artifacts(spark, tmp_path):
+    np.savez_compressed(tmp_path / "c.npz", r_vals=np.array([1.0, 2.0]), zone_name=np.array("z"), tomogram_name=np.array("t"), fusion=np.array([[1.0, 2.0], [3.0, 4.0]]), empty=np.zeros((0, 2)))
+    rows = binary.curve_artifacts(spark, str(tmp_path / "c.npz")).collect()
+    assert sorted((r["zone_name"], r["tomogram_name"], r["name"], r["curve"], r["r"], r["value"]) for r in rows) == [("z", "t", "fusion", 0, 1.0, 1.0), ("z", "t", "fusion", 0, 2.0, 2.0), ("z", "t", "fusion", 1, 1.0, 3.0), ("z", "t", "fusion", 1, 2.0, 4.0)]
