@@ -178,6 +178,31 @@ def test_mix_targets(spark):
     assert all(abs(taken[s] - want[s]) <= largest[s] for s in names)
 
 
+def test_rates_are_the_entropy_optimum(spark):
+    """The optimum of the sum of binary entropies under a token constraint: odds tilted by one number for each source, and the constraint met."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    by = collections.defaultdict(list)
+    for r in mixing.mix(docs).collect():
+        by[r["source"]].append((r["size"], r["rate"], r["target"], r["source_size"]))
+    for rows in by.values():
+        size, rate = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows], float)
+        target, total = rows[0][2], rows[0][3]
+        if target >= 2 * total * (1 - 1e-9):
+            assert (rate == 2).all()
+            continue
+        assert (rate * size).sum() == pytest.approx(target, rel=1e-3)
+        inner = (size > 0) & (rate > 1e-9) & (rate < 2 - 1e-9)
+        tilt = np.log(rate[inner] / (2 - rate[inner])) / size[inner]
+        assert tilt == pytest.approx(np.full(inner.sum(), np.median(tilt)), rel=1e-6, abs=1e-12)
+        # no exchange of tokens between two documents raises the entropy
+        h = lambda x: -(x / 2) * np.log(x / 2) - (1 - x / 2) * np.log(1 - x / 2)
+        some = np.flatnonzero(inner)[:40]
+        for i, j in itertools.combinations(some.tolist(), 2):
+            step = 1e-4 * min(rate[i], 2 - rate[i], rate[j], 2 - rate[j]) * min(size[i], size[j])
+            for s in (step, -step):
+                assert h(rate[i] + s / size[i]) + h(rate[j] - s / size[j]) <= h(rate[i]) + h(rate[j]) + 1e-12
+
+
 # 3
 def test_quality_of_odd_rows(odd, none):
     rows = quality.quality(odd).collect()
@@ -655,6 +680,9 @@ def test_store(spark, odd, none):
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     assert token_store.stored(none, path, 2).count() == 0
+    same = spark.createDataFrame([(None, f"text {i}", "x", 1) for i in range(400)], "doc_id long, text string, part string, start int")
+    many = token_store.stored(same, path, 2)
+    assert many.count() == 400 and many.agg(F.max("start")).first()[0] == many.agg(F.sum("n_tokens") - F.max_by("n_tokens", "start")).first()[0]
 
 
 @settings(max_examples=60, deadline=None)
