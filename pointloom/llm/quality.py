@@ -90,7 +90,6 @@ def measures(text: Column, tokens: Column) -> dict[str, Column]:
     """Columns by name; all take the whole text, a null one as empty."""
     whole = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
-    stop = F.array(*[F.lit(w) for w in sorted(STOP_WORDS)])
     return {
         "n_words": F.size(tokens).cast("long"),
         "word_chars": F.length(F.translate(whole, BLANKS, "")).cast("long"),
@@ -98,7 +97,7 @@ def measures(text: Column, tokens: Column) -> dict[str, Column]:
         "n_lines": F.size(lines).cast("long"),
         "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
         "n_repeat_words": repeat_words(tokens),
-        "n_stop_words": _bound(stop, lambda s: F.size(F.filter(tokens, lambda w: F.array_contains(s, F.lower(w))))).cast("long"),
+        "n_stop_words": F.size(F.filter(tokens, lambda w: F.lower(w).isin(sorted(STOP_WORDS)))).cast("long"),
     }
 
 
