@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordMemo, new_path, staged
+from .common import WordMemo, new_path, slices, staged
 
 # Fixed values of the seekable format.
 SKIPPABLE_SEEK, SKIPPABLE_INDEX, FOOTER_MAGIC, FOOTER_SIZE = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1, 9
@@ -202,7 +202,8 @@ def write(df: DataFrame, tokenizer: str, path: str, end_id: int | None, id_col:
     spark = df.sparkSession
     slim = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = slim.repartitionByRange(parts, "doc_id").withColumn("_h", F.xxhash64("text")).sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
+    # by the text's hash too, so that many rows of one id, or without one, are no single range
+    dealt = slim.withColumn("_h", F.xxhash64("text")).repartitionByRange(parts, "doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
     fs, folder = _open_fs(path)
     fs.create_dir(folder, recursive=True)
 
@@ -216,8 +217,8 @@ def write(df: DataFrame, tokenizer: str, path: str, end_id: int | None, id_col:
         with where.open_output_stream(temp) as out:
             writer = Writer(out, code.width, level)
             for whole in batches:
-                for at in range(0, whole.num_rows, 512):
-                    b = whole.slice(at, 512)
+                for at, n in slices([whole.column(1)], 512, 1 << 20):
+                    b = whole.slice(at, n)
                     for doc, x in zip(b.column(0).to_pylist(), code.many(b.column(1).to_pylist()), strict=True):
                         writer.add(doc, x)
                         docs, ids = docs + 1, ids + len(x)
@@ -268,8 +269,11 @@ def read(spark: SparkSession, path: str, parts: list[tuple]) -> DataFrame:
 def stored(df: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write df to a new store in the shared folder and return the digest that its files give; ids must be integers.
 
-    The digest is staged, and the store stays for other readers until its
-    folder is removed.
+    Null and empty texts have the end id alone; very long ones span frames.
+    Rows that repeat an id follow each other, each with a start of its own.
+    Other columns, whatever their names, play no part; an empty table gives an
+    empty digest. The digest is staged, and the store stays for other readers
+    until its folder is removed.
     """
     path = new_path(df.sparkSession, "tokens")
     parts = write(df, tokenizer, path, end_id, id_col, text_col)
