@@ -13,7 +13,9 @@ from __future__ import annotations
 import io
 import os
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordMemo, new_path, slices, staged
+from .common import WordMemo, _Known, new_path, slices, staged
 
 # Fixed values of the seekable format.
 SKIPPABLE_SEEK, SKIPPABLE_INDEX, FOOTER_MAGIC, FOOTER_SIZE = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1, 9
@@ -125,7 +127,7 @@ class WordEncoder:
     splitting never spans, so the ids are those of the whole text. Where the
     tokenizer lower-cases and takes letters and marks apart (tried on some
     words at the start), words of Latin letters go to the library's model
-    alone, and marks at their end are remembered apart.
+    alone, and so do those with marks at their end, which are remembered apart.
     """
 
     def __init__(self, path: str, end_id: int | None):
@@ -136,13 +138,13 @@ class WordEncoder:
         self.tok.encode_special_tokens = False
         self.model = self.tok.model
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
-        self.kind = np.dtype(f"<u{self.width}")
+        self.kind, self.code = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
         self.bytes_as_chars = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
         rest = [b for b in range(256) if b not in self.bytes_as_chars]
         self.bytes_as_chars |= {b: chr(256 + i) for i, b in enumerate(rest)}
         tries = ("the", "Zzqxk", "für", "École", "niño")
         plain = all(self._letters(w) == self._encode(w) and self._letters(w) + self._encode(m) == self._encode(w + m) for w in tries for m in MARKS)
-        self.cores = WordMemo(self._core if plain else self._encode)
+        self.marks = _Known(self._encode, {})  # runs of marks
         self.words = WordMemo(self._word if plain else self._encode)
         self.tail = b"" if end_id is None else np.array([end_id], self.kind).tobytes()
 
@@ -154,23 +156,29 @@ class WordEncoder:
         w = word.lower()
         if not w.isascii():
             w = w.encode().decode("latin-1").translate(self.bytes_as_chars)
-        return np.array([t.id for t in self.model.tokenize(w)], self.kind).tobytes()
+        ids = array(self.code, [t.id for t in self.model.tokenize(w)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
-    def _core(self, word: str) -> bytes:
+    @staticmethod
+    def _latin(word: str) -> bool:
         # the capital dotted I is the one letter there whose lower case is two characters
-        return self._letters(word) if word.isalpha() and max(word) < "\u0180" and "\u0130" not in word else self._encode(word)
+        return word.isalpha() and (word.isascii() or (max(word) < "\u0180" and "\u0130" not in word))
 
     def _word(self, word: str) -> bytes:
+        if self._latin(word):
+            return self._letters(word)
         core = word.rstrip(MARKS)
-        if not core:
-            return self._encode(word)
-        get = self.cores.new.__getitem__
-        if len(core) < len(word) and core[-1].isalpha() and core[-1] < "\u0180" and core[-1] != "\u0130":
-            return get(core.lower() if core.isascii() else core) + get(word[len(core) :])
-        return get(word.lower() if word.isascii() else word)
+        if len(core) < len(word) and self._latin(core):
+            known = self.words.new
+            b = known.get(core) or known.older.get(core) or self._letters(core)
+            return b + self.marks[word[len(core) :]]
+        return self._encode(word)
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
-        self.cores.turn()
+        if len(self.marks) > 10_000:
+            self.marks = _Known(self._encode, {})
         coded = self.words.joined([t.replace("\n", " ").split(" ") for t in texts])
         return [np.frombuffer(b + self.tail, self.kind) for b in coded]
 
