@@ -118,14 +118,19 @@ def test_independent_set_is_greatest():
         n = int(rng.integers(1, 12))
         edges = [(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.4]
         best = max(sum(1 for _ in s) for k in range(n + 1) for s in itertools.combinations(range(n), k) if not any(i in s and j in s for i, j in edges))
-        got = pairing.independent_set(n, edges)
-        assert len(got) == best and not any(i in got and j in got for i, j in edges)
+        got, proved = pairing.independent_set(n, edges)
+        assert proved and len(got) == best and not any(i in got and j in got for i, j in edges)
 
 
 def test_independent_set_of_a_dense_ring_is_found():
     n = 120  # each node meets the next three: one of four can stay
     edges = [(i, (i + k) % n) if i < (i + k) % n else ((i + k) % n, i) for i in range(n) for k in (1, 2, 3)]
-    assert len(pairing.independent_set(n, edges)) == 30
+    got, proved = pairing.independent_set(n, edges)
+    assert proved and len(got) == 30
+    rng = np.random.default_rng(5)
+    hard = [(i, j) for i in range(60) for j in range(i + 1, 60) if rng.random() < 0.2]
+    some, proved = pairing.independent_set(60, hard, most=3)
+    assert not proved and not any(i in some and j in some for i, j in hard)
 
 
 def sites_of(spark, n, size, seed):
