@@ -41,6 +41,29 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[F.round(F.col(c), 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def _facets(of: str) -> str:
+    """SQL views of a view's hulls: a facet is a triple with no point of its zone beyond it; s * m / len is its outward normal."""
+    return f"""+ tri AS (SELECT a.zone, a.id AS i, b.id AS j, c.id AS k, a.x AS ax, a.y AS ay, a.z AS az, (b.y-a.y)*(c.z-a.z)-(b.z-a.z)*(c.y-a.y) AS mx, (b.z-a.z)*(c.x-a.x)-(b.x-a.x)*(c.z-a.z) AS my, (b.x-a.x)*(c.y-a.y)-(b.y-a.y)*(c.x-a.x) AS mz
+ FROM {of} a JOIN {of} b ON a.zone = b.zone AND a.id < b.id JOIN {of} c ON b.zone = c.zone AND b.id < c.id),
+off AS (SELECT zone, i, j, k, min(v) AS lo, max(v) AS hi FROM (SELECT t.zone, i, j, k, (mx*(p.x-ax)+my*(p.y-ay)+mz*(p.z-az)) / sqrt(mx*mx+my*my+mz*mz) AS v FROM tri t JOIN {of} p ON t.zone = p.zone) GROUP BY ALL),
+facets AS (SELECT t.*, sqrt(mx*mx+my*my+mz*mz) AS len, CASE WHEN hi <= 1e-9 THEN 1 ELSE -1 END AS s FROM tri t JOIN off USING (zone, i, j, k) WHERE hi <= 1e-9 OR lo >= -1e-9)"""
+
+
+#: How far point p lies beyond facet f.
+_BEYOND = "f.s * (f.mx*(p.x-f.ax)+f.my*(p.y-f.ay)+f.mz*(p.z-f.az)) / f.len"
+
+#: Covariances and, by squaring them and their cofactors, the projectors on the axes of the greatest and the least variance.
+_AXES = """+ m AS (SELECT zone, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, var_pop(x) AS a, covar_pop(x, y) AS b, covar_pop(x, z) AS c, var_pop(y) AS d, covar_pop(y, z) AS e, var_pop(z) AS f FROM pts GROUP BY zone),
+pw AS (SELECT 0 AS step, 0 AS least, zone, a/(a+d+f) AS a, b/(a+d+f) AS b, c/(a+d+f) AS c, d/(a+d+f) AS d, e/(a+d+f) AS e, f/(a+d+f) AS f FROM m
+ UNION ALL SELECT step + 1, least, zone, (a*a+b*b+c*c)/t, (a*b+b*d+c*e)/t, (a*c+b*e+c*f)/t, (b*b+d*d+e*e)/t, (b*c+d*e+e*f)/t, (c*c+e*e+f*f)/t FROM (SELECT *, a*a+d*d+f*f+2*(b*b+c*c+e*e) AS t FROM pw WHERE step < 40)),
+qw AS (SELECT 0 AS step, zone, (d*f-e*e)/t AS a, (c*e-b*f)/t AS b, (b*e-c*d)/t AS c, (a*f-c*c)/t AS d, (b*c-a*e)/t AS e, (a*d-b*b)/t AS f FROM (SELECT *, d*f-e*e+a*f-c*c+a*d-b*b AS t FROM m)
+ UNION ALL SELECT step + 1, zone, (a*a+b*b+c*c)/t, (a*b+b*d+c*e)/t, (a*c+b*e+c*f)/t, (b*b+d*d+e*e)/t, (b*c+d*e+e*f)/t, (c*c+e*e+f*f)/t FROM (SELECT *, a*a+d*d+f*f+2*(b*b+c*c+e*e) AS t FROM qw WHERE step < 40)),
+lines AS (SELECT zone, least, CASE WHEN a >= d AND a >= f THEN a WHEN d >= f THEN b ELSE c END / sqrt(greatest(a, d, f)) AS x, CASE WHEN a >= d AND a >= f THEN b WHEN d >= f THEN d ELSE e END / sqrt(greatest(a, d, f)) AS y, CASE WHEN a >= d AND a >= f THEN c WHEN d >= f THEN e ELSE f END / sqrt(greatest(a, d, f)) AS z
+ FROM (SELECT zone, least, a, b, c, d, e, f FROM pw WHERE step = 40 UNION ALL SELECT zone, 1, a, b, c, d, e, f FROM qw WHERE step = 40)),
+uw AS (SELECT u.zone, u.x * sign(u.x) AS ux, u.y * sign(u.x) AS uy, u.z * sign(u.x) AS uz, w.x, w.y, w.z FROM lines u JOIN lines w ON u.zone = w.zone AND u.least = 0 AND w.least = 1),
+uv AS (SELECT zone, ux, uy, uz, vx * sign(vx) AS vx, vy * sign(vx) AS vy, vz * sign(vx) AS vz FROM (SELECT *, y*uz-z*uy AS vx, z*ux-x*uz AS vy, x*uy-y*ux AS vz FROM uw))"""
+
+
 # nearest neighbours
 @query(f"""SELECT zone, id, nid, round(d, 6) AS d FROM (
  SELECT a.zone, a.id, b.id AS nid, {D} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {D}, b.id) AS k
@@ -325,7 +348,10 @@ def grid_edge_factor(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_factors(spark, sf).select("zone", "id", "r", "in_grid", "p"))
 
 
-@query()
+@query(_facets("k0") + f""",
+box AS (SELECT zone, min(x) AS lx, min(y) AS ly, min(z) AS lz, floor((max(x)-min(x))/4) AS tx, floor((max(y)-min(y))/4) AS ty, floor((max(z)-min(z))/4) AS tz FROM pts GROUP BY zone),
+p AS (SELECT zone, lx + 4.0::DOUBLE * i AS x, ly + 4.0::DOUBLE * j AS y, lz + 4.0::DOUBLE * k AS z FROM box JOIN range(1000) a(i) ON i <= tx JOIN range(1000) b(j) ON j <= ty JOIN range(1000) c(k) ON k <= tz)
+SELECT zone, count(*) * 64::DOUBLE AS volume FROM (SELECT p.zone, p.x, p.y, p.z FROM p JOIN facets f ON p.zone = f.zone GROUP BY ALL HAVING max({_BEYOND}) <= 1e-6) GROUP BY zone""")
 def window_volume(spark: SparkSession, sf: str) -> DataFrame:
     """Volume of the hull of the first kind, by the grid."""
     p = points(spark, sf)
@@ -731,13 +757,21 @@ def exact_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairing.exact_matching(_numbered(spark, sf), Z, 5.0)
 
 
-@query()
+@query(f"""+ pr AS (SELECT a.zone, a.id AS a, b.id AS b, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, (a.x+b.x)/2 AS x, (a.y+b.y)/2 AS y, (a.z+b.z)/2 AS z FROM k0 a JOIN k0 b ON a.zone = b.zone AND a.id < b.id WHERE {D} > 6 AND {D} < 12),
+q AS (SELECT a.*, b.x AS qx, b.y AS qy, b.z AS qz FROM pr a JOIN k1 b ON a.zone = b.zone QUALIFY row_number() OVER (PARTITION BY a.a, a.b ORDER BY {D}, b.id) = 1),
+v AS (SELECT zone, a, b, ax+bx-2*qx AS sx, ay+by_-2*qy AS sy, az+bz-2*qz AS sz, bx-ax AS ex, by_-ay AS ey, bz-az AS ez FROM q),
+w AS (SELECT *, sqrt(sx*sx+sy*sy+sz*sz) AS l, (sx*ex+sy*ey+sz*ez)/sqrt(sx*sx+sy*sy+sz*sz) AS e1 FROM v),
+g AS (SELECT *, sqrt(ex*ex+ey*ey+ez*ez-e1*e1) AS e2, atan2(-e1/2, l + sqrt(ex*ex+ey*ey+ez*ez-e1*e1)/2) AS t FROM w),
+f AS (SELECT *, sx/l AS px, sy/l AS py, sz/l AS pz, (ex-e1*sx/l)/e2 AS rx, (ey-e1*sy/l)/e2 AS ry, (ez-e1*sz/l)/e2 AS rz FROM g),
+o AS (SELECT zone, a, b, cos(t)*px+sin(t)*rx AS zx, cos(t)*py+sin(t)*ry AS zy, cos(t)*pz+sin(t)*rz AS zz, cos(t)*rx-sin(t)*px AS xx, cos(t)*ry-sin(t)*py AS xy, cos(t)*rz-sin(t)*pz AS xz FROM f)
+SELECT zone, a, b, round(degrees(atan2(zy, zx)), 6) AS rot, round(degrees(acos(zz)), 6) AS tilt, round(degrees(atan2(zx*xy-zy*xx, -xz)), 6) AS psi FROM o""")
 def pose_orientations(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(pairing.orientations(_sites(spark, sf)).select("zone", "a", "b", "rot", "tilt", "psi"))
 
 
 # geometry
-@query()
+@query(_facets("pts") + """
+SELECT f.zone, c.n AS n_points, round(sum(len) / 4, 6) AS area, round(sum(abs(mx*(ax-c.x)+my*(ay-c.y)+mz*(az-c.z))) / 6, 6) AS volume FROM facets f JOIN (SELECT zone, count(*) AS n, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM pts GROUP BY zone) c ON c.zone = f.zone GROUP BY f.zone, c.n""")
 def hull_area(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(geometry.hull_stats(points(spark, sf).select("zone", "x", "y", "z"), Z))
 
@@ -752,12 +786,26 @@ def sphere_fit(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(geometry.sphere_fits(points(spark, sf).select("zone", "x", "y", "z"), Z))
 
 
-@query()
+@query("""+ far AS (SELECT zone, id, x, y, z, 1e300::DOUBLE AS d, 0 AS step, row_number() OVER (PARTITION BY zone ORDER BY id) = 1 AS now, count(*) OVER (PARTITION BY zone) AS n FROM pts
+ UNION ALL SELECT zone, id, x, y, z, d, step + 1, row_number() OVER (PARTITION BY zone ORDER BY d DESC, id) = 1, n
+ FROM (SELECT a.zone, a.id, a.x, a.y, a.z, least(a.d, (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) AS d, a.step, a.n FROM far a JOIN far b ON a.zone = b.zone AND b.now WHERE a.step + 1 < greatest(1, a.n // 5)))
+SELECT zone, step AS "order", id FROM far WHERE now""")
 def farthest_points(spark: SparkSession, sf: str) -> DataFrame:
     return geometry.farthest_points(points(spark, sf).select("zone", "id", "x", "y", "z"), Z, 5)
 
 
-@query()
+@query(_AXES + """,
+pl AS (SELECT p.zone, id, (x-cx)*ux+(y-cy)*uy+(z-cz)*uz AS x, (x-cx)*vx+(y-cy)*vy+(z-cz)*vz AS y FROM pts p JOIN m USING (zone) JOIN uv USING (zone)),
+t0 AS (SELECT a.zone, a.id AS i, b.id AS j, c.id AS k, a.x, a.y, b.x-a.x AS bx, b.y-a.y AS by_, c.x-a.x AS cx, c.y-a.y AS cy FROM pl a JOIN pl b ON a.zone = b.zone AND a.id < b.id JOIN pl c ON b.zone = c.zone AND b.id < c.id),
+t1 AS (SELECT zone, i, j, k, x, y, (cy*(bx*bx+by_*by_)-by_*(cx*cx+cy*cy)) / (2*(bx*cy-by_*cx)) AS ox, (bx*(cx*cx+cy*cy)-cx*(bx*bx+by_*by_)) / (2*(bx*cy-by_*cx)) AS oy FROM t0),
+t2 AS (SELECT zone, i, j, k, x + ox AS x, y + oy AS y, sqrt(ox*ox+oy*oy) AS r FROM t1),
+t3 AS (SELECT t.zone, i, j, k, r FROM t2 t JOIN pl p ON p.zone = t.zone AND p.id NOT IN (i, j, k) GROUP BY ALL HAVING min(sqrt((p.x-t.x)*(p.x-t.x)+(p.y-t.y)*(p.y-t.y)) - r) >= 0),
+gap AS (SELECT zone, median(g) AS g, count(*) AS n FROM (SELECT a.zone, a.id, min(sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))) AS g FROM pl a JOIN pl b ON a.zone = b.zone AND a.id <> b.id GROUP BY 1, 2) GROUP BY 1),
+lev AS (SELECT zone, l, r, i, j, k, n FROM t3 JOIN gap USING (zone) JOIN range(8) s(l) ON r < 2.5 * power(1.5, l) * g),
+full_ AS (SELECT zone, min(l) AS l FROM (SELECT zone, l FROM (SELECT zone, l, n, unnest([i, j, k]) AS v FROM lev) GROUP BY zone, l, n HAVING count(DISTINCT v) = n) GROUP BY zone),
+kept AS (SELECT zone, i, j, k FROM lev JOIN full_ USING (zone, l) UNION ALL SELECT zone, i, j, k FROM t3 WHERE zone NOT IN (SELECT zone FROM full_)),
+ed AS (SELECT zone, unnest([{'a': i, 'b': j}, {'a': i, 'b': k}, {'a': j, 'b': k}]) AS e FROM kept)
+SELECT zone, e.a AS a, e.b AS b FROM ed GROUP BY 1, 2, 3 HAVING count(*) = 1""")
 def alpha_shape_edges(spark: SparkSession, sf: str) -> DataFrame:
     return geometry.alpha_edges(points(spark, sf).select("zone", "id", "x", "y", "z"), Z)
 
@@ -767,12 +815,15 @@ def dilated_area(spark: SparkSession, sf: str) -> DataFrame:
     return geometry.dilated_areas(points(spark, sf).select("zone", "x", "y", "z"), Z)
 
 
-@query()
+@query(_AXES + """
+SELECT zone, round(cx, 6) AS cx, round(cy, 6) AS cy, round(cz, 6) AS cz, round(ux, 6) AS ux, round(uy, 6) AS uy, round(uz, 6) AS uz, round(vx, 6) AS vx, round(vy, 6) AS vy, round(vz, 6) AS vz,
+ round(uy*vz-uz*vy, 6) AS wx, round(uz*vx-ux*vz, 6) AS wy, round(ux*vy-uy*vx, 6) AS wz FROM uv JOIN m USING (zone)""")
 def principal_frame(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(geometry.principal_frames(points(spark, sf).select("zone", "x", "y", "z"), Z))
 
 
-@query()
+@query(_facets("k0") + f"""
+SELECT p.zone, p.id FROM k1 p JOIN facets f ON p.zone = f.zone GROUP BY p.zone, p.id HAVING max({_BEYOND}) <= 1e-6""")
 def inside_hull(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)
     return spatial.inside_hull(of_kind(p, 1), geometry.hull_planes(of_kind(p, 0).select("zone", "x", "y", "z"), Z), Z).select("zone", "id")
@@ -967,16 +1018,16 @@ def density_controls(spark: SparkSession, sf: str) -> DataFrame:
 _T = [[0.8, 0.2, 0.0, 0.5], [-0.2, 0.8, 0.0, 2.25], [0.0, 0.0, 1.0, 0.5], [0.0, 0.0, 0.0, 1.0]]
 
 
-@query("""WITH v AS (SELECT CAST(o_custkey % 11 AS INT) AS x, CAST(o_orderkey % 7 AS INT) AS y, CAST(o_orderkey % 3 AS INT) AS z, round(avg(o_totalprice), 2) AS value FROM orders GROUP BY 1, 2, 3),
+@query("""WITH v AS (SELECT CAST(o_custkey % 11 AS INT) AS x, CAST(o_orderkey % 7 AS INT) AS y, CAST(o_orderkey % 3 AS INT) AS z, max(o_totalprice)::DOUBLE AS value FROM orders GROUP BY 1, 2, 3),
 g AS (SELECT CAST(a AS INT) AS z, CAST(b AS INT) AS y, CAST(c AS INT) AS x FROM range(4) r(a), range(6) s(b), range(8) t(c)),
 p AS (SELECT *, 0.8::DOUBLE * x + 0.2::DOUBLE * y + 0.5::DOUBLE AS tx, -0.2::DOUBLE * x + 0.8::DOUBLE * y + 2.25::DOUBLE AS ty, z + 0.5::DOUBLE AS tz FROM g),
 e AS (SELECT p.z, p.y, p.x, v.value * (CASE WHEN i = 0 THEN 1 - (tx - floor(tx)) ELSE tx - floor(tx) END) * (CASE WHEN j = 0 THEN 1 - (ty - floor(ty)) ELSE ty - floor(ty) END) * (CASE WHEN k = 0 THEN 1 - (tz - floor(tz)) ELSE tz - floor(tz) END) AS part
  FROM p, range(2) a(i), range(2) b(j), range(2) c(k) LEFT JOIN v ON v.x = floor(tx) + i AND v.y = floor(ty) + j AND v.z = floor(tz) + k)
-SELECT z, y, x, round(coalesce(sum(part), 0), 2) AS value FROM e GROUP BY 1, 2, 3""")
+SELECT z, y, x, round(coalesce(sum(part), 0), 6) AS value FROM e GROUP BY 1, 2, 3""")
 def resampled_volume(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
-    v = o.groupBy((F.col("o_custkey") % 11).cast("int").alias("x"), (F.col("o_orderkey") % 7).cast("int").alias("y"), (F.col("o_orderkey") % 3).cast("int").alias("z")).agg(F.round(F.avg("o_totalprice"), 2).alias("value"))
-    return raster.resampled(v, _T, (4, 6, 8)).select("z", "y", "x", F.round("value", 2).alias("value"))
+    v = o.groupBy((F.col("o_custkey") % 11).cast("int").alias("x"), (F.col("o_orderkey") % 7).cast("int").alias("y"), (F.col("o_orderkey") % 3).cast("int").alias("z")).agg(F.max("o_totalprice").cast("double").alias("value"))
+    return raster.resampled(v, _T, (4, 6, 8)).select("z", "y", "x", F.round("value", 6).alias("value"))
 
 
 @query()
