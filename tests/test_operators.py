@@ -133,6 +133,25 @@ def test_independent_set_of_a_dense_ring_is_found():
     assert not proved and not any(i in some and j in some for i, j in hard)
 
 
+def test_local_search_and_the_bound_of_matchings():
+    import itertools
+
+    rng = np.random.default_rng(17)
+    for _ in range(40):
+        n = int(rng.integers(2, 8))
+        pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if rng.random() < 0.4]
+        best = max(k for k in range(n // 2 + 1) if any(len({v for p in s for v in p}) == 2 * k for s in itertools.combinations(pairs, k)))
+        ceiling = pairing.most_pairs([p[0] for p in pairs], [p[1] for p in pairs])
+        assert best <= ceiling <= n // 2
+        edges = [(i, j) for i in range(len(pairs)) for j in range(i + 1, len(pairs)) if set(pairs[i]) & set(pairs[j])]
+        got, proved = pairing.independent_set(len(pairs), edges, None, ceiling)
+        assert proved and len(got) == best and not any(i in got and j in got for i, j in edges)
+    assert pairing.most_pairs([1, 2, 3, 9], [2, 3, 4, 1]) == 2 and pairing.most_pairs([1, 1, 1], [2, 3, 4]) == 1
+    n = 200  # a path: every second node
+    got, proved = pairing.independent_set(n, [(i, i + 1) for i in range(n - 1)], most=0, ceiling=100)
+    assert proved and len(got) == 100
+
+
 def sites_of(spark, n, size, seed):
     x = np.random.default_rng(seed).uniform(0, size, (n, 3))
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
