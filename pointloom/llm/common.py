@@ -105,16 +105,6 @@ def unwrapped(df: DataFrame, like: DataFrame, keep: list[str], name: str = "_own
     return df.select(*[F.col(f"`{c}`") if c in keep else F.col(name).getField(c).alias(c) for c in like.columns])
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Delete the files behind a staged table that nothing reads any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/llm-" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
 def fields(ddl: str) -> list[T.StructField]:
     return T.StructType.fromDDL(ddl).fields
 
@@ -223,6 +213,30 @@ def ranked(df: DataFrame, order: list[Column], name: str, sums: dict[str, str] |
     )
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Rows staged in global order with their number from 0.
+
+    Rows are dealt by range; a row's number is its place in its range plus the
+    rows of the ranges before, of which one row each goes to the driver. Rows
+    that agree in the whole order lie in any order, spread over ranges too.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salted = df.withColumn("_salt", F.monotonically_increasing_id())
+    dealt = staged(
+        salted.repartitionByRange(parts, *order, F.col("_salt")).sortWithinPartitions(*order, F.col("_salt")).drop("_salt")
+        .withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id()),
+        "numbered",
+    )
+    offsets, run = [], 0
+    for r in dealt.groupBy("_part").count().orderBy("_part").collect():
+        offsets.append((r["_part"], run))
+        run += r["count"]
+    before = F.broadcast(spark.createDataFrame(offsets, "_part int, _before long"))  # one row for each range
+    in_part = F.col("_seq").bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.join(before, "_part").select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + in_part).alias(name))
+
+
 class _Known(dict):
     """A dict that learns the keys it lacks, from an older one if that has them."""
 

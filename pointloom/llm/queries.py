@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm_lm, html_text, language, mixing, near_dedup, piece_scan, quality, token_store, topk_search, url_filter
+from . import hmm_lm, html_text, language, mixing, near_dedup, piece_scan, prefix_trie, quality, token_store, topk_search, url_filter
 from .common import crc_mod, table
 
 #: The tables bring no list of hosts. The url query lists those whose MD5 is under this text: about an eighth of all.
@@ -75,8 +75,13 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored(docs, tokenizer_path("word_bpe_49k.json"), END_ID)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.trie(table(spark, sf_dir, "conversations"))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_mixing, op3_quality, op4_html_text, op5_piece_scan, op6_language, op7_topk_search, op8_hmm_lm, op9_url_filter, op10_token_store)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_mixing, op3_quality, op4_html_text, op5_piece_scan, op6_language, op7_topk_search, op8_hmm_lm, op9_url_filter, op10_token_store, op12_prefix_trie)}
 
 
 _OP7 = """
@@ -107,6 +112,32 @@ FROM p LEFT JOIN m USING (page_id)
 """
 
 
+#: Unsigned CRC-32 of text {0}, from the table of its 256 remainders, which a rule builds.
+_CRC_TABLE = "crc(t) AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(CAST(i AS UBIGINT), CAST(range(8) AS UBIGINT[])), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)))"
+_CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(string_split({0}, ''), lambda x: CAST(ascii(x) AS UBIGINT))), lambda c, b: xor(crc.t[CAST((xor(c, b) & 255) + 1 AS BIGINT)], c >> 8)), CAST(4294967295 AS UBIGINT))"
+
+_OP12 = f"""
+WITH {_CRC_TABLE},
+o AS (
+  SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS l
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+c AS (SELECT conv_id, l, CAST({_CRC.format("CAST(conv_id AS VARCHAR)")} % 6 AS BIGINT) AS h FROM o, crc),
+b AS (SELECT c.conv_id, list_concat(coalesce(list_slice(p.l, 1, h), []), list_slice(c.l, h + 1, len(c.l))) AS l FROM c LEFT JOIN o p ON p.conv_id = c.conv_id - c.conv_id % 100),
+x AS (SELECT conv_id, len(l) AS n, CAST(d AS BIGINT) AS depth, list_slice(l, 1, d) AS p FROM b, unnest(range(0, len(l) + 1)) AS u(d)),
+n AS (
+  SELECT depth, p, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE length(p[depth].t) END AS own,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256
+  FROM x GROUP BY depth, p),
+k AS (SELECT q.depth, q.p, count(*) AS n_children FROM n q JOIN n z ON z.depth = q.depth + 1 AND list_slice(z.p, 1, q.depth) = q.p GROUP BY q.depth, q.p),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (depth, p)),
+a AS (
+  SELECT q.depth, q.p, CAST(count(*) FILTER (WHERE z.n_children = 0) AS BIGINT) AS n_leaves, CAST(sum(z.own) AS BIGINT) AS saved_tokens
+  FROM m q JOIN m z ON z.depth >= q.depth AND list_slice(z.p, 1, q.depth) = q.p GROUP BY q.depth, q.p)
+SELECT m.conv_id, m.depth, up.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256
+FROM m JOIN a ON a.depth = m.depth AND a.p = m.p LEFT JOIN m up ON up.depth = m.depth - 1 AND up.p = list_slice(m.p, 1, m.depth - 1)
+"""
+
+
 def _op3_sql() -> str:
     stop = ", ".join("'" + w + "'" for w in sorted(quality.STOP_WORDS))
     return rf"""
@@ -135,4 +166,4 @@ FROM b
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": _op3_sql(), "op7_topk_search": _OP7, "op9_url_filter": _OP9}
+    return {"op3_quality": _op3_sql(), "op7_topk_search": _OP7, "op9_url_filter": _OP9, "op12_prefix_trie": _OP12}
