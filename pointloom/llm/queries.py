@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm_lm, html_text, language, mixing, near_dedup, piece_scan, prefix_trie, quality, token_store, topk_search, url_filter
+from . import hmm_lm, html_text, language, merkle, mixing, near_dedup, piece_scan, prefix_trie, quality, token_store, topk_search, url_filter
 from .common import crc_mod, table
 
 #: The tables bring no list of hosts. The url query lists those whose MD5 is under this text: about an eighth of all.
@@ -80,8 +80,13 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proofs = merkle.manifest(table(spark, sf_dir, "documents"))
+    return proofs.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_mixing, op3_quality, op4_html_text, op5_piece_scan, op6_language, op7_topk_search, op8_hmm_lm, op9_url_filter, op10_token_store, op12_prefix_trie)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_mixing, op3_quality, op4_html_text, op5_piece_scan, op6_language, op7_topk_search, op8_hmm_lm, op9_url_filter, op10_token_store, op12_prefix_trie, op13_merkle_manifest)}
 
 
 _OP7 = """
@@ -138,6 +143,46 @@ FROM m JOIN a ON a.depth = m.depth AND a.p = m.p LEFT JOIN m up ON up.depth = m.
 """
 
 
+def _part(value: str) -> str:
+    return f"coalesce(concat(strlen(CAST({value} AS VARCHAR)), ':', CAST({value} AS VARCHAR)), '-')"
+
+
+_AHEAD = " || ".join(_part(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_OP13 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (
+  SELECT doc_id, coalesce('s' || source, '') AS s, sha256({_AHEAD} || {_part("text")}) AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND CAST({_CRC.format("CAST(doc_id AS VARCHAR)")} % 2 AS INT) = 0 THEN sha256({_AHEAD} || {_part("replace(text, chr(10), '')")}) END AS alt
+  FROM documents, crc),
+r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY s) AS n FROM d),
+t(s, k, i, n, h) AS (
+  SELECT s, 0, i, n, leaf FROM r
+  UNION ALL
+  SELECT s, k + 1, i // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY s, k, i // 3),
+b AS (SELECT s, k AS top, h AS subroot, row_number() OVER (ORDER BY s) - 1 AS bi, count(*) OVER () AS bn FROM t WHERE n = 1),
+u(k, i, n, h) AS (
+  SELECT 0, bi, bn, subroot FROM b
+  UNION ALL
+  SELECT k + 1, i // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY k, i // 3),
+tw AS (SELECT s, k, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS g
+       FROM t WHERE n > 1 WINDOW w AS (PARTITION BY s, k, i // 3 ORDER BY i)),
+uw AS (SELECT k, i, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS g
+       FROM u WHERE n > 1 WINDOW w AS (PARTITION BY k, i // 3 ORDER BY i)),
+p AS (
+  SELECT r.s, r.i, tw.k AS step, l, g FROM r JOIN tw ON tw.s = r.s AND tw.i = r.i // CAST(pow(3, tw.k) AS BIGINT)
+  UNION ALL
+  SELECT r.s, r.i, b.top + uw.k, l, g FROM r JOIN b USING (s) JOIN uw ON uw.i = b.bi // CAST(pow(3, uw.k) AS BIGINT)),
+f(s, i, step, v) AS (
+  SELECT s, i, 0, coalesce(alt, leaf) FROM r
+  UNION ALL
+  SELECT f.s, f.i, step + 1, sha256(l || v || g) FROM f JOIN p USING (s, i, step)),
+e AS (SELECT s, i, arg_max(v, step) AS v FROM f GROUP BY s, i),
+q AS (SELECT s, i, string_agg(l || g, '' ORDER BY step) AS proof FROM p GROUP BY s, i)
+SELECT r.doc_id, r.leaf, b.subroot, u.h AS root, sha256(coalesce(proof, '')) AS proof_sha256, v AS folded_root, v = u.h AS verified
+FROM r JOIN b USING (s) JOIN e USING (s, i) LEFT JOIN q USING (s, i) JOIN u ON u.n = 1
+"""
+
+
 def _op3_sql() -> str:
     stop = ", ".join("'" + w + "'" for w in sorted(quality.STOP_WORDS))
     return rf"""
@@ -166,4 +211,4 @@ FROM b
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality": _op3_sql(), "op7_topk_search": _OP7, "op9_url_filter": _OP9, "op12_prefix_trie": _OP12}
+    return {"op3_quality": _op3_sql(), "op7_topk_search": _OP7, "op9_url_filter": _OP9, "op12_prefix_trie": _OP12, "op13_merkle_manifest": _OP13}
