@@ -12,21 +12,23 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import struct
-import sys
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import accumulate, chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordMemo, _Known, new_path, slices, staged
+from .common import _Known, new_path, slices, staged
 
 # Fixed values of the seekable format.
 SKIPPABLE_SEEK, SKIPPABLE_INDEX, FOOTER_MAGIC, FOOTER_SIZE = 0x184D2A5E, 0x184D2A5D, 0x8F92EAB1, 9
@@ -125,66 +127,140 @@ class WordEncoder:
 
     The text is cut at spaces and line feeds, which the tokenizer's own
     splitting never spans, so the ids are those of the whole text. Where the
-    tokenizer lower-cases and takes letters and marks apart (tried on some
-    words at the start), words of Latin letters go to the library's model
-    alone, and so do those with marks at their end, which are remembered apart.
+    tokenizer lower-cases and takes letters, digits and marks apart (tried on
+    some words at the start), runs of Latin letters go to the library's model
+    alone, and marks and digits are remembered apart.
+
+    Known words are an Arrow column beside one array of all their ids, so what
+    is known costs no Python per word; when there are too many, the words of
+    the text at hand stay.
     """
 
-    def __init__(self, path: str, end_id: int | None):
+    def __init__(self, path: str, end_id: int | None, most: int = 1_500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = False
-        self.model = self.tok.model
+        self.model, self.most = self.tok.model, most
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
-        self.kind, self.code = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
+        self.kind = np.dtype(f"<u{self.width}")
         self.bytes_as_chars = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
         rest = [b for b in range(256) if b not in self.bytes_as_chars]
         self.bytes_as_chars |= {b: chr(256 + i) for i, b in enumerate(rest)}
         tries = ("the", "Zzqxk", "für", "École", "niño")
-        plain = all(self._letters(w) == self._encode(w) and self._letters(w) + self._encode(m) == self._encode(w + m) for w in tries for m in MARKS)
-        self.marks = _Known(self._encode, {})  # runs of marks
-        self.words = WordMemo(self._word if plain else self._encode)
-        self.tail = b"" if end_id is None else np.array([end_id], self.kind).tobytes()
+        self.cores, self.marks = {}, _Known(self._encode, {})  # runs of letters, and the rest
+        self._spell(list(tries))
+        pairs = [(t, m) for t in tries for m in (*MARKS, "1", "***", "=7")]
+        self.plain = all(self.cores[t] == self._encode(t) and self.cores[t] + self._pieces(m) == self._encode(t + m) for t, m in pairs)
+        self.tail = np.array([] if end_id is None else [end_id], self.kind)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.string())
+        self.ids, self.starts, self.sizes = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _encode(self, word: str) -> bytes:
         return np.array(self.tok.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _letters(self, word: str) -> bytes:
-        """A word of letters below U+0180 by the model alone."""
-        w = word.lower()
-        if not w.isascii():
-            w = w.encode().decode("latin-1").translate(self.bytes_as_chars)
-        ids = array(self.code, [t.id for t in self.model.tokenize(w)])
-        if sys.byteorder == "big":
-            ids.byteswap()
-        return ids.tobytes()
-
-    @staticmethod
-    def _latin(word: str) -> bool:
-        # the capital dotted I is the one letter there whose lower case is two characters
-        return word.isalpha() and (word.isascii() or (max(word) < "\u0180" and "\u0130" not in word))
-
-    def _word(self, word: str) -> bytes:
-        if self._latin(word):
-            return self._letters(word)
-        core = word.rstrip(MARKS)
-        if len(core) < len(word) and self._latin(core):
-            known = self.words.new
-            b = known.get(core) or known.older.get(core) or self._letters(core)
-            return b + self.marks[word[len(core) :]]
-        return self._encode(word)
-
-    def many(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.marks) > 10_000:
-            self.marks = _Known(self._encode, {})
-        coded = self.words.joined([t.replace("\n", " ").split(" ") for t in texts])
-        return [np.frombuffer(b + self.tail, self.kind) for b in coded]
+    def _spell(self, cores: list[str]) -> None:
+        """Remember runs of letters below U+0180, by the model alone."""
+        for at in range(0, len(cores), 20_000):
+            part = cores[at : at + 20_000]
+            low = [w.lower() for w in part]
+            found = [self.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.bytes_as_chars)) for w in low]
+            ends = list(accumulate(map(len, found)))
+            raw = np.fromiter(map(attrgetter("id"), chain.from_iterable(found)), self.kind, ends[-1]).tobytes()
+            self.cores.update(zip(part, [raw[a * self.width : b * self.width] for a, b in zip([0, *ends], ends)]))
+
+    def _pieces(self, word: str) -> bytes:
+        """A word without letters, or with ASCII letters, by its runs."""
+        return b"".join([self.cores[x] if x in self.cores else self.marks[x] for x in RUNS.findall(word)])
+
+    def _learned(self, words: pa.Array) -> None:
+        if len(self.marks) > self.most // 16:
+            self.marks.clear()
+        if len(self.cores) > self.most // 8:
+            self.cores = {}
+        if self.plain:
+            core = pc.utf8_rtrim(words, characters=MARKS)
+            # a word is letters and marks, or ASCII that no apostrophe splits, or else the library's
+            lone = pc.match_substring_regex(core, LETTERS).to_numpy(zero_copy_only=False).tolist()
+            mixed = pc.match_substring_regex(words, "^[\\x21-\\x26\\x28-\\x7e]+$").to_numpy(zero_copy_only=False).tolist()
+            whole, cores = _strings(words), _strings(core)
+            need = {c for c, k in zip(cores, lone) if k}
+            for w, k, m in zip(whole, lone, mixed):
+                if m and not k:
+                    need.update(ASCII_LETTERS.findall(w))
+            self._spell([c for c in need if c not in self.cores])
+            known, marks = self.cores, self.marks
+            coded = [
+                (known[c] if len(c) == len(w) else known[c] + marks[w[len(c) :]]) if k else self._pieces(w) if m else self._encode(w)
+                for w, c, k, m in zip(whole, cores, lone, mixed)
+            ]
+        else:
+            coded = [self._encode(w) for w in words.to_pylist()]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // self.width
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(coded), self.kind)])
+        self.known = pa.concat_arrays([self.known, words])
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, and the offset of each text among them (and the end)."""
+        words = pc.split_pattern(pc.replace_substring(texts.cast(pa.string()), "\n", " "), " ")
+        coded = words.flatten().dictionary_encode()
+        if len(self.known) > self.most:
+            self._forget()
+        found = pc.index_in(coded.dictionary, value_set=self.known)
+        places, first = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64), len(self.known)
+        if found.null_count:
+            self._learned(coded.dictionary.filter(found.is_null()))
+            places[places < 0] = np.arange(first, len(self.known))
+        at = places[coded.indices.to_numpy(zero_copy_only=False)]
+        sizes = self.sizes[at]
+        ends = np.cumsum(sizes)
+        n = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(n)]
+        upto = np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))
+        return ids, np.concatenate([[0], ends])[np.concatenate([[0], upto]).astype(np.int64)]
+
+    def documents(self, texts: pa.Array, size: int = 4 << 20) -> Iterator[np.ndarray]:
+        """The ids of each text with the end id; about `size` bytes of text are worked on at a time."""
+        for at, n in slices([texts], 8192, size):
+            part = texts.slice(at, n)
+            if n == 1 and len(text := part[0].as_py()) > size:
+                yield np.concatenate([self.column(pa.array([x]))[0] for x in _cut(text, size)] + [self.tail])
+                continue
+            ids, offsets = self.column(part)
+            ids = np.insert(ids, np.repeat(offsets[1:], len(self.tail)), np.tile(self.tail, n)) if len(self.tail) else ids
+            offsets = offsets + len(self.tail) * np.arange(n + 1)
+            for i in range(n):
+                yield ids[offsets[i] : offsets[i + 1]]
+
+
+def _strings(words: pa.Array) -> list[str]:
+    """Words, which hold no space, as Python strings; one split is faster than a value at a time."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py().split(" ")
+
+
+def _cut(text: str, size: int) -> Iterator[str]:
+    """A long text in parts of about `size` characters that end before a space; a longer run without one is one part."""
+    at = 0
+    while at < len(text):
+        end = text.rfind(" ", at + 1, at + size) if at + size < len(text) else len(text)
+        if end < 0:
+            end = text.find(" ", at + size)
+        yield text[at : (end := len(text) if end < 0 else end)]
+        at = end
 
 
 #: Marks that a word may end in.
 MARKS = ".,;:!?"
+#: Letters below U+0180, but the capital dotted I, the one letter there whose lower case is two characters.
+LETTERS = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+$"
+ASCII_LETTERS = re.compile("[A-Za-z]+")
+RUNS = re.compile("[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
 _CODERS: dict[tuple, WordEncoder] = {}
 
 
@@ -225,11 +301,9 @@ def write(df: DataFrame, tokenizer: str, path: str, end_id: int | None, id_col:
         with where.open_output_stream(temp) as out:
             writer = Writer(out, code.width, level)
             for whole in batches:
-                for at, n in slices([whole.column(1)], 512, 1 << 20):
-                    b = whole.slice(at, n)
-                    for doc, x in zip(b.column(0).to_pylist(), code.many(b.column(1).to_pylist()), strict=True):
-                        writer.add(doc, x)
-                        docs, ids = docs + 1, ids + len(x)
+                for doc, x in zip(whole.column(0).to_pylist(), code.documents(whole.column(1)), strict=True):
+                    writer.add(doc, x)
+                    docs, ids = docs + 1, ids + len(x)
             writer.close()
         if where.get_file_info(f"{base}/{name}").type == pafs.FileType.NotFound:
             where.move(temp, f"{base}/{name}")
