@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hmm_lm, html_text, language, merkle, mixing, near_dedup, piece_scan, prefix_trie, quality, token_store, topk_search, url_filter
+from . import curve_packing, hmm_lm, html_text, language, merkle, mixing, near_dedup, piece_scan, prefix_trie, quality, token_store, topk_search, url_filter
 from .common import crc_mod, table
 
 #: The tables bring no list of hosts. The url query lists those whose MD5 is under this text: about an eighth of all.
 LISTED_UNDER = "2"
 END_ID = 2
+PACK_END_ID = 1
 
 
 def tokenizer_path(name: str) -> str:
@@ -75,6 +76,11 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored(docs, tokenizer_path("word_bpe_49k.json"), END_ID)
 
 
+def op11_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return curve_packing.packed_digest(docs, tokenizer_path("word_bpe_49k.json"), PACK_END_ID)
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = prefix_trie.trie(table(spark, sf_dir, "conversations"))
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
@@ -86,7 +92,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_mixing, op3_quality, op4_html_text, op5_piece_scan, op6_language, op7_topk_search, op8_hmm_lm, op9_url_filter, op10_token_store, op12_prefix_trie, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_mixing, op3_quality, op4_html_text, op5_piece_scan, op6_language, op7_topk_search, op8_hmm_lm, op9_url_filter, op10_token_store, op11_curve_packing, op12_prefix_trie, op13_merkle_manifest)}
 
 
 _OP7 = """
