@@ -183,10 +183,14 @@ def betweenness(points: DataFrame, pre: DataFrame, post: DataFrame, keys: Sequen
 
 
 def inside_hull(points: DataFrame, facets: DataFrame, keys: Sequence[str], id_col: str = "id", slack: float = 1e-6) -> DataFrame:
-    """Points under all facets (nx, ny, nz, c) of their key's hull: n . p + c <= slack."""
-    value = F.col("nx") * F.col("x") + F.col("ny") * F.col("y") + F.col("nz") * F.col("z") + F.col("c")
-    ok = points.select(*keys, id_col, "x", "y", "z").join(facets, list(keys)).groupBy(*keys, id_col).agg(F.max(value).alias("_v")).filter(F.col("_v") <= slack)
-    return points.join(ok.select(*keys, id_col), [*keys, id_col], "left_semi")
+    """Points under all facets (nx, ny, nz, c) of their key's hull: n . p + c <= slack.
+
+    A key's facets are one array row, so a point meets one row; a point with a
+    null coordinate is in no hull, nor is one whose key has no facets.
+    """
+    held = facets.groupBy(*keys).agg(F.collect_list(F.struct("nx", "ny", "nz", "c")).alias("_facets"))
+    under = F.forall("_facets", lambda f: f["nx"] * F.col("x") + f["ny"] * F.col("y") + f["nz"] * F.col("z") + f["c"] <= F.lit(float(slack)))
+    return points.join(held, list(keys)).filter(under).select(*points.columns)
 
 
 def cylinder_counts(vertices: DataFrame, particles: DataFrame, radius: float, keys: Sequence[str], length: float = 50.0, samples: int = 100, id_col: str = "id", per_receptor: float = 1.0, cross_section: float = 1.0) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import distance_class, finite, pop_std
-from ..operators import curves, geometry, nulls, ripley, spatial
+from ..operators import curves, geometry, nulls, ripley, spatial, windows
 from ..staging import staged
 
 
@@ -141,14 +141,19 @@ def site_curves(sets: DataFrame, particles: DataFrame, volume: DataFrame, window
     return out.select(key, "comparison", "rep", "n_sites", "bin", "r", "k", ripley.l_of_k(F.col("k"), F.col("r")).alias("l"))
 
 
-def fusion_sites(fusing: DataFrame, close: DataFrame, particles: DataFrame, surface: DataFrame, volume: DataFrame, window: DataFrame, h: float, step: float, r_max: float, replicates: int = 100, shift: float = 40.0, key: str = "zone", **how) -> DataFrame:
-    """site_curves of the fusing sites (observed), of close ones, of tangential shifts and of permuted labels, each replicate a curve; rep is -1 for the first two."""
+def fusion_sets(fusing: DataFrame, close: DataFrame, particles: DataFrame, surface: DataFrame, replicates: int = 100, shift: float = 40.0, key: str = "zone", **how) -> DataFrame:
+    """zone, comparison, rep, id, x, y, z: fusing sites (observed) and close ones, both rep -1, tangential shifts and permuted labels."""
     one = lambda df, name: df.select(key, F.lit(name).alias("comparison"), F.lit(-1).alias("rep"), "id", "x", "y", "z")
     moved = nulls.shifted_sites(fusing, surface, replicates, shift, key, **how)
     swapped = permuted_sites(fusing, particles, surface, replicates, key)
     reps = lambda df, name: df.select(key, F.lit(name).alias("comparison"), "rep", "id", "x", "y", "z")
-    sets = one(fusing, "observed").unionByName(one(close, "close")).unionByName(reps(moved, "shift")).unionByName(reps(swapped, "labels"))
-    return site_curves(staged(sets, "sets"), particles, volume, window, h, step, r_max, key)
+    return staged(one(fusing, "observed").unionByName(one(close, "close")).unionByName(reps(moved, "shift")).unionByName(reps(swapped, "labels")), "sets")
+
+
+def fusion_sites(fusing: DataFrame, close: DataFrame, particles: DataFrame, surface: DataFrame, volume: DataFrame, window: DataFrame, h: float, step: float, r_max: float, replicates: int = 100, shift: float = 40.0, key: str = "zone", **how) -> DataFrame:
+    """site_curves of the fusing sites (observed), of close ones, of tangential shifts and of permuted labels, each replicate a curve; rep is -1 for the first two."""
+    sets = fusion_sets(fusing, close, particles, surface, replicates, shift, key, **how)
+    return site_curves(sets, particles, volume, window, h, step, r_max, key)
 
 
 def fusion_table(curve: DataFrame, key: str = "zone", value: str = "l") -> DataFrame:
@@ -187,3 +192,111 @@ def density_controls(sites: DataFrame, particles: DataFrame, surface: DataFrame,
 def density_control_table(controls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """by, radius, offset and the bands of real minus control over the sites."""
     return curves.mean_bands(controls.withColumn("delta", F.col("real") - F.col("control")), [*by, "radius", "offset"], "delta")
+
+
+def window_of(points: DataFrame, h: float, keys: Sequence[str], pre: DataFrame | None = None, post: DataFrame | None = None, limit: float = 50.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The window of each key: planes of the points' hull, tiles (with surfaces, of what lies between them too), and volumes."""
+    planes = staged(geometry.hull_planes(points.select(*keys, "x", "y", "z"), keys), "planes")
+    tiles = staged(windows.tiles(points, planes, h, keys, pre, post, limit), "window")
+    return planes, tiles, windows.volumes(tiles, h, keys)
+
+
+def _long(k: DataFrame, by: Sequence[str], step: float, width: int, unsure: dict[str, DataFrame]) -> DataFrame:
+    """by, family, r, value from k12, k21 and k_combined (by, bin, r): K, L and g, where g is null in shells with too few lattice points."""
+    k = staged(k, "families")
+    out = None
+    for s in ("12", "21", "_combined"):
+        for f, v in (("k", F.col(f"k{s}")), ("l", ripley.l_of_k(F.col(f"k{s}"), F.col("r")))):
+            part = k.select(*by, F.lit(f"{f}{s}").alias("family"), "r", v.alias("value"))
+            out = part if out is None else out.unionByName(part)
+        g = ripley.pair_correlation(k, by, width, step, f"k{s}", "value")
+        for side, shells in unsure.items():
+            if s in (side, "_combined"):
+                on = [*[c for c in by if c in shells.columns], "bin"]
+                g = g.join(shells.select(*on, F.col("reliable").alias("_r")), on, "left").withColumn("value", F.when(F.col("_r"), F.col("value"))).drop("_r")
+        out = out.unionByName(g.select(*by, F.lit(f"g{s}").alias("family"), "r", "value"))
+    return out
+
+
+def families_in_window(a: DataFrame, b: DataFrame, planes: DataFrame, tiles: DataFrame, h: float, step: float, r_max: float, keys: Sequence[str], width: int = 1, least_a: int = 2, least_b: int = 2, drop_a: bool = True) -> DataFrame:
+    """keys, family, r, value: K, L and g of both directions and their combination, within the window and with its edge factors.
+
+    Points outside the hull are dropped first (of a, only if drop_a); keys
+    with fewer points than `least` of either then have no curve. Volumes are
+    those of the tiles, so at radii that hold the whole window K is that of a
+    random pattern. A g is null where the foci's shells have under 8 lattice
+    points, the combined one where either is.
+    """
+    keys = list(keys)
+    sides = [("12", windows.members(a, planes, keys) if drop_a else a, least_a), ("21", windows.members(b, planes, keys), least_b)]
+    enough = None
+    for _, side, least in sides:
+        n = side.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select(*keys)
+        enough = n if enough is None else enough.join(n, keys)
+    enough, volume = staged(enough, "enough"), windows.volumes(tiles, h, keys)
+    kept = {s: staged(side.select(*keys, "id", "x", "y", "z").join(enough, keys, "left_semi"), f"side{s}") for s, side, _ in sides}
+    curves_, unsure = {}, {}
+    for s, other in (("12", "21"), ("21", "12")):
+        p = staged(windows.factors(kept[s], tiles, h, step, r_max, keys), "factors")
+        curves_[s] = ripley.cross_k(kept[s], kept[other], volume, step, r_max, keys, factors=p).select(*keys, "bin", "r", F.col("n1").alias(f"n{s}"), F.col("k").alias(f"k{s}"))
+        unsure[s] = ripley.shell_reliability(p, keys, width)
+    k = curves_["12"].join(curves_["21"].drop("r"), [*keys, "bin"])
+    k = k.withColumn("k_combined", ripley.combined(F.col("n12"), F.col("k12"), F.col("n21"), F.col("k21")))
+    return _long(k, keys, step, width, unsure)
+
+
+def around_centre_in_window(points: DataFrame, centres: DataFrame, planes: DataFrame, tiles: DataFrame, h: float, step: float, r_max: float, keys: Sequence[str], width: int = 1, least: int = 3) -> DataFrame:
+    """families_in_window of one centre for each key (direction 12) and the particles inside its hull; keys with fewer than `least` are left out."""
+    return families_in_window(centres.withColumn("id", F.lit(0).cast("long")), points, planes, tiles, h, step, r_max, keys, width, 1, least, drop_a=False)
+
+
+def two_kinds_in_window(points: DataFrame, planes: DataFrame, tiles: DataFrame, h: float, step: float, r_max: float, replicates: int, key: str = "zone", **how) -> tuple[DataFrame, DataFrame]:
+    """two_kinds of the points inside the hull, with the window's volume and edge factors."""
+    inside = staged(windows.members(points, planes, [key]), "inside")
+    p = staged(windows.factors(inside, tiles, h, step, r_max, [key]), "factors")
+    return two_kinds(inside, windows.volumes(tiles, h, [key]), p, step, r_max, replicates, key, **how)
+
+
+def sets_in_window(sets: DataFrame, particles: DataFrame, planes: DataFrame, tiles: DataFrame, h: float, step: float, r_max: float, key: str = "zone", width: int = 1) -> DataFrame:
+    """zone, comparison, rep, n_sites, n_particles, family, r, value of each set of sites against the particles inside the hull, both directions.
+
+    sets: zone, comparison, rep, id, x, y, z; all sites of a set are pooled.
+    Pairs are met once for both directions and all sets.
+    """
+    last = int(round(r_max / step))
+    by = [key, "comparison", "rep"]
+    sites = staged(sets.select(*by, F.struct("comparison", "rep", "id").alias("id"), "x", "y", "z"), "sites")
+    inside = staged(windows.members(particles, planes, [key]).select(key, "id", "x", "y", "z"), "inside")
+    volume = windows.volumes(tiles, h, [key])
+    n2 = inside.groupBy(key).agg(F.count(F.lit(1)).alias("n_particles"))
+    n1 = sites.groupBy(*by).agg(F.count(F.lit(1)).alias("n_sites"))
+    base = staged(n1.join(n2, key).join(volume, key), "sizes")
+    p1 = staged(windows.factors(sites.drop("comparison", "rep"), tiles, h, step, r_max, [key]), "site_factors")
+    p2 = staged(windows.factors(inside, tiles, h, step, r_max, [key]), "particle_factors")
+    bins = (F.floor(F.col("d") / F.lit(float(step))) + 1).cast("int")
+    met = spatial.within(sites.drop("comparison", "rep"), inside, r_max, [key]).select(key, "a_id", "b_id", bins.alias("bin")).filter(F.col("bin") <= last)
+    met = staged(met, "met")
+    sums = base.withColumn("bin", F.explode(ripley.radius_grid(step, r_max)))
+    for name, focus, p in (("w12", "a_id", p1), ("w21", "b_id", p2)):
+        n = met.groupBy(key, F.col("a_id.comparison").alias("comparison"), F.col("a_id.rep").alias("rep"), F.col(focus).alias("id"), "bin").agg(F.count(F.lit(1)).alias("n"))
+        upward = n.withColumn("bin", F.explode(F.sequence("bin", F.lit(last))))  # a pair counts at its radius and all beyond
+        w = upward.join(p.select(key, "id", "bin", "p"), [key, "id", "bin"]).groupBy(*by, "bin").agg(F.sum(F.col("n") / F.col("p")).alias(name))
+        sums = sums.join(w, [*by, "bin"], "left")
+    scale = F.col("volume") / (F.col("n_sites") * F.col("n_particles"))
+    k = sums.withColumn("r", F.col("bin") * F.lit(float(step)))
+    for s in ("12", "21"):
+        k = k.withColumn(f"k{s}", scale * F.coalesce(f"w{s}", F.lit(0.0)))
+    k = k.withColumn("k_combined", ripley.combined(F.col("n_sites"), F.col("k12"), F.col("n_particles"), F.col("k21")))
+    shells = p1.withColumn("comparison", F.col("id.comparison")).withColumn("rep", F.col("id.rep"))
+    unsure = {"12": ripley.shell_reliability(shells, by, width), "21": ripley.shell_reliability(p2, [key], width)}
+    return _long(k, [*by, "n_sites", "n_particles"], step, width, unsure)
+
+
+def fusion_sites_in_window(fusing: DataFrame, close: DataFrame, particles: DataFrame, surface: DataFrame, planes: DataFrame, tiles: DataFrame, h: float, step: float, r_max: float, replicates: int = 100, shift: float = 40.0, key: str = "zone", least: int = 100, ranges=nulls.R_RANGES, **how) -> tuple[DataFrame, DataFrame]:
+    """sets_in_window of fusing sites, close ones, shifted ones and permuted labels, and the global tests of each L family against the shifts and the labels."""
+    sets = fusion_sets(fusing, close, particles, surface, replicates, shift, key, **how)
+    curve = staged(sets_in_window(sets, particles, planes, tiles, h, step, r_max, key), "site_families")
+    rows = curve.filter(F.col("family").startswith("l")).select(key, "comparison", "rep", F.col("family").alias("curve"), "r", "value")
+    null = rows.filter(F.col("comparison").isin("shift", "labels")).withColumnRenamed("comparison", "null")
+    seen = rows.filter("comparison = 'observed'").drop("comparison", "rep").join(null.select(key, "null").distinct(), key)
+    return curve, nulls.mad_over_ranges(seen, null, [key, "null", "curve"], ranges, least=least)

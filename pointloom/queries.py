@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import names, numeric
-from .operators import clusters, curves, geometry, nulls, pairing, raster, ripley, spatial
+from .operators import clusters, curves, geometry, nulls, pairing, raster, ripley, spatial, windows
 from .plans import analyses, zones
 from .sinks import tables as sinks
 from .tables import PTS_SQL, D, of_kind, points, spheres, table
@@ -29,7 +29,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         _QUERIES[f.__name__] = f
         if sql:
             more = sql.lstrip().startswith("+")
-            over = re.search(r"\b(pts|k0|k1|sph|vol)\b", sql)
+            over = "WITH RECURSIVE" not in sql and re.search(r"\b(pts|k0|k1|sph|vol)\b", sql)
             _SQL[f.__name__] = f"WITH RECURSIVE {PTS_SQL}, {sql.lstrip()[1:]}" if more else f"WITH RECURSIVE {PTS_SQL} {sql}" if over else sql
         return f
 
@@ -388,6 +388,118 @@ def cross_h_2d(spark: SparkSession, sf: str) -> DataFrame:
     return k.select("zone", "r", F.round(ripley.h_of_k(F.col("k"), F.col("r")), 6).alias("h"))
 
 
+# windows: the hull of the first kind, between its ids that 4 divides (pre) and the others (post)
+WH, WSTEP, WMAX = 6.0, 5.0, 30.0
+
+
+def _windowed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    p = points(spark, sf)
+    first = of_kind(p, 0).select("zone", "id", "x", "y", "z")
+    planes, tiles, volume = analyses.window_of(first, WH, Z, first.filter("id % 4 = 0"), first.filter("id % 4 = 2"))
+    return p, planes, tiles, volume
+
+
+#: The lattice of each window, point by point, and what points are inside the hull (ins).
+_WINDOW = _facets("k0") + """,
+box AS (SELECT zone, min(x) AS lx, min(y) AS ly, min(z) AS lz, floor((max(x)-min(x))/6) AS tx, floor((max(y)-min(y))/6) AS ty, floor((max(z)-min(z))/6) AS tz FROM k0 GROUP BY zone),
+cube AS (SELECT zone, lx + 6.0::DOUBLE * i AS x, ly + 6.0::DOUBLE * j AS y, lz + 6.0::DOUBLE * k AS z FROM box JOIN range(1000) a(i) ON i <= tx JOIN range(1000) b(j) ON j <= ty JOIN range(1000) c(k) ON k <= tz),
+inh AS (SELECT p.zone, p.x, p.y, p.z FROM cube p JOIN facets f ON p.zone = f.zone GROUP BY ALL HAVING max(""" + _BEYOND + """) <= 1e-6),
+gap AS (SELECT a.zone, a.x, a.y, a.z, b.id % 4 AS side, arg_min(struct_pack(x := b.x, y := b.y, z := b.z, d := """ + D + """), """ + D + """) AS m FROM inh a JOIN k0 b ON a.zone = b.zone GROUP BY ALL),
+wl AS (SELECT p.zone, p.x, p.y, p.z FROM gap p JOIN gap q ON p.zone = q.zone AND p.x = q.x AND p.y = q.y AND p.z = q.z AND p.side = 0 AND q.side = 2
+ WHERE (p.m.x-p.x)*(q.m.x-p.x)+(p.m.y-p.y)*(q.m.y-p.y)+(p.m.z-p.z)*(q.m.z-p.z) < 0 AND least(p.m.d, q.m.d) <= 50),
+wv AS (SELECT zone, count(*) * 216::DOUBLE AS volume FROM wl GROUP BY zone),
+ins AS (SELECT p.zone, p.id, p.kind, p.x, p.y, p.z FROM pts p JOIN facets f ON p.zone = f.zone GROUP BY ALL HAVING max(""" + _BEYOND + """) <= 1e-6),
+g AS (SELECT CAST(i AS INT) AS bin, i * 5.0::DOUBLE AS r FROM range(1, 7) t(i))"""
+
+
+def _share(foci: str, by: str) -> str:
+    """SQL: lattice points under each radius of each focus, and the factor."""
+    return f"""(SELECT *, CASE WHEN c = 0 THEN 1.0 ELSE least(1.0, c * 216 / ((4.0/3.0*pi()) * r * r * r)) END AS p
+ FROM (SELECT {by}, g.bin, g.r, count(b.x) FILTER ({D} < g.r) AS c FROM {foci} a JOIN wl b ON a.zone = b.zone CROSS JOIN g GROUP BY ALL))"""
+
+
+def _families_sql(sets: str, partners: str, width: int = 1) -> str:
+    """SQL of all families: sets has zone, cmp, id, x, y, z, partners zone, id, x, y, z."""
+    e = f"""s1 AS ({sets}), s2 AS ({partners}),
+e1 AS {_share("s1", "a.zone, a.cmp, a.id")}, e2 AS {_share("s2", "a.zone, a.id")},
+n AS (SELECT s1.zone, cmp, n1, n2 FROM (SELECT zone, cmp, count(*) AS n1 FROM s1 GROUP BY ALL) s1 JOIN (SELECT zone, count(*) AS n2 FROM s2 GROUP BY ALL) s2 USING (zone)),
+pr AS (SELECT a.zone, a.cmp, a.id AS i, b.id AS j, {D} AS d FROM s1 a JOIN s2 b ON a.zone = b.zone),
+pc AS (SELECT pr.zone, pr.cmp, g.bin, sum(1 / e1.p) AS w1, sum(1 / e2.p) AS w2 FROM pr JOIN g ON pr.d < g.r JOIN e1 ON e1.zone = pr.zone AND e1.cmp = pr.cmp AND e1.id = pr.i AND e1.bin = g.bin JOIN e2 ON e2.zone = pr.zone AND e2.id = pr.j AND e2.bin = g.bin GROUP BY ALL),
+kk AS (SELECT n.zone, n.cmp, g.bin, g.r, n1, n2, volume / (n1 * n2) * coalesce(w1, 0) AS k12, volume / (n1 * n2) * coalesce(w2, 0) AS k21 FROM n JOIN wv USING (zone) CROSS JOIN g LEFT JOIN pc ON pc.zone = n.zone AND pc.cmp = n.cmp AND pc.bin = g.bin),
+r1 AS (SELECT zone, cmp, bin, c - coalesce(lag(c, {width}) OVER (PARTITION BY zone, cmp ORDER BY bin), 0) >= 8 AS ok1 FROM (SELECT zone, cmp, bin, sum(c) AS c FROM e1 GROUP BY ALL)),
+r2 AS (SELECT zone, bin, c - coalesce(lag(c, {width}) OVER (PARTITION BY zone ORDER BY bin), 0) >= 8 AS ok2 FROM (SELECT zone, bin, sum(c) AS c FROM e2 GROUP BY ALL)),
+u AS (SELECT kk.*, '12' AS s, k12 AS k, ok1 AS ok FROM kk JOIN r1 USING (zone, cmp, bin) UNION ALL SELECT kk.*, '21', k21, ok2 FROM kk JOIN r2 USING (zone, bin)
+ UNION ALL SELECT kk.*, '_combined', (n1 * k12 + n2 * k21) / (n1 + n2), ok1 AND ok2 FROM kk JOIN r1 USING (zone, cmp, bin) JOIN r2 USING (zone, bin)),
+w AS (SELECT *, coalesce(lag(k, {width}) OVER (PARTITION BY zone, cmp, s ORDER BY bin), 0) AS kw FROM u)"""
+    ball = f"((4.0/3.0*pi()) * (r*r*r - (r-{width * 5})*(r-{width * 5})*(r-{width * 5})))"
+    l_of = "(cbrt(3.0 * greatest(k, 0.0) / (4.0 * pi())) - r)"
+    return ", " + e + f""" SELECT zone, cmp, n1, n2, 'k' || s AS family, r, round(k, 4) AS value FROM u
+UNION ALL SELECT zone, cmp, n1, n2, 'l' || s, r, round({l_of}, 4) FROM u
+UNION ALL SELECT zone, cmp, n1, n2, 'g' || s, r, round(CASE WHEN ok THEN (k - kw) / {ball} END, 4) FROM w WHERE bin % {width} = 0"""
+
+
+@query(_WINDOW + " SELECT zone, CAST(count(*) AS BIGINT) AS n, count(*) * 216::DOUBLE AS volume FROM wl GROUP BY zone")
+def window_between_volume(spark: SparkSession, sf: str) -> DataFrame:
+    """Lattice points and volume of each window."""
+    tiles = _windowed(spark, sf)[2]
+    return tiles.groupBy("zone").agg(F.sum("n").alias("n")).join(windows.volumes(tiles, WH, Z), "zone")
+
+
+@query(_WINDOW + f""", near AS (SELECT a.zone, a.id, b.id % 4 AS side, arg_min(struct_pack(x := b.x, y := b.y, z := b.z, d := {D}), {D}) AS m, a.x, a.y, a.z FROM ins a JOIN k0 b ON a.zone = b.zone WHERE a.kind = 1 GROUP BY ALL)
+SELECT p.id, p.zone FROM near p JOIN near q ON p.id = q.id AND p.side = 0 AND q.side = 2
+WHERE (p.m.x-p.x)*(q.m.x-p.x)+(p.m.y-p.y)*(q.m.y-p.y)+(p.m.z-p.z)*(q.m.z-p.z) < 0 AND least(p.m.d, q.m.d) <= 50""")
+def window_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of the second kind inside the hull and between the surfaces."""
+    p, planes, _, _ = _windowed(spark, sf)
+    first = of_kind(p, 0)
+    return windows.members(of_kind(p, 1), planes, Z, first.filter("id % 4 = 0"), first.filter("id % 4 = 2")).select("zone", "id")
+
+
+@query(_WINDOW + f", s1 AS (SELECT * FROM ins WHERE kind = 1) SELECT zone, id, r, CAST(c AS BIGINT) AS in_grid, round(p, 6) AS p FROM {_share('s1', 'a.zone, a.id')}")
+def window_edge_factors(spark: SparkSession, sf: str) -> DataFrame:
+    """Edge factors of the second kind in the window."""
+    p, planes, tiles, _ = _windowed(spark, sf)
+    out = windows.factors(windows.members(of_kind(p, 1), planes, Z), tiles, WH, WSTEP, WMAX, Z)
+    return rounded(out.select("zone", "id", "r", "in_grid", "p"))
+
+
+@query()
+def monte_carlo_factors(spark: SparkSession, sf: str) -> DataFrame:
+    """Edge factors of the second kind in the hull, by seeded samples."""
+    p, planes, _, _ = _windowed(spark, sf)
+    return rounded(windows.monte_carlo_factors(windows.members(of_kind(p, 1), planes, Z), planes, WSTEP, WMAX, Z).select("zone", "id", "r", "p"))
+
+
+@query("SELECT zone, family, r, value FROM (" + _WINDOW.replace("+ tri", "WITH RECURSIVE " + PTS_SQL + ", tri", 1) + _families_sql(
+    "SELECT zone, 'c' AS cmp, 0 AS id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM pts GROUP BY zone", "SELECT zone, id, x, y, z FROM ins WHERE kind = 1 AND zone IN (SELECT zone FROM ins WHERE kind = 1 GROUP BY zone HAVING count(*) >= 3)", 2) + ")")
+def centre_families(spark: SparkSession, sf: str) -> DataFrame:
+    """K, L and g of the second kind around each zone's centre, in the window."""
+    p, planes, tiles, _ = _windowed(spark, sf)
+    centres = p.groupBy("zone").agg(*[F.avg(k).alias(k) for k in "xyz"])
+    out = analyses.around_centre_in_window(of_kind(p, 1), centres, planes, tiles, WH, WSTEP, WMAX, Z, 2)
+    return out.select("zone", "family", "r", F.round("value", 4).alias("value"))
+
+
+@query("SELECT zone, family, r, value FROM (" + _WINDOW.replace("+ tri", "WITH RECURSIVE " + PTS_SQL + ", tri", 1) + _families_sql(
+    "SELECT zone, 'c' AS cmp, id, x, y, z FROM ins WHERE kind = 0 AND zone IN (SELECT zone FROM ins WHERE kind = 1 GROUP BY zone HAVING count(*) >= 2)",
+    "SELECT zone, id, x, y, z FROM ins WHERE kind = 1 AND zone IN (SELECT zone FROM ins WHERE kind = 1 GROUP BY zone HAVING count(*) >= 2)") + ")")
+def two_kinds_families(spark: SparkSession, sf: str) -> DataFrame:
+    """K, L and g of both kinds, both directions, in the window."""
+    p, planes, tiles, _ = _windowed(spark, sf)
+    out = analyses.families_in_window(of_kind(p, 0), of_kind(p, 1), planes, tiles, WH, WSTEP, WMAX, Z)
+    return out.select("zone", "family", "r", F.round("value", 4).alias("value"))
+
+
+@query("SELECT zone, cmp AS comparison, CAST(n1 AS BIGINT) AS n_sites, CAST(n2 AS BIGINT) AS n_particles, family, r, value FROM (" + _WINDOW.replace("+ tri", "WITH RECURSIVE " + PTS_SQL + ", tri", 1) + _families_sql(
+    "SELECT zone, CASE WHEN z > 0 THEN 'observed' ELSE 'close' END AS cmp, id, x, y, z FROM k0", "SELECT zone, id, x, y, z FROM ins WHERE kind = 1") + ")")
+def site_families(spark: SparkSession, sf: str) -> DataFrame:
+    """K, L and g of fusing (z above 0) and close sites against the particles, both directions, in the window."""
+    p, planes, tiles, _ = _windowed(spark, sf)
+    sites = of_kind(p, 0).select("zone", F.when(F.col("z") > 0, "observed").otherwise("close").alias("comparison"), F.lit(-1).alias("rep"), "id", "x", "y", "z")
+    out = analyses.sets_in_window(sites, of_kind(p, 1), planes, tiles, WH, WSTEP, WMAX)
+    return out.select("zone", "comparison", "n_sites", "n_particles", "family", "r", F.round("value", 4).alias("value"))
+
+
 # curves
 @query(_BINS + " SELECT CAST(r AS DOUBLE) AS r, round(avg(k), 6) AS mean, round(median(k), 6) AS median, round(quantile_cont(k, 0.025), 6) AS lo, round(quantile_cont(k, 0.975), 6) AS hi, CAST(count(*) AS BIGINT) AS n FROM kk GROUP BY r")
 def percentile_band(spark: SparkSession, sf: str) -> DataFrame:
