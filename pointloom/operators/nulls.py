@@ -229,12 +229,12 @@ def spearman(df: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:
 
 
 def kendall(df: DataFrame, by: Sequence[str], x: str, y: str, id_col: str) -> DataFrame:
-    """tau-b over all pairs of a group; groups are samples, so pairs within them are few."""
+    """tau-b over all pairs of a group, null where a column is constant; groups are samples, so pairs within them are few."""
     a = df.select(*by, F.col(id_col).alias("i"), F.col(x).alias("xa"), F.col(y).alias("ya"))
     b = df.select(*by, F.col(id_col).alias("j"), F.col(x).alias("xb"), F.col(y).alias("yb"))
     p = a.join(b, list(by)).filter("i < j")
     sx, sy = F.signum(F.col("xa") - F.col("xb")), F.signum(F.col("ya") - F.col("yb"))
-    return p.groupBy(*by).agg((F.sum(sx * sy) / F.sqrt(F.sum(F.abs(sx)) * F.sum(F.abs(sy)))).alias("tau"))
+    return p.groupBy(*by).agg((F.try_divide(F.sum(sx * sy), F.sqrt(F.sum(F.abs(sx)) * F.sum(F.abs(sy))))).alias("tau"))
 
 
 def moments(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -243,7 +243,7 @@ def moments(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def wilcoxon_signed(df: DataFrame, by: Sequence[str], delta: str) -> DataFrame:
-    """by, n, w_plus, z, p: signed-rank test by the normal approximation with ties; all zero gives p = 1, fewer than two NULL."""
+    """by, n, w_plus, z, p: signed-rank test by the normal approximation with ties; all zero gives p = 1, fewer than two NULL. samples.signed_rank is exact for small samples."""
     live = df.filter(F.col(delta).isNotNull())
     total = live.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"))
     nz = live.filter(F.abs(delta) > 1e-12).withColumn("_a", F.abs(delta))
@@ -251,7 +251,7 @@ def wilcoxon_signed(df: DataFrame, by: Sequence[str], delta: str) -> DataFrame:
     s = nz.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(delta) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_tie"))
     mean = F.col("n") * (F.col("n") + 1) / 4.0
     var = F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24.0 - F.col("_tie") / 48.0
-    z = (F.col("w_plus") - mean) / F.sqrt(var)
+    z = F.try_divide(F.col("w_plus") - mean, F.sqrt(var))
     out = total.join(s, list(by), "left").withColumn("z", F.when(F.col("n") > 0, z))
     p = F.when(F.col("_all") < 2, None).when(F.col("n").isNull(), 1.0).otherwise(two_sided_p(F.col("z")))
     return out.select(*by, F.coalesce("n", F.lit(0)).alias("n"), "w_plus", "z", p.alias("p"))
@@ -266,16 +266,16 @@ def two_sided_p(z: Column) -> Column:
 
 
 def mann_whitney(df: DataFrame, by: Sequence[str], group: str, value: str) -> DataFrame:
-    """by, n1, n2, u, z, p for the rows whose boolean group is true against the others."""
+    """by, n1, n2, u, z, p by the normal approximation for the rows whose boolean group is true against the others; p is 1 with fewer than two on a side. samples.rank_sum is exact for small samples."""
     r = df.filter(F.col(value).isNotNull()).withColumn("_r", average_rank(F.col(value), by)).withColumn("_t", F.count(F.lit(1)).over(Window.partitionBy(*by, value)))
     s = r.groupBy(*by).agg(
         F.count_if(F.col(group)).alias("n1"), F.count_if(~F.col(group)).alias("n2"), F.sum(F.when(F.col(group), F.col("_r")).otherwise(0.0)).alias("_s"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_tie")
     )
     n = F.col("n1") + F.col("n2")
     u = F.col("_s") - F.col("n1") * (F.col("n1") + 1) / 2.0
-    var = F.col("n1") * F.col("n2") / 12.0 * (n + 1 - F.col("_tie") / (n * (n - 1)))
-    z = (u - F.col("n1") * F.col("n2") / 2.0) / F.sqrt(var)
-    return s.select(*by, "n1", "n2", u.alias("u"), z.alias("z"), two_sided_p(z).alias("p"))
+    var = F.col("n1") * F.col("n2") / 12.0 * (n + 1 - F.coalesce(F.try_divide(F.col("_tie"), n * (n - 1)), F.lit(0.0)))
+    z = F.try_divide(u - F.col("n1") * F.col("n2") / 2.0, F.sqrt(var))
+    return s.select(*by, "n1", "n2", u.alias("u"), z.alias("z"), F.when(F.least("n1", "n2") < 2, 1.0).otherwise(F.coalesce(two_sided_p(z), F.lit(1.0))).alias("p"))
 
 
 # sequential null models: one group is one zone and replicate, seeded by its numbers

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import names, numeric
-from .operators import clusters, curves, geometry, nulls, pairing, raster, ripley, spatial, windows
+from .operators import clusters, curves, geometry, nulls, pairing, raster, ripley, samples, spatial, windows
 from .plans import analyses, zones
 from .sinks import tables as sinks
 from .tables import PTS_SQL, D, of_kind, points, spheres, table
@@ -668,6 +668,60 @@ def mann_whitney(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("zone", "n1", "n2", F.round("u", 4).alias("u"), F.round("z", 6).alias("z"))
 
 
+#: Twice the upper tail of the normal distribution beyond |z|, by its series.
+_TAIL = "(1 - 2 * exp(-{0} * {0} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 80), lambda k: pow(abs({0}), 2 * k + 1) * sqrt(pi()) / (pow(2, k + 1) * gamma(k + 1.5)))))"
+
+
+@query(f"""+ d AS (SELECT zone, id % 5 AS part, x, abs(x) AS a FROM pts),
+r AS (SELECT *, rank() OVER (PARTITION BY zone, part ORDER BY a) + (count(*) OVER (PARTITION BY zone, part, a) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY zone, part, a) AS t FROM d WHERE x <> 0),
+q AS (SELECT zone, part, count(*) AS n, sum(CASE WHEN x > 0 THEN r ELSE 0 END) AS w_plus, sum(t * t - 1) AS tie, max(a) AS most, (SELECT count(*) FROM d WHERE d.zone = r.zone AND d.part = r.part) AS n_all FROM r GROUP BY ALL),
+dp(k, s, c) AS (SELECT 0, 0, 1.0::DOUBLE UNION ALL SELECT k + 1, s + b * (k + 1), sum(c) FROM dp, (VALUES (0), (1)) v(b) WHERE k < 50 GROUP BY k, s + b * (k + 1)),
+z AS (SELECT *, (w_plus - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - tie / 48.0::DOUBLE) AS z, n <= 50 AND n = n_all AND tie = 0 AS exact FROM q)
+SELECT zone, part, CAST(n AS BIGINT) AS n, round(w_plus, 6) AS w_plus, round(z, 6) AS z, exact, round(pow(2.0, 1 - n), 6) AS least_p,
+ round(CASE WHEN exact THEN least(1.0, 2 * (SELECT sum(c) FROM dp WHERE k = n AND s <= least(w_plus, n * (n + 1) / 2 - w_plus)) / pow(2, n)) ELSE {_TAIL.format('z')} END, 6) AS p FROM z WHERE n > 1""")
+def signed_rank_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-sided signed-rank tests of x in small groups, by the exact distribution where it holds."""
+    out = samples.signed_rank(points(spark, sf).withColumn("part", F.col("id") % 5), ["zone", "part"], "x").filter("n > 1")
+    return rounded(out.select("zone", "part", "n", "w_plus", "z", "exact", "least_p", "p"))
+
+
+@query(f"""+ d AS (SELECT zone, (id // 2) % 6 AS part, kind = 0 AS k, x FROM pts),
+r AS (SELECT *, rank() OVER (PARTITION BY zone, part ORDER BY x) + (count(*) OVER (PARTITION BY zone, part, x) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY zone, part, x) AS t FROM d),
+q AS (SELECT zone, part, count(*) FILTER (k) AS n1, count(*) FILTER (NOT k) AS n2, coalesce(sum(r) FILTER (k), 0) - count(*) FILTER (k) * (count(*) FILTER (k) + 1) / 2.0::DOUBLE AS u, sum(t * t - 1) AS tie FROM r GROUP BY ALL),
+e AS (SELECT *, tie = 0 AND least(n1, n2) BETWEEN 2 AND 8 AND n1 * n2 <= 20000 AS exact, sqrt(n1 * n2 / 12.0::DOUBLE * (n1 + n2 + 1 - tie / ((n1 + n2) * (n1 + n2 - 1)))) AS sd FROM q),
+dp(k, j, s, c) AS (SELECT 0, 0, 0, 1.0::DOUBLE UNION ALL SELECT k + 1, j + b, s + b * (k - j), sum(c) FROM dp, (VALUES (0), (1)) v(b) WHERE k < (SELECT max(n1 + n2) FROM e WHERE exact) AND j + b <= 30 GROUP BY k, j + b, s + b * (k - j)),
+z AS (SELECT *, CASE WHEN sd > 0 THEN (u - n1 * n2 / 2.0::DOUBLE) / sd END AS z, CASE WHEN sd > 0 THEN greatest(0.0, abs(u - n1 * n2 / 2.0::DOUBLE) - 0.5) / sd END AS zc FROM e)
+SELECT zone, CAST(part AS BIGINT) AS part, CAST(n1 AS BIGINT) AS n1, CAST(n2 AS BIGINT) AS n2, round(u, 6) AS u, round(z, 6) AS z, exact,
+ round(CASE WHEN least(n1, n2) < 2 OR zc IS NULL THEN 1.0 WHEN exact THEN least(1.0, 2 * (SELECT sum(c) FROM dp WHERE dp.k = n1 + n2 AND j = n1 AND s <= least(u, n1 * n2 - u)) / (SELECT sum(c) FROM dp WHERE dp.k = n1 + n2 AND j = n1)) ELSE least(1.0, {_TAIL.format('zc')}) END, 6) AS p FROM z""")
+def rank_sum_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """Two-sided rank-sum tests of both kinds' x in small groups, by the exact distribution where it holds."""
+    d = points(spark, sf).withColumn("part", F.floor(F.col("id") / 2) % 6).withColumn("k", F.col("kind") == 0)
+    return rounded(samples.rank_sum(d, ["zone", "part"], "k", "x").select("zone", "part", "n1", "n2", "u", "z", "exact", "p"))
+
+
+@query(f"""+ d AS (SELECT zone, x, (x - avg(x) OVER w) / stddev_samp(x) OVER w AS z, count(*) OVER w AS n, row_number() OVER (PARTITION BY zone ORDER BY x) AS i FROM pts WINDOW w AS (PARTITION BY zone)),
+t AS (SELECT *, CASE WHEN z > 0 THEN 1 - {_TAIL.format('z')} / 2 ELSE {_TAIL.format('z')} / 2 END AS lo FROM d),
+a AS (SELECT zone, -max(n) - sum((2 * i - 1) * ln(lo) + (2 * (n - i) + 1) * ln(1 - lo)) / max(n) AS a2 FROM t GROUP BY zone),
+m AS (SELECT zone, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS sd FROM pts GROUP BY zone),
+s AS (SELECT m.zone, n, avg(pow((x - mean) / sd, 3)) AS g1, avg(pow((x - mean) / sd, 4)) AS b2 FROM pts JOIN m USING (zone) GROUP BY ALL),
+f AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6.0::DOUBLE * (n - 2))) AS y, 3.0::DOUBLE * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2.0::DOUBLE) * (n + 5) * (n + 7) * (n + 9)) AS be,
+ (b2 - 3.0::DOUBLE * (n - 1) / (n + 1)) / sqrt(24.0::DOUBLE * n * (n - 2) * (n - 3) / ((n + 1.0::DOUBLE) * (n + 1) * (n + 3) * (n + 5))) AS q,
+ 6.0::DOUBLE * (n * n - 5 * n + 2) / ((n + 7.0::DOUBLE) * (n + 9)) * sqrt(6.0::DOUBLE * (n + 3) * (n + 5) / (n * (n - 2.0::DOUBLE) * (n - 3))) AS rb FROM s),
+h AS (SELECT *, sqrt(2 * (be - 1)) - 1 AS w2, 6 + 8 / rb * (2 / rb + sqrt(1 + 4 / (rb * rb))) AS aa FROM f),
+k AS (SELECT *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)) AS z1, (1 - 2 / (9 * aa) - cbrt((1 - 2 / aa) / (1 + q * sqrt(2 / (aa - 4))))) / sqrt(2 / (9 * aa)) AS z2 FROM h)
+SELECT k.zone, CAST(n AS BIGINT) AS n, round(z1 * z1 + z2 * z2, 5) AS k2, round(exp(-(z1 * z1 + z2 * z2) / 2), 5) AS p_k2, round(a2, 5) AS a2, round(0.787 / (1 + 4.0::DOUBLE / n - 25.0::DOUBLE / (n * n)), 5) AS a2_critical FROM k JOIN a USING (zone)""")
+def normality_tests(spark: SparkSession, sf: str) -> DataFrame:
+    """D'Agostino's and Anderson and Darling's tests of x in each zone."""
+    out = samples.normality(points(spark, sf), Z, "x")
+    return out.select("zone", "n", *[F.round(c, 5).alias(c) for c in ("k2", "p_k2", "a2", "a2_critical")])
+
+
+@query()
+def shapiro_wilk(spark: SparkSession, sf: str) -> DataFrame:
+    """Shapiro and Wilk's test of the prices of each order status."""
+    return rounded(samples.normality(table(spark, sf, "orders"), ["o_orderstatus"], "o_totalprice").select("o_orderstatus", "n", "w", "p_w"))
+
+
 @query("""SELECT CAST(off AS INT) AS off, round(avg(delta), 6) AS mean, round(stddev_samp(delta), 6) AS sd, round(stddev_samp(delta) / sqrt(count(*)), 6) AS sem, CAST(count(*) AS BIGINT) AS n FROM (
  SELECT r.zone, c.off, r.v - c.v AS delta FROM (SELECT zone, avg(x) AS v FROM k0 GROUP BY 1) r JOIN (SELECT zone, id % 5 AS off, avg(x) AS v FROM k1 GROUP BY 1, 2) c USING (zone)) GROUP BY off""")
 def control_deltas(spark: SparkSession, sf: str) -> DataFrame:
