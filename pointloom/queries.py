@@ -12,6 +12,8 @@ from .functions import names, numeric
 from .operators import clusters, curves, geometry, nulls, pairing, raster, ripley, samples, spatial, windows
 from .plans import analyses, zones
 from .sinks import tables as sinks
+from .sources import volumes
+from .staging import new_path
 from .tables import PTS_SQL, D, of_kind, points, spheres, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1077,6 +1079,19 @@ def curve_families(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(f.select("zone", "family", "r", "value"))
 
 
+
+@query("""+ v AS (SELECT zone, CAST(floor(z / 5) + 8 AS INT) AS z, CAST(floor(y / 5) + 8 AS INT) AS y, CAST(floor(x / 5) + 8 AS INT) AS x, count(*) AS value FROM pts GROUP BY ALL)
+SELECT CAST(g.zone AS VARCHAR) AS zone, CAST(gy AS INT) AS y, CAST(gx AS INT) AS x, coalesce(sum(value), 0) / 4.0::DOUBLE AS value FROM (SELECT DISTINCT zone FROM pts) g CROSS JOIN range(16) a(gy) CROSS JOIN range(16) b(gx)
+LEFT JOIN v ON v.zone = g.zone AND v.y = gy AND v.x = gx AND v.z BETWEEN 6 AND 9 GROUP BY g.zone, gy, gx""")
+def volume_slab(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of points by voxel, written as one volume for each zone, and the mean over four slices read back from the files."""
+    at = [(F.floor(F.col(k) / 5) + 8).cast("int").alias(k) for k in "zyx"]
+    counts = points(spark, sf).select("zone", *at).groupBy("zone", "z", "y", "x").agg(F.count(F.lit(1)).alias("value"))
+    folder = new_path(spark, "volumes")
+    volumes.write_volumes(counts, folder, (16, 16, 16), 50.0, "zone").count()
+    read = volumes.volumes(spark, folder).withColumn("zone", F.regexp_extract("file", r"([^/]*)\.mrc$", 1))
+    return raster.slab(read.filter(F.col("z").between(6, 9)), 8, 2, "mean", ["zone"])
+
 # zones, vesicles, poses
 _ZONE_ROWS = f"""+ nn AS (SELECT a.zone, a.id, min({D}) AS d FROM k1 a JOIN k0 b ON a.zone = b.zone GROUP BY 1, 2),
 zs AS (SELECT zone, sum(CASE WHEN kind = 0 THEN 1 ELSE 0 END) * 0.01::DOUBLE AS post_area, sum(CASE WHEN kind = 0 THEN 1 ELSE 0 END) * 0.02::DOUBLE AS pre_area, max(x) - min(x) AS span FROM pts GROUP BY 1),

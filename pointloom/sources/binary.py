@@ -6,6 +6,7 @@ import io
 import json
 import struct
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -121,15 +122,46 @@ def _ply_lists(data: bytes, words: list[bytes] | None, pos: int, n: int, props:
     return out, pos
 
 
-def mrc_array(data: bytes) -> tuple[np.ndarray, tuple[float, float, float]]:
-    """Volume [z, y, x] and the voxel size in angstrom along x, y, z."""
+@dataclass
+class MrcHeader:
+    kind: np.dtype
+    nz: int
+    ny: int
+    nx: int
+    offset: int
+    voxel: tuple[float, float, float]
+
+
+def mrc_header(data: bytes) -> MrcHeader:
+    """What the first 1024 bytes of an MRC file say; voxel is its size in angstrom along x, y, z."""
+    if len(data) < 1024:
+        raise ValueError("not an MRC file")
     order = ">" if data[212:214] == b"\x11\x11" else "<"
     nx, ny, nz, mode = struct.unpack_from(order + "4i", data)
     mx, my, mz = struct.unpack_from(order + "3i", data, 28)
     cell = struct.unpack_from(order + "3f", data, 40)
     (extra,) = struct.unpack_from(order + "i", data, 92)
-    v = np.frombuffer(data, np.dtype(order + _MRC[mode]), nx * ny * nz, 1024 + extra).reshape(nz, ny, nx)
-    return v, tuple(c / max(1, m) for c, m in zip(cell, (mx, my, mz), strict=True))  # type: ignore[return-value]
+    if mode not in _MRC:
+        raise ValueError(f"MRC mode {mode}")
+    return MrcHeader(np.dtype(order + _MRC[mode]), nz, ny, nx, 1024 + extra, tuple(c / max(1, m) for c, m in zip(cell, (mx, my, mz), strict=True)))
+
+
+def mrc_head(shape: tuple[int, int, int], voxel: float, mode: int = 2) -> bytes:
+    """The header of a volume of the shape (z, y, x)."""
+    nz, ny, nx = shape
+    head = bytearray(1024)
+    struct.pack_into("<4i", head, 0, nx, ny, nz, mode)
+    struct.pack_into("<3i", head, 28, nx, ny, nz)
+    struct.pack_into("<6f", head, 40, nx * voxel, ny * voxel, nz * voxel, 90.0, 90.0, 90.0)
+    struct.pack_into("<3i", head, 64, 1, 2, 3)
+    head[208:212], head[212:216] = b"MAP ", b"\x44\x44\0\0"
+    return bytes(head)
+
+
+def mrc_array(data: bytes) -> tuple[np.ndarray, tuple[float, float, float]]:
+    """Volume [z, y, x] and the voxel size in angstrom along x, y, z."""
+    h = mrc_header(data)
+    return np.frombuffer(data, h.kind, h.nx * h.ny * h.nz, h.offset).reshape(h.nz, h.ny, h.nx), h.voxel
 
 
 def moved(v: np.ndarray) -> np.ndarray:
@@ -186,7 +218,7 @@ def ply_mesh(spark: SparkSession, path: str, scale: float = 1.0) -> tuple[DataFr
 
 
 def mrc_voxels(spark: SparkSession, path: str) -> DataFrame:
-    """file, z, y, x, value and the voxel size in nm: one row for each voxel, made slice by slice."""
+    """file, z, y, x, value and the voxel size in nm: one row for each voxel, made slice by slice. A row of the file source holds a whole file: volumes over 2 GiB, and slabs, go through sources.volumes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -223,14 +255,7 @@ def curve_artifacts(spark: SparkSession, path: str) -> DataFrame:
 def mrc_bytes(v: np.ndarray, voxel: float) -> bytes:
     """A volume [z, y, x] of 32-bit floats or 8-bit labels as an MRC file; voxel is its size in angstrom."""
     mode, kind = (0, "i1") if v.dtype.kind in "iub" else (2, "<f4")
-    nz, ny, nx = v.shape
-    head = bytearray(1024)
-    struct.pack_into("<4i", head, 0, nx, ny, nz, mode)
-    struct.pack_into("<3i", head, 28, nx, ny, nz)
-    struct.pack_into("<6f", head, 40, nx * voxel, ny * voxel, nz * voxel, 90.0, 90.0, 90.0)
-    struct.pack_into("<3i", head, 64, 1, 2, 3)
-    head[208:212], head[212:216] = b"MAP ", b"\x44\x44\0\0"
-    return bytes(head) + v.astype(kind).tobytes()
+    return mrc_head(v.shape, voxel, mode) + v.astype(kind).tobytes()
 
 
 def mrc_files(voxels: DataFrame, voxel: float, keys: Sequence[str] = ("file",)) -> DataFrame:
