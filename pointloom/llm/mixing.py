@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, drop_staged, ranked, staged, without
+from .common import WORD, drop_staged, numbered, ranked, staged, without
 
 WEIGHTS, TOTAL, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 BINS = 4096
@@ -29,6 +29,24 @@ def _spread(doc_id: Column, text: Column) -> Column:
     return F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
 
 
+def _unrepeated(marked: DataFrame, sized: DataFrame) -> DataFrame | None:
+    """marked with a spread of its own for each of several equal rows, or None if no rows are equal.
+
+    The k-th of them is moved by k golden sections, so that any number of them
+    is spread evenly. They are numbered by range, however many there are.
+    """
+    again = sized.groupBy("source", "spread").count().filter("count > 1").select(F.col("source").alias("_rs"), F.col("spread").alias("_rp"))
+    if not again.limit(1).count():
+        return None
+    again = staged(again, "repeats")
+    on = F.col("_s").eqNullSafe(F.col("_rs")) & (F.col("_spread") == F.col("_rp"))
+    rows = numbered(marked.join(again, on, "left_semi"), [F.col("_s"), F.col("_spread")], "_at")
+    first = rows.groupBy(F.col("_s").alias("_rs"), F.col("_spread").alias("_rp")).agg(F.min("_at").alias("_first"))
+    moved = F.col("_spread") + (F.col("_at") - F.col("_first")) * F.lit((5**0.5 - 1) / 2)
+    told = rows.join(first, on).withColumn("_spread", moved - F.floor(moved)).select(*marked.columns)
+    return marked.join(again, on, "left_anti").unionByName(told)
+
+
 def targets(sources: DataFrame, weights=WEIGHTS, total: float = TOTAL, cap: float = CAP) -> DataFrame:
     """sources (source, source_size, ...; one row each, staged) with weight and target.
 
@@ -141,15 +159,20 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     """df with size, source_size, target, rate, copies and taken; columns of these names are replaced.
 
     A null source is a source, ordered last. Null and empty texts have size 0
-    and take nothing. Documents of one source that agree in id and text are
-    rounded alike. A source's taken words differ from its target by about one
+    and take nothing. Rows of one source that agree in id and text are spread evenly
+    over the copies their rate gives; which of them has more is open. A source's taken words differ from its target by about one
     document; reruns give the same copies. An empty table stays empty.
     """
     names = ["size", "source_size", "target", "rate", "copies", "taken", "_s", "_size", "_spread", "unit", "tilt", "cut"]
     base = without(df, [n for n in names if n not in (id_col, text_col, source_col)])
     text, source = F.col(f"`{text_col}`"), F.col(f"`{source_col}`")
     marked = base.withColumn("_s", source).withColumn("_size", size_of(text)).withColumn("_spread", _spread(F.col(f"`{id_col}`"), text))
-    sized = staged(marked.select(F.col("_s").alias("source"), F.col("_size").alias("size"), F.col("_spread").alias("spread")), "sized")
+    slim = lambda m: m.select(F.col("_s").alias("source"), F.col("_size").alias("size"), F.col("_spread").alias("spread"))
+    sized = staged(slim(marked), "sized")
+    if (apart := _unrepeated(marked, sized)) is not None:
+        drop_staged(sized)
+        marked = apart
+        sized = staged(slim(marked), "sized")
     plan = solve(sized, weights, total, cap).withColumnRenamed("source", "_s2")
     drop_staged(sized)
     out = marked.join(plan, F.col("_s").eqNullSafe(F.col("_s2"))).withColumnRenamed("_size", "size")
