@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import distance
+from ..functions.numeric import distance, finite
 from ..staging import drop_staged, staged
 
 #: Pairs within keys up to which a nearest-neighbour search joins on the keys alone.
@@ -64,8 +64,10 @@ def nearest(
     them. With max_distance it is one grid join. Else the number of pairs
     within the keys is counted: few are joined on the keys alone, many are
     searched with cells that double until each left row has a neighbour
-    within the searched radius.
+    within the searched radius. A coordinate that is NaN or infinite is null,
+    whichever way is taken, and its row meets nothing.
     """
+    left, right = ([df.withColumns({k: finite(k) for k in axes}) for df in (left, right)])
     other = F.col(f"a_{left_id}") != F.col(f"b_{right_id}")
     keep = (lambda p: p.filter(other)) if exclude_self else (lambda p: p)
     if max_distance is not None:

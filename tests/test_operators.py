@@ -480,3 +480,15 @@ def test_templates_and_status(spark):
     old = spark.createDataFrame([("k", 1, 10), ("l", 2, 5)], "name string, v int, updated_at int")
     new = spark.createDataFrame([("k", 7, 11), ("l", 8, 4)], old.schema)
     assert [(r["name"], r["v"]) for r in sinks.last_write_wins(old, new, ["name"]).collect()] == [("k", 7), ("l", 2)]
+
+
+def test_nearest_is_one_definition(spark):
+    """Few pairs, or cells that double, or a bound: rows with NaN, infinite or null coordinates meet nothing."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, i, float(i % 7), float(i % 5) * 2, i * 0.37) for i in range(40)] + [(1, 100, nan, 0.0, 0.0), (1, 101, inf, 0.0, 0.0), (1, 102, None, 0.0, 0.0), (1, 103, 0.0, -inf, nan), (2, 200, nan, 1.0, 1.0)]
+    left = spark.createDataFrame(rows, "zone int, id long, x double, y double, z double")
+    right = spark.createDataFrame([(z, i + 7, y, x, w) for z, i, x, y, w in rows], "zone int, id long, x double, y double, z double")
+    key = lambda df: sorted((r["zone"], r["a_id"], r["b_id"], round(r["d"], 9)) for r in df.collect())
+    few = key(spatial.nearest(left, right, ["zone"]))
+    assert len(few) == 40 and all(d == d for *_, d in few)
+    assert few == key(spatial.nearest(left, right, ["zone"], cell=0.5)) == key(spatial.nearest(left, right, ["zone"], max_distance=50.0))
