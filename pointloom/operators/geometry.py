@@ -2,12 +2,13 @@
 
 Each function takes a table and key columns; a group is one surface, cluster
 or vesicle. Groups run in numpy, one Arrow table at a time; everything around
-them stays relational.
+them stays relational. Hulls and spans see the corners of what each task has
+read, frames one matrix for each key, so those take keys of any size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.numeric import finite
+
 
 def _per_group(df: DataFrame, keys: Sequence[str], added: str, fn: Callable[[pd.DataFrame], list[tuple]]) -> DataFrame:
     """fn gives the added columns of each output row of a group."""
@@ -128,15 +131,62 @@ def hull_measures(points: np.ndarray) -> tuple[float, float]:
     return float(0.5 * np.linalg.norm(n, axis=1).sum()), float(np.einsum("ij,ij->i", a, n).sum() / 6.0)
 
 
+def _finite_points(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    at = {k: finite(k) for k in "xyz"}
+    return df.select(*keys, *[c.alias(k) for k, c in at.items()]).dropna(subset=list("xyz"))
+
+
+#: Points of a key that are held before they are reduced, and points held by a task.
+HELD, HELD_ALL = 20_000, 400_000
+
+
+def corners(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, x, y, z, m: points that have the hull of each key's finite points; m sums to their number.
+
+    Every task keeps only the corners of what it has read, where it read it,
+    so the groups that follow are small however many points a key has. The
+    distinct points of a flat set all stay.
+    """
+    slim, keys = _finite_points(df, keys), list(keys)
+
+    def reduced(x: np.ndarray) -> np.ndarray:
+        f = hull_facets(x)
+        return x[np.unique(f)] if len(f) else np.unique(x, axis=0)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, tuple[np.ndarray, int]] = {}
+
+        def rows() -> Iterator[pd.DataFrame]:
+            for key, (x, n) in held.items():
+                v = reduced(x)
+                out = pd.DataFrame(v, columns=list("xyz")).assign(m=[n, *[0] * (len(v) - 1)])
+                for i, k in enumerate(keys):
+                    out.insert(i, k, [None if key[i] != key[i] else key[i]] * len(out))
+                yield out
+
+        for b in batches:
+            for key, part in b.groupby(keys, dropna=False, sort=False) if keys else [((), b)]:
+                key = tuple(key) if isinstance(key, (tuple, list)) else (key,)
+                x, n = held.get(key, (np.zeros((0, 3)), 0))
+                x, n = np.concatenate([x, part[["x", "y", "z"]].to_numpy(float)]), n + len(part)
+                held[key] = (reduced(x) if len(x) > HELD else x, n)
+            if sum(len(x) for x, _ in held.values()) > HELD_ALL:
+                yield from rows()
+                held.clear()
+        yield from rows()
+
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in slim.select(*keys).schema]
+    return slim.mapInPandas(run, ", ".join([*kinds, "x double", "y double", "z double", "m long"]))
+
+
 def hull_stats(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, n_points, area (half the hull's surface), volume; 0 with fewer than four points or a flat set."""
+    """keys, n_points, area (half the hull's surface), volume; 0 with fewer than four points or a flat set. Keys without a finite point are left out."""
 
     def fn(pdf: pd.DataFrame) -> list[tuple]:
-        x = _xyz(pdf)
-        area, volume = hull_measures(x)
-        return [(len(x), 0.5 * area, volume)]
+        area, volume = hull_measures(_xyz(pdf))
+        return [(int(pdf["m"].sum()), 0.5 * area, volume)]
 
-    return _per_group(df, keys, "n_points long, area double, volume double", fn)
+    return _per_group(corners(df, keys), keys, "n_points long, area double, volume double", fn)
 
 
 def hull_planes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -150,11 +200,11 @@ def hull_planes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         n /= np.maximum(np.linalg.norm(n, axis=1, keepdims=True), 1e-300)
         return [(*map(float, m), float(-m @ p)) for m, p in zip(n, a, strict=True)]
 
-    return _per_group(df, keys, "nx double, ny double, nz double, c double", fn)
+    return _per_group(corners(df, keys), keys, "nx double, ny double, nz double, c double", fn)
 
 
 def spans(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, span: greatest distance between two points, from hull corners; 0 with fewer than two."""
+    """keys, span: greatest distance between two points, from hull corners; 0 with fewer than two. Keys without a finite point are left out."""
 
     def fn(pdf: pd.DataFrame) -> list[tuple]:
         x = _xyz(pdf)
@@ -165,7 +215,7 @@ def spans(df: DataFrame, keys: Sequence[str]) -> DataFrame:
             best = max(best, float(np.sqrt(((v[i : i + 512, None] - v[None]) ** 2).sum(-1)).max()))
         return [(best,)]
 
-    return _per_group(df, keys, "span double", fn)
+    return _per_group(corners(df, keys), keys, "span double", fn)
 
 
 def mesh_area(vertices: DataFrame, faces: DataFrame, keys: Sequence[str], id_col: str = "id") -> DataFrame:
@@ -244,22 +294,33 @@ def farthest_points(df: DataFrame, keys: Sequence[str], step: int, id_col: str =
 
 
 def principal_frames(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, centre and the principal axes (greatest variance first, right-handed, first nonzero component positive)."""
+    """keys, centre and the principal axes (greatest variance first, right-handed, first nonzero component positive).
 
-    def fn(pdf: pd.DataFrame) -> list[tuple]:
-        x = _xyz(pdf)
-        if not len(x):
-            return []
-        c = x.mean(0)
-        axes = np.linalg.eigh(np.cov((x - c).T, bias=True) if len(x) > 1 else np.zeros((3, 3)))[1].T[::-1].copy()
-        for i in range(2):
-            k = int(np.argmax(np.abs(axes[i]) > 1e-12))
-            axes[i] *= 1.0 if axes[i][k] >= 0 else -1.0
-        axes[2] = np.cross(axes[0], axes[1])
-        return [(*map(float, c), *[float(v) for v in axes.ravel()])]
-
-    names = ", ".join(f"{a}{k} double" for a in ("c", "u", "v", "w") for k in "xyz")
-    return _per_group(df, keys, names, fn)
+    Means and covariances are sums in Spark; only one row for each key, with
+    its 3 x 3 matrix, goes to numpy. Points with a coordinate that is not
+    finite do not count.
+    """
+    pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
+    sums = _finite_points(df, keys).groupBy(*keys).agg(*[F.avg(k).alias(f"c{k}") for k in "xyz"], *[F.covar_pop(a, b).alias(f"_{a}{b}") for a, b in pairs])
+    names = [f"{a}{k}" for a in "uvw" for k in "xyz"]
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in sums.select(*keys, "cx", "cy", "cz").schema]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            m = np.empty((len(pdf), 3, 3))
+            for a, b in pairs:
+                i, j = "xyz".index(a), "xyz".index(b)
+                m[:, i, j] = m[:, j, i] = pdf[f"_{a}{b}"]
+            axes = np.linalg.eigh(m)[1].transpose(0, 2, 1)[:, ::-1].copy()
+            for i in range(2):
+                lead = np.take_along_axis(axes[:, i], np.argmax(np.abs(axes[:, i]) > 1e-12, axis=1)[:, None], 1)
+                axes[:, i] *= np.where(lead >= 0, 1.0, -1.0)
+            axes[:, 2] = np.cross(axes[:, 0], axes[:, 1])
+            out = pdf[[*keys, "cx", "cy", "cz"]].copy()
+            out[names] = axes.reshape(len(pdf), 9)
+            yield out
+
+    return sums.mapInPandas(run, ", ".join([*kinds, *[f"{n} double" for n in names]]))
 
 
 def centre_between(df: DataFrame, keys: Sequence[str], side: str = "side", rounds: int = 5, tolerance: float = 1e-3) -> DataFrame:

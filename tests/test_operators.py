@@ -492,3 +492,32 @@ def test_nearest_is_one_definition(spark):
     few = key(spatial.nearest(left, right, ["zone"]))
     assert len(few) == 40 and all(d == d for *_, d in few)
     assert few == key(spatial.nearest(left, right, ["zone"], cell=0.5)) == key(spatial.nearest(left, right, ["zone"], max_distance=50.0))
+
+
+def test_hulls_of_large_groups_need_their_corners_only(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    x = np.vstack([r.normal(size=(60_000, 3)), [[np.nan, 0, 0], [np.inf, 0, 0]]])
+    rows = [("big", *map(float, v)) for v in x] + [(None, float(i), float(i * i % 7), float(i % 3)) for i in range(50)] + [("flat", float(i % 9), float(i // 9), 0.0) for i in range(81)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, z double").repartition(8)
+    kept = {r["g"]: (r["n"], r["m"]) for r in geometry.corners(df, ["g"]).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("m")).collect()}
+    assert kept["big"][0] < 3000 and {g: m for g, (_, m) in kept.items()} == {"big": 60_000, None: 50, "flat": 81}
+    stats = {r["g"]: r for r in geometry.hull_stats(df, ["g"]).collect()}
+    area, volume = geometry.hull_measures(x[:-2])
+    assert stats["big"]["n_points"] == 60_000 and stats["big"]["volume"] == pytest.approx(volume) and stats["big"]["area"] == pytest.approx(area / 2)
+    assert stats["flat"]["volume"] == 0.0 and stats[None]["volume"] > 0
+    spans = {r["g"]: r["span"] for r in geometry.spans(df, ["g"]).collect()}
+    v = x[:-2][np.unique(geometry.hull_facets(x[:-2]))]
+    assert spans["big"] == pytest.approx(np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1)).max()) and spans["flat"] == pytest.approx(np.sqrt(128))
+
+
+def test_frames_by_sums(spark):
+    r = np.random.default_rng(9)
+    x = r.normal(size=(500, 3)) * [5, 2, 1] @ np.linalg.qr(r.normal(size=(3, 3)))[0] + 100
+    rows = [("a", *map(float, v)) for v in x] + [("a", float("nan"), 0.0, 0.0), ("one", 1.0, 2.0, 3.0), ("none", None, 1.0, 1.0)]
+    got = {r["g"]: r for r in geometry.principal_frames(spark.createDataFrame(rows, "g string, x double, y double, z double"), ["g"]).collect()}
+    assert set(got) == {"a", "one"} and (got["one"]["cx"], got["one"]["cz"]) == (1.0, 3.0)
+    f = np.array([[got["a"][f"{a}{k}"] for k in "xyz"] for a in "uvw"])
+    assert np.allclose(f @ f.T, np.eye(3)) and np.linalg.det(f) == pytest.approx(1)
+    spread = ((x - x.mean(0)) @ f.T).var(0)
+    assert spread[0] > spread[1] > spread[2] and np.allclose(np.cov((x @ f.T).T) - np.diag(np.diag(np.cov((x @ f.T).T))), 0, atol=1e-9)
+    assert all(f[i][np.argmax(np.abs(f[i]) > 1e-12)] > 0 for i in (0, 1))
