@@ -235,7 +235,7 @@ def test_zone_tables(spark):
     rows = {r["zone"]: r for r in zones.zone_rows(z, none, ["zone"], ["d"]).collect()}
     assert rows[1]["aunp_density"] is None and rows[2]["aunp_density"] is None and rows[3]["aunp_density"] == 0.0 and rows[3]["d_mean"] is None
     with pytest.raises(Exception, match="no pre_area"):
-        zones.zone_totals(z.withColumn("pre_area", F.lit(None).cast("double")).withColumn("span", F.lit(1.0)), []).collect()
+        zones.zone_totals(z.filter("zone <> 2").withColumn("pre_area", F.lit(None).cast("double")).withColumn("span", F.lit(1.0)), []).collect()
     v = spark.createDataFrame([(1, 0.0, 0.0, 0.0)], "id int, x double, y double, z double")
     far = zones.closest_zone(v, v.limit(0), spark.createDataFrame([], "zone string, id long, x double, y double, z double"), ()).first()
     assert far["zone"] == "unknown" and far["distance"] is None
