@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import names, numeric
-from .operators import clusters, curves, geometry, nulls, pairing, raster, ripley, samples, spatial, windows
+from .operators import clusters, curves, fields, geometry, nulls, pairing, raster, ripley, samples, spatial, windows
 from .plans import analyses, zones
 from .sinks import tables as sinks
 from .sources import volumes
@@ -1224,6 +1224,59 @@ def gap_by_grid(spark: SparkSession, sf: str) -> DataFrame:
     return near.select("zone", F.col("a_id").alias("id"), F.round("d", 6).alias("lo"))
 
 
+# distance fields and classes of pixels
+def _image(spark: SparkSession, sf: str) -> DataFrame:
+    """zone, y, x, on: pixels of side 2 over each zone's box and a margin of 4; on where a point of kind 0 falls."""
+    at = of_kind(points(spark, sf), 0).select("zone", F.floor(F.col("y") / 2).cast("int").alias("y"), F.floor(F.col("x") / 2).cast("int").alias("x"))
+    box = at.groupBy("zone").agg(*[F.sequence(F.min(a) - 4, F.max(a) + 4).alias(a) for a in "yx"])
+    grid = box.withColumn("y", F.explode("y")).withColumn("x", F.explode("x"))
+    return grid.join(at.distinct().withColumn("on", F.lit(True)), ["zone", "y", "x"], "left").withColumn("on", F.coalesce("on", F.lit(False)))
+
+
+_FIELD = """+ occ AS (SELECT DISTINCT zone, CAST(floor(y / 2) AS INT) AS y, CAST(floor(x / 2) AS INT) AS x FROM k0),
+box AS (SELECT zone, min(y) - 4 AS y0, max(y) + 4 AS y1, min(x) - 4 AS x0, max(x) + 4 AS x1 FROM occ GROUP BY zone),
+ys AS (SELECT zone, unnest(range(y0, y1 + 1)) AS y FROM box), xs AS (SELECT zone, unnest(range(x0, x1 + 1)) AS x FROM box),
+fld AS (SELECT ys.zone, ys.y, xs.x, min((ys.y-o.y)*(ys.y-o.y)+(xs.x-o.x)*(xs.x-o.x)) AS d2 FROM ys JOIN xs ON ys.zone = xs.zone JOIN occ o ON o.zone = ys.zone GROUP BY ALL)"""
+
+#: Regions of equal values that no neighbour tops, by walking over equal neighbours.
+_PLATEAUS = _FIELD + """, nb AS (SELECT a.zone, a.y, a.x, a.d2, b.y AS by, b.x AS bx, b.d2 AS b2 FROM fld a CROSS JOIN range(-1, 2) i(dy) CROSS JOIN range(-1, 2) j(dx) JOIN fld b ON b.zone = a.zone AND b.y = a.y + dy AND b.x = a.x + dx),
+cand AS (SELECT zone, y, x, d2, (y + 1073741824) * 2147483648 + x + 1073741824 AS c FROM nb GROUP BY zone, y, x, d2 HAVING max(b2) <= d2 AND d2 > 0),
+ce AS (SELECT a.zone, a.c AS a, b.c AS b FROM cand a JOIN nb n ON n.zone = a.zone AND n.y = a.y AND n.x = a.x AND n.b2 = n.d2 JOIN cand b ON b.zone = n.zone AND b.y = n.by AND b.x = n.bx),
+walk AS (SELECT zone, c AS a, c AS b FROM cand UNION SELECT w.zone, w.a, e.b FROM walk w JOIN ce e ON e.zone = w.zone AND e.a = w.b),
+comp AS (SELECT zone, a AS c, min(b) AS region FROM walk GROUP BY 1, 2),
+opened AS (SELECT DISTINCT m.zone, m.region FROM comp m JOIN cand a ON a.zone = m.zone AND a.c = m.c JOIN nb n ON n.zone = a.zone AND n.y = a.y AND n.x = a.x AND n.b2 = n.d2 LEFT JOIN cand b ON b.zone = n.zone AND b.y = n.by AND b.x = n.bx WHERE b.c IS NULL),
+plat AS (SELECT a.zone, a.y, a.x, a.d2, m.region, count(*) OVER (PARTITION BY m.zone, m.region) AS area FROM comp m JOIN cand a ON a.zone = m.zone AND a.c = m.c ANTI JOIN opened o ON o.zone = m.zone AND o.region = m.region)"""
+
+
+@query(_FIELD + " SELECT zone, y, x, CAST(d2 AS DOUBLE) AS d2 FROM fld")
+def distance_field(spark: SparkSession, sf: str) -> DataFrame:
+    return fields.distance_field(_image(spark, sf), Z).select("zone", "y", "x", "d2")
+
+
+@query("""+ occ AS (SELECT DISTINCT zone, CAST(floor(z / 4) AS INT) AS z, CAST(floor(y / 4) AS INT) AS y, CAST(floor(x / 4) AS INT) AS x, kind = 0 AS seed FROM pts),
+vx AS (SELECT zone, z, y, x, max(seed) AS seed FROM occ GROUP BY 1, 2, 3, 4)
+SELECT a.zone, a.z, a.y, a.x, CAST(min(4*(a.z-b.z)*(a.z-b.z)+(a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x)) AS DOUBLE) AS d2 FROM vx a LEFT JOIN vx b ON a.zone = b.zone AND b.seed GROUP BY ALL""")
+def distance_field_3d(spark: SparkSession, sf: str) -> DataFrame:
+    """Occupied voxels, twice as deep as wide, with the distance to the nearest one that holds a point of kind 0."""
+    at = [F.floor(F.col(k) / 4).cast("int").alias(k) for k in "zyx"]
+    voxels = points(spark, sf).select("zone", *at, (F.col("kind") == 0).alias("seed")).groupBy("zone", "z", "y", "x").agg(F.max("seed").alias("seed"))
+    return fields.distance_field(voxels, Z, ("z", "y", "x"), "seed", (2.0, 1.0, 1.0), full=False).drop("seed")
+
+
+@query(_PLATEAUS + " SELECT zone, y, x, CAST(d2 AS DOUBLE) AS d2, CAST(region AS BIGINT) AS region, area FROM plat")
+def field_plateaus(spark: SparkSession, sf: str) -> DataFrame:
+    return fields.plateaus(fields.distance_field(_image(spark, sf), Z), Z).select("zone", "y", "x", "d2", "region", "area")
+
+
+@query(_PLATEAUS + """, px AS (SELECT f.zone, f.d2, coalesce(p.area BETWEEN 2 AND 3, false) AS vesicle, coalesce(p.area >= 1 AND p.d2 > 9, false) AS cell FROM fld f LEFT JOIN plat p ON p.zone = f.zone AND p.y = f.y AND p.x = f.x)
+SELECT zone, count(*) AS pixels, count(*) FILTER (d2 = 0) AS membrane, count(*) FILTER (vesicle) AS vesicle, count(*) FILTER (cell) AS cell, count(*) FILTER (NOT cell AND d2 > 0) AS outside,
+ count(*) FILTER (d2 > 0 AND d2 <= 4) AS intracellular, count(*) FILTER (d2 > 16) AS extracellular, count(*) FILTER (d2 > 4 AND d2 <= 16) AS unclassified FROM px GROUP BY zone""")
+def pixel_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """The three steps with areas and distances that fit these small images."""
+    found = fields.classified(_image(spark, sf), Z, vesicle_area=(2, 3), beyond=3.0, cell_area=1, near=2.0, far=4.0)
+    return fields.class_counts(found, Z)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
