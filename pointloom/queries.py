@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import names, numeric
-from .operators import clusters, curves, fields, geometry, nulls, pairing, raster, ripley, samples, spatial, windows
+from .operators import clusters, curves, fields, geodesic, geometry, nulls, pairing, raster, ripley, samples, spatial, windows
 from .plans import analyses, zones
 from .sinks import tables as sinks
 from .sources import volumes
-from .staging import new_path
+from .staging import new_path, staged
 from .tables import PTS_SQL, D, of_kind, points, spheres, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -795,7 +795,7 @@ def cleft_id_parse(spark: SparkSession, sf: str) -> DataFrame:
 def manifest_scan(spark: SparkSession, sf: str) -> DataFrame:
     """A manifest of the nations, written as CSV and read by the source."""
     from .sources.text import manifest
-    from .staging import new_path
+    from .staging import new_path, staged
 
     j = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     ids = F.when(F.col("n_nationkey") % 4 > 0, F.concat_ws(", ", "n_nationkey", "n_regionkey"))
@@ -817,7 +817,7 @@ def star_picks(spark: SparkSession, sf: str) -> DataFrame:
 
 def _star_files(spark: SparkSession, p: DataFrame) -> str:
     """One folder zone=<n> for each zone with a file pick_<n>_x.star; the file is one group's text."""
-    from .staging import new_path
+    from .staging import new_path, staged
 
     path = new_path(spark, "star")
     line = F.concat_ws(" ", "x", "y", "z", "id", "kind")
@@ -1277,6 +1277,75 @@ def pixel_classes(spark: SparkSession, sf: str) -> DataFrame:
     return fields.class_counts(found, Z)
 
 
+# paths over a mesh
+def _sheet(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """vertices, faces and edges of a mesh of squares of side 10 over each zone, and all points with their nearest vertex."""
+    p = points(spark, sf)
+    v, f = geodesic.lattice_mesh(p, 10.0, Z)
+    snapped = spatial.nearest(p, v, Z).select("zone", F.col("a_id").alias("id"), F.col("b_id").alias("vertex"))
+    return v, f, geodesic.mesh_edges(v, f, Z), snapped
+
+
+_SHEET = f"""+ vx AS (SELECT zone, CAST(floor(x / 10) AS INT) AS i, CAST(floor(y / 10) AS INT) AS j, avg(x) AS x, avg(y) AS y, avg(z) AS z, (CAST(floor(x / 10) AS BIGINT) + 1073741824) * 2147483648 + CAST(floor(y / 10) AS BIGINT) + 1073741824 AS id FROM pts GROUP BY ALL),
+sq AS (SELECT DISTINCT zone, i - a AS i, j - b AS j FROM vx CROSS JOIN range(2) u(a) CROSS JOIN range(2) w(b)),
+cn AS (SELECT s.zone, c0.id AS c0, c1.id AS c1, c2.id AS c2, c3.id AS c3 FROM sq s LEFT JOIN vx c0 ON c0.zone = s.zone AND c0.i = s.i AND c0.j = s.j LEFT JOIN vx c1 ON c1.zone = s.zone AND c1.i = s.i AND c1.j = s.j + 1
+ LEFT JOIN vx c2 ON c2.zone = s.zone AND c2.i = s.i + 1 AND c2.j = s.j LEFT JOIN vx c3 ON c3.zone = s.zone AND c3.i = s.i + 1 AND c3.j = s.j + 1),
+fc AS (SELECT zone, c0 AS v0, c2 AS v1, c3 AS v2 FROM cn WHERE c0 IS NOT NULL AND c2 IS NOT NULL AND c3 IS NOT NULL UNION ALL SELECT zone, c0, c3, c1 FROM cn WHERE c0 IS NOT NULL AND c3 IS NOT NULL AND c1 IS NOT NULL
+ UNION ALL SELECT zone, c0, c2, c1 FROM cn WHERE c0 IS NOT NULL AND c2 IS NOT NULL AND c1 IS NOT NULL AND c3 IS NULL UNION ALL SELECT zone, c2, c3, c1 FROM cn WHERE c2 IS NOT NULL AND c3 IS NOT NULL AND c1 IS NOT NULL AND c0 IS NULL),
+ed AS (SELECT DISTINCT e.zone, e.a, e.b, sqrt((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z)) AS length FROM (SELECT zone, v0 AS a, v1 AS b FROM fc UNION SELECT zone, v1, v2 FROM fc UNION SELECT zone, v2, v0 FROM fc UNION SELECT zone, v1, v0 FROM fc UNION SELECT zone, v2, v1 FROM fc UNION SELECT zone, v0, v2 FROM fc) e
+ JOIN vx p ON p.zone = e.zone AND p.id = e.a JOIN vx q ON q.zone = e.zone AND q.id = e.b),
+hop AS (SELECT zone, a, b, length FROM ed UNION ALL SELECT zone, id, id, 0 FROM vx),
+sp AS (SELECT zone, a.id, b.id AS vertex FROM pts a JOIN vx b USING (zone) QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {D}, b.id) = 1),
+path AS (SELECT 0 AS step, zone, id AS source, id AS vertex, 0::DOUBLE AS d FROM vx UNION ALL SELECT step + 1, p.zone, source, h.b, min(d + length) FROM path p JOIN hop h ON h.zone = p.zone AND h.a = p.vertex WHERE step < 12 AND d + length <= 40 GROUP BY step, p.zone, source, h.b),
+geo AS (SELECT zone, source, vertex, d FROM path WHERE step = 12 AND source IN (SELECT vertex FROM sp WHERE sp.zone = path.zone))"""
+
+_AREAS = """, va AS (SELECT zone, v AS id, sum(t) AS area FROM (SELECT zone, unnest([v0, v1, v2]) AS v, sqrt(pow((by_-ay)*(cz-az)-(bz-az)*(cy-ay),2)+pow((bz-az)*(cx-ax)-(bx-ax)*(cz-az),2)+pow((bx-ax)*(cy-ay)-(by_-ay)*(cx-ax),2)) / 6 AS t
+ FROM (SELECT f.*, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, c.x AS cx, c.y AS cy, c.z AS cz FROM fc f JOIN vx a ON a.zone = f.zone AND a.id = v0 JOIN vx b ON b.zone = f.zone AND b.id = v1 JOIN vx c ON c.zone = f.zone AND c.id = v2)) GROUP BY 1, 2),
+binned AS (SELECT *, CAST(floor(d / 8) + 1 AS INT) AS bin FROM geo WHERE floor(d / 8) + 1 <= 5)"""
+
+
+@query(_SHEET + " SELECT zone, CAST(source AS BIGINT) AS source, CAST(vertex AS BIGINT) AS vertex, round(d, 6) AS d FROM geo")
+def geodesic_distances(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, edges, snapped = _sheet(spark, sf)
+    return rounded(geodesic.geodesics(edges, snapped.select("zone", F.col("vertex").alias("source")), 40.0, Z))
+
+
+def _ring_curves(spark: SparkSession, sf: str, replicates: int) -> DataFrame:
+    """Curves from points of kind 0 to those of kind 1: replicate -1 as they are, the others with permuted kinds."""
+    v, f, edges, snapped = _sheet(spark, sf)
+    snapped = staged(snapped, "snapped")
+    paths = geodesic.geodesics(edges, snapped.select("zone", F.col("vertex").alias("source")), 40.0, Z)
+    p = points(spark, sf).select("zone", "id", "kind")
+    labels = p.select("zone", F.lit(-1).alias("rep"), "id", (F.col("kind") == 0).alias("is_first"))
+    if replicates:
+        first = p.groupBy("zone").agg(F.count_if(F.col("kind") == 0).alias("n1"))
+        labels = labels.unionByName(nulls.permuted_labels(p, replicates, Z, first))
+    return geodesic.ring_curves(paths, geodesic.vertex_areas(v, f, Z), snapped, labels, 8.0, 40.0, Z)
+
+
+@query(_SHEET + _AREAS + """, ring AS (SELECT b.zone, bin, sum(area) AS area FROM (SELECT zone, vertex AS source FROM sp JOIN k0 USING (zone, id)) s JOIN binned b USING (zone, source) JOIN va ON va.zone = b.zone AND va.id = b.vertex GROUP BY 1, 2),
+cnt AS (SELECT b.zone, bin, count(*) AS n FROM (SELECT zone, vertex AS source FROM sp JOIN k0 USING (zone, id)) s JOIN binned b USING (zone, source) JOIN (SELECT zone, vertex FROM sp JOIN k1 USING (zone, id)) t ON t.zone = b.zone AND t.vertex = b.vertex GROUP BY 1, 2)
+SELECT zone, bin * 8.0::DOUBLE AS r, coalesce(n, 0) AS n, round(area, 6) AS area, round(coalesce(n, 0) / area, 6) AS o, round(coalesce(n, 0) / area * (SELECT sum(area) FROM va WHERE va.zone = ring.zone) / (SELECT count(*) FROM k1 WHERE k1.zone = ring.zone), 6) AS g FROM ring LEFT JOIN cnt USING (zone, bin)""")
+def geodesic_ring(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(_ring_curves(spark, sf, 0).select("zone", "r", "n", "area", "o", "g"))
+
+
+@query(_SHEET + _AREAS + """, lab AS (SELECT zone, id, rep, row_number() OVER (PARTITION BY zone, rep ORDER BY md5(rep || ':' || id), id) <= count(*) FILTER (kind = 0) OVER (PARTITION BY zone, rep) AS first FROM pts CROSS JOIN range(499) r(rep) UNION ALL SELECT zone, id, -1, kind = 0 FROM pts),
+tal AS (SELECT sp.zone, vertex, rep, count(*) FILTER (first) AS s, count(*) FILTER (NOT first) AS t FROM lab JOIN sp ON sp.id = lab.id GROUP BY ALL),
+arr AS (SELECT b.zone, source, bin, sum(area) AS area FROM binned b JOIN va ON va.zone = b.zone AND va.id = b.vertex GROUP BY ALL),
+ring AS (SELECT a.zone, bin, rep, sum(s * area) AS area FROM arr a JOIN tal ON tal.zone = a.zone AND tal.vertex = source GROUP BY ALL),
+cnt AS (SELECT b.zone, bin, u.rep, sum(u.s * w.t) AS n FROM binned b JOIN tal u ON u.zone = b.zone AND u.vertex = source JOIN tal w ON w.zone = b.zone AND w.vertex = b.vertex AND w.rep = u.rep GROUP BY ALL),
+cur AS (SELECT zone, bin, rep, coalesce(n, 0) / area AS o FROM ring LEFT JOIN cnt USING (zone, bin, rep) WHERE area > 0)
+SELECT zone, a.bin * 8.0::DOUBLE AS r, round(any_value(a.o), 6) AS o, round(avg(b.o), 6) AS null_mean, (count(*) FILTER (b.o >= a.o - 1e-12) + 1) / (count(*) + 1) AS p FROM cur a JOIN cur b USING (zone, bin) WHERE a.rep = -1 AND b.rep >= 0 GROUP BY zone, a.bin""")
+def geodesic_ring_null(spark: SparkSession, sf: str) -> DataFrame:
+    """Observed O, the mean of 499 label permutations and the share of curves that reach it, by ring."""
+    c = staged(_ring_curves(spark, sf, 499).filter("area > 0"), "curves")
+    seen = c.filter("rep = -1").select("zone", "r", F.col("o").alias("seen"))
+    both = c.filter("rep >= 0").join(seen, ["zone", "r"])
+    reached = F.count_if(F.col("o") >= F.col("seen") - 1e-12)
+    return rounded(both.groupBy("zone", "r").agg(F.first("seen").alias("o"), F.avg("o").alias("null_mean"), ((reached + 1) / (F.count(F.lit(1)) + 1)).alias("p")))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
