@@ -12,6 +12,7 @@ from .functions import names, numeric
 from .operators import clusters, curves, fields, geodesic, geometry, nulls, pairing, raster, ripley, samples, spatial, windows
 from .plans import analyses, zones
 from .sinks import tables as sinks
+from .sinks.committed import CommittedTable
 from .sources import volumes
 from .staging import new_path, staged
 from .tables import PTS_SQL, D, of_kind, points, spheres, table
@@ -1346,6 +1347,17 @@ def geodesic_ring_null(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(both.groupBy("zone", "r").agg(F.first("seen").alias("o"), F.avg("o").alias("null_mean"), ((reached + 1) / (F.count(F.lit(1)) + 1)).alias("p")))
 
 
+@query("""SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN 'N' ELSE o_orderstatus END AS status, CASE WHEN o_orderpriority = '1-URGENT' THEN o_custkey END AS customer FROM orders WHERE o_orderpriority <> '5-LOW'""")
+def committed_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """All orders in one commit, the urgent ones again with a new column in the next, the low ones deleted by the third."""
+    o = table(spark, sf, "orders")
+    held = CommittedTable(spark, new_path(spark, "orders"), ["o_orderkey"], 16)
+    held.upsert(o.select("o_orderkey", F.col("o_orderstatus").alias("status")), "load", 0)
+    held.upsert(o.filter("o_orderpriority = '1-URGENT'").select("o_orderkey", F.lit("N").alias("status"), F.col("o_custkey").alias("customer")), "load", 1)
+    held.delete(o.filter("o_orderpriority = '5-LOW'"), "load", 2)
+    return held.read()
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

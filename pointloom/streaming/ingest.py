@@ -7,29 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sinks.tables import KEY, upsert
+from ..sinks.committed import CommittedTable
+from ..sinks.tables import KEY
 
 
-def upsert_stream(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: Sequence[str] = KEY) -> StreamingQuery:
-    """Read Parquet files as they come and upsert each micro-batch into a versioned target.
+def upsert_stream(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, keys: Sequence[str] = KEY, buckets: int = 64, writer: str = "stream") -> StreamingQuery:
+    """Read Parquet files as they come and upsert each micro-batch into the committed table at target.
 
-    A batch writes target/v=<batch>; the newest version is the table. A batch
-    that runs again overwrites its own version, so a restart changes nothing.
-    The version before stays for that; older ones are deleted.
+    A batch rewrites the buckets of its keys only and is committed with its
+    number, so one that runs again after a restart changes nothing. Streams
+    into one table take different writers.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
-        old = latest(spark, target, batch, number)
-        upsert(old, batch, keys).write.mode("overwrite").parquet(f"{target}/v={number:09d}")
-        if number > 1:
-            gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/v={number - 2:09d}")
-            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+        CommittedTable(batch.sparkSession, target, keys, buckets).upsert(batch, writer, number)
 
     return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def latest(spark: SparkSession, target: str, like: DataFrame, before: int) -> DataFrame:
-    """The version before a batch, empty at first."""
-    if before == 0:
-        return spark.createDataFrame([], like.schema)
-    return spark.read.schema(like.schema).parquet(f"{target}/v={before - 1:09d}")
