@@ -463,33 +463,113 @@ def alpha_polygons(df: DataFrame, keys: Sequence[str], factor: float = 2.5, loca
     return _per_group(df, keys, "loop int, order int, id long", fn)
 
 
+def inside_loops(x: np.ndarray, loops: list[np.ndarray]) -> np.ndarray:
+    """Which of the points lie in any of the loops, each by its own crossings; a loop in a loop is no hole."""
+    out = np.zeros(len(x), bool)
+    for a in loops:
+        b, odd = np.roll(a, -1, 0), np.zeros(len(x), bool)
+        for u, v in zip(a, b, strict=True):
+            cut = (u[1] <= x[:, 1]) != (v[1] <= x[:, 1])
+            if cut.any():
+                odd ^= cut & (x[:, 0] < u[0] + (x[:, 1] - u[1]) * (v[0] - u[0]) / (v[1] - u[1] if v[1] != u[1] else 1.0))
+        out |= odd
+    return out
+
+
+def adaptive_loops(p: np.ndarray, factor: float = 2.5, growth: float = 1.5, rounds: int = 25) -> list[np.ndarray]:
+    """Outline of a planar set by a local alpha, grown until all points lie on it or in it; else the convex outline.
+
+    A triangle counts if its circumradius is at most factor times the mean
+    gap of its corners to their nearest points. No loops with fewer than three
+    points or with all on a line.
+    """
+    t = delaunay(p)
+    if not len(t):
+        return []
+    gaps = np.empty(len(p))
+    for i in range(0, len(p), 512):
+        d = ((p[i : i + 512, None] - p[None]) ** 2).sum(-1)
+        d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
+        gaps[i : i + 512] = np.sqrt(d.min(1))
+    base, r = gaps[t].mean(1), circumradius(p, t)
+    for n in range(rounds):
+        kept = t[r <= factor * growth**n * base]
+        loops = [p[loop] for loop in loops_of(boundary(kept))]
+        rest = np.setdiff1d(np.arange(len(p)), kept)
+        if loops and inside_loops(p[rest], loops).all():
+            return loops
+    return [p[loop] for loop in loops_of(boundary(t))]
+
+
+def _slices(a: np.ndarray, b: np.ndarray, y: float, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest x on the line at y within margin of each segment from a to b; least > greatest if none is.
+
+    What lies within margin is two discs and the band between them, and
+    convex, so its slice is what the slices of the three span.
+    """
+    low, high = np.full(len(a), np.inf), np.full(len(a), -np.inf)
+    for c in (a, b):
+        h = margin**2 - (y - c[:, 1]) ** 2
+        w = np.sqrt(np.maximum(h, 0))
+        low, high = np.where(h >= 0, np.minimum(low, c[:, 0] - w), low), np.where(h >= 0, np.maximum(high, c[:, 0] + w), high)
+    length = np.linalg.norm(b - a, axis=1)
+    u = (b - a) / np.where(length > 0, length, 1.0)[:, None]
+    from_, to = np.full(len(a), -np.inf), np.full(len(a), np.inf)
+    # along the segment in 0..length, across it in -margin..margin: both linear in x
+    for slope, at, least, most in ((u[:, 0], (y - a[:, 1]) * u[:, 1], 0.0, length), (u[:, 1], -(y - a[:, 1]) * u[:, 0], -margin, margin)):
+        flat = np.abs(slope) < 1e-12
+        k = np.where(flat, 1.0, slope)
+        p, q = (least - at) / k, (most - at) / k
+        never = flat & ((at < least) | (at > most))
+        from_ = np.where(never, np.inf, np.where(flat, from_, np.maximum(from_, a[:, 0] + np.minimum(p, q))))
+        to = np.where(never, -np.inf, np.where(flat, to, np.minimum(to, a[:, 0] + np.maximum(p, q))))
+    band = (length > 0) & (from_ <= to)
+    return np.where(band, np.minimum(low, from_), low), np.where(band, np.maximum(high, to), high)
+
+
+def grown_area(p: np.ndarray, loops: list[np.ndarray], margin: float, pixel: float) -> float:
+    """Area of the pixels in a loop or within margin of one, or within margin of a point if there are no loops.
+
+    Row by row: a segment's margin and a loop's inside are runs of pixels, so
+    a row costs its segments and its pixels, not their product.
+    """
+    lo, hi = p.min(0) - margin - pixel, p.max(0) + margin + pixel
+    nx, ny = (int((h - k) / pixel) + 1 for h, k in zip(hi, lo, strict=True))
+    a = np.vstack(loops) if loops else p
+    b = np.vstack([np.roll(x, -1, 0) for x in loops]) if loops else p
+    of = np.repeat(np.arange(len(loops)), [len(x) for x in loops]) if loops else np.zeros(0, int)
+    total = 0
+    for y in lo[1] + pixel * np.arange(ny):
+        low, high = _slices(a, b, y, margin)
+        if loops:
+            cut = np.flatnonzero((a[:, 1] <= y) != (b[:, 1] <= y))
+            x = a[cut, 0] + (y - a[cut, 1]) * (b[cut, 0] - a[cut, 0]) / (b[cut, 1] - a[cut, 1])
+            x = x[np.lexsort((x, of[cut]))]  # a loop crosses a line an even number of times
+            low, high = np.concatenate([low, x[::2]]), np.concatenate([high, x[1::2]])
+        live = low <= high
+        first = np.maximum(np.ceil((low[live] - lo[0]) / pixel), 0).astype(int)
+        last = np.minimum(np.floor((high[live] - lo[0]) / pixel), nx - 1).astype(int)
+        some = first <= last
+        step = np.bincount(first[some], minlength=nx + 1) - np.bincount(last[some] + 1, minlength=nx + 1)
+        total += int((np.cumsum(step)[:nx] > 0).sum())
+    return total * pixel * pixel
+
+
 def dilated_areas(df: DataFrame, keys: Sequence[str], margin: float = 5.0, pixel: float = 1.0, factor: float = 2.5) -> DataFrame:
-    """keys, area: raster area of the concave outline grown by margin; fewer than three points give a union of discs."""
+    """keys, area: raster area of the points' locally adaptive outline in their best plane, grown by margin.
+
+    Holes count as inside. Fewer than three points, or points on a line, give
+    a union of discs. Points with a null or infinite coordinate are left out;
+    without any other the area is null. The triangulation holds a whole group.
+    """
 
     def fn(pdf: pd.DataFrame) -> list[tuple]:
-        x = _xyz(pdf)
+        x = pdf[["x", "y", "z"]].to_numpy(float)
+        x = x[np.isfinite(x).all(1)]
         if not len(x):
-            return [(0.0,)]
+            return [(None,)]
         p = to_plane(x) if len(x) > 2 else np.column_stack([np.linalg.norm(x - x[0], axis=1), np.zeros(len(x))])
-        t = alpha_triangles(p, factor) if len(p) > 2 else np.zeros((0, 3), int)
-        lo, hi = p.min(0) - margin - pixel, p.max(0) + margin + pixel
-        gx, gy = (np.arange(a, b, pixel) for a, b in zip(lo, hi, strict=True))
-        total = 0
-        for y in gy:
-            row = np.column_stack([gx, np.full(len(gx), y)])
-            ok = np.zeros(len(row), bool)
-            segs = boundary(t) if len(t) else [(i, i) for i in range(len(p))]
-            for i, j in segs:
-                a, b = p[i], p[j]
-                ab = b - a
-                s = np.clip((row - a) @ ab / max(float(ab @ ab), 1e-300), 0, 1)
-                ok |= np.linalg.norm(row - (a + s[:, None] * ab), axis=1) <= margin
-            for tri in t:
-                a, b, c = p[tri]
-                s = [(v[0] - u[0]) * (row[:, 1] - u[1]) - (v[1] - u[1]) * (row[:, 0] - u[0]) for u, v in ((a, b), (b, c), (c, a))]
-                ok |= np.all([k >= 0 for k in s], 0) | np.all([k <= 0 for k in s], 0)
-            total += int(ok.sum())
-        return [(total * pixel * pixel,)]
+        return [(grown_area(p, adaptive_loops(p, factor), margin, pixel),)]
 
     return _per_group(df, keys, "area double", fn)
 

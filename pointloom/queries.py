@@ -274,12 +274,20 @@ def cluster_components(spark: SparkSession, sf: str) -> DataFrame:
     return _clustered(spark, sf).select("zone", "id", "cluster")
 
 
-@query(_COMP + f""" SELECT zone, cluster, CAST(count(*) AS BIGINT) AS n, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz, round(max(s), 6) AS span FROM (
- SELECT l.*, (SELECT max(sqrt((l.x-b.x)*(l.x-b.x)+(l.y-b.y)*(l.y-b.y)+(l.z-b.z)*(l.z-b.z))) FROM lab b WHERE b.zone = l.zone AND b.cluster = l.cluster) AS s FROM lab l WHERE cluster <> -1) GROUP BY 1, 2""")
+@query(_COMP + ", cl AS (SELECT zone * 1000 + cluster AS zone, id, x, y, z FROM lab WHERE cluster <> -1), " + _facets("cl").lstrip("+ ") + f""",
+ hull AS (SELECT f.zone, sum(len) / 4 AS area, sum(abs(mx*(ax-c.x)+my*(ay-c.y)+mz*(az-c.z))) / 6 AS volume FROM facets f JOIN (SELECT zone, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM cl GROUP BY zone) c ON c.zone = f.zone GROUP BY f.zone)
+ SELECT t.zone, cluster, n, cx, cy, cz, span, round(h.area, 6) AS area, round(h.volume, 6) AS volume, round(n / h.area, 6) AS density FROM (
+ SELECT zone, cluster, CAST(count(*) AS BIGINT) AS n, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz, round(max(s), 6) AS span FROM (
+ SELECT l.*, (SELECT max(sqrt((l.x-b.x)*(l.x-b.x)+(l.y-b.y)*(l.y-b.y)+(l.z-b.z)*(l.z-b.z))) FROM lab b WHERE b.zone = l.zone AND b.cluster = l.cluster) AS s FROM lab l WHERE cluster <> -1) GROUP BY 1, 2) t LEFT JOIN hull h ON h.zone = t.zone * 1000 + t.cluster""")
 def cluster_summary(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(clusters.cluster_summary(_clustered(spark, sf), Z))
 
 
+@query()
+def cluster_concave(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.concave_summary(_clustered(spark, sf), Z)
+
+
 # K, L, g
 _BINS = f"""+ grid AS (SELECT zone, bin, bin * 2.0 AS r FROM (SELECT DISTINCT zone FROM pts), range(1, 21) t(bin)),
 n1 AS (SELECT zone, count(*) AS n1 FROM k0 GROUP BY 1), n2 AS (SELECT zone, count(*) AS n2 FROM k1 GROUP BY 1),
