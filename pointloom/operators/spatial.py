@@ -199,15 +199,30 @@ def cylinder_counts(vertices: DataFrame, particles: DataFrame, radius: float, ke
     """Distinct particles within radius of a line from each vertex along its mean normal, with density and packing.
 
     The normal is the mean over vertices within the radius. Lines are sampled
-    at equal steps from 0 to length.
+    at equal steps from 0 to length. A line goes once to each cell around its
+    samples, whatever their number, and a particle there is held against the
+    sample nearest to it. A particle that is nowhere counts nowhere; a vertex
+    without a normal has none.
     """
     near = within(vertices, vertices, radius, keys)
     normal = near.groupBy(*keys, F.col(f"a_{id_col}").alias(id_col), F.col("a_x").alias("x"), F.col("a_y").alias("y"), F.col("a_z").alias("z")).agg(*[F.avg(f"b_n{k}").alias(f"m{k}") for k in "xyz"])
     size = F.sqrt(F.col("mx") * F.col("mx") + F.col("my") * F.col("my") + F.col("mz") * F.col("mz"))
-    step = length / (samples - 1)
-    line = normal.withColumn("_s", size).filter("_s > 0").withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("_t", F.col("_i") * F.lit(step))
-    line = line.select(*keys, id_col, *[(F.col(k) + F.col("_t") * F.col(f"m{k}") / F.col("_s")).alias(k) for k in "xyz"])
-    hits = within(line, particles, radius, keys).groupBy(*keys, F.col(f"a_{id_col}").alias(id_col)).agg(F.countDistinct(f"b_{id_col}").alias("n"))
+    step, r = length / (samples - 1), F.lit(float(radius))
+    lines = normal.withColumn("_s", size).filter("_s > 0 AND _s < double('Infinity')")
+    on = lambda k, i: F.col(k) + i * F.lit(step) * F.col(f"m{k}") / F.col("_s")
+    cell = lambda i: F.struct(*[F.floor(on(k, i) / r).alias(k) for k in "xyz"])
+    moves = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]
+    beside = lambda c: F.array(*[F.struct(*[(c[k] + F.lit(m)).alias(k) for k, m in zip("xyz", d, strict=True)]) for d in moves])
+    walked = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(samples - 1)), cell))
+    around = lines.withColumn("_c", F.explode(F.array_distinct(F.flatten(F.transform(walked, beside)))))
+    around = around.select(*keys, id_col, *"xyz", *[f"m{k}" for k in "xyz"], "_s", *[F.col(f"_c.{k}").alias(f"_c{k}") for k in "xyz"])
+    there = particles.select(*keys, F.col(id_col).alias("_b"), *[finite(k).alias(f"p{k}") for k in "xyz"]).dropna(subset=["px", "py", "pz"])
+    there = there.select("*", *[F.floor(F.col(f"p{k}") / r).alias(f"_c{k}") for k in "xyz"])
+    met = around.join(there, [*keys, "_cx", "_cy", "_cz"])
+    along = sum(((F.col(f"p{k}") - F.col(k)) * F.col(f"m{k}") for k in "xyz"), F.lit(0.0)) / F.col("_s") / F.lit(step)
+    met = met.withColumn("_i", F.least(F.greatest(F.round(along), F.lit(0.0)), F.lit(float(samples - 1))))
+    gap = F.sqrt(sum(((on(k, F.col("_i")) - F.col(f"p{k}")) ** 2 for k in "xyz"), F.lit(0.0)))
+    hits = met.filter(gap <= r).groupBy(*keys, id_col).agg(F.countDistinct("_b").alias("n"))
     disc = 3.141592653589793 * radius * radius
     out = vertices.select(*keys, id_col).join(hits, [*keys, id_col], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return out.withColumn("density", F.col("n") / disc).withColumn("packing", F.col("n") / per_receptor * cross_section / disc)

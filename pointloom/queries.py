@@ -198,12 +198,12 @@ def index_to_zone(spark: SparkSession, sf: str) -> DataFrame:
     return near.select(F.col("a_idx").alias("idx"), F.col("b_id").alias("zone"))
 
 
-@query(f"""+ line AS (SELECT id, zone, x + 5.0 * t * nx / s AS x, y + 5.0 * t * ny / s AS y, z + 5.0 * t * nz / s AS z FROM (SELECT *, sqrt(mx*mx+my*my+mz*mz) AS s, mx AS nx, my AS ny, mz AS nz FROM (
-  SELECT a.id, a.zone, a.x, a.y, a.z, avg(b.nx) AS mx, avg(b.ny) AS my, avg(b.nz) AS mz FROM k0 a JOIN k0 b ON a.zone = b.zone WHERE {D} <= 10 GROUP BY 1, 2, 3, 4, 5)), range(11) r(t) WHERE s > 0)
+@query(f"""+ line AS (SELECT id, zone, x + (50.0::DOUBLE / 99) * t * nx / s AS x, y + (50.0::DOUBLE / 99) * t * ny / s AS y, z + (50.0::DOUBLE / 99) * t * nz / s AS z FROM (SELECT *, sqrt(mx*mx+my*my+mz*mz) AS s, mx AS nx, my AS ny, mz AS nz FROM (
+  SELECT a.id, a.zone, a.x, a.y, a.z, avg(b.nx) AS mx, avg(b.ny) AS my, avg(b.nz) AS mz FROM k0 a JOIN k0 b ON a.zone = b.zone WHERE {D} <= 10 GROUP BY 1, 2, 3, 4, 5)), range(100) r(t) WHERE s > 0)
 SELECT p.zone, p.id, CAST(coalesce(n, 0) AS BIGINT) AS n FROM k0 p LEFT JOIN (SELECT a.id, count(DISTINCT b.id) AS n FROM line a JOIN k1 b ON a.zone = b.zone WHERE {D} <= 10 GROUP BY 1) h ON h.id = p.id""")
 def sliding_cylinder(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)
-    return spatial.cylinder_counts(of_kind(p, 0), of_kind(p, 1), 10.0, Z, 50.0, 11).select("zone", "id", "n")
+    return spatial.cylinder_counts(of_kind(p, 0), of_kind(p, 1), 10.0, Z).select("zone", "id", "n")
 
 
 # widths and classes
