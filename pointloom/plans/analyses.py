@@ -172,21 +172,23 @@ def density_controls(sites: DataFrame, particles: DataFrame, surface: DataFrame,
     point, by sliding cylinders of each radius; surface has normals. A site
     without a control at an offset has no row there.
     """
-    out = None
     moved = None
     for o in offsets:
         part = nulls.shifted_sites(sites, surface, directions, float(o), key, **how).withColumn("offset", F.lit(float(o)))
         moved = part if moved is None else moved.unionByName(part)
-    moved = staged(moved, "controls").withColumn("cid", F.struct("id", "rep", "offset"))
+    moved = staged(moved.withColumn("cid", F.struct("id", "rep", "offset")), "controls")
+    scan = None
     for r in radii:
-        scan = spatial.cylinder_counts(surface, particles, float(r), [key], length, samples).select(key, "id", "density")
-        at = staged(surface.select(key, "id", "x", "y", "z").join(scan, [key, "id"]), "scan")
-        real = spatial.nearest(sites, at, [key], payload=["density"]).select(key, F.col("a_id").alias("id"), F.col("b_density").alias("real"))
-        near = spatial.nearest(moved.select(key, "cid", "x", "y", "z"), at, [key], "cid", "id", ["density"])
-        control = near.groupBy(key, F.col("a_cid.id").alias("id"), F.col("a_cid.offset").alias("offset")).agg(F.avg("b_density").alias("control"), F.count(F.lit(1)).alias("n_controls"))
-        part = real.join(control, [key, "id"]).withColumn("radius", F.lit(float(r)))
-        out = part if out is None else out.unionByName(part)
-    return out.select(key, "id", "radius", "offset", "real", "control", "n_controls")
+        part = spatial.cylinder_counts(surface, particles, float(r), [key], length, samples).select(key, F.col("id").alias("_at"), F.lit(float(r)).alias("radius"), "density")
+        scan = part if scan is None else scan.unionByName(part)
+    scan = staged(scan, "scan")
+    # a place's surface point serves all radii, and controls on one point count together
+    real = spatial.nearest(sites, surface, [key]).select(key, F.col("a_id").alias("id"), F.col("b_id").alias("_at"))
+    real = real.join(scan, [key, "_at"]).select(key, "id", "radius", F.col("density").alias("real"))
+    near = spatial.nearest(moved.select(key, "cid", "x", "y", "z"), surface, [key], "cid", "id")
+    near = near.groupBy(key, F.col("a_cid.id").alias("id"), F.col("a_cid.offset").alias("offset"), F.col("b_id").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+    control = near.join(scan, [key, "_at"]).groupBy(key, "id", "offset", "radius").agg((F.sum(F.col("density") * F.col("_n")) / F.sum("_n")).alias("control"), F.sum("_n").alias("n_controls"))
+    return real.join(control, [key, "id", "radius"]).select(key, "id", "radius", "offset", "real", "control", "n_controls")
 
 
 def density_control_table(controls: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -1197,11 +1197,15 @@ def vesicle_document(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(doc.select("zone", "n", "distance_mean", "distance_sd", sizes.alias("n_points")))
 
 
+#: Radii of the probes and offsets of the controls: fixed values of the design.
+_PROBES = [10.0, 20.0, 30.0, 40.0, 50.0]
+
+
 @query()
 def density_controls(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf)
-    sites = of_kind(p, 0).filter("z > 0")
-    out = analyses.density_controls(sites, of_kind(p, 1), of_kind(p, 0), [10.0, 20.0], [10.0, 20.0], 20, samples=11, snap_limit=10.0)
+    sites = of_kind(p, 0)
+    out = analyses.density_controls(sites, of_kind(p, 1), of_kind(p, 0), _PROBES, _PROBES, snap_limit=10.0)
     return rounded(analyses.density_control_table(out).select("radius", "offset", "n", "mean", "sd", "sem"))
 
 
