@@ -89,6 +89,10 @@ def geodesics(edges: DataFrame, sources: DataFrame, reach: float, keys: Sequence
     return known.drop("round")
 
 
+#: Tasks that sum one ring of a key, and rings that a task holds before it puts out their sums.
+DEALT, HELD = 8, 2000
+
+
 def _bin(step: float):
     return (F.floor(F.col("d") / F.lit(float(step))) + 1).cast("int").alias("bin")
 
@@ -114,33 +118,44 @@ def ring_curves(paths: DataFrame, areas: DataFrame, points: DataFrame, labels: D
     in_order = F.array_sort(F.collect_list(F.struct("rep", "s", "t")))
     held = staged(tally.groupBy(*k, "vertex").agg(in_order.alias("_l")).select(*k, "vertex", F.col("_l.rep").alias("reps"), F.col("_l.s").alias("s"), F.col("_l.t").alias("t")), "tallies")
     starts = held.select(*k, F.col("vertex").alias("source"), "reps", "s")
-    pairs = near.join(held.select(*k, "vertex", "t"), [*k, "vertex"]).join(starts, [*k, "source"]).select(*k, "bin", "reps", "s", "t", F.lit(0.0).alias("area"))
+    pairs = near.join(held.select(*k, "vertex", "t"), [*k, "vertex"]).join(starts, [*k, "source"]).select(*k, "bin", "source", "reps", "s", "t", F.lit(0.0).alias("area"))
     rings = near.join(areas.withColumnRenamed("id", "vertex"), [*k, "vertex"]).groupBy(*k, "source", "bin").agg(F.sum("area").alias("area"))
-    rings = rings.join(starts, [*k, "source"]).select(*k, "bin", "reps", "s", F.transform("s", lambda v: v * 0).alias("t"), "area")
+    rings = rings.join(starts, [*k, "source"]).select(*k, "bin", "source", "reps", "s", F.transform("s", lambda v: v * 0).alias("t"), "area")
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_sums: dict[tuple, list] = {}
+        fields = None
+
+        def table() -> pa.RecordBatch:
+            out = []
+            for group, (reps, n, area) in held_sums.items():
+                out.append(pd.DataFrame({**dict(zip((*k, "bin"), group, strict=True)), "rep": reps, "n": n, "area": area}))
+            held_sums.clear()
+            return pa.RecordBatch.from_pandas(pd.concat(out), pa.schema([*fields, ("rep", pa.int32()), ("n", pa.int64()), ("area", pa.float64())]), preserve_index=False)
+
         for b in batches:
             if not b.num_rows:
                 continue
+            fields = [b.schema.field(c) for c in (*k, "bin")]
             groups = b.select([*k, "bin"]).to_pandas().reset_index(drop=True)
-            s, t, reps = b.column("s"), b.column("t"), b.column("reps")
-            area = b.column("area").to_numpy()
-            out = []
-            for _, rows in groups.groupby([*k, "bin"], dropna=False).indices.items():
-                take = pa.array(rows)
-                width = len(reps[int(rows[0])])
+            s, t, reps, area = b.column("s"), b.column("t"), b.column("reps"), b.column("area").to_numpy()
+            for rows in groups.groupby([*k, "bin"], dropna=False).indices.values():
+                take, width = pa.array(rows), len(reps[int(rows[0])])
                 of_s, of_t = (c.take(take).flatten().to_numpy().reshape(len(rows), width).astype(np.int64) for c in (s, t))
-                part = pd.DataFrame({"rep": reps[int(rows[0])].as_py(), "n": (of_s * of_t).sum(0), "area": (of_s * area[rows, None]).sum(0)})
-                for c in (*k, "bin"):
-                    part.insert(0, c, groups[c].iloc[rows[0]])
-                out.append(part[[*k, "bin", "rep", "n", "area"]])
-            kind = pa.schema([*[b.schema.field(c) for c in (*k, "bin")], ("rep", pa.int32()), ("n", pa.int64()), ("area", pa.float64())])
-            yield pa.RecordBatch.from_pandas(pd.concat(out), kind, preserve_index=False)
+                sums = held_sums.setdefault(tuple(groups.iloc[rows[0]]), [reps[int(rows[0])].as_py(), 0, 0.0])
+                sums[1], sums[2] = sums[1] + (of_s * of_t).sum(0), sums[2] + (of_s * area[rows, None]).sum(0)
+            if len(held_sums) > HELD:
+                yield table()
+        if held_sums:
+            yield table()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(*k, "bin").schema)
-    parts = pairs.unionByName(rings).mapInArrow(summed, f"{kinds}, rep int, n long, area double")
+    # a ring of a key is summed in DEALT tasks, whatever the number of partitions before
+    dealt = pairs.unionByName(rings).withColumn("_deal", F.pmod(F.xxhash64("source"), F.lit(DEALT))).repartition(*k, "bin", "_deal").drop("source", "_deal")
+    parts = dealt.mapInArrow(summed, f"{kinds}, rep int, n long, area double")
     whole = areas.groupBy(*k).agg(F.sum("area").alias("_all"))
-    of = labels.join(points.select(*k, "id"), [*k, "id"]).groupBy(*k, "rep").agg(F.count_if(~F.col("is_first")).alias("_targets"))
+    each = held.select(*k, F.explode(F.arrays_zip("reps", "t")).alias("e"))
+    of = each.groupBy(*k, F.col("e.reps").alias("rep")).agg(F.sum("e.t").alias("_targets"))
     curve = parts.groupBy(*k, "rep", "bin").agg(F.sum("n").alias("n"), F.sum("area").alias("area")).join(of, [*k, "rep"]).join(whole, k).filter("area > 0 OR n > 0")
     o = F.when(F.col("area") > 0, F.col("n") / F.col("area"))
     return curve.select(*k, "rep", "bin", (F.col("bin") * F.lit(float(step))).alias("r"), "n", "area", o.alias("o"), F.try_divide(o * F.col("_all"), F.col("_targets")).alias("g"))
