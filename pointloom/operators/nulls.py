@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import finite
+from ..staging import staged
 from .spatial import within
 
 
@@ -15,145 +17,244 @@ def scramble(id_: Column, rep: Column) -> Column:
     return F.md5(F.concat_ws(":", rep.cast("string"), id_.cast("string")))
 
 
-def permuted_labels(points: DataFrame, replicates: int, keys: Sequence[str], first: DataFrame, id_col: str = "id") -> DataFrame:
-    """keys, rep, id, is_first: in each replicate just n1 points of the pool are of the first kind.
-
-    first: keys, n1. The order depends on the ids and the replicate only.
-    """
-    reps = points.select(*keys, id_col).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    w = Window.partitionBy(*keys, "rep").orderBy(scramble(F.col(id_col), F.col("rep")), id_col)
-    return reps.withColumn("_o", F.row_number().over(w)).join(first, list(keys)).select(*keys, "rep", id_col, (F.col("_o") <= F.col("n1")).alias("is_first"))
+#: Replicates in a word of labels.
+WORD = 64
 
 
-#: First points and replicates that one product of permuted_counts holds.
-CHUNK, BLOCK = 512, 256
+def permuted_bits(points: DataFrame, replicates: int, keys: Sequence[str], first: DataFrame, id_col: str = "id") -> DataFrame:
+    """keys, id, block, ones, twos: permuted_labels as bits; bit i of a block is replicate 64 block + i - 1.
 
+    A task orders the ids of a key for one word of replicates, so no row is
+    made for a point in a replicate.
+    """
+    import hashlib
 
-def _packed_labels(batches):
-    """The replicates (from -1) in which a point is first, and those in which it is second, as bits."""
     import numpy as np
     import pyarrow as pa
 
-    def bits(reps: list) -> bytes:
-        at = np.asarray(reps, int) + 1
-        out = np.zeros(at.max(initial=-1) + 1, bool)
-        out[at] = True
-        return np.packbits(out).tobytes()
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(replicates // WORD)))
+    # names of its own, so that ids of any type are hashed as Spark writes them
+    ids = points.select(*keys, F.col(id_col).alias("id"), F.col(id_col).cast("string").alias("_text")).join(first.select(*keys, "n1"), list(keys)).withColumn("block", blocks)
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in ids.select(*keys, "id").schema]
+
+    def run(table: pa.Table) -> pa.Table:
+        block, n1 = table["block"][0].as_py(), table["n1"][0].as_py() or 0
+        tails = [b"" if t is None else f":{t}".encode() for t in table["_text"].to_pylist()]
+        ones, known = np.zeros(len(tails), np.uint64), 0
+        for i in range(WORD):
+            rep = block * WORD + i - 1
+            if not 0 <= rep < replicates:
+                continue
+            known |= 1 << i
+            head = str(rep).encode()
+            code = np.frombuffer(b"".join([hashlib.md5(head + t).digest() for t in tails]), ">u8").reshape(-1, 2).astype(np.uint64)
+            if n1 >= len(code):
+                taken = np.ones(len(code), bool)
+            elif n1 <= 0:
+                continue
+            else:
+                last = np.partition(code[:, 0], n1 - 1)[n1 - 1]
+                taken, tied = code[:, 0] < last, np.flatnonzero(code[:, 0] == last)
+                by_id = sorted(tied.tolist(), key=lambda j: (int(code[j, 1]), table["id"][j].as_py())) if len(tied) > 1 else tied  # noqa: B023
+                taken[by_id[: n1 - int(taken.sum())]] = True
+            ones |= taken.astype(np.uint64) << np.uint64(i)
+        twos = ~ones & np.uint64(known)
+        cols = [*[table[c] for c in [*keys, "id", "block"]], pa.array(ones.view(np.int64)), pa.array(twos.view(np.int64))]
+        return pa.table(cols, names=[*keys, "id", "block", "ones", "twos"])
 
-    for b in batches:
-        cols = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-        for n in ("ones", "twos"):
-            cols[n] = pa.array([bits(x) for x in cols[n].to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_pydict(cols)
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = ids.repartition(parts, *keys, "block")  # small rows, long work
+    return ids.groupBy(*keys, "block").applyInArrow(run, ", ".join([*kinds, "block int, ones long, twos long"]))
 
 
-def _unpacked(rows, width: int):
-    import numpy as np
+def permuted_labels(points: DataFrame, replicates: int, keys: Sequence[str], first: DataFrame, id_col: str = "id") -> DataFrame:
+    """keys, rep, id, is_first: in each replicate just n1 points of the pool are of the first kind.
 
-    flat = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in rows), np.uint8).reshape(len(rows), width)
-    return np.unpackbits(flat, axis=1)
+    first: keys, n1. The order depends on the ids and the replicate only.
+    """
+    bits = permuted_bits(points, replicates, keys, first, id_col)
+    each = bits.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(WORD - 1)))).withColumn("rep", F.col("block") * WORD + F.col("_i") - 1)
+    at = lambda c: F.expr(f"(shiftrightunsigned({c}, _i) & 1) = 1")
+    return each.filter(at("ones") | at("twos")).select(*keys, "rep", F.col("id").alias(id_col), at("ones").alias("is_first"))
+
+
+def packed(labels: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, id, block, ones, twos of labels in rows (keys, rep from -1, id, is_first), as permuted_bits has them."""
+    bit = F.expr(f"shiftleft(1L, pmod(rep + 1, {WORD}))")
+    own = labels.select(*keys, "id", F.floor((F.col("rep") + 1) / WORD).cast("int").alias("block"), F.when(F.col("is_first"), bit).otherwise(F.lit(0).cast("long")).alias("ones"), F.when(~F.col("is_first"), bit).otherwise(F.lit(0).cast("long")).alias("twos"))
+    return own.groupBy(*keys, "id", "block").agg(F.bit_or("ones").alias("ones"), F.bit_or("twos").alias("twos"))
+
+
+#: Points of a chunk, those a cell should hold at least on average, and rows of a product.
+CHUNK, FILL, ROWS = 2048, 512, 512
 
 
-def _met(points: DataFrame, labels: DataFrame, step: float, r_max: float, keys: list[str], run, schema: str, factors: DataFrame | None = None) -> DataFrame:
-    """run over the binned pairs of CHUNK first points at a time, with the bits of their keys' labels; pairs carry the factors of a."""
+def _met(points: DataFrame, labels: DataFrame, r: float, keys: list[str], run, schema: str, factors: DataFrame | None = None) -> DataFrame:
+    """run over every two chunks of a key's points that can be within r, each pair of chunks once, with the points' labels and factors.
+
+    Points lie in cells of side r or more, and a cell is dealt to chunks of
+    CHUNK points, so a task holds two chunks, however dense a key is.
+    """
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = within(points, points, r_max, keys).filter(F.col("a_id") != F.col("b_id"))
-    pairs = d.select(*keys, F.col("a_id").alias("a"), F.col("b_id").alias("b"), (F.floor(F.col("d") / float(step)) + 1).cast("smallint").alias("bin")).filter(F.col("bin") <= int(r_max / step + 0.5))
-    chunk = F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy("id")) - 1) / CHUNK).cast("int").alias("_chunk")
-    dealt = points.select(*keys, F.col("id").alias("a"), chunk)
-    pairs = pairs.join(dealt, [*keys, "a"])
+    labels = labels if "block" in labels.columns else packed(labels, keys)
+    words = F.sort_array(F.collect_list(F.struct("block", "ones", "twos")))  # one point's words
+    held = labels.groupBy(*keys, "id").agg(words.alias("_w"))
+    held = held.select(*keys, "id", *[F.col(f"_w.{c}").alias(c) for c in ("block", "ones", "twos")])
+    at = points.select(*keys, "id", *[finite(k).alias(k) for k in "xyz"]).dropna(subset=list("xyz"))
     if factors is not None:
-        p = factors.groupBy(*keys, F.col("id").alias("a")).agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "p"))), lambda x: x["p"]).alias("p"))  # one focus's radii
-        pairs = pairs.join(p, [*keys, "a"])
-    pairs = pairs.repartition(parts, *keys, "_chunk")
-    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in points.select(*keys).schema]
-    listed = labels.groupBy(*keys, "id").agg(F.collect_list(F.when(F.col("is_first"), F.col("rep"))).alias("ones"), F.collect_list(F.when(~F.col("is_first"), F.col("rep"))).alias("twos"))
-    bits = listed.mapInArrow(_packed_labels, ", ".join([*kinds, "id long", "ones binary", "twos binary"]))
-    bits = bits.join(dealt.select(*keys, "_chunk").distinct(), keys)
+        p = factors.groupBy(*keys, "id").agg(F.transform(F.sort_array(F.collect_list(F.struct("bin", "p"))), lambda x: x["p"]).alias("p"))  # one focus's radii
+        held = held.join(p, [*keys, "id"])
+    box = at.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[(F.max(k) - F.min(k) + F.lit(float(r))).alias(f"_s{k}") for k in "xyz"])
+    side = F.greatest(F.lit(float(r)), F.cbrt(F.col("_sx") * F.col("_sy") * F.col("_sz") * FILL / F.col("_n")))
+    cells = [f"_c{k}" for k in "xyz"]
+    at = at.join(box.select(*keys, side.alias("_side")), keys).select(*keys, "id", *"xyz", *[F.floor(F.col(k) / F.col("_side")).alias(f"_c{k}") for k in "xyz"])
+    sizes = at.groupBy(*keys, *cells).agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_k"))
+    dealt = at.join(sizes, [*keys, *cells]).withColumn("_sub", F.pmod(F.xxhash64("id"), F.col("_k"))).withColumn("_chunk", F.concat_ws(",", *cells, "_sub"))
+    dealt = staged(dealt.join(held, [*keys, "id"]).drop("_k", "_sub"), "dealt")
+    chunks = dealt.select(*keys, *cells, "_chunk").distinct()
+    around = chunks.withColumnRenamed("_chunk", "_a")
+    for c in cells:
+        around = around.withColumn(c, F.explode(F.array(*[F.col(c) + i for i in (-1, 0, 1)])))
+    pairs = around.join(chunks.withColumnRenamed("_chunk", "_b"), [*keys, *cells]).filter("_a <= _b").select(*keys, "_a", "_b")
+    slim, on = dealt.drop(*cells), [*keys, "_a", "_b"]
+    sides = [slim.withColumnRenamed("_chunk", s).join(pairs, [*keys, s]).select(*on, *[c for c in slim.columns if c not in (*keys, "_chunk")]) for s in ("_a", "_b")]
     # names of its own for each side, so that the sides do not share columns
-    bits = bits.select(*[F.col(c).alias(c) for c in [*keys, "_chunk", "id", "ones", "twos"]]).repartition(parts, *keys, "_chunk")
-    return pairs.groupBy(*keys, "_chunk").cogroup(bits.groupBy(*keys, "_chunk")).applyInPandas(run, ", ".join([*kinds, schema]))
+    left, right = (s.select(*[F.col(c).alias(c) for c in s.columns]).repartition(parts, *on) for s in sides)
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in points.select(*keys).schema]
+
+    def both(key: tuple, a, b):
+        import pyarrow as pa
+
+        types = {"int": pa.int32(), "smallint": pa.int16(), "long": pa.int64(), "double": pa.float64()}
+        got = run(_Chunk(a), _Chunk(b), key[len(keys)].as_py() == key[len(keys) + 1].as_py()) if len(a) and len(b) else {}
+        n = len(next(iter(got.values()), ()))
+        out = {k: pa.array([v.as_py()] * n, v.type) for k, v in zip(keys, key, strict=False)}
+        return pa.table({**out, **{c: pa.array(got.get(c, []), types[t]) for c, t in (f.split() for f in schema.split(", "))}})
+
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(both, ", ".join([*kinds, schema]))
+
+
+class _Chunk:
+    """Coordinates, ids, labels (points x replicates, from -1) and weights of a chunk's points."""
+
+    def __init__(self, table):
+        import numpy as np
+
+        self.ids = table["id"].to_numpy()
+        self.x = [table[k].to_numpy() for k in "xyz"]
+        lists = [table[c].combine_chunks() for c in ("block", "ones", "twos")]
+        block, *words = [c.flatten().to_numpy(zero_copy_only=False) for c in lists]
+        row = np.repeat(np.arange(len(self.ids)), np.diff(lists[0].offsets.to_numpy()))
+        self.ones, self.twos = (np.zeros((len(self.ids), block.max(initial=0) + 1), "<i8") for _ in words)
+        for held, w in zip((self.ones, self.twos), words, strict=True):
+            held[row, block] = w
+        p = table["p"].combine_chunks() if "p" in table.column_names else None
+        self.weight = None if p is None else 1.0 / p.flatten().to_numpy().reshape(len(self.ids), -1)
+
+    def labels(self, words: int):
+        """Ones and twos as floats, for so many words of replicates."""
+        import numpy as np
+
+        out = []
+        for w in (self.ones, self.twos):
+            wide = np.zeros((len(w), words), "<i8")
+            wide[:, : w.shape[1]] = w
+            out.append(np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").astype(np.float32))
+        return out
+
+
+def _bins(a: _Chunk, b: _Chunk, rows: slice, step: float, r_max: float):
+    """Distance bins (from 1) of some points of a and all of b; 0 beyond r_max and for a point with itself."""
+    import numpy as np
+
+    d = sum(((u[rows, None] - v[None]) ** 2 for u, v in zip(a.x, b.x, strict=True)), 0.0)
+    d = np.sqrt(d, out=d)
+    last = int(r_max / step + 0.5)
+    out = np.floor(d / float(step)) + 1
+    out[(d > r_max) | (out > last) | (a.ids[rows, None] == b.ids[None])] = 0
+    return out.astype(np.int16)
 
 
 def permuted_counts(points: DataFrame, labels: DataFrame, step: float, r_max: float, keys: Sequence[str]) -> DataFrame:
     """keys, rep, bin, n12: ordered pairs from the first kind to the second in each replicate, by distance bin.
 
-    Distances are found once and binned to small integers. The pairs of CHUNK
-    first points meet the bits of their keys' labels in one task, where the
-    counts of all replicates are products of matrices; no row is made for a
-    pair in a replicate. Replicates are numbered from -1 or more.
+    labels: rows (keys, rep from -1, id, is_first) or words as permuted_bits
+    has them. Two chunks of points meet in a task, where distances are binned
+    in arrays and the counts of all replicates are products of matrices; no
+    row is made for a pair, nor for a point in a replicate. Where all points
+    of both chunks have a label, one product serves both kinds.
     """
     import numpy as np
-    import pandas as pd
 
     keys = list(keys)
 
-    def run(key: tuple, p: pd.DataFrame, labs: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(p) and len(labs):
-            labs = labs.set_index("id")
-            p = p[p["a"].isin(labs.index) & p["b"].isin(labs.index)]
-            a, at = np.unique(p["a"].to_numpy(), return_inverse=True)
-            b, bt = np.unique(p["b"].to_numpy(), return_inverse=True)
-            width = max(labs["ones"].map(len).max(), labs["twos"].map(len).max())
-            ones, twos = _unpacked(labs.loc[a, "ones"], width), _unpacked(labs.loc[b, "twos"], width)
-            bins = p["bin"].to_numpy()
-            for k in np.unique(bins):
-                has = np.zeros((len(a), len(b)), np.float32)
-                has[at[bins == k], bt[bins == k]] = 1
-                for r in range(0, ones.shape[1], BLOCK):
-                    n = (has @ twos[:, r : r + BLOCK].astype(np.float32) * ones[:, r : r + BLOCK]).sum(0, dtype=np.float64).astype(np.int64)
-                    live = np.flatnonzero(n)
-                    out.append(pd.DataFrame({"rep": live + r - 1, "bin": int(k), "n": n[live]}))
-        got = pd.concat(out) if out else pd.DataFrame({"rep": [], "bin": [], "n": []})
-        for name, value in zip(reversed(keys), reversed(key[: len(keys)]), strict=True):
-            got.insert(0, name, value)
-        return got
-
-    met = _met(points, labels, step, r_max, keys, run, "rep int, bin smallint, n long")
+    def run(a: _Chunk, b: _Chunk, same: bool) -> dict:
+        words = max(a.ones.shape[1], b.ones.shape[1])
+        (a1, a2), (b1, b2) = a.labels(words), b.labels(words)
+        last = int(r_max / step + 0.5)
+        n = np.zeros((last, a1.shape[1]))
+        whole = ((a1 + a2).min(0) == 1) & ((b1 + b2).min(0) == 1)
+        some = np.flatnonzero(~whole & ((a1 + a2).max(0) > 0) & ((b1 + b2).max(0) > 0))
+        full = np.flatnonzero(whole)
+        a1f, a1s, a2s = a1[:, full], a1[:, some], a2[:, some]
+        b1f, b1s, b2s = b1[:, full], b1[:, some], b2[:, some]
+        for i in range(0, len(a.ids), ROWS):
+            rows = slice(i, i + ROWS)
+            bins = _bins(a, b, rows, step, r_max)
+            for k in range(last):
+                has = (bins == k + 1).astype(np.float32)
+                if not has.any():
+                    continue
+                if len(full):
+                    firsts, deg, one = has @ b1f, has.sum(1)[:, None], a1f[rows]
+                    n[k, full] += (one * (deg - firsts)).sum(0, dtype=np.float64)
+                    if not same:
+                        n[k, full] += ((1 - one) * firsts).sum(0, dtype=np.float64)
+                if len(some):
+                    n[k, some] += (a1s[rows] * (has @ b2s)).sum(0, dtype=np.float64)
+                    if not same:
+                        n[k, some] += (a2s[rows] * (has @ b1s)).sum(0, dtype=np.float64)
+        k, rep = np.nonzero(n)
+        return {"rep": rep - 1, "bin": k + 1, "n": n[k, rep].astype(np.int64)}
+
+    met = _met(points, labels, r_max, keys, run, "rep int, bin smallint, n long")
     return met.groupBy(*keys, "rep", "bin").agg(F.sum("n").alias("n12"))
 
 
 def permuted_sums(points: DataFrame, labels: DataFrame, factors: DataFrame, step: float, r_max: float, keys: Sequence[str]) -> DataFrame:
     """keys, rep, bin, s12, s21: for each direction, the sum over foci of their partners within the radius, over the focus's edge factor.
 
-    factors: keys, id, bin, p for every point. As permuted_counts, pairs are
-    found once, and all replicates are products of matrices.
+    factors: keys, id, bin, p for every point. As permuted_counts, chunks of
+    points meet once, and all replicates are products of matrices.
     """
     import numpy as np
-    import pandas as pd
 
     keys, last = list(keys), int(r_max / step + 0.5)
 
-    def run(key: tuple, p: pd.DataFrame, labs: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(p) and len(labs):
-            labs = labs.set_index("id")
-            p = p[p["a"].isin(labs.index) & p["b"].isin(labs.index)]
-            a, first, at = np.unique(p["a"].to_numpy(), return_index=True, return_inverse=True)
-            b, bt = np.unique(p["b"].to_numpy(), return_inverse=True)
-            weight = 1.0 / np.array(p["p"].iloc[first].tolist(), float).reshape(len(a), last)
-            width = max(labs["ones"].map(len).max(), labs["twos"].map(len).max())
-            of_a, of_b = ([_unpacked(labs.loc[x, c], width) for c in ("ones", "twos")] for x in (a, b))
-            bins = p["bin"].to_numpy()
-            near = [np.zeros((len(a), len(b)), np.float32) for _ in range(last)]
-            for k in range(last):
-                near[k][at[bins == k + 1], bt[bins == k + 1]] = 1
-            for r in range(0, 8 * width, BLOCK):
-                ones_a, twos_a, ones_b, twos_b = (x[:, r : r + BLOCK].astype(np.float32) for x in (*of_a, *of_b))
-                to_twos, to_ones = np.zeros_like(ones_a), np.zeros_like(ones_a)
+    def run(a: _Chunk, b: _Chunk, same: bool) -> dict:
+        words = max(a.ones.shape[1], b.ones.shape[1])
+        (a1, a2), (b1, b2) = a.labels(words), b.labels(words)
+        s12, s21 = np.zeros((last, a1.shape[1])), np.zeros((last, a1.shape[1]))
+        for i in range(0, len(a.ids), ROWS):
+            rows = slice(i, i + ROWS)
+            bins = _bins(a, b, rows, step, r_max)
+            live = bins > 0
+            ways = [(a1[rows], a2[rows], b1, b2, a.weight[rows], False)] + ([] if same else [(b1, b2, a1[rows], a2[rows], b.weight, True)])
+            for f1, f2, p1, p2, weight, turned in ways:
+                whole = bool(((p1 + p2).min(0) == (p1 + p2).max(0)).all())  # of the partners, all or none have a label
+                known = (p1 + p2).max(0)[None]
                 for k in range(last):
-                    to_twos, to_ones = to_twos + near[k] @ twos_b, to_ones + near[k] @ ones_b
+                    near = (live & (bins <= k + 1)).astype(np.float32)
+                    near = near.T if turned else near
+                    ones = near @ p1
+                    twos = near.sum(1)[:, None] * known - ones if whole else near @ p2
                     w = weight[:, k : k + 1]
-                    s12, s21 = (w * to_twos * ones_a).sum(0), (w * to_ones * twos_a).sum(0)
-                    live = np.flatnonzero((s12 > 0) | (s21 > 0))
-                    out.append(pd.DataFrame({"rep": live + r - 1, "bin": k + 1, "s12": s12[live], "s21": s21[live]}))
-        got = pd.concat(out) if out else pd.DataFrame({"rep": [], "bin": [], "s12": [], "s21": []})
-        for name, value in zip(reversed(keys), reversed(key[: len(keys)]), strict=True):
-            got.insert(0, name, value)
-        return got
-
-    met = _met(points, labels, step, r_max, keys, run, "rep int, bin int, s12 double, s21 double", factors)
+                    s12[k] += (w * (f1 * twos)).sum(0)
+                    s21[k] += (w * (f2 * ones)).sum(0)
+        k, rep = np.nonzero((s12 > 0) | (s21 > 0))
+        return {"rep": rep - 1, "bin": k + 1, "s12": s12[k, rep], "s21": s21[k, rep]}
+
+    met = _met(points, labels, r_max, keys, run, "rep int, bin int, s12 double, s21 double", factors)
     return met.groupBy(*keys, "rep", "bin").agg(F.sum("s12").alias("s12"), F.sum("s21").alias("s21"))
 
 

@@ -62,12 +62,13 @@ def two_kinds(points: DataFrame, volume: DataFrame, factors: DataFrame, step: fl
     slim = points.select(key, "id", "x", "y", "z")
     first = points.filter("kind = 0").groupBy(key).agg(F.count(F.lit(1)).alias("n1"))
     n = points.groupBy(key).agg(F.count_if(F.col("kind") == 0).alias("c1"), F.count_if(F.col("kind") == 1).alias("c2")).filter("c1 >= 2 and c2 >= 2").join(volume, key)
-    models = {"labels": nulls.permuted_labels(slim, replicates, [key], first), "segregated": nulls.segregated_labels(slim, replicates, first, key)}
-    own = points.select(key, F.lit(-1).alias("rep"), "id", (F.col("kind") == 0).alias("is_first"))
+    models = {"labels": nulls.permuted_bits(slim, replicates, [key], first), "segregated": nulls.packed(nulls.segregated_labels(slim, replicates, first, key), [key])}
+    own = nulls.packed(points.select(key, F.lit(-1).alias("rep"), "id", (F.col("kind") == 0).alias("is_first")), [key])
     grid = n.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1)))).withColumn("bin", F.explode(ripley.radius_grid(step, r_max)))
     tables = []
     for name, labels in models.items():
-        sums = nulls.permuted_sums(slim, staged(labels.unionByName(own), "labels"), factors, step, r_max, [key])
+        words = labels.unionByName(own).groupBy(key, "id", "block").agg(F.bit_or("ones").alias("ones"), F.bit_or("twos").alias("twos"))
+        sums = nulls.permuted_sums(slim, staged(words, "labels"), factors, step, r_max, [key])
         full = grid.join(sums, [key, "rep", "bin"], "left").withColumn("r", F.col("bin") * F.lit(float(step)))
         scale = F.col("volume") / (F.col("c1") * F.col("c2"))
         full = full.withColumn("k12", scale * F.coalesce("s12", F.lit(0.0))).withColumn("k21", scale * F.coalesce("s21", F.lit(0.0)))
