@@ -33,6 +33,8 @@ def _per_group(df: DataFrame, keys: Sequence[str], added: str, fn: Callable[[pd.
             out.insert(i, k, [pdf[k].iloc[0]] * len(out))
         return out
 
+    if keys:  # small rows, long work: a key of its own task, as far as partitions go
+        df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     return df.groupBy(*keys).applyInPandas(run, T.StructType([*[next(f for f in kept if f.name == k) for k in keys], *new.fields]) if keys else schema)
 
 
@@ -70,7 +72,7 @@ def hull_facets(points: np.ndarray) -> np.ndarray:
     faces: dict[tuple[int, int, int], tuple[np.ndarray, float, np.ndarray]] = {}
     edge_face: dict[tuple[int, int], tuple[int, int, int]] = {}
 
-    def add(f: tuple[int, int, int], candidates: np.ndarray) -> np.ndarray:
+    def add(f: tuple[int, int, int], candidates: np.ndarray) -> tuple[np.ndarray, tuple[int, int, int]]:
         m, o = plane(f)
         if m @ centre + o > 0:
             f = (f[0], f[2], f[1])
@@ -80,11 +82,11 @@ def hull_facets(points: np.ndarray) -> np.ndarray:
         faces[f] = (m, o, mine)
         for i in range(3):
             edge_face[(f[i], f[(i + 1) % 3])] = f
-        return candidates[h <= eps]
+        return candidates[h <= eps], f
 
     rest = np.setdiff1d(np.arange(n), [a, b, c, d])
     for f in ((a, b, c), (a, b, d), (a, c, d), (b, c, d)):
-        rest = add(f, rest)
+        rest, _ = add(f, rest)
     work = [f for f in faces if len(faces[f][2])]
     while work:
         f = work.pop()
@@ -114,9 +116,9 @@ def hull_facets(points: np.ndarray) -> np.ndarray:
                 if edge_face.get(e) == g:
                     del edge_face[e]
         for u, v in rim:
-            before = set(faces)
-            pool = add((u, v, tip), pool)
-            work += [g for g in faces if g not in before and len(faces[g][2])]
+            pool, new = add((u, v, tip), pool)
+            if len(faces[new][2]):
+                work.append(new)
     return np.array(list(faces), int).reshape(-1, 3)
 
 
@@ -386,9 +388,30 @@ def to_plane(x: np.ndarray) -> np.ndarray:
 
 
 def neighbour_gaps(p: np.ndarray) -> np.ndarray:
-    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
-    np.fill_diagonal(d, np.inf)
-    return d.min(1)
+    """Distance of each point to the nearest other one.
+
+    Points are halved along their longer side; each half goes on with the
+    rows that can still be nearest to one of its points: two rows are as near
+    to the centre as the second nearest, and one of them is another point.
+    """
+    out = np.full(len(p), np.inf)
+    todo = [(np.arange(len(p)), np.arange(len(p)))] if len(p) > 1 else []
+    while todo:
+        mine, rows = todo.pop()
+        q, c = p[mine], p[rows]
+        low, high = q.min(0), q.max(0)
+        if len(mine) <= 16 or len(rows) <= 64 or (low == high).all():
+            for i in range(0, len(mine), 512):
+                d = ((q[i : i + 512, None] - c[None]) ** 2).sum(-1)
+                d[mine[i : i + 512, None] == rows[None]] = np.inf
+                out[mine[i : i + 512]] = np.sqrt(d.min(1))
+            continue
+        axis, centre = int((high - low).argmax()), (low + high) / 2
+        d = np.sqrt(((c - centre) ** 2).sum(1))
+        kept = rows[d <= (np.partition(d, 1)[1] + np.sqrt(((high - low) ** 2).sum())) * (1 + 1e-9) + 1e-9]
+        upper = q[:, axis] > centre[axis]
+        todo += [(m, kept) for m in (mine[~upper], mine[upper]) if len(m)]
+    return out
 
 
 def alpha_triangles(p: np.ndarray, factor: float = 2.5, local: bool = False, growth: float = 1.5, limit: float = 25.0) -> np.ndarray:
@@ -466,13 +489,15 @@ def alpha_polygons(df: DataFrame, keys: Sequence[str], factor: float = 2.5, loca
 def inside_loops(x: np.ndarray, loops: list[np.ndarray]) -> np.ndarray:
     """Which of the points lie in any of the loops, each by its own crossings; a loop in a loop is no hole."""
     out = np.zeros(len(x), bool)
+    order = np.argsort(x[:, 1], kind="stable")  # an edge meets a run of the points by y
+    px, py = x[order, 0], x[order, 1]
     for a in loops:
         b, odd = np.roll(a, -1, 0), np.zeros(len(x), bool)
-        for u, v in zip(a, b, strict=True):
-            cut = (u[1] <= x[:, 1]) != (v[1] <= x[:, 1])
-            if cut.any():
-                odd ^= cut & (x[:, 0] < u[0] + (x[:, 1] - u[1]) * (v[0] - u[0]) / (v[1] - u[1] if v[1] != u[1] else 1.0))
-        out |= odd
+        first, last = np.searchsorted(py, np.minimum(a[:, 1], b[:, 1])), np.searchsorted(py, np.maximum(a[:, 1], b[:, 1]))
+        for u, v, i, j in zip(a, b, first.tolist(), last.tolist(), strict=True):
+            if i < j:
+                odd[i:j] ^= px[i:j] < u[0] + (py[i:j] - u[1]) * (v[0] - u[0]) / (v[1] - u[1])
+        out[order] |= odd
     return out
 
 
@@ -486,12 +511,7 @@ def adaptive_loops(p: np.ndarray, factor: float = 2.5, growth: float = 1.5, roun
     t = delaunay(p)
     if not len(t):
         return []
-    gaps = np.empty(len(p))
-    for i in range(0, len(p), 512):
-        d = ((p[i : i + 512, None] - p[None]) ** 2).sum(-1)
-        d[np.arange(len(d)), np.arange(i, i + len(d))] = np.inf
-        gaps[i : i + 512] = np.sqrt(d.min(1))
-    base, r = gaps[t].mean(1), circumradius(p, t)
+    base, r = neighbour_gaps(p)[t].mean(1), circumradius(p, t)
     for n in range(rounds):
         kept = t[r <= factor * growth**n * base]
         loops = [p[loop] for loop in loops_of(boundary(kept))]

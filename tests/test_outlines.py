@@ -55,3 +55,32 @@ def test_clusters_of_all_sizes(spark):
     whole = {(r["zone"], r["cluster"]): r for r in clusters.cluster_summary(df, ["zone"]).collect()}
     assert whole["a", 1]["density"] == pytest.approx(40 / whole["a", 1]["area"]) and whole["a", 2]["area"] is None and whole["a", 2]["span"] == 5.0
     assert whole["b", 1]["area"] is None and whole["b", 1]["span"] == 4.0 and whole["b", 2]["span"] is None
+
+
+def test_gaps_and_crossings_in_little_memory():
+    # A matrix of all distances between these points takes 576 MB.
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    p = np.round(rng.normal(0, 12.5, (6000, 2)), 2)
+    p[:50] = p[50:100]
+    tracemalloc.start()
+    got = geometry.neighbour_gaps(p)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+    for i in range(0, 6000, 7):
+        d = np.sqrt(((p - p[i]) ** 2).sum(1))
+        d[i] = np.inf
+        assert got[i] == d.min()
+    assert not len(geometry.neighbour_gaps(p[:0])) and np.isinf(geometry.neighbour_gaps(p[:1])).all()
+    assert (geometry.neighbour_gaps(np.zeros((3000, 2))) == 0).all()
+    loops = [p[rng.permutation(6000)[:9]] for _ in range(5)]
+    odd = np.zeros(6000, bool)
+    for a in loops:
+        one = np.zeros(6000, bool)
+        for u, v in zip(a, np.roll(a, -1, 0), strict=True):
+            if u[1] != v[1]:
+                one ^= ((u[1] <= p[:, 1]) != (v[1] <= p[:, 1])) & (p[:, 0] < u[0] + (p[:, 1] - u[1]) * (v[0] - u[0]) / (v[1] - u[1]))
+        odd |= one
+    assert (geometry.inside_loops(p, loops) == odd).all()
