@@ -36,7 +36,7 @@ def cumulated(base: DataFrame, bins: DataFrame, step: float, r_max: float, on: S
     """base rows x all radii with bin, r and count: partners with d < r."""
     grid = base.withColumn("bin", F.explode(radius_grid(step, r_max)))
     w = Window.partitionBy(*on).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    full = grid.join(bins, [*on, "bin"], "left")
+    full = grid.hint("merge").join(bins, [*on, "bin"], "left")
     return full.withColumn("count", F.sum(F.coalesce("n", F.lit(0))).over(w)).withColumn("r", F.col("bin") * F.lit(float(step))).drop("n")
 
 
@@ -131,7 +131,7 @@ def cross_k(foci: DataFrame, partners: DataFrame, volume: DataFrame, step: float
         weighted = F.col("count")
     else:
         each = focus_counts(foci, partners, step, r_max, keys, axes, exclude_self)
-        both = each.join(factors.select(*keys, "id", "bin", "p"), [*keys, "id", "bin"])
+        both = each.join(factors.select(*keys, "id", "bin", "p").hint("merge"), [*keys, "id", "bin"])  # a row for each focus and radius
         sums = both.groupBy(*keys, "bin", "r").agg(F.sum("count").alias("count"), F.sum(F.col("count") / F.col("p")).alias("w"))
         out = base.join(sums, list(keys))
         weighted = F.col("w")

@@ -122,7 +122,7 @@ def permuted_sites(sites: DataFrame, particles: DataFrame, surface: DataFrame, r
     snap = spatial.nearest(pool.filter("not own"), surface, [key], payload=["x", "y", "z"]).select(key, F.col("a_id").alias("id"), *[F.col(f"b_{k}").alias(f"s{k}") for k in "xyz"])
     placed = pool.join(snap, [key, "id"], "left").select(key, "id", "own", *[F.coalesce(f"s{k}", k).alias(k) for k in "xyz"])
     chosen = nulls.permuted_labels(pool, replicates, [key], n1).filter("is_first").select(key, "rep", "id")
-    return chosen.join(placed, [key, "id"]).select(key, "rep", "id", "own", "x", "y", "z")
+    return chosen.hint("merge").join(placed, [key, "id"]).select(key, "rep", "id", "own", "x", "y", "z")
 
 
 def site_curves(sets: DataFrame, particles: DataFrame, volume: DataFrame, window: DataFrame, h: float, step: float, r_max: float, key: str = "zone") -> DataFrame:
@@ -135,7 +135,7 @@ def site_curves(sets: DataFrame, particles: DataFrame, volume: DataFrame, window
     foci = sets.select(key, F.struct("comparison", "rep", "id").alias("id"), "x", "y", "z")
     counts = ripley.focus_counts(foci, particles, step, r_max, [key])
     factors = ripley.box_edge_factors(foci, window, h, step, r_max, [key])
-    both = counts.join(factors.select(key, "id", "bin", "p"), [key, "id", "bin"])
+    both = counts.join(factors.select(key, "id", "bin", "p").hint("merge"), [key, "id", "bin"])  # a row for each site of a set and radius
     sums = both.groupBy(key, F.col("id.comparison").alias("comparison"), F.col("id.rep").alias("rep"), "bin", "r").agg(F.sum(F.col("count") / F.col("p")).alias("w"), F.count(F.lit(1)).alias("n_sites"))
     n2 = particles.groupBy(key).agg(F.count(F.lit(1)).alias("n2"))
     out = sums.join(n2, key).join(volume, key).withColumn("k", F.col("volume") / (F.col("n_sites") * F.col("n2")) * F.col("w"))
@@ -188,7 +188,7 @@ def density_controls(sites: DataFrame, particles: DataFrame, surface: DataFrame,
     real = real.join(scan, [key, "_at"]).select(key, "id", "radius", F.col("density").alias("real"))
     near = spatial.nearest(moved.select(key, "cid", "x", "y", "z"), surface, [key], "cid", "id")
     near = near.groupBy(key, F.col("a_cid.id").alias("id"), F.col("a_cid.offset").alias("offset"), F.col("b_id").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
-    control = near.join(scan, [key, "_at"]).groupBy(key, "id", "offset", "radius").agg((F.sum(F.col("density") * F.col("_n")) / F.sum("_n")).alias("control"), F.sum("_n").alias("n_controls"))
+    control = near.join(scan.hint("merge"), [key, "_at"]).groupBy(key, "id", "offset", "radius").agg((F.sum(F.col("density") * F.col("_n")) / F.sum("_n")).alias("control"), F.sum("_n").alias("n_controls"))
     return real.join(control, [key, "id", "radius"]).select(key, "id", "radius", "offset", "real", "control", "n_controls")
 
 
@@ -283,7 +283,7 @@ def sets_in_window(sets: DataFrame, particles: DataFrame, planes: DataFrame, til
     for name, focus, p in (("w12", "a_id", p1), ("w21", "b_id", p2)):
         n = met.groupBy(key, F.col("a_id.comparison").alias("comparison"), F.col("a_id.rep").alias("rep"), F.col(focus).alias("id"), "bin").agg(F.count(F.lit(1)).alias("n"))
         upward = n.withColumn("bin", F.explode(F.sequence("bin", F.lit(last))))  # a pair counts at its radius and all beyond
-        w = upward.join(p.select(key, "id", "bin", "p"), [key, "id", "bin"]).groupBy(*by, "bin").agg(F.sum(F.col("n") / F.col("p")).alias(name))
+        w = upward.join(p.select(key, "id", "bin", "p").hint("merge"), [key, "id", "bin"]).groupBy(*by, "bin").agg(F.sum(F.col("n") / F.col("p")).alias(name))
         sums = sums.join(w, [*by, "bin"], "left")
     scale = F.col("volume") / (F.col("n_sites") * F.col("n_particles"))
     k = sums.withColumn("r", F.col("bin") * F.lit(float(step)))

@@ -52,3 +52,13 @@ def test_replicates_over_chunks_as_brute_force(spark, monkeypatch, scale):
                 s12 = ((near & one[r][:, None] & ~one[r][None]).sum(1) / w[:, b - 1]).sum()
                 s21 = ((near & ~one[r][:, None] & one[r][None]).sum(1) / w[:, b - 1]).sum()
                 assert got.get((r, b), (0, 0)) == pytest.approx((s12, s21), rel=1e-9)
+
+
+def test_copies_of_rows_are_not_broadcast(spark, tmp_path):
+    # 2000 points of a small file become 54000 rows in their cells; Spark takes them for a few kilobytes.
+    from pointloom.operators import spatial
+
+    spark.range(2000).selectExpr("id", "0 AS zone", "id % 7D AS x", "id % 5D AS y", "id % 3D AS z").write.parquet(f"{tmp_path}/p")
+    p = spark.read.parquet(f"{tmp_path}/p")
+    plan = spatial.within(p, p, 1.0, ["zone"])._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
