@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import affine
-from .spatial import within
+from ..staging import staged
+from .spatial import nearest
 
 
 def slab(voxels: DataFrame, z: int, half: int, how: str = "mean", keys: Sequence[str] = ()) -> DataFrame:
@@ -38,9 +39,19 @@ def contrast(image: DataFrame, low: float = 2.0, high: float = 98.0) -> DataFram
 
 
 def labelled(voxels: DataFrame, references: DataFrame, reach: float) -> DataFrame:
-    """voxels (id, x, y, z) with label: that of the reference (x, y, z, label, priority) within reach by (priority, distance), else 0."""
-    near = within(voxels.select("id", "x", "y", "z"), references, reach)
-    best = near.groupBy("a_id").agg(F.min_by("b_label", F.struct("b_priority", "d", "b_label")).alias("label")).withColumnRenamed("a_id", "id")
+    """voxels (id, x, y, z) with label: that of the reference (x, y, z, label, priority) within reach by (priority, distance, label), else 0.
+
+    Priorities are few: each is one search for the nearest reference, over
+    the voxels that no lesser one has reached.
+    """
+    todo, best = voxels.select("id", "x", "y", "z"), None
+    for (level,) in sorted(references.select("priority").distinct().collect(), key=lambda p: (p[0] is not None, p[0])):  # few
+        own = references.filter(F.col("priority").eqNullSafe(F.lit(level))).select("x", "y", "z", "label")
+        got = staged(nearest(todo, own, right_id="label", max_distance=reach).select(F.col("a_id").alias("id"), F.col("b_label").alias("label")), "labels")
+        best = got if best is None else best.unionByName(got)
+        todo = staged(todo.join(got.select("id").hint("merge"), "id", "left_anti"), "unlabelled")
+    if best is None:
+        return voxels.withColumn("label", F.lit(0))
     return voxels.join(best, "id", "left").withColumn("label", F.coalesce("label", F.lit(0)))
 
 
