@@ -28,3 +28,19 @@ def test_bounded_search_by_doubling_cells(spark, monkeypatch):
         for r in got:
             near = [(q["priority"] or 0, d, q["label"]) for q in some if (d := float(np.sqrt(((r["x"] - q["x"]) ** 2 + (r["y"] - q["y"]) ** 2) + (r["z"] - q["z"]) ** 2))) <= 2.5]
             assert r["label"] == (min(near)[2] if near else 0)
+
+
+def test_lines_count_particles_without_holding_pairs(spark):
+    v = spark.createDataFrame([(0, i, float(i), 0.0, 0.0, 0.0, 0.0, 1.0) for i in range(4)], "zone int, id long, x double, y double, z double, nx double, ny double, nz double")
+    rows = [(0, 10 + i, i % 4 + 0.1, 0.2, float(i)) for i in range(40)]
+    twice = [*rows, (0, 10, 1.0, 0.0, 30.0), (0, 10, 1.0, 0.0, 30.0)]
+    got = {}
+    for name, part in (("once", rows), ("twice", twice)):
+        p = spark.createDataFrame(part, "zone int, id long, x double, y double, z double")
+        out = spatial.cylinder_counts(v, p, 1.5, ["zone"])
+        got[name] = {r["id"]: r["n"] for r in out.collect()}
+        for i in range(4):
+            assert got[name][i] == len({q[1] for q in part if (q[2] - i) ** 2 + q[3] ** 2 <= 2.2})
+    p = spark.createDataFrame(rows, "zone int, id long, x double, y double, z double")
+    plan = spatial.cylinder_counts(v, p, 1.5, ["zone"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(distinct" not in plan
