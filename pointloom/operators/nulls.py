@@ -72,7 +72,11 @@ def permuted_labels(points: DataFrame, replicates: int, keys: Sequence[str], fir
 
     first: keys, n1. The order depends on the ids and the replicate only.
     """
-    bits = permuted_bits(points, replicates, keys, first, id_col)
+    return _rows(permuted_bits(points, replicates, keys, first, id_col), keys, id_col)
+
+
+def _rows(bits: DataFrame, keys: Sequence[str], id_col: str) -> DataFrame:
+    """keys, rep, id, is_first of labels in bits."""
     each = bits.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(WORD - 1)))).withColumn("rep", F.col("block") * WORD + F.col("_i") - 1)
     at = lambda c: F.expr(f"(shiftrightunsigned({c}, _i) & 1) = 1")
     return each.filter(at("ones") | at("twos")).select(*keys, "rep", F.col("id").alias(id_col), at("ones").alias("is_first"))
@@ -386,33 +390,135 @@ def _seeded(*parts: int):
     return np.random.default_rng([int(p) & 0xFFFFFFFF for p in parts])
 
 
-def segregated_labels(points: DataFrame, replicates: int, first: DataFrame, key: str = "zone", seed: int = 0, id_col: str = "id") -> DataFrame:
-    """key, rep, id, is_first: one kind, chosen by a coin, is a cluster grown from a random point by its nearest neighbours.
+class _Growth:
+    """A cluster of points grown by nearest neighbours from any point, over the shortest edges alone.
 
-    The next point is the one nearest to any in the cluster, ties to the least
-    id; the cluster has as many points as its kind. first: key, n1. Points of
-    a zone are its particles, a few thousand at most.
+    Edges lie between distinct places: those with which Prim's steps reach all
+    of them, and those as short as the longest step between their ends. Other
+    edges are never the shortest way out of a cluster, so growing over these
+    takes the same points in the same order, ties to the least id. Points are
+    in the order of their ids; one that is not finite is near to none.
+    """
+
+    def __init__(self, place: Sequence[int], near: Sequence[Sequence[int]], gap: Sequence[Sequence[float]]):
+        self.place, self.held = place, {}
+        for i, p in enumerate(place):
+            self.held.setdefault(p, []).append(i)
+        # a place has the number of its first point, so a tie of gaps goes to the least id
+        self.edges = {p: list(zip(gap[p], near[p], strict=True)) for p in self.held}
+
+    @staticmethod
+    def edges_of(x) -> tuple[list[int], list[list[int]], list[list[float]]]:
+        """Place (the first point there), neighbours and squared gaps for each point (for a place's first alone) of x (n x 3)."""
+        import numpy as np
+
+        n = len(x)
+        place, near, gap = np.arange(n), [[] for _ in range(n)], [[] for _ in range(n)]
+        fine = np.flatnonzero(np.isfinite(x).all(1))
+        if not len(fine):
+            return place.tolist(), near, gap
+        _, at, back = np.unique(x[fine] + 0.0, axis=0, return_index=True, return_inverse=True)
+        place[fine] = fine[at[back.ravel()]]
+        own = np.unique(place[fine])
+        u, v, w = (np.ascontiguousarray(c) for c in x[own].T)
+        inside = np.zeros(len(own), bool)
+        out, longest = np.full(len(own), np.inf), np.full(len(own), -1.0)  # way to the tree; longest step since a place came in
+        k, step = 0, -1.0
+        for _ in range(len(own)):
+            d = (u - u[k]) ** 2 + (v - v[k]) ** 2 + (w - w[k]) ** 2
+            np.maximum(longest, step, out=longest, where=inside)
+            for j in np.flatnonzero(inside & (d == longest)).tolist():
+                a, b = int(own[k]), int(own[j])
+                near[a].append(b)
+                near[b].append(a)
+                gap[a].append(float(d[j]))
+                gap[b].append(float(d[j]))
+            inside[k], out[k] = True, np.inf
+            np.minimum(out, d, out=out, where=~inside)
+            k = int(np.argmin(out))
+            step = out[k]
+        return place.tolist(), near, gap
+
+    def grown(self, start: int, size: int) -> list[int]:
+        """The first `size` points from start on."""
+        import heapq
+
+        taken, heap, seen, spare = [], [], set(), 0
+        at = self.place[start]
+        while len(taken) < size:
+            seen.add(at)
+            held = self.held[at]
+            taken += held if len(held) == 1 else sorted(held, key=lambda i: (i != start, i))  # copies come at once
+            for e in self.edges[at]:
+                if e[1] not in seen:
+                    heapq.heappush(heap, e)
+            at = None
+            while heap:
+                p = heapq.heappop(heap)[1]
+                if p not in seen:
+                    at = p
+                    break
+            while at is None and len(taken) < size:  # what is left is near to none
+                at = self.place[spare] if self.place[spare] not in seen else None
+                spare += 1
+        return taken[:size]
+
+
+def segregated_bits(points: DataFrame, replicates: int, first: DataFrame, key: str = "zone", seed: int = 0, id_col: str = "id") -> DataFrame:
+    """key, id, block, ones, twos: segregated_labels as bits, as permuted_bits has them.
+
+    The edges over which clusters grow are found once for a key, in memory
+    that grows with its points and time with their square; a replicate then
+    passes along edges of its cluster alone.
     """
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col).reset_index(drop=True)
-        x, n, rep = pdf[["x", "y", "z"]].to_numpy(float), len(pdf), int(pdf["rep"].iloc[0])
-        n1 = min(n, int(pdf["n1"].iloc[0]))
-        rng = _seeded(seed, rep, int(pdf[id_col].iloc[0]), n)
-        first_compact, at = bool(rng.integers(2)), int(rng.integers(n))
-        inside, d = np.zeros(n, bool), np.full(n, np.inf)
-        for _ in range(n1 if first_compact else n - n1):
-            inside[at] = True
-            d = np.minimum(d, ((x - x[at]) ** 2).sum(1))
-            at = int(np.argmin(np.where(inside, np.inf, d)))
-        return pd.DataFrame({key: pdf[key], "rep": rep, "id": pdf[id_col], "is_first": inside if first_compact else ~inside})
-
-    pool = points.select(key, id_col, "x", "y", "z").join(first, key).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    slim = points.select(key, F.col(id_col).cast("long").alias("id"), *[F.col(c).cast("double").alias(c) for c in "xyz"]).join(first.select(key, "n1"), key)
     kind = dict(points.dtypes)[key]
-    pool = pool.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "rep")  # small rows, long work
-    return pool.groupBy(key, "rep").applyInPandas(run, f"{key} {kind}, rep int, id long, is_first boolean")
+
+    def edges(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        x = np.column_stack([table[c].to_numpy() for c in "xyz"])
+        place, near, gap = _Growth.edges_of(x)
+        cols = [table[key], table["id"], table["n1"], pa.array(place, pa.int32()), pa.array(near, pa.list_(pa.int32())), pa.array(gap, pa.list_(pa.float64()))]
+        return pa.table(cols, names=[key, "id", "n1", "place", "near", "gap"])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        n, block = len(table), table["block"][0].as_py()
+        n1 = min(n, table["n1"][0].as_py() or 0)
+        growth = _Growth(*[table[c].to_pylist() for c in ("place", "near", "gap")])
+        least, known, ones = table["id"][0].as_py(), 0, np.zeros(n, np.uint64)
+        for i in range(WORD):
+            rep = block * WORD + i - 1
+            if not 0 <= rep < replicates:
+                continue
+            known |= 1 << i
+            rng = _seeded(seed, rep, least, n)
+            first_compact, at = bool(rng.integers(2)), int(rng.integers(n))
+            compact = np.zeros(n, bool)
+            compact[growth.grown(at, n1 if first_compact else n - n1)] = True
+            ones |= (compact == first_compact).astype(np.uint64) << np.uint64(i)
+        twos = ~ones & np.uint64(known)
+        cols = [table[key], table["id"], table["block"], pa.array(ones.view(np.int64)), pa.array(twos.view(np.int64))]
+        return pa.table(cols, names=[key, "id", "block", "ones", "twos"])
+
+    n1_kind = dict(first.dtypes)["n1"]
+    tied = slim.groupBy(key).applyInArrow(edges, f"{key} {kind}, id long, n1 {n1_kind}, place int, near array<int>, gap array<double>")
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tied = tied.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(replicates // WORD)))).repartition(parts, key, "block")  # small rows, long work
+    return tied.groupBy(key, "block").applyInArrow(run, f"{key} {kind}, id long, block int, ones long, twos long")
+
+
+def segregated_labels(points: DataFrame, replicates: int, first: DataFrame, key: str = "zone", seed: int = 0, id_col: str = "id") -> DataFrame:
+    """key, rep, id, is_first: one kind, chosen by a coin, is a cluster grown from a random point by its nearest neighbours.
+
+    The next point is the one nearest to any in the cluster, ties to the least
+    id; the cluster has as many points as its kind. first: key, n1. A point
+    without finite coordinates comes after all others.
+    """
+    return _rows(segregated_bits(points, replicates, first, key, seed, id_col), [key], "id")
 
 
 def shifted_sites(sites: DataFrame, surface: DataFrame, replicates: int, step: float, key: str = "zone", seed: int = 0, reach: float = 30.0, snap_limit: float = 5.0, least: float = 5.0, tries: int = 40, id_col: str = "id") -> DataFrame:

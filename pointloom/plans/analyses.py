@@ -62,7 +62,7 @@ def two_kinds(points: DataFrame, volume: DataFrame, factors: DataFrame, step: fl
     slim = points.select(key, "id", "x", "y", "z")
     first = points.filter("kind = 0").groupBy(key).agg(F.count(F.lit(1)).alias("n1"))
     n = points.groupBy(key).agg(F.count_if(F.col("kind") == 0).alias("c1"), F.count_if(F.col("kind") == 1).alias("c2")).filter("c1 >= 2 and c2 >= 2").join(volume, key)
-    models = {"labels": nulls.permuted_bits(slim, replicates, [key], first), "segregated": nulls.packed(nulls.segregated_labels(slim, replicates, first, key), [key])}
+    models = {"labels": nulls.permuted_bits(slim, replicates, [key], first), "segregated": nulls.segregated_bits(slim, replicates, first, key)}
     own = nulls.packed(points.select(key, F.lit(-1).alias("rep"), "id", (F.col("kind") == 0).alias("is_first")), [key])
     grid = n.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1)))).withColumn("bin", F.explode(ripley.radius_grid(step, r_max)))
     tables = []

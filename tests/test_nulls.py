@@ -62,3 +62,42 @@ def test_copies_of_rows_are_not_broadcast(spark, tmp_path):
     p = spark.read.parquet(f"{tmp_path}/p")
     plan = spatial.within(p, p, 1.0, ["zone"])._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+def brute_growth(x, start, size):
+    inside, d, order, at = np.zeros(len(x), bool), np.full(len(x), np.inf), [], start
+    for _ in range(size):
+        inside[at] = True
+        order.append(at)
+        d = np.minimum(d, ((x - x[at]) ** 2).sum(1))
+        at = int(np.argmin(np.where(inside, np.inf, d)))
+    return order
+
+
+@pytest.mark.parametrize("kind", ["apart", "lattice", "copies"])
+def test_growth_over_shortest_edges_as_over_all(kind):
+    # Ties of a lattice and copies of points too: the same points in the same order, from few edges.
+    rng = np.random.default_rng(6)
+    x = {"apart": rng.normal(size=(80, 3)), "lattice": rng.integers(0, 5, (80, 3)).astype(float), "copies": np.repeat(rng.normal(size=(8, 3)), 10, 0)}[kind]
+    x = x[rng.permutation(80)]
+    place, near, gap = nulls._Growth.edges_of(x)
+    growth = nulls._Growth(place, near, gap)
+    assert all(growth.grown(s, n) == brute_growth(x, s, n) for s in range(80) for n in (0, 1, 33, 80))
+    edges, places = sum(map(len, near)) // 2, len(set(place))
+    assert edges >= places - 1 and (kind == "lattice" or edges == places - 1)
+
+
+def test_points_that_are_not_finite_grow_last(spark):
+    rows = [(0, i, float(i), 0.0, 0.0) for i in range(6)] + [(0, 9, float("nan"), 0.0, 0.0), (0, 10, None, 0.0, 0.0)]
+    p = spark.createDataFrame(rows, "zone int, id long, x double, y double, z double")
+    got = nulls.segregated_labels(p, 40, spark.createDataFrame([(0, 8)], "zone int, n1 int")).collect()
+    assert len(got) == 320 and {r["rep"] for r in got} == set(range(40))
+    g = nulls._Growth(*nulls._Growth.edges_of(np.array([[np.nan, 0, 0], [1, 0, 0], [2, 0, 0], [np.inf, 0, 0]])))
+    assert g.grown(2, 4) == [2, 1, 0, 3] and g.grown(3, 4)[0] == 3
+
+
+def test_segregated_bits_have_a_row_for_a_word(spark):
+    x = np.random.default_rng(7).normal(size=(30, 3))
+    p = spark.createDataFrame([(0, i, *map(float, v)) for i, v in enumerate(x)], "zone int, id long, x double, y double, z double")
+    bits = nulls.segregated_bits(p, 70, spark.createDataFrame([(0, 11)], "zone int, n1 int")).collect()
+    assert len(bits) == 60 and all((r["ones"] & r["twos"]) == 0 for r in bits)
