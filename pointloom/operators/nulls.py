@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
 from ..staging import staged
-from .spatial import within
 
 
 def scramble(id_: Column, rep: Column) -> Column:
@@ -521,39 +520,63 @@ def segregated_labels(points: DataFrame, replicates: int, first: DataFrame, key:
     return _rows(segregated_bits(points, replicates, first, key, seed, id_col), [key], "id")
 
 
+#: Sites of a task.
+SITES = 512
+
+
 def shifted_sites(sites: DataFrame, surface: DataFrame, replicates: int, step: float, key: str = "zone", seed: int = 0, reach: float = 30.0, snap_limit: float = 5.0, least: float = 5.0, tries: int = 40, id_col: str = "id") -> DataFrame:
     """key, id, rep, x, y, z: sites moved by `step` along the surface's tangent plane and snapped to it.
 
     The plane comes from surface points within reach (twice that with fewer
     than five). A move is taken if it snaps by no more than snap_limit and
     ends at least `least` away; a site without such a move in `tries` is
-    absent. Only the neighbourhood of a site reaches its task.
+    absent. SITES sites of a cell meet the surface around the cell in a task;
+    no row is made for a site and a surface point.
     """
     import numpy as np
-    import pandas as pd
-
-    near = within(sites, surface, max(2 * reach, step + snap_limit), [key])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(f"b_{id_col}")
-        p = pdf[["a_x", "a_y", "a_z"]].iloc[0].to_numpy(float)
-        s = pdf[["b_x", "b_y", "b_z"]].to_numpy(float)
-        gap = np.linalg.norm(s - p, axis=1)
-        local = s[gap <= reach] if (gap <= reach).sum() >= 5 else s[gap <= 2 * reach]
-        rows = []
-        if len(local) >= 3:
+    import pyarrow as pa
+
+    parts = int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side, cells = F.lit(float(max(2 * reach, step + snap_limit))), ["_cx", "_cy", "_cz"]
+    kind = dict(sites.dtypes)[key]
+
+    def placed(df: DataFrame) -> DataFrame:
+        at = df.select(key, F.col(id_col).alias("id"), *[finite(k).alias(k) for k in "xyz"]).dropna(subset=list("xyz"))
+        return at.select("*", *[F.floor(F.col(k) / side).alias(f"_c{k}") for k in "xyz"])
+
+    at, around = placed(sites), placed(surface)
+    sizes = at.groupBy(key, *cells).agg(F.ceil(F.count(F.lit(1)) / SITES).alias("_k"))
+    dealt = at.join(sizes, [key, *cells]).withColumn("_sub", F.pmod(F.xxhash64("id"), F.col("_k"))).drop("_k")
+    for c in cells:
+        around = around.withColumn(c, F.explode(F.array(*[F.col(c) + i for i in (-1, 0, 1)])))
+    on = [key, *cells, "_sub"]
+    around = around.hint("merge").join(dealt.select(*on).distinct(), [key, *cells])
+    # names of its own for each side, so that the sides do not share columns
+    left, right = (df.select(*[F.col(c).alias(c) for c in [*on, "id", *"xyz"]]).repartition(parts, *on) for df in (dealt, around))
+
+    def run(of: tuple, sites: pa.Table, surface: pa.Table) -> pa.Table:
+        surface = surface.sort_by("id")
+        every = np.column_stack([surface[k].to_numpy() for k in "xyz"])
+        rows: list[tuple] = []
+        for i, *p in zip(sites["id"].to_pylist(), *[sites[k].to_pylist() for k in "xyz"], strict=True):
+            gap = np.linalg.norm(every - np.array(p), axis=1)
+            local = every[gap <= reach] if (gap <= reach).sum() >= 5 else every[gap <= 2 * reach]
+            if len(local) < 3:
+                continue
             axes = np.linalg.svd(local - local.mean(0), full_matrices=False)[2]
-            for rep in range(replicates):
-                rng = _seeded(seed, rep, int(pdf[f"a_{id_col}"].iloc[0]))
+            near = gap <= (step + snap_limit) * (1 + 1e-9)  # a move that is taken ends on one of these
+            s, off = every[near], gap[near]
+            for rep in range(replicates if len(s) else 0):
+                rng = _seeded(seed, rep, int(i))
                 for t in rng.uniform(0, 2 * np.pi, tries):
                     to = p + step * (np.cos(t) * axes[0] + np.sin(t) * axes[1])
                     d = ((s - to) ** 2).sum(1)
-                    i = int(np.argmin(d))
-                    if d[i] <= snap_limit**2 and gap[i] >= least:
-                        rows.append((pdf[key].iloc[0], int(pdf[f"a_{id_col}"].iloc[0]), rep, *map(float, s[i])))
+                    j = int(np.argmin(d))
+                    if d[j] <= snap_limit**2 and off[j] >= least:
+                        rows.append((int(i), rep, *s[j].tolist()))
                         break
-        return pd.DataFrame(rows, columns=[key, "id", "rep", "x", "y", "z"])
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        types = (pa.int64(), pa.int32(), *[pa.float64()] * 3)
+        return pa.table([pa.array([of[0].as_py()] * len(rows), of[0].type), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=[key, "id", "rep", *"xyz"])
 
-    kind = dict(sites.dtypes)[key]
-    slim = near.select(key, f"a_{id_col}", "a_x", "a_y", "a_z", f"b_{id_col}", "b_x", "b_y", "b_z")
-    return slim.groupBy(key, f"a_{id_col}").applyInPandas(run, f"{key} {kind}, id long, rep int, x double, y double, z double")
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(run, f"{key} {kind}, id long, rep int, x double, y double, z double")

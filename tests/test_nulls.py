@@ -101,3 +101,31 @@ def test_segregated_bits_have_a_row_for_a_word(spark):
     p = spark.createDataFrame([(0, i, *map(float, v)) for i, v in enumerate(x)], "zone int, id long, x double, y double, z double")
     bits = nulls.segregated_bits(p, 70, spark.createDataFrame([(0, 11)], "zone int, n1 int")).collect()
     assert len(bits) == 60 and all((r["ones"] & r["twos"]) == 0 for r in bits)
+
+
+def test_sites_move_in_chunks(spark, monkeypatch):
+    # Chunks of a few sites, cells with a few points, rows that are not finite: the moves of a site stay its own.
+    x = np.random.default_rng(8).normal(size=(150, 3)) * 12
+    rows = [(i % 2, i, *map(float, v)) for i, v in enumerate(x)] + [(0, 900, float("nan"), 0.0, 0.0), (1, 901, None, 0.0, 0.0), (5, 902, 0.0, 0.0, 0.0)]
+    p = spark.createDataFrame(rows, "zone int, id long, x double, y double, z double")
+    how = {"reach": 6.0, "snap_limit": 4.0, "tries": 10}
+    want = {}
+    for i in range(150):
+        s = x[i % 2 :: 2]
+        gap = np.linalg.norm(s - x[i], axis=1)
+        local = s[gap <= 6] if (gap <= 6).sum() >= 5 else s[gap <= 12]
+        if len(local) < 3:
+            continue
+        axes = np.linalg.svd(local - local.mean(0), full_matrices=False)[2]
+        for rep in range(9):
+            for t in nulls._seeded(0, rep, i).uniform(0, 2 * np.pi, 10):
+                d = ((s - (x[i] + 8.0 * (np.cos(t) * axes[0] + np.sin(t) * axes[1]))) ** 2).sum(1)
+                j = int(np.argmin(d))
+                if d[j] <= 16 and gap[j] >= 5:
+                    want[i, rep] = tuple(s[j])
+                    break
+    for size in (3, 512):
+        monkeypatch.setattr(nulls, "SITES", size)
+        got = nulls.shifted_sites(p, p, 9, 8.0, **how)
+        assert {(r["id"], r["rep"]): (r["x"], r["y"], r["z"]) for r in got.collect()} == want and len(want) > 200
+    assert "FlatMapCoGroups" in got._jdf.queryExecution().executedPlan().toString()  # sites meet the surface in arrays
