@@ -90,6 +90,8 @@ def packed(labels: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 #: Points of a chunk, those a cell should hold at least on average, and rows of a product.
 CHUNK, FILL, ROWS = 2048, 512, 512
+#: Counts of two shells in one float: digits of this base, of which a float holds two.
+DIGIT = 4096
 
 
 def _met(points: DataFrame, labels: DataFrame, r: float, keys: list[str], run, schema: str, factors: DataFrame | None = None) -> DataFrame:
@@ -228,32 +230,53 @@ def permuted_sums(points: DataFrame, labels: DataFrame, factors: DataFrame, step
     """keys, rep, bin, s12, s21: for each direction, the sum over foci of their partners within the radius, over the focus's edge factor.
 
     factors: keys, id, bin, p for every point. As permuted_counts, chunks of
-    points meet once, and all replicates are products of matrices.
+    points meet once, and all replicates are products of matrices. One product
+    counts two shells, as the digits of a number that a float holds exactly.
     """
     import numpy as np
 
     keys, last = list(keys), int(r_max / step + 0.5)
 
-    def run(a: _Chunk, b: _Chunk, same: bool) -> dict:
-        words = max(a.ones.shape[1], b.ones.shape[1])
-        (a1, a2), (b1, b2) = a.labels(words), b.labels(words)
-        s12, s21 = np.zeros((last, a1.shape[1])), np.zeros((last, a1.shape[1]))
+    def one_way(a: _Chunk, b: _Chunk, foci: tuple, partners: tuple, s12, s21) -> None:
+        (f1, f2), (p1, p2) = foci, partners
+        whole = [bool(((u + v).min(0) == (u + v).max(0)).all()) for u, v in (foci, partners)]  # all or none have a label
+        known = [(u + v).max(0)[None].astype(np.float64) for u, v in (foci, partners)]
+        ends = range(0, len(b.ids), DIGIT - 1)
         for i in range(0, len(a.ids), ROWS):
             rows = slice(i, i + ROWS)
-            bins = _bins(a, b, rows, step, r_max)
-            live = bins > 0
-            ways = [(a1[rows], a2[rows], b1, b2, a.weight[rows], False)] + ([] if same else [(b1, b2, a1[rows], a2[rows], b.weight, True)])
-            for f1, f2, p1, p2, weight, turned in ways:
-                whole = bool(((p1 + p2).min(0) == (p1 + p2).max(0)).all())  # of the partners, all or none have a label
-                known = (p1 + p2).max(0)[None]
-                for k in range(last):
-                    near = (live & (bins <= k + 1)).astype(np.float32)
-                    near = near.T if turned else near
-                    ones = near @ p1
-                    twos = near.sum(1)[:, None] * known - ones if whole else near @ p2
-                    w = weight[:, k : k + 1]
-                    s12[k] += (w * (f1 * twos)).sum(0)
-                    s21[k] += (w * (f2 * ones)).sum(0)
+            bins, w = _bins(a, b, rows, step, r_max), a.weight[rows]
+            sums = [np.zeros((len(w), p1.shape[1]), np.float32) for _ in range(1 if whole[1] else 2)]
+            degree, first = np.zeros(len(w)), f1[rows].astype(np.float64)
+            for k in range(0, last, 2):
+                low, high = bins == k + 1, bins == k + 2
+                both = low + high * np.float32(DIGIT)
+                upper = []
+                for p, held in zip((p1, p2), sums, strict=False):
+                    upper.append(np.zeros_like(held))
+                    for j in ends:
+                        n = both[:, j : j + DIGIT - 1] @ p[j : j + DIGIT - 1]
+                        digit = np.floor(n * np.float32(1 / DIGIT))
+                        upper[-1] += digit
+                        held += n - digit * np.float32(DIGIT)
+                for at, near in ((k, low), (k + 1, high)):
+                    if at >= last:
+                        break
+                    if at > k:
+                        for held, more in zip(sums, upper, strict=True):
+                            held += more
+                    degree += near.sum(1)
+                    ones, each = sums[0].astype(np.float64), w[:, at]
+                    taken = each @ (first * ones)
+                    s12[at] += (each * degree) @ first * known[1][0] - taken if whole[1] else each @ (first * sums[1])
+                    s21[at] += each @ ones * known[0][0] - taken if whole[0] else each @ (f2[rows] * ones)
+
+    def run(a: _Chunk, b: _Chunk, same: bool) -> dict:
+        words = max(a.ones.shape[1], b.ones.shape[1])
+        of_a, of_b = a.labels(words), b.labels(words)
+        s12, s21 = np.zeros((last, of_a[0].shape[1])), np.zeros((last, of_a[0].shape[1]))
+        one_way(a, b, of_a, of_b, s12, s21)
+        if not same:
+            one_way(b, a, of_b, of_a, s12, s21)
         k, rep = np.nonzero((s12 > 0) | (s21 > 0))
         return {"rep": rep - 1, "bin": k + 1, "s12": s12[k, rep], "s21": s21[k, rep]}
 

@@ -77,7 +77,8 @@ def box_edge_factors(foci: DataFrame, points: DataFrame, h: float, step: float,
 
     keys, last = list(keys), int(math.floor(r_max / step + 0.5))
     box = points.groupBy(*keys).agg(*[F.min(k).alias(f"_l{k}") for k in "xyz"], *[F.floor((F.max(k) - F.min(k)) / F.lit(float(h))).cast("int").alias(f"_n{k}") for k in "xyz"])
-    joined = foci.select(*keys, id_col, "x", "y", "z").join(box, keys)
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    joined = foci.select(*keys, id_col, "x", "y", "z").join(box, keys).repartition(parts)  # small rows, long work
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in joined.select(*keys, id_col).schema]
 
     def run(batches):

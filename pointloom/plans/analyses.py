@@ -56,26 +56,30 @@ def two_kinds(points: DataFrame, volume: DataFrame, factors: DataFrame, step: fl
 
     points: zone, id, kind (0 or 1), x, y, z, all inside their zone's window,
     whose volume and edge factors (zone, id, bin, p) are given. Zones need two
-    points of each kind. Nulls are random labels and segregated labels;
-    distances are joined once for each null model.
+    points of each kind. Nulls are random labels and segregated labels; points
+    meet once for both.
     """
     slim = points.select(key, "id", "x", "y", "z")
     first = points.filter("kind = 0").groupBy(key).agg(F.count(F.lit(1)).alias("n1"))
     n = points.groupBy(key).agg(F.count_if(F.col("kind") == 0).alias("c1"), F.count_if(F.col("kind") == 1).alias("c2")).filter("c1 >= 2 and c2 >= 2").join(volume, key)
     models = {"labels": nulls.permuted_bits(slim, replicates, [key], first), "segregated": nulls.segregated_bits(slim, replicates, first, key)}
     own = nulls.packed(points.select(key, F.lit(-1).alias("rep"), "id", (F.col("kind") == 0).alias("is_first")), [key])
-    grid = n.withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1)))).withColumn("bin", F.explode(ripley.radius_grid(step, r_max)))
-    tables = []
-    for name, labels in models.items():
-        words = labels.unionByName(own).groupBy(key, "id", "block").agg(F.bit_or("ones").alias("ones"), F.bit_or("twos").alias("twos"))
-        sums = nulls.permuted_sums(slim, staged(words, "labels"), factors, step, r_max, [key])
-        full = grid.join(sums, [key, "rep", "bin"], "left").withColumn("r", F.col("bin") * F.lit(float(step)))
-        scale = F.col("volume") / (F.col("c1") * F.col("c2"))
-        full = full.withColumn("k12", scale * F.coalesce("s12", F.lit(0.0))).withColumn("k21", scale * F.coalesce("s21", F.lit(0.0)))
-        full = full.withColumn("k_combined", ripley.combined(F.col("c1"), F.col("k12"), F.col("c2"), F.col("k21")))
-        each = F.explode(F.array(*[F.struct(F.lit(c).alias("curve"), F.col(f"k{s}").alias("k")) for c, s in (("12", "12"), ("21", "21"), ("combined", "_combined"))])).alias("_c")
-        tables.append(full.select(key, F.lit(name).alias("null"), "rep", "r", each).select(key, "null", "_c.curve", "rep", "r", "_c.k"))
-    both = tables[0].unionByName(tables[1])
+    # the models' words lie one after the other, so that points meet once
+    span = nulls.WORD * (replicates // nulls.WORD + 1)
+    words, names = None, F.array(*[F.lit(name) for name in models])
+    for i, labels in enumerate(models.values()):
+        part = labels.unionByName(own).groupBy(key, "id", F.col("block") + i * span // nulls.WORD).agg(F.bit_or("ones").alias("ones"), F.bit_or("twos").alias("twos"))
+        part = part.toDF(key, "id", "block", "ones", "twos")
+        words = part if words is None else words.unionByName(part)
+    sums = nulls.permuted_sums(slim, staged(words, "labels"), factors, step, r_max, [key])
+    sums = sums.withColumn("null", F.get(names, F.floor((F.col("rep") + 1) / span).cast("int"))).withColumn("rep", F.pmod(F.col("rep") + 1, F.lit(span)) - 1)
+    grid = n.withColumn("null", F.explode(names)).withColumn("rep", F.explode(F.sequence(F.lit(-1), F.lit(replicates - 1)))).withColumn("bin", F.explode(ripley.radius_grid(step, r_max)))
+    full = grid.join(sums, [key, "null", "rep", "bin"], "left").withColumn("r", F.col("bin") * F.lit(float(step)))
+    scale = F.col("volume") / (F.col("c1") * F.col("c2"))
+    full = full.withColumn("k12", scale * F.coalesce("s12", F.lit(0.0))).withColumn("k21", scale * F.coalesce("s21", F.lit(0.0)))
+    full = full.withColumn("k_combined", ripley.combined(F.col("c1"), F.col("k12"), F.col("c2"), F.col("k21")))
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("curve"), F.col(f"k{s}").alias("k")) for c, s in (("12", "12"), ("21", "21"), ("combined", "_combined"))])).alias("_c")
+    both = full.select(key, "null", "rep", "r", each).select(key, "null", "_c.curve", "rep", "r", "_c.k")
     both = staged(both.withColumn("value", ripley.l_of_k(F.col("k"), F.col("r"))), "curves")
     tests = nulls.mad_over_ranges(both.filter("rep = -1").drop("rep", "k"), both.filter("rep >= 0").drop("k"), [key, "null", "curve"], ranges, least=least)
     return both, tests

@@ -129,3 +129,39 @@ def test_sites_move_in_chunks(spark, monkeypatch):
         got = nulls.shifted_sites(p, p, 9, 8.0, **how)
         assert {(r["id"], r["rep"]): (r["x"], r["y"], r["z"]) for r in got.collect()} == want and len(want) > 200
     assert "FlatMapCoGroups" in got._jdf.queryExecution().executedPlan().toString()  # sites meet the surface in arrays
+
+
+def test_foci_of_one_file_are_shared_out(spark):
+    # the lattice around a focus is long work for a small row: one partition in, as many tasks as a shuffle has
+    from pointloom.operators import ripley
+
+    p = spark.range(60).selectExpr("id", "0 AS zone", "id % 7D AS x", "id % 5D AS y", "id % 3D AS z").coalesce(1)
+    out = ripley.box_edge_factors(p, p, 1.0, 1.0, 3.0, ["zone"])
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_two_null_models_meet_once(spark, monkeypatch):
+    # an odd number of shells, and the labels of both models in one set of words
+    from pointloom.operators import ripley
+    from pointloom.plans import analyses
+
+    met, whole = [], nulls.permuted_sums
+    monkeypatch.setattr(nulls, "permuted_sums", lambda *a: met.append(a) or whole(*a))
+    rng, n, reps = np.random.default_rng(8), 60, 5
+    x = rng.uniform(0, 6, (n, 3))
+    p = spark.createDataFrame([(1, i, i % 2, *map(float, v)) for i, v in enumerate(x)], "zone int, id long, kind int, x double, y double, z double")
+    curve, _ = analyses.two_kinds(p, ripley.volumes(p, ["zone"]), ripley.box_edge_factors(p, p, 1.0, 1.0, 3.0, ["zone"]), 1.0, 3.0, reps, least=5)
+    assert len(met) == 1
+    got = {(r["null"], r["rep"], r["r"]): r["k"] for r in curve.filter("curve = '12'").collect()}
+    assert len(got) == 2 * (reps + 1) * 3
+    share = {(r["id"], r["bin"]): r["p"] for r in ripley.box_edge_factors(p, p, 1.0, 1.0, 3.0, ["zone"]).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    volume, n1 = float(np.prod(x.max(0) - x.min(0))), n // 2
+    first = p.filter("kind = 0").groupBy("zone").agg(F.count(F.lit(1)).alias("n1"))
+    for name, labels in (("labels", nulls.permuted_labels(p, reps, ["zone"], first)), ("segregated", nulls.segregated_labels(p, reps, first))):
+        one = {(r["rep"], r["id"]): r["is_first"] for r in labels.collect()} | {(-1, i): i % 2 == 0 for i in range(n)}
+        for rep in range(-1, reps):
+            a = np.array([one[rep, i] for i in range(n)])
+            for b in (1, 2, 3):
+                w = sum(((d[i] < b) & ~a).sum() / share[i, b] for i in np.flatnonzero(a))
+                assert got[name, rep, float(b)] == pytest.approx(volume / (n1 * (n - n1)) * w, rel=1e-9)
