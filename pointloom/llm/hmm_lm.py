@@ -149,11 +149,11 @@ def log_likelihoods(p: Params, seqs: list[np.ndarray]) -> np.ndarray:
     """log10 p of each sequence (none empty) by the scaled forward recursion."""
     order, flat, starts, active = _packed(seqs)
     total = np.zeros(len(seqs))
-    a = np.repeat(p.start[None, :], len(seqs), 0)
+    a, move, emit = np.repeat(p.start[:, None], len(seqs), 1), np.ascontiguousarray(p.move.T), np.ascontiguousarray(p.emit.T)
     for t, n in enumerate(active):
-        a = (a[:n] @ p.move if t else a) * p.emit[flat[starts[:n] + t]]
-        c = a.sum(1)
-        a /= c[:, None]
+        a = (move @ a[:, :n] if t else a) * emit.take(flat[starts[:n] + t], 1)
+        c = a.sum(0)
+        a *= 1.0 / c
         total[:n] += np.log10(c)
     out = np.zeros(len(seqs))
     out[order] = total
@@ -175,6 +175,29 @@ def _transfer(p: Params, flat: np.ndarray, starts: np.ndarray, active: np.ndarra
     return np.ascontiguousarray(out.transpose(2, 1, 0))
 
 
+def _left(p: Params, segs: np.ndarray) -> np.ndarray:
+    """The state (K x n) that the token after each of n segments of one length is drawn in, where the segments begin texts."""
+    a, move, emit = p.start[:, None], np.ascontiguousarray(p.move.T), np.ascontiguousarray(p.emit.T)
+    for of in np.ascontiguousarray(segs.T).astype(np.int64):
+        a = move @ (a * emit.take(of, 1))
+        a *= 1.0 / a.sum(0)
+    return a
+
+
+def _needed(p: Params, segs: list[np.ndarray]) -> np.ndarray:
+    """The likelihood (K x n, up to a factor) of segments that end texts, given the state of their first token."""
+    order, flat, starts, active = _packed(segs)
+    emit, v = np.ascontiguousarray(p.emit.T), np.ones((STATES, 0))
+    for t in range(len(active) - 1, -1, -1):
+        n = active[t]
+        v = p.move @ np.concatenate([v, np.ones((STATES, n - v.shape[1]))], 1) if n > v.shape[1] else p.move @ v
+        v *= emit.take(flat[starts[:n] + t], 1)
+        v *= 1.0 / v.sum(0)
+    out = np.empty_like(v)
+    out[:, order] = v
+    return out
+
+
 def _boundaries(p: Params, seqs: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Segments of all texts, the state that each begins in, what follows each (given the state after it; 0 where nothing does), and which begin a text."""
     segs, counts = [], []
@@ -189,40 +212,43 @@ def _boundaries(p: Params, seqs: list[np.ndarray]) -> tuple[list[np.ndarray], np
     begin, after = np.repeat(p.start[:, None], len(segs), 1), np.zeros((STATES, len(segs)))
     long = np.flatnonzero(counts > 1)
     if len(long):
-        mine = np.concatenate([np.arange(at[i], at[i] + counts[i]) for i in long])
-        order, flat, starts, active = _packed([segs[i] for i in mine])
-        m = np.empty((len(mine), STATES, STATES))
-        m[order] = _transfer(p, flat, starts, active)
-        matrix = dict(zip(mine.tolist(), m, strict=True))
-        for i in long:
-            u = p.start
-            for k in range(at[i], at[i] + counts[i]):
-                begin[:, k] = u
-                u = u @ matrix[k]
-                u = u / u.sum()
-            v = np.ones(STATES)
-            for k in range(at[i] + counts[i] - 1, at[i], -1):
-                v = matrix[k] @ v
-                v = v / v.sum()
-                after[:, k - 1] = v
+        # only what lies between a text's first and last segment needs its matrix
+        heads, ends = at[long], at[long] + counts[long] - 1
+        u, v = _left(p, np.stack([segs[k] for k in heads])), _needed(p, [segs[k] for k in ends])
+        begin[:, heads + 1], after[:, ends - 1] = u, v
+        mine = np.concatenate([np.arange(i + 1, j) for i, j in zip(heads, ends, strict=True)])
+        if len(mine):
+            order, flat, starts, active = _packed([segs[k] for k in mine])
+            m = np.empty((len(mine), STATES, STATES))
+            m[order] = _transfer(p, flat, starts, active)
+            matrix = dict(zip(mine.tolist(), m, strict=True))
+        for i, j in zip(heads.tolist(), ends.tolist(), strict=True):
+            for k in range(i + 1, j):
+                u = begin[:, k] @ matrix[k]
+                begin[:, k + 1] = u / u.sum()
+            for k in range(j - 1, i, -1):
+                v = matrix[k] @ after[:, k]
+                after[:, k - 1] = v / v.sum()
     return segs, begin, after, first
 
 
-def expected(p: Params, seqs: list[np.ndarray]):
-    """Baum-Welch counts over whole texts: starts, moves, emissions and the log likelihood."""
+def expected(p: Params, seqs: list[np.ndarray], likelihood: bool = True):
+    """Baum-Welch counts over whole texts: starts, moves, emissions and, if asked for, the log likelihood."""
     segs, begin, after, first = _boundaries(p, seqs)
     order, flat, starts, active = _packed(segs)
     begin, after, first = begin[:, order], after[:, order], first[order]
     at = np.concatenate([[0], np.cumsum(active)])
     step = [slice(i, j) for i, j in zip(at, at[1:])]
     obs = np.concatenate([flat[starts[:n] + t] for t, n in enumerate(active)])
-    scaled, alphas, c = np.ascontiguousarray(p.emit.T)[:, obs], np.empty((STATES, len(obs))), np.empty(len(obs))
-    a = begin
+    scaled, alphas, c = np.ascontiguousarray(p.emit.T).take(obs, 1), np.empty((STATES, len(obs))), np.empty(len(obs))
+    a, move = begin, np.ascontiguousarray(p.move.T)
     for t, n in enumerate(active):
-        a = np.multiply(p.move.T @ a[:, :n] if t else a, scaled[:, step[t]], out=alphas[:, step[t]])
-        c[step[t]] = a.sum(0)
-        a /= c[step[t]]
-    scaled /= c
+        here = step[t]
+        a = np.multiply(move @ a[:, :n] if t else a, scaled[:, here], out=alphas[:, here])
+        a.sum(0, out=c[here])
+        inverse = 1.0 / c[here]
+        a *= inverse
+        scaled[:, here] *= inverse
     # the last state of a segment that another follows: weighed by what follows, and moved once more
     last = np.concatenate([np.repeat(t, n - (active[t + 1] if t + 1 < len(active) else 0)) for t, n in enumerate(active)])[::-1]  # by segment
     end = alphas[:, at[last] + np.arange(len(segs))]
@@ -240,7 +266,7 @@ def expected(p: Params, seqs: list[np.ndarray]):
         beta = np.concatenate([p.move @ be, final[:, n : active[t]]], 1)
     alphas[:, step[0]] *= beta
     emit = np.stack([np.bincount(obs, g, CLASSES) for g in alphas], 1)
-    return alphas[:, step[0]][:, first].sum(1), moves * p.move, emit, float(np.log(c).sum())
+    return alphas[:, step[0]][:, first].sum(1), moves * p.move, emit, float(np.log(c).sum()) if likelihood else None
 
 
 def updated(starts: np.ndarray, moves: np.ndarray, emit: np.ndarray, freq: np.ndarray) -> Params:
@@ -260,7 +286,7 @@ def _full_step(p: Params):
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(seqs)]
             for i, j in zip(cuts, cuts[1:]):
                 if i < j:
-                    got = expected(p, seqs[i:j])[:3]
+                    got = expected(p, seqs[i:j], False)[:3]
                     sums = got if sums is None else tuple(x + y for x, y in zip(sums, got, strict=True))
         if sums is not None:
             v = np.concatenate([sums[2], sums[0][None], sums[1]])

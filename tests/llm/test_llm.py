@@ -561,6 +561,19 @@ def test_segments_change_nothing(monkeypatch):
     assert cut[3] == pytest.approx(math.log(10) * hmm_lm.log_likelihoods(p, seqs).sum())
 
 
+def test_matrices_only_between_the_ends_of_a_text(monkeypatch):
+    # a text of two segments needs no matrix, one of five needs those of three; the counts are those of whole texts
+    rng, asked, transfer = np.random.default_rng(3), [], hmm_lm._transfer
+    p = hmm_lm.first_params(rng.dirichlet(np.ones(hmm_lm.CLASSES)))
+    seqs = [rng.integers(0, hmm_lm.CLASSES, n) for n in (3, 20, 31, 33, 70)]
+    whole = hmm_lm.expected(p, seqs)
+    monkeypatch.setattr(hmm_lm, "SEGMENT", 16)
+    monkeypatch.setattr(hmm_lm, "_transfer", lambda p, flat, starts, active: asked.append(len(starts)) or transfer(p, flat, starts, active))
+    for a, b in zip(hmm_lm.expected(p, seqs), whole, strict=True):
+        assert np.allclose(a, b, rtol=1e-9)
+    assert asked == [1 + 3]
+
+
 def test_score_as_plain_sums(spark, monkeypatch):
     """score and base_score of small texts by the formulas, with few known tokens, so that the join serves the rest."""
     rng = np.random.default_rng(12)
