@@ -521,3 +521,25 @@ def test_frames_by_sums(spark):
     spread = ((x - x.mean(0)) @ f.T).var(0)
     assert spread[0] > spread[1] > spread[2] and np.allclose(np.cov((x @ f.T).T) - np.diag(np.diag(np.cov((x @ f.T).T))), 0, atol=1e-9)
     assert all(f[i][np.argmax(np.abs(f[i]) > 1e-12)] > 0 for i in (0, 1))
+
+
+def test_pairs_of_one_key_are_dealt(spark):
+    # all rows have one key: blocks of both sides meet by sorting, every pair once
+    from pointloom.operators import spatial
+
+    p = spark.range(90).selectExpr("id", "0 AS zone", "id % 7D AS x", "id % 5D AS y", "id % 3D AS z")
+    out = spatial.pairs_within_keys(p, p.filter("id < 40"), ["zone"], dealt=True)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "_i" in plan and "_j" in plan
+    assert sorted((r["a_id"], r["b_id"]) for r in out.collect()) == [(a, b) for a in range(90) for b in range(40)]
+    assert out.drop("d").columns == ["zone", "a_id", "a_x", "a_y", "a_z", "b_id", "b_x", "b_y", "b_z"]
+
+
+def test_round_six_is_round(spark):
+    from pointloom.functions import numeric
+
+    rng = np.random.default_rng(2)
+    tied = [k / 2e6 for k in range(-41, 42)] + [0.1234565, 2.5000005, 1.0000005, 999999.9999995, 1e9 + 0.1, -0.0, 1e300, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in [*tied, *rng.normal(0, 50, 3000), *rng.normal(0, 1e-6, 500), *rng.normal(0, 1e6, 500)]], "v double")
+    got = df.select(numeric.round_six("v").alias("a"), F.round("v", 6).alias("b"))
+    assert got.filter(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
