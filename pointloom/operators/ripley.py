@@ -12,10 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import finite
+from ..staging import staged
 from .spatial import betweenness, inside_hull, within
 
 SPHERE = 4.0 / 3.0 * math.pi
 
+#: Points of a chunk, and rows of it that meet another chunk at a time.
+CHUNK, ROWS = 4096, 64
+
 
 def radius_grid(step: float, r_max: float) -> Column:
     """step, 2 step, .. up to r_max, as an array of bin numbers 1.."""
@@ -144,6 +149,75 @@ def focus_counts(foci: DataFrame, partners: DataFrame, step: float, r_max: float
     return cumulated(foci.select(*keys, "id"), binned(foci, partners, step, r_max, keys, ["id"], axes, exclude_self), step, r_max, [*keys, "id"])
 
 
+def pair_sums(a: DataFrame, b: DataFrame, step: float, r_max: float, keys: Sequence[str], by: str | None = None) -> DataFrame:
+    """keys, by, bin, w12, w21: over the pairs with d < r, the sum of the first's weights at r, and that of the second's.
+
+    a: keys, by (a long, the set of a row), id, x, y, z, w (an array with a
+    weight for each radius); b: keys, id, x, y, z, w. Both directions and all
+    sets meet once, and nothing has a row for a pair: points lie in cells of
+    side r_max or more, a cell is dealt to chunks of about CHUNK points, and
+    two chunks meet in a task. Radii at which no pair meets have no row.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    keys, last = list(keys), int(math.floor(r_max / step + 0.5))
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = a.select(*keys, (F.col(by) if by else F.lit(0)).cast("long").alias("_set"), "id", *[finite(k).alias(k) for k in "xyz"], "w").dropna(subset=list("xyz"))
+    b = b.select(*keys, "id", *[finite(k).alias(k) for k in "xyz"], "w").dropna(subset=list("xyz"))
+    every = a.select(*keys, *"xyz").unionByName(b.select(*keys, *"xyz"))
+    box = every.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[(F.max(k) - F.min(k) + F.lit(float(r_max))).alias(f"_s{k}") for k in "xyz"])
+    side = F.greatest(F.lit(float(r_max)), F.cbrt(F.col("_sx") * F.col("_sy") * F.col("_sz") * CHUNK / F.col("_n")))
+    box, cells = staged(box.select(*keys, side.alias("_side")), "box"), [f"_c{k}" for k in "xyz"]
+
+    def dealt(df: DataFrame, name: str) -> DataFrame:
+        at = df.join(box, keys).withColumns({f"_c{k}": F.floor(F.col(k) / F.col("_side")) for k in "xyz"}).drop("_side")
+        sizes = at.groupBy(*keys, *cells).agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_k"))
+        sub = F.pmod(F.xxhash64("id", *"xyz"), F.col("_k"))
+        return staged(at.join(sizes, [*keys, *cells]).withColumn(name, F.concat_ws(",", *cells, sub)).drop("_k"), "dealt")
+
+    a, b = dealt(a, "_a"), dealt(b, "_b")
+    around = a.select(*keys, *cells, "_a").distinct()
+    for c in cells:
+        around = around.withColumn(c, F.explode(F.array(*[F.col(c) + i for i in (-1, 0, 1)])))
+    on = [*keys, "_a", "_b"]
+    pairs = staged(around.join(b.select(*keys, *cells, "_b").distinct(), [*keys, *cells]).select(*on), "chunk_pairs")
+    left, right = (df.drop("id", *cells).join(pairs, [*keys, c]).repartition(parts, *on) for df, c in ((a, "_a"), (b, "_b")))
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in a.select(*keys).schema]
+
+    def run(key: tuple, one, two):
+        sums: dict[int, np.ndarray] = {}
+        if len(one) and len(two):
+            (p, w1), (q, w2) = ((np.column_stack([t[k].to_numpy() for k in "xyz"]), t["w"].combine_chunks().flatten().to_numpy().reshape(len(t), last)) for t in (one, two))
+            of, columns = one["_set"].to_numpy(), np.arange(len(q)) * (last + 1)
+            for s in np.unique(of).tolist():
+                mine = np.flatnonzero(of == s)
+                seen, w12 = np.zeros((len(q), last)), np.zeros(last)
+                for i in range(0, len(mine), ROWS):
+                    rows = mine[i : i + ROWS]
+                    d = (p[rows, 0][:, None] - q[:, 0]) ** 2
+                    for k in (1, 2):
+                        d += (p[rows, k][:, None] - q[:, k]) ** 2
+                    d = np.sqrt(d, out=d)
+                    far = d > r_max
+                    d /= float(step)
+                    bins = d.astype(np.int64)  # no distance is negative
+                    bins[far | (bins > last)] = last
+                    n = np.bincount((bins + np.arange(len(rows))[:, None] * (last + 1)).ravel(), minlength=len(rows) * (last + 1)).reshape(len(rows), -1)
+                    w12 += (n[:, :last].cumsum(1) * w1[rows]).sum(0)
+                    bins += columns
+                    seen += np.bincount(bins.ravel(), minlength=len(q) * (last + 1)).reshape(len(q), -1)[:, :last]
+                sums[s] = np.stack([w12, (seen.cumsum(1) * w2).sum(0)])
+        n = len(sums) * last
+        out = {k: pa.array([v.as_py()] * n, v.type) for k, v in zip(keys, key, strict=False)}
+        whole = np.concatenate([*sums.values()], 1) if sums else np.zeros((2, 0))
+        return pa.table({**out, "_set": pa.array(np.repeat(np.array([*sums], np.int64), last)), "bin": pa.array(np.tile(np.arange(1, last + 1, dtype=np.int32), len(sums))), "w12": pa.array(whole[0]), "w21": pa.array(whole[1])})
+
+    met = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(run, ", ".join([*kinds, "_set long, bin int, w12 double, w21 double"]))
+    sums = met.groupBy(*keys, "_set", "bin").agg(F.sum("w12").alias("w12"), F.sum("w21").alias("w21")).filter("w12 > 0 or w21 > 0")
+    return sums.withColumnRenamed("_set", by) if by else sums.drop("_set")
+
+
 def focus_k(foci: DataFrame, partners: DataFrame, volume: DataFrame, step: float, r_max: float, keys: Sequence[str], factors: DataFrame | None = None) -> DataFrame:
     """One curve for each focus: V / n2 * count / p."""
     n2 = partners.groupBy(*keys).agg(F.count(F.lit(1)).alias("n2"))

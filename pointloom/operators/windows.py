@@ -135,44 +135,70 @@ def volumes(window: DataFrame, h: float, keys: Sequence[str]) -> DataFrame:
     return window.groupBy(*keys).agg((F.sum("n") * F.lit(float(h) ** 3)).alias("volume"))
 
 
-def factors(foci: DataFrame, window: DataFrame, h: float, step: float, r_max: float, keys: Sequence[str], id_col: str = "id") -> DataFrame:
-    """keys, id, bin, r, in_grid, p: the share of each focus's ball that lies in the window, at most 1, and 1 where the ball has no lattice point.
+#: Foci of a cell that meet its window in one task, and how many at a time.
+FOCI, ROWS = 2048, 64
+
 
-    Foci whose key has no window are left out; foci with a null coordinate
-    reach nothing, so their p is 1.
+def shares(foci: DataFrame, window: DataFrame, h: float, step: float, r_max: float, keys: Sequence[str], id_col: str = "id") -> DataFrame:
+    """keys, id, x, y, z, in_grid, p: for each focus arrays over the radii, of the window's points in its ball and of their share of it.
+
+    A share is at most 1, and 1 where the ball has no lattice point. Foci whose
+    key has no window are left out; foci with a null coordinate reach nothing,
+    so their p is 1. Foci of a cell and the tiles around it meet in a task.
     """
     keys, last = list(keys), int(math.floor(r_max / step + 0.5))
-    half = (SIDE - 1) * float(h) * math.sqrt(3) / 2
-    mine = foci.select(*keys, id_col, "x", "y", "z")
-    tile = F.struct(*[F.col(f"b_l{k}").alias(k) for k in "xyz"], F.col("b_bits").alias("bits"))
-    met = within(mine, window.select(*keys, "x", "y", "z", "lx", "ly", "lz", "bits"), float(r_max) + half, keys)
-    near = met.groupBy(*keys, F.col(f"a_{id_col}").alias(id_col)).agg(F.collect_list(tile).alias("_tiles"))
-    known = mine.join(window.select(*keys).distinct(), keys, "left_semi").join(near, [*keys, id_col], "left")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in known.select(*keys, id_col).schema)
-
-    def run(batches):
+    reach = float(r_max) + (SIDE - 1) * float(h) * math.sqrt(3) / 2
+    parts = int(foci.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = [f"_c{k}" for k in "xyz"]
+    cell = {f"_c{k}": F.floor(F.col(k) / F.lit(reach)) for k in "xyz"}
+    mine = foci.select(*keys, id_col, "x", "y", "z").join(window.select(*keys).distinct(), keys, "left_semi").withColumns(cell)
+    sizes = mine.groupBy(*keys, *cells).agg(F.ceil(F.count(F.lit(1)) / FOCI).alias("_k"))
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*keys, *cells)]
+    mine = mine.alias("m").join(sizes.alias("s"), same).select("m.*", F.pmod(F.xxhash64(f"m.{id_col}", *"xyz"), F.col("_k")).alias("_sub"))
+    near = window.select(*keys, "x", "y", "z", "lx", "ly", "lz", "bits").withColumns(cell).drop("x", "y", "z")
+    for c in cells:
+        near = near.withColumn(c, F.explode(F.array(*[F.col(c) + i for i in (-1, 0, 1)])))
+    near = near.join(sizes, [*keys, *cells]).withColumn("_sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))).drop("_k")
+    on = [*keys, *cells, "_sub"]
+    left, right = (df.repartition(parts, *on) for df in (mine, near))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in mine.select(*keys, id_col, "x", "y", "z").schema)
+
+    def run(key, these, tiles):
         steps = np.stack(np.meshgrid(*[np.arange(SIDE)] * 3, indexing="ij"), -1).reshape(-1, 3) * float(h)
-        for b in batches:
-            col = lambda c: b.column(b.schema.get_field_index(c))  # noqa: B023, E731
-            counts = []
-            for i in range(len(b)):
-                got = col("_tiles")[i].as_py() or []
-                if not got:
-                    counts.append([0] * last)
-                    continue
-                at = np.array([col(k)[i].as_py() for k in "xyz"])
-                corners = np.array([[t["x"], t["y"], t["z"]] for t in got])
-                inside = np.unpackbits(np.frombuffer(b"".join(t["bits"] for t in got), np.uint8)).astype(bool)
-                off = at - (corners[:, None] + steps[None]).reshape(-1, 3)[inside]
-                off *= off
-                d = np.sqrt((off[:, 0] + off[:, 1]) + off[:, 2])
-                counts.append(np.cumsum(np.bincount(np.floor(d[d <= r_max] / float(step)).astype(np.int64), minlength=last)[:last]).tolist())
-            yield pa.RecordBatch.from_arrays([*[col(c) for c in [*keys, id_col]], pa.array(counts, pa.list_(pa.int64()))], names=[*keys, id_col, "_c"])
-
-    out = known.mapInArrow(run, f"{kinds}, _c array<long>").select(*keys, id_col, F.posexplode("_c").alias("_b", "in_grid"))
-    out = out.withColumn("bin", F.col("_b") + 1).withColumn("r", F.col("bin") * F.lit(float(step))).drop("_b")
-    share = F.col("in_grid") * F.lit(float(h) ** 3) / (F.lit(SPHERE) * F.col("r") * F.col("r") * F.col("r"))
-    return out.withColumn("p", F.when(F.col("in_grid") == 0, 1.0).otherwise(F.least(F.lit(1.0), share)))
+        counts = np.zeros((len(these), last), np.int64)
+        if len(these) and len(tiles):
+            at = np.column_stack([these[k].to_numpy() for k in "xyz"])
+            corners = np.column_stack([tiles[k].to_numpy() for k in ("lx", "ly", "lz")])
+            inside = np.unpackbits(np.frombuffer(b"".join(tiles["bits"].to_pylist()), np.uint8)).astype(bool)
+            lattice = (corners[:, None] + steps[None]).reshape(-1, 3)[inside]
+            for i in range(0, len(at), ROWS):
+                some = at[i : i + ROWS]
+                off = [(some[:, k][:, None] - lattice[:, k]) ** 2 for k in range(3)]
+                d = np.sqrt((off[0] + off[1]) + off[2])
+                far = ~(d <= r_max)
+                d[far] = 0.0
+                bins = (d / float(step)).astype(np.int64)
+                bins[far | (bins > last)] = last
+                bins += np.arange(len(some))[:, None] * (last + 1)
+                counts[i : i + ROWS] = np.bincount(bins.ravel(), minlength=len(some) * (last + 1)).reshape(len(some), -1)[:, :last].cumsum(1)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(these) + 1, dtype=np.int32) * last), pa.array(counts.ravel()))
+        return pa.table([*[these[c] for c in (*keys, id_col, "x", "y", "z")], lists], names=[*keys, id_col, "x", "y", "z", "in_grid"])
+
+    out = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(run, f"{kinds}, in_grid array<long>")
+    r = lambda i: (i + 1) * F.lit(float(step))
+    share = lambda n, i: n * F.lit(float(h) ** 3) / (F.lit(SPHERE) * r(i) * r(i) * r(i))
+    return out.withColumn("p", F.transform("in_grid", lambda n, i: F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), share(n, i)))))
+
+
+def by_radius(arrays: DataFrame, step: float, keys: Sequence[str], id_col: str = "id") -> DataFrame:
+    """keys, id, bin, r, in_grid, p: a row for each focus and radius of shares."""
+    out = arrays.select(*keys, id_col, F.posexplode(F.arrays_zip("in_grid", "p")).alias("_b", "_s"))
+    return out.select(*keys, id_col, (F.col("_b") + 1).alias("bin"), ((F.col("_b") + 1) * F.lit(float(step))).alias("r"), "_s.in_grid", "_s.p")
+
+
+def factors(foci: DataFrame, window: DataFrame, h: float, step: float, r_max: float, keys: Sequence[str], id_col: str = "id") -> DataFrame:
+    """keys, id, bin, r, in_grid, p: shares, with a row for each focus and radius."""
+    return by_radius(shares(foci, window, h, step, r_max, keys, id_col), step, keys, id_col)
 
 
 def monte_carlo_factors(foci: DataFrame, planes: DataFrame, step: float, r_max: float, keys: Sequence[str], samples: int = 384, least: float = 1e-3, seed: int = 0, id_col: str = "id") -> DataFrame:

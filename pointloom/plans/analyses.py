@@ -225,6 +225,20 @@ def _long(k: DataFrame, by: Sequence[str], step: float, width: int, unsure: dict
     return out
 
 
+def _weighted(shares: DataFrame) -> DataFrame:
+    """shares with the inverse factors as w."""
+    return shares.withColumn("w", F.transform("p", lambda p: 1.0 / p)).drop("in_grid", "p")
+
+
+def _curves(base: DataFrame, sums: DataFrame, by: Sequence[str], n1: str, n2: str, step: float, r_max: float) -> DataFrame:
+    """base (by, n1, n2, volume) at all radii, with k12, k21 and k_combined of the sums (by, bin, w12, w21)."""
+    grid = base.withColumn("bin", F.explode(ripley.radius_grid(step, r_max))).join(sums, [*by, "bin"], "left")
+    k, scale = grid.withColumn("r", F.col("bin") * F.lit(float(step))), F.col("volume") / (F.col(n1) * F.col(n2))
+    for s in ("12", "21"):
+        k = k.withColumn(f"k{s}", scale * F.coalesce(f"w{s}", F.lit(0.0)))
+    return k.withColumn("k_combined", ripley.combined(F.col(n1), F.col("k12"), F.col(n2), F.col("k21")))
+
+
 def families_in_window(a: DataFrame, b: DataFrame, planes: DataFrame, tiles: DataFrame, h: float, step: float, r_max: float, keys: Sequence[str], width: int = 1, least_a: int = 2, least_b: int = 2, drop_a: bool = True) -> DataFrame:
     """keys, family, r, value: K, L and g of both directions and their combination, within the window and with its edge factors.
 
@@ -270,32 +284,20 @@ def sets_in_window(sets: DataFrame, particles: DataFrame, planes: DataFrame, til
     sets: zone, comparison, rep, id, x, y, z; all sites of a set are pooled.
     Pairs are met once for both directions and all sets.
     """
-    last = int(round(r_max / step))
     by = [key, "comparison", "rep"]
     sites = staged(sets.select(*by, F.struct("comparison", "rep", "id").alias("id"), "x", "y", "z"), "sites")
     inside = staged(windows.members(particles, planes, [key]).select(key, "id", "x", "y", "z"), "inside")
     volume = windows.volumes(tiles, h, [key])
     n2 = inside.groupBy(key).agg(F.count(F.lit(1)).alias("n_particles"))
     n1 = sites.groupBy(*by).agg(F.count(F.lit(1)).alias("n_sites"))
-    base = staged(n1.join(n2, key).join(volume, key), "sizes")
-    p1 = staged(windows.factors(sites.drop("comparison", "rep"), tiles, h, step, r_max, [key]), "site_factors")
-    p2 = staged(windows.factors(inside, tiles, h, step, r_max, [key]), "particle_factors")
-    bins = (F.floor(F.col("d") / F.lit(float(step))) + 1).cast("int")
-    met = spatial.within(sites.drop("comparison", "rep"), inside, r_max, [key]).select(key, "a_id", "b_id", bins.alias("bin")).filter(F.col("bin") <= last)
-    met = staged(met, "met")
-    sums = base.withColumn("bin", F.explode(ripley.radius_grid(step, r_max)))
-    for name, focus, p in (("w12", "a_id", p1), ("w21", "b_id", p2)):
-        n = met.groupBy(key, F.col("a_id.comparison").alias("comparison"), F.col("a_id.rep").alias("rep"), F.col(focus).alias("id"), "bin").agg(F.count(F.lit(1)).alias("n"))
-        upward = n.withColumn("bin", F.explode(F.sequence("bin", F.lit(last))))  # a pair counts at its radius and all beyond
-        w = upward.join(p.select(key, "id", "bin", "p").hint("merge"), [key, "id", "bin"]).groupBy(*by, "bin").agg(F.sum(F.col("n") / F.col("p")).alias(name))
-        sums = sums.join(w, [*by, "bin"], "left")
-    scale = F.col("volume") / (F.col("n_sites") * F.col("n_particles"))
-    k = sums.withColumn("r", F.col("bin") * F.lit(float(step)))
-    for s in ("12", "21"):
-        k = k.withColumn(f"k{s}", scale * F.coalesce(f"w{s}", F.lit(0.0)))
-    k = k.withColumn("k_combined", ripley.combined(F.col("n_sites"), F.col("k12"), F.col("n_particles"), F.col("k21")))
-    shells = p1.withColumn("comparison", F.col("id.comparison")).withColumn("rep", F.col("id.rep"))
-    unsure = {"12": ripley.shell_reliability(shells, by, width), "21": ripley.shell_reliability(p2, [key], width)}
+    base = staged(n1.join(n2, key).join(volume, key).withColumn("set", F.monotonically_increasing_id()), "sizes")
+    p1 = staged(windows.shares(sites.drop("comparison", "rep"), tiles, h, step, r_max, [key]), "site_factors")
+    p2 = staged(windows.shares(inside, tiles, h, step, r_max, [key]), "particle_factors")
+    named = p1.select("*", F.col("id.comparison").alias("comparison"), F.col("id.rep").alias("rep"))
+    sums = ripley.pair_sums(_weighted(named).join(base.select(*by, "set"), by), _weighted(p2), step, r_max, [key], "set")
+    k = _curves(base, sums.join(base.select(key, "set", "comparison", "rep"), [key, "set"]).drop("set"), by, "n_sites", "n_particles", step, r_max)
+    shells = windows.by_radius(named, step, [*by], "id")
+    unsure = {"12": ripley.shell_reliability(shells, by, width), "21": ripley.shell_reliability(windows.by_radius(p2, step, [key]), [key], width)}
     return _long(k, [*by, "n_sites", "n_particles"], step, width, unsure)
 
 

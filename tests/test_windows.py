@@ -120,3 +120,32 @@ def test_hull_with_facets_in_one_row(spark):
     assert windows.members(pts, planes, ["zone"]).count() == 30
     out = spark.createDataFrame([(0, 1, 41.0, 0.0, 0.0), (0, 2, None, 0.0, 0.0), (7, 3, 0.0, 0.0, 0.0)], PTS)
     assert windows.members(out, planes, ["zone"]).count() == 0
+
+
+def test_pair_sums_have_no_row_for_a_pair(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from pointloom.operators import ripley
+
+    monkeypatch.setattr(ripley, "CHUNK", 40)  # many chunks
+    r = np.random.default_rng(3)
+    a = [(z, s, i, *map(float, r.uniform(-30, 30, 3)), [1.0 + i % 3, 2.0, 0.5, 1.0 + i % 2]) for z in range(2) for s in (4, 9) for i in range(90)]
+    b = [(z, i, *map(float, r.uniform(-30, 30, 3)), [1.0, 1.0 + i % 5, 3.0, 0.25]) for z in range(2) for i in range(150)]
+    a += [(0, 4, 900, None, 0.0, 0.0, [1.0] * 4), (0, 4, 901, float("nan"), 0.0, 0.0, [1.0] * 4)] + [a[0]] * 3
+    one = spark.createDataFrame(a, "zone int, part long, id long, x double, y double, z double, w array<double>")
+    two = spark.createDataFrame(b, "zone int, id long, x double, y double, z double, w array<double>")
+    got = {(x["zone"], x["part"], x["bin"]): (x["w12"], x["w21"]) for x in ripley.pair_sums(one, two, 5.0, 20.0, ["zone"], "part").collect()}
+    want = {}
+    for z in range(2):
+        q = [x for x in b if x[0] == z]
+        at, w2 = np.array([x[2:5] for x in q]), np.array([x[5] for x in q])
+        for s in (4, 9):
+            p = [x for x in a if x[:2] == (z, s) and x[3] is not None and x[3] == x[3]]
+            near = np.sqrt(((np.array([x[3:6] for x in p])[:, None] - at[None]) ** 2).sum(-1))
+            for k in range(4):
+                hit = near < 5.0 * (k + 1)
+                if hit.any():
+                    want[z, s, k + 1] = (float((hit.sum(1) * np.array([x[6][k] for x in p])).sum()), float((hit.sum(0) * w2[:, k]).sum()))
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+    all_ = ripley.pair_sums(one, two.filter("zone = 1"), 5.0, 20.0, ["zone"]).agg(F.count(F.lit(1)), F.min("zone")).first()
+    assert tuple(all_) == (4, 1) and ripley.pair_sums(one.limit(0), two, 5.0, 20.0, ["zone"], "part").count() == 0
