@@ -256,13 +256,13 @@ def families_in_window(a: DataFrame, b: DataFrame, planes: DataFrame, tiles: Dat
         enough = n if enough is None else enough.join(n, keys)
     enough, volume = staged(enough, "enough"), windows.volumes(tiles, h, keys)
     kept = {s: staged(side.select(*keys, "id", "x", "y", "z").join(enough, keys, "left_semi"), f"side{s}") for s, side, _ in sides}
-    curves_, unsure = {}, {}
-    for s, other in (("12", "21"), ("21", "12")):
-        p = staged(windows.factors(kept[s], tiles, h, step, r_max, keys), "factors")
-        curves_[s] = ripley.cross_k(kept[s], kept[other], volume, step, r_max, keys, factors=p).select(*keys, "bin", "r", F.col("n1").alias(f"n{s}"), F.col("k").alias(f"k{s}"))
-        unsure[s] = ripley.shell_reliability(p, keys, width)
-    k = curves_["12"].join(curves_["21"].drop("r"), [*keys, "bin"])
-    k = k.withColumn("k_combined", ripley.combined(F.col("n12"), F.col("k12"), F.col("n21"), F.col("k21")))
+    held, unsure = {}, {}
+    for s in ("12", "21"):
+        held[s] = staged(windows.shares(kept[s], tiles, h, step, r_max, keys), "factors")
+        unsure[s] = ripley.shell_reliability(windows.by_radius(held[s], step, keys), keys, width)
+    n12, n21 = (kept[s].groupBy(*keys).agg(F.count(F.lit(1)).alias(f"n{s}")) for s in ("12", "21"))
+    sums = ripley.pair_sums(_weighted(held["12"]), _weighted(held["21"]), step, r_max, keys)
+    k = _curves(n12.join(n21, keys).join(volume, keys), sums, keys, "n12", "n21", step, r_max)
     return _long(k, keys, step, width, unsure)
 
 
