@@ -703,3 +703,14 @@ def test_store(spark, odd, none):
 def test_words_are_the_library(t):
     c = token_store.coder(Q.tokenizer_path("word_bpe_49k.json"), None)
     assert c.many([t])[0].tolist() == c.tok.encode(t, add_special_tokens=False).ids
+
+
+def test_frames_of_article_pages_tell_boilerplate(spark):
+    line = "this site belongs to the league of examples and keeps all rights for itself"
+    own = [" ".join(f"word{k}" for k in np.random.default_rng(70 + i).integers(0, 10**6, 20)) for i in range(5)]
+    rows = [(i, "http://f.org/", f"<article><p>{own[i]}</p><p>{own[4]}</p></article><footer>{line} <b>{i}</b></footer><div class='ad'>{line}</div>") for i in range(3)]
+    rows += [(3, "http://f.org/", f"<div>{own[3]}</div><p>{line}</p><p>{own[4]}</p>"), (4, "http://g.org/", f"<div>{own[3]}</div><p>{line}</p>")]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()}
+    assert [got[i] for i in range(3)] == [f"{own[i]}\n\n{own[4]}" for i in range(3)]
+    # the line goes where the host's frames repeat it, what its articles repeat stays
+    assert got[3] == f"{own[3]}\n\n{own[4]}" and got[4] == f"{own[3]}\n\n{line}"
