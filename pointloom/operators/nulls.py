@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import Draws, Near
 from ..functions.numeric import finite
 from ..staging import staged
 
@@ -556,6 +557,36 @@ def shifted_sites(sites: DataFrame, surface: DataFrame, replicates: int, step: f
     absent. SITES sites of a cell meet the surface around the cell in a task;
     no row is made for a site and a surface point.
     """
+    import pyarrow as pa
+
+    def rows(ids, of, rep, at, surface: pa.Table) -> dict:
+        return {"id": pa.array(ids[of]), "rep": pa.array(rep.astype("int32")), **{k: surface[k].take(pa.array(at)) for k in "xyz"}}
+
+    return _shifted(sites, surface, replicates, step, key, seed, reach, snap_limit, least, tries, id_col, rows, "id long, rep int, x double, y double, z double")
+
+
+def shifted_means(sites: DataFrame, surface: DataFrame, value: str, replicates: int, step: float, key: str = "zone", seed: int = 0, reach: float = 30.0, snap_limit: float = 5.0, least: float = 5.0, tries: int = 40, id_col: str = "id") -> DataFrame:
+    """key, id, means, n: the mean of the surface's value (an array of doubles, as long in every row) over the points that shifted_sites moves a site to, without a row for each move."""
+    import numpy as np
+    import pyarrow as pa
+
+    def rows(ids, of, rep, at, surface: pa.Table) -> dict:
+        own, back, n = np.unique(of, return_inverse=True, return_counts=True)
+        held = surface[value].combine_chunks()
+        width = len(held.flatten()) // max(len(held), 1)
+        values = held.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+        sums = np.stack([np.bincount(back.ravel(), values[at, i], len(own)) for i in range(width)], 1) if width else np.zeros((len(own), 0))
+        return {"id": pa.array(ids[own]), "means": pa.array((sums / n[:, None]).tolist(), pa.list_(pa.float64())), "n": pa.array(n.astype(np.int64))}
+
+    return _shifted(sites, surface, replicates, step, key, seed, reach, snap_limit, least, tries, id_col, rows, "id long, means array<double>, n long", [value])
+
+
+#: Moves that a task looks for together.
+MOVES = 50_000
+
+
+def _shifted(sites: DataFrame, surface: DataFrame, replicates: int, step: float, key: str, seed: int, reach: float, snap_limit: float, least: float, tries: int, id_col: str, rows, schema: str, carried: Sequence[str] = ()) -> DataFrame:
+    """key and what `rows` makes of the moves of a task: ids of its sites, and for each move the site's number, the replicate and the row of the surface that it ends on."""
     import numpy as np
     import pyarrow as pa
 
@@ -563,11 +594,11 @@ def shifted_sites(sites: DataFrame, surface: DataFrame, replicates: int, step: f
     side, cells = F.lit(float(max(2 * reach, step + snap_limit))), ["_cx", "_cy", "_cz"]
     kind = dict(sites.dtypes)[key]
 
-    def placed(df: DataFrame) -> DataFrame:
-        at = df.select(key, F.col(id_col).alias("id"), *[finite(k).alias(k) for k in "xyz"]).dropna(subset=list("xyz"))
+    def placed(df: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+        at = df.select(key, F.col(id_col).alias("id"), *[finite(k).alias(k) for k in "xyz"], *carried).dropna(subset=list("xyz"))
         return at.select("*", *[F.floor(F.col(k) / side).alias(f"_c{k}") for k in "xyz"])
 
-    at, around = placed(sites), placed(surface)
+    at, around = placed(sites), placed(surface, carried)
     sizes = at.groupBy(key, *cells).agg(F.ceil(F.count(F.lit(1)) / SITES).alias("_k"))
     dealt = at.join(sizes, [key, *cells]).withColumn("_sub", F.pmod(F.xxhash64("id"), F.col("_k"))).drop("_k")
     for c in cells:
@@ -575,31 +606,41 @@ def shifted_sites(sites: DataFrame, surface: DataFrame, replicates: int, step: f
     on = [key, *cells, "_sub"]
     around = around.hint("merge").join(dealt.select(*on).distinct(), [key, *cells])
     # names of its own for each side, so that the sides do not share columns
-    left, right = (df.select(*[F.col(c).alias(c) for c in [*on, "id", *"xyz"]]).repartition(parts, *on) for df in (dealt, around))
+    left, right = (df.select(*[F.col(c).alias(c) for c in [*on, "id", *"xyz", *more]]).repartition(parts, *on) for df, more in ((dealt, ()), (around, carried)))
+
+    def moves(p: np.ndarray, ids: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of the site, replicate and row of the surface of each move that is taken."""
+        planes, fit = np.zeros((len(p), 2, 3)), np.zeros(len(p), bool)
+        for i in range(len(p)):
+            gap = np.linalg.norm(every - p[i], axis=1)
+            local = every[gap <= reach] if (gap <= reach).sum() >= 5 else every[gap <= 2 * reach]
+            if len(local) >= 3:
+                planes[i], fit[i] = np.linalg.svd(local - local.mean(0), full_matrices=False)[2][:2], True
+        near, out = Near(every), []
+        fit, each = np.flatnonzero(fit), max(1, MOVES // max(replicates, 1))
+        for first in range(0, len(fit), each):
+            of = np.repeat(fit[first : first + each], replicates)
+            rep = np.tile(np.arange(replicates), len(of) // max(replicates, 1))
+            draws = Draws(np.stack([np.full(len(of), seed & 0xFFFFFFFF), rep, ids[of] & 0xFFFFFFFF]).astype(np.uint32))
+            for _ in range(tries):
+                if not len(of):
+                    break
+                t = 2 * np.pi * draws.random()
+                to = p[of] + step * (np.cos(t)[:, None] * planes[of, 0] + np.sin(t)[:, None] * planes[of, 1])
+                at, _ = near(to, snap_limit)  # what is within snap_limit of a move's end is the nearest of all
+                ok = (at >= 0) & (np.linalg.norm(every[at] - p[of], axis=1) >= least)
+                out.append((of[ok], rep[ok], at[ok]))
+                of, rep = of[~ok], rep[~ok]
+                draws.keep(~ok)
+        of, rep, at = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64) for _ in range(3))
+        return of, rep, at
 
     def run(of: tuple, sites: pa.Table, surface: pa.Table) -> pa.Table:
         surface = surface.sort_by("id")
-        every = np.column_stack([surface[k].to_numpy() for k in "xyz"])
-        rows: list[tuple] = []
-        for i, *p in zip(sites["id"].to_pylist(), *[sites[k].to_pylist() for k in "xyz"], strict=True):
-            gap = np.linalg.norm(every - np.array(p), axis=1)
-            local = every[gap <= reach] if (gap <= reach).sum() >= 5 else every[gap <= 2 * reach]
-            if len(local) < 3:
-                continue
-            axes = np.linalg.svd(local - local.mean(0), full_matrices=False)[2]
-            near = gap <= (step + snap_limit) * (1 + 1e-9)  # a move that is taken ends on one of these
-            s, off = every[near], gap[near]
-            for rep in range(replicates if len(s) else 0):
-                rng = _seeded(seed, rep, int(i))
-                for t in rng.uniform(0, 2 * np.pi, tries):
-                    to = p + step * (np.cos(t) * axes[0] + np.sin(t) * axes[1])
-                    d = ((s - to) ** 2).sum(1)
-                    j = int(np.argmin(d))
-                    if d[j] <= snap_limit**2 and off[j] >= least:
-                        rows.append((int(i), rep, *s[j].tolist()))
-                        break
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        types = (pa.int64(), pa.int32(), *[pa.float64()] * 3)
-        return pa.table([pa.array([of[0].as_py()] * len(rows), of[0].type), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=[key, "id", "rep", *"xyz"])
+        p, every = (np.column_stack([t[k].to_numpy() for k in "xyz"]) for t in (sites, surface))
+        ids = sites["id"].to_numpy().astype(np.int64)
+        met = moves(p, ids, every) if len(p) and len(every) else (np.zeros(0, np.int64) for _ in range(3))
+        columns = rows(ids, *met, surface)
+        return pa.table({key: pa.array([of[0].as_py()] * len(columns["id"]), of[0].type), **columns})
 
-    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(run, f"{key} {kind}, id long, rep int, x double, y double, z double")
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(run, f"{key} {kind}, {schema}")
