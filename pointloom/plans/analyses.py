@@ -177,22 +177,22 @@ def density_controls(sites: DataFrame, particles: DataFrame, surface: DataFrame,
     point, by sliding cylinders of each radius; surface has normals. A site
     without a control at an offset has no row there.
     """
-    moved = None
-    for o in offsets:
-        part = nulls.shifted_sites(sites, surface, directions, float(o), key, **how).withColumn("offset", F.lit(float(o)))
-        moved = part if moved is None else moved.unionByName(part)
-    moved = staged(moved.withColumn("cid", F.struct("id", "rep", "offset")), "controls")
     scan = None
     for r in radii:
         part = spatial.cylinder_counts(surface, particles, float(r), [key], length, samples).select(key, F.col("id").alias("_at"), F.lit(float(r)).alias("radius"), "density")
         scan = part if scan is None else scan.unionByName(part)
     scan = staged(scan, "scan")
-    # a place's surface point serves all radii, and controls on one point count together
+    # a place's surface point serves all radii; a control lies on one, so its densities are met where it is moved
     real = spatial.nearest(sites, surface, [key]).select(key, F.col("a_id").alias("id"), F.col("b_id").alias("_at"))
     real = real.join(scan, [key, "_at"]).select(key, "id", "radius", F.col("density").alias("real"))
-    near = spatial.nearest(moved.select(key, "cid", "x", "y", "z"), surface, [key], "cid", "id")
-    near = near.groupBy(key, F.col("a_cid.id").alias("id"), F.col("a_cid.offset").alias("offset"), F.col("b_id").alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
-    control = near.join(scan.hint("merge"), [key, "_at"]).groupBy(key, "id", "offset", "radius").agg((F.sum(F.col("density") * F.col("_n")) / F.sum("_n")).alias("control"), F.sum("_n").alias("n_controls"))
+    held = scan.groupBy(key, F.col("_at").alias("id")).agg(*[F.max(F.when(F.col("radius") == float(r), F.col("density"))).alias(f"_d{i}") for i, r in enumerate(radii)])
+    held = staged(surface.join(held, [key, "id"]).select(key, "id", "x", "y", "z", F.array(*[f"_d{i}" for i in range(len(radii))]).alias("densities")), "densities")
+    control = None
+    for o in offsets:
+        part = nulls.shifted_means(sites, held, "densities", directions, float(o), key, **how).withColumn("offset", F.lit(float(o)))
+        control = part if control is None else control.unionByName(part)
+    control = control.select(key, "id", "offset", F.col("n").alias("n_controls"), F.explode(F.arrays_zip(F.array(*[F.lit(float(r)) for r in radii]).alias("radius"), F.col("means").alias("control"))).alias("_c"))
+    control = control.select(key, "id", "offset", "n_controls", "_c.radius", "_c.control")
     return real.join(control, [key, "id", "radius"]).select(key, "id", "radius", "offset", "real", "control", "n_controls")
 
 

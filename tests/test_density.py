@@ -36,3 +36,11 @@ def test_controls_against_brute_force(spark):
         k: (len(c), np.mean(c), real[k[:2]]) for k, c in want.items()
     }
     assert len(got) >= 12 and any(real.values())
+
+
+def test_no_row_for_a_control(spark, monkeypatch):
+    # controls are averaged where they are moved: no site in a replicate, no search for its surface point
+    monkeypatch.setattr(nulls, "shifted_sites", None)
+    s = spark.range(40).selectExpr("0 AS zone", "id", "id % 8D * 3 AS x", "floor(id / 8D) * 3D AS y", "0D AS z", "0D AS nx", "0D AS ny", "1D AS nz")
+    got = analyses.density_controls(s, s, s, [5.0], [6.0], 4, length=6.0, samples=4).collect()
+    assert got and all(0 < r["n_controls"] <= 4 and r["control"] > 0 for r in got)
