@@ -149,22 +149,9 @@ def focus_counts(foci: DataFrame, partners: DataFrame, step: float, r_max: float
     return cumulated(foci.select(*keys, "id"), binned(foci, partners, step, r_max, keys, ["id"], axes, exclude_self), step, r_max, [*keys, "id"])
 
 
-def pair_sums(a: DataFrame, b: DataFrame, step: float, r_max: float, keys: Sequence[str], by: str | None = None) -> DataFrame:
-    """keys, by, bin, w12, w21: over the pairs with d < r, the sum of the first's weights at r, and that of the second's.
-
-    a: keys, by (a long, the set of a row), id, x, y, z, w (an array with a
-    weight for each radius); b: keys, id, x, y, z, w. Both directions and all
-    sets meet once, and nothing has a row for a pair: points lie in cells of
-    side r_max or more, a cell is dealt to chunks of about CHUNK points, and
-    two chunks meet in a task. Radii at which no pair meets have no row.
-    """
-    import numpy as np
-    import pyarrow as pa
-
-    keys, last = list(keys), int(math.floor(r_max / step + 0.5))
+def _chunks(a: DataFrame, b: DataFrame, r_max: float, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """a and b (keys, id, x, y, z, all finite) with the columns on which their chunks meet: cells of side r_max or more, each dealt to chunks of about CHUNK points."""
     parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    a = a.select(*keys, (F.col(by) if by else F.lit(0)).cast("long").alias("_set"), "id", *[finite(k).alias(k) for k in "xyz"], "w").dropna(subset=list("xyz"))
-    b = b.select(*keys, "id", *[finite(k).alias(k) for k in "xyz"], "w").dropna(subset=list("xyz"))
     every = a.select(*keys, *"xyz").unionByName(b.select(*keys, *"xyz"))
     box = every.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[(F.max(k) - F.min(k) + F.lit(float(r_max))).alias(f"_s{k}") for k in "xyz"])
     side = F.greatest(F.lit(float(r_max)), F.cbrt(F.col("_sx") * F.col("_sy") * F.col("_sz") * CHUNK / F.col("_n")))
@@ -182,7 +169,59 @@ def pair_sums(a: DataFrame, b: DataFrame, step: float, r_max: float, keys: Seque
         around = around.withColumn(c, F.explode(F.array(*[F.col(c) + i for i in (-1, 0, 1)])))
     on = [*keys, "_a", "_b"]
     pairs = staged(around.join(b.select(*keys, *cells, "_b").distinct(), [*keys, *cells]).select(*on), "chunk_pairs")
-    left, right = (df.drop("id", *cells).join(pairs, [*keys, c]).repartition(parts, *on) for df, c in ((a, "_a"), (b, "_b")))
+    left, right = (df.drop(*cells).join(pairs, [*keys, c]).repartition(parts, *on) for df, c in ((a, "_a"), (b, "_b")))
+    return left, right, on
+
+
+def focus_arrays(foci: DataFrame, partners: DataFrame, step: float, r_max: float, keys: Sequence[str]) -> DataFrame:
+    """keys, id, counts: focus_counts as one array for each focus with a partner in reach, met in chunks without a row for a pair."""
+    import numpy as np
+    import pyarrow as pa
+
+    keys, last = list(keys), int(math.floor(r_max / step + 0.5))
+    a, b = (df.select(*keys, "id", *[finite(k).alias(k) for k in "xyz"]).dropna(subset=list("xyz")) for df in (foci, partners))
+    left, right, on = _chunks(a, b, r_max, keys)
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in a.select(*keys, "id").schema]
+
+    def run(key: tuple, one, two):
+        p, q = (np.column_stack([t[k].to_numpy() for k in "xyz"]) for t in (one, two))
+        counts = np.zeros((len(p), last), np.int64)
+        for i in range(0, len(p) if len(q) else 0, ROWS):
+            d = (p[i : i + ROWS, 0][:, None] - q[:, 0]) ** 2
+            for k in (1, 2):
+                d += (p[i : i + ROWS, k][:, None] - q[:, k]) ** 2
+            d = np.sqrt(d, out=d)
+            far = d > r_max
+            d /= float(step)
+            bins = d.astype(np.int64)  # no distance is negative
+            bins[far | (bins > last)] = last
+            bins += np.arange(len(bins))[:, None] * (last + 1)
+            counts[i : i + ROWS] = np.bincount(bins.ravel(), minlength=len(bins) * (last + 1)).reshape(len(bins), -1)[:, :last].cumsum(1)
+        out = {k: pa.array([v.as_py()] * len(p), v.type) for k, v in zip(keys, key, strict=False)}
+        return pa.table({**out, "id": one["id"], **{f"_{i}": pa.array(counts[:, i]) for i in range(last)}})
+
+    met = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(run, ", ".join([*kinds, *[f"_{i} long" for i in range(last)]]))
+    sums = met.groupBy(*keys, "id").agg(*[F.sum(f"_{i}").alias(f"_{i}") for i in range(last)])
+    return sums.select(*keys, "id", F.array(*[f"_{i}" for i in range(last)]).alias("counts"))
+
+
+def pair_sums(a: DataFrame, b: DataFrame, step: float, r_max: float, keys: Sequence[str], by: str | None = None) -> DataFrame:
+    """keys, by, bin, w12, w21: over the pairs with d < r, the sum of the first's weights at r, and that of the second's.
+
+    a: keys, by (a long, the set of a row), id, x, y, z, w (an array with a
+    weight for each radius); b: keys, id, x, y, z, w. Both directions and all
+    sets meet once, and nothing has a row for a pair: points lie in cells of
+    side r_max or more, a cell is dealt to chunks of about CHUNK points, and
+    two chunks meet in a task. Radii at which no pair meets have no row.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    keys, last = list(keys), int(math.floor(r_max / step + 0.5))
+    a = a.select(*keys, (F.col(by) if by else F.lit(0)).cast("long").alias("_set"), "id", *[finite(k).alias(k) for k in "xyz"], "w").dropna(subset=list("xyz"))
+    b = b.select(*keys, "id", *[finite(k).alias(k) for k in "xyz"], "w").dropna(subset=list("xyz"))
+    left, right, on = _chunks(a, b, r_max, keys)
+    left, right = left.drop("id"), right.drop("id")
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in a.select(*keys).schema]
 
     def run(key: tuple, one, two):

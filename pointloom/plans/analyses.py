@@ -136,11 +136,17 @@ def site_curves(sets: DataFrame, particles: DataFrame, volume: DataFrame, window
     times the sum over its sites of counts over edge factors. window: points
     whose box is the window.
     """
-    foci = sets.select(key, F.struct("comparison", "rep", "id").alias("id"), "x", "y", "z")
-    counts = ripley.focus_counts(foci, particles, step, r_max, [key])
-    factors = ripley.box_edge_factors(foci, window, h, step, r_max, [key])
-    both = counts.join(factors.select(key, "id", "bin", "p").hint("merge"), [key, "id", "bin"])  # a row for each site of a set and radius
-    sums = both.groupBy(key, F.col("id.comparison").alias("comparison"), F.col("id.rep").alias("rep"), "bin", "r").agg(F.sum(F.col("count") / F.col("p")).alias("w"), F.count(F.lit(1)).alias("n_sites"))
+    # sites of many sets lie on the same places, so a place's counts over factors serve them all
+    at = sets.select(key, "comparison", "rep", F.struct("x", "y", "z").alias("id"))
+    places = staged(at.select(key, "id").distinct().select(key, "id", "id.*"), "places")
+    factors = ripley.box_edge_factors(places, window, h, step, r_max, [key]).select(key, "id", "bin", "p")
+    held = factors.join(ripley.focus_arrays(places, particles, step, r_max, [key]), [key, "id"], "left")
+    w = F.coalesce(F.get("counts", F.col("bin") - 1), F.lit(0)) / F.col("p")
+    held = held.groupBy(key, "id").agg(F.array_sort(F.collect_list(F.struct("bin", w.alias("w")))).alias("_w"))  # a row for each radius
+    n_bins = int(r_max / step + 0.5)
+    met = at.hint("merge").join(held, [key, "id"]).groupBy(key, "comparison", "rep").agg(F.count(F.lit(1)).alias("n_sites"), *[F.sum(F.get("_w", F.lit(i))["w"]).alias(f"_{i}") for i in range(n_bins)])
+    each = F.posexplode(F.array(*[f"_{i}" for i in range(n_bins)])).alias("_b", "w")
+    sums = met.select(key, "comparison", "rep", "n_sites", each).withColumn("bin", F.col("_b") + 1).withColumn("r", F.col("bin") * F.lit(float(step))).drop("_b")
     n2 = particles.groupBy(key).agg(F.count(F.lit(1)).alias("n2"))
     out = sums.join(n2, key).join(volume, key).withColumn("k", F.col("volume") / (F.col("n_sites") * F.col("n2")) * F.col("w"))
     return out.select(key, "comparison", "rep", "n_sites", "bin", "r", "k", ripley.l_of_k(F.col("k"), F.col("r")).alias("l"))
